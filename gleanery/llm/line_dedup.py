@@ -77,7 +77,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, text: str = "text", report:
     covered = windows.where(F.col("length") < 2 * min_lines).select("uid", F.explode(F.sequence("seq", F.expr("seq + length - 1"))).alias("seq")).distinct()
     gone = covered.join(all_lines.select("uid", "seq", "pos"), ["uid", "seq"]).groupBy("uid").agg(F.collect_list("pos").alias("__gone"))
     gone = stash(gone.join(longest, "uid").withColumnRenamed("uid", "__of"), "lines-removed")
-    joined = docs.withColumn("__uid", F.monotonically_increasing_id()).join(gone, F.col("__uid") == F.col("__of"), "left")
+    joined = docs.withColumn("__uid", F.monotonically_increasing_id()).join(gone.hint("shuffle_hash"), F.col("__uid") == F.col("__of"), "left")  # no sort of texts
     joined = joined.withColumn("__n", F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))), F.lit(0)).cast("long"))
     joined = joined.withColumn("__n", F.greatest("__n", F.lit(0))).withColumn("__m", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"))
 
