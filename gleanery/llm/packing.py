@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import stash
-from gleanery.llm.subwords import Subwords, default_tokenizer
+from gleanery.llm.subwords import Subwords, default_tokenizer, loaded
 
 CAPACITY = 4096
 #: A sequence with more padding than this is cut into sequences of powers of two, which need none.
@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, end: int, text: str)
     """(uid, doc_id, start, length, ids_crc32, doc_tokens): full windows of each document, then its rest. Streams over documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = Subwords(tokenizer)
+        subwords = loaded(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
             for uid, doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
@@ -171,7 +171,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, max_padding: int = MAX_PADDI
     placed = stash(placed, "packing-placed")
 
     def crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = Subwords(tokenizer)
+        subwords = loaded(tokenizer)
         for batch in batches:
             rows = []
             for data, row_cuts in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), strict=True):
@@ -180,6 +180,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, max_padding: int = MAX_PADDI
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     again = placed.where("whole = 0").groupBy("uid").agg(F.collect_list(F.struct("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "whole", "uid")).alias("cuts")).withColumnRenamed("uid", "of")  # a document's own cuts
+    again = stash(again, "packing-cuts")  # its size is known then: few documents, as a rule, to be broadcast
     texts = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(text).alias("text")).join(again, F.col("uid") == F.col("of")).select("text", "cuts")
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     return placed.where("whole = 1").select(*columns).unionAll(texts.mapInArrow(crcs, ", ".join(f"{x} long" for x in names)).select(*columns))

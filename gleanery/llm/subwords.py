@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import struct
 
-#: Words whose ids a worker keeps; beyond that it starts anew.
-CACHED = 300_000
+#: Words, and parts of words, whose ids a worker keeps. The first ones to come stay: frequent words come early.
+CACHED = 600_000
+_loaded: dict[str, "Subwords"] = {}
 
 
 def default_tokenizer() -> str:
@@ -14,10 +16,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def loaded(path: str) -> "Subwords":
+    """The worker's own instance, kept between tasks."""
+    if path not in _loaded:
+        _loaded[path] = Subwords(path)
+    return _loaded[path]
+
+
 class Subwords:
     """Ids of a vocabulary that drops white space, so that a text's ids are its words' ids in turn.
 
-    The vocabulary's own splitting never joins characters across blanks; the tests hold the result against encoding whole texts.
+    The vocabulary's own splitting never joins characters across blanks; the tests hold the result against encoding whole
+    texts. Ids come as bytes: little-endian, 16 bits each.
     """
 
     def __init__(self, path: str):
@@ -27,21 +37,42 @@ class Subwords:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
-        self.cache: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
 
-    def of_words(self, words: list[bytes]) -> bytes:
-        """Little-endian 16-bit ids."""
+    def of_each(self, words: list[bytes]) -> list[bytes]:
         try:
-            return b"".join(map(self.cache.__getitem__, words))
+            return list(map(self.words.__getitem__, words))
         except KeyError:
-            if len(self.cache) > CACHED:
-                self.cache.clear()
-            self.learn({w for w in words if w not in self.cache})
-            return b"".join(map(self.cache.__getitem__, words))
+            known = self.words
+            more = self._learn({w for w in words if w not in known})
+            return [known[w] if w in known else more[w] for w in words]
 
-    def learn(self, words: set[bytes]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-            self.cache[word] = b"".join([i.to_bytes(2, "little") for i in found.ids])
+    def of_words(self, words: list[bytes]) -> bytes:
+        return b"".join(self.of_each(words))
 
     def of_text(self, text: bytes) -> bytes:
         return self.of_words(text.split())
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of new words, kept while there is room. A word is its lower-case stem and one mark after it, if it ends with a
+        letter or digit before that mark: the vocabulary splits there, and ignores case."""
+        parts = {w: self._parts(w) for w in words}
+        stems = self.stems
+        new = [*{p for ps in parts.values() for p in ps if p not in stems}]
+        made = {}
+        for part, found in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
+            made[part] = struct.pack(f"<{len(ids := found.ids)}H", *ids)
+        if len(stems) < CACHED:
+            stems.update(made)
+        out = {w: b"".join([stems[p] if p in stems else made[p] for p in ps]) for w, ps in parts.items()}
+        if len(self.words) < CACHED:
+            self.words.update(out)
+        return out
+
+    @staticmethod
+    def _parts(word: bytes) -> tuple[bytes, ...]:
+        if b"<|" in word:  # may be a special token, whose case counts
+            return (word,)
+        low = word.lower()
+        return (low[:-1], low[-1:]) if len(low) > 1 and low[-1] in b".,!?;:|" and low[-2:-1].isalnum() else (low,)
