@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import attention_lm, line_dedup, mixing, outliers, packing, quality_knn, scaled_sketch, secrets, simhash
+from gleanery.llm import attention_lm, line_dedup, mixing, outliers, packing, quality_knn, scaled_sketch, secrets, simhash, substring_dedup
 from gleanery.llm.common import documents
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(documents(spark, sf_dir)).drop("uid")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -49,7 +53,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_quality, op4_secret_scan, op5_quality_rules, op6_line_dedup, op7_lm_scores, op8_fingerprints, op9_mixing, op10_simhash)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_quality, op4_secret_scan, op5_quality_rules, op6_line_dedup, op7_lm_scores, op8_fingerprints, op9_mixing, op10_simhash)}
 
 
 #: Words are counted as pieces between runs of the six blanks; windows of two lines stand for all longer runs.
