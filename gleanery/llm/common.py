@@ -36,13 +36,18 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 
 def unstash(spark: SparkSession, *names: str) -> None:
-    """Delete what stash() wrote under these names (all names when none is given); only for tables nothing reads any more."""
-    for name in names or list(_written):
+    """Delete what stash() wrote under these names; only for tables nothing reads any more."""
+    for name in names:
         for path in _written.pop(name, []):
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession, prefix: str) -> None:
+    """Delete the tables of one operator, by the prefix of their names, once its result has been written elsewhere."""
+    unstash(spark, *[name for name in _written if name.startswith(f"{prefix}-")])
+
+
 def with_uid(docs: DataFrame) -> DataFrame:
     """docs with a row id `uid`, so that repeated doc_ids stay apart.
 
