@@ -57,8 +57,8 @@ def fill_window(lengths: list[tuple[int, int]], room: int) -> dict[int, int]:
 def minimum_bin_slack(histogram: dict[int, int], capacity: int) -> list[Pattern]:
     """Patterns that use up the multiset of lengths: the longest one left, and the pieces that fill its window best.
 
-    A pattern is used as often as the counts allow, so each uses up some length: at most one pattern per length and as many
-    steps for a large corpus as for a small one.
+    A pattern is used as often as the counts allow, so each leaves of some length fewer pieces than it takes: about one pattern
+    per length, for a large corpus as for a small one.
     """
     left, found = dict(histogram), []
     order = sorted(left, reverse=True)
