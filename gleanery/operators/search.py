@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import paths
 from gleanery.functions import text as T
+from gleanery.operators.sizes import if_small
 
 # The ranking constants.
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """(key, term, tf, dl) of documents (key, text). Terms are counted inside each row, so nothing is shuffled."""
+def postings(docs: DataFrame, key: str = "chunk_id", wanted: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf, dl) of documents (key, text), of all terms or those wanted (term), which are chosen before the shuffle."""
     words = docs.select(key, T.tokens("text").alias("words"))
-    return words.select(key, F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    long = words.select(key, F.size("words").alias("dl"), F.explode("words").alias("term"))
+    if wanted is not None:
+        long = long.join(wanted, "term", "left_semi")
+    return long.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def stats(docs: DataFrame) -> DataFrame:
@@ -51,8 +55,8 @@ def bm25(docs: DataFrame, queries: DataFrame, top_k: int | Column, key: str = "c
     and start line; `rank` is at most top_k. docs: key, path, start_line, end_line, text.
     """
     terms = query_terms(queries)
-    wanted = F.broadcast(terms.select("term").distinct()) if index is None else terms.select("term").distinct()
-    found = (postings(docs, key) if index is None else index).join(wanted, "term", "left_semi")
+    wanted = if_small(terms.select("term").distinct())
+    found = postings(docs, key, wanted) if index is None else index.join(wanted, "term", "left_semi")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     weighted = found.join(df, "term").crossJoin(F.broadcast(stats(docs)))
     weighted = weighted.select(key, "term", (idf(F.col("n"), F.col("df")) * weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("w"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.operators.sizes import SMALL_ROWS
+
 
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
@@ -24,14 +28,19 @@ def cosine(a: str, b: str, norm_a: Column | None = None, norm_b: Column | None =
 def nearest(vectors: DataFrame, queries: DataFrame, top_k: int, tie: list[str] | None = None) -> DataFrame:
     """vectors' columns but the vector, with query_id, score and rank: the top_k most similar rows (vector) of each query (query_id, query_vector).
 
-    Queries are a stated, bounded set and are sent to all; every vector is scored where it lies. Norms are computed once a
-    vector, and only each task's best rows of a query are shuffled.
+    Queries are a stated set: if they are few (sizes.if_small), they are sent to all and every vector is scored where it lies;
+    more of them are split in parts of that size, one after the other. Norms are computed once a vector, and only each task's
+    best rows of a query are shuffled.
     """
     rest = [c for c in vectors.columns if c != "vector"]
     tie = tie or rest
     wide = vectors.withColumn("norm", norm("vector"))
-    narrow = F.broadcast(queries.select("query_id", "query_vector").withColumn("query_norm", norm("query_vector")))
-    scored = wide.join(narrow).select("query_id", *rest, cosine("vector", "query_vector", F.col("norm"), F.col("query_norm")).alias("score"))
+    asked = queries.select("query_id", "query_vector").withColumn("query_norm", norm("query_vector"))
+    groups = -(-asked.count() // SMALL_ROWS)
+    if groups > 1:
+        parts = [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g) for g in range(groups)]
+        return reduce(DataFrame.unionByName, [nearest(vectors, p, top_k, tie) for p in parts])
+    scored = wide.join(F.broadcast(asked)).select("query_id", *rest, cosine("vector", "query_vector", F.col("norm"), F.col("query_norm")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), *tie)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
