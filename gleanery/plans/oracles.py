@@ -56,10 +56,14 @@ NEAR = """asked AS (SELECT vec_id AS query_id, v AS q FROM vectors WHERE vec_id
 MASK = r"""(//|#)[^\n]*|/\*(?s:.*?)(\*/|\z)|'''(?s:.*?)('''|\z)|\"\"\"(?s:.*?)(\"\"\"|\z)|'([^'\\]|\\(?s:.))*('|\\?\z)|"([^"\\]|\\(?s:.))*("|\\?\z)|`([^`\\]|\\(?s:.))*(`|\\?\z)""".replace('\\"', '"')
 MASK_SQL = MASK.replace("'", "''")
 #: Pieces of text between matches, and the matches, interleaved.
-MASKED = f"""masked AS (SELECT url AS path, html AS text,
+def masked(text: str = "html") -> str:
+    return f"""masked AS (SELECT url AS path, html AS text,
   (SELECT string_agg(coalesce(c, '') || coalesce(regexp_replace(h, '[^\\n]', ' ', 'g'), ''), '' ORDER BY i) FROM (
     SELECT unnest(range(1, len(code) + 1)) AS i, unnest(code) AS c, unnest(list_resize(hidden, len(code))) AS h)) AS masked
-  FROM (SELECT url, html, regexp_split_to_array(html, '{MASK_SQL}') AS code, regexp_extract_all(html, '{MASK_SQL}') AS hidden FROM pages))"""
+  FROM (SELECT url, html, regexp_split_to_array(html, '{MASK_SQL}') AS code, regexp_extract_all(html, '{MASK_SQL}') AS hidden FROM (SELECT url, {text} AS html FROM pages)))"""
+
+
+MASKED = masked()
 STEPS = """steps AS (SELECT path, ln, k, brace, CASE brace WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END AS value
   FROM (SELECT path, ln, unnest(range(1, len(bs) + 1)) AS k, unnest(bs) AS brace FROM (SELECT path, ln, CASE WHEN len(regexp_extract_all(line, '[{}]')) = 0 THEN [''] ELSE regexp_extract_all(line, '[{}]') END AS bs FROM mlines))),
 run AS (SELECT *, sum(value) OVER w AS s FROM steps WINDOW w AS (PARTITION BY path ORDER BY ln, k ROWS UNBOUNDED PRECEDING)),
@@ -153,7 +157,7 @@ hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
     "identifier_tokens": f"WITH {MASKED}, {MLINES} SELECT token, count(*) AS n, count(DISTINCT path) AS paths, max(ln) AS last_line FROM (SELECT path, ln, unnest(regexp_extract_all(line, '[A-Za-z_$][A-Za-z0-9_$]*')) AS token FROM mlines) GROUP BY token",
     "brace_depth": f"WITH {MASKED}, {MLINES}, {STEPS}, ends AS (SELECT path, ln, arg_max(s - low, k) AS after FROM low GROUP BY ALL) SELECT path, ln AS line, CAST(lag(after, 1, 0) OVER (PARTITION BY path ORDER BY ln) AS BIGINT) AS depth FROM ends",
     "brace_blocks": f"WITH {MASKED}, {MLINES}, {STEPS}, braces AS (SELECT *, lag(low, 1, 0) OVER (PARTITION BY path ORDER BY ln, k) AS before FROM low), kept AS (SELECT *, s - low + CASE WHEN value = 1 THEN 0 ELSE 1 END AS depth FROM braces WHERE value = 1 OR (value = -1 AND low = before)), pairs AS (SELECT *, lead(ln) OVER (PARTITION BY path, depth ORDER BY ln, k) AS e FROM kept) SELECT path, ln AS start_line, e AS end_line, CAST(depth AS BIGINT) AS depth FROM pairs WHERE value = 1 AND e IS NOT NULL",
-    "lexical_refs": rf"""WITH {MASKED}, {MLINES}, {OLINES}, asked AS (SELECT unnest(['track', 'window.track', 'document', 'push']) AS symbol, unnest(['track', 'track', 'document', 'push']) AS short, unnest([NULL, 'window\s*([.]|::)\s*track', NULL, NULL]) AS seq),
+    "lexical_refs": rf"""WITH {masked("replace(replace(html, ';', ';' || chr(10)), '><', '>' || chr(10) || '<')")}, {MLINES}, {OLINES}, asked AS (SELECT unnest(['track', 'window.track', 'document', 'push']) AS symbol, unnest(['track', 'track', 'document', 'push']) AS short, unnest([NULL, 'window\s*([.]|::)\s*track', NULL, NULL]) AS seq),
 lines_ AS (SELECT path, ln, m.line AS masked, o.line AS original FROM mlines m JOIN olines o USING (path, ln)), met AS (SELECT *, regexp_matches(masked, '(^|[^A-Za-z0-9_$])' || short || '($|[^A-Za-z0-9_$])') AS alone,
   regexp_matches(masked, short || '\s*\(') AS called, regexp_matches(masked, '\bnew\s+' || short || '\b') AS created, regexp_matches(masked, '\b(import|from|using|use|require|include)\b') AS imports,
   regexp_matches(masked, '\b(extends|implements|inherits|:\s*public|:\s*private)\b') AS inherits, regexp_matches(masked, '\b(class|struct|interface|enum|record|trait|type|namespace|package|module|impl|func|fn|def)\b') AS declares,

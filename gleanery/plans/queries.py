@@ -294,7 +294,8 @@ def brace_blocks(spark, sf):
 @query
 def lexical_refs(spark, sf):
     symbols = spark.createDataFrame([("track",), ("window.track",), ("document",), ("push",)], "symbol string")
-    found = references.lexical_references(_pages(spark, sf), symbols)
+    rows = _pages(spark, sf).withColumn("text", F.expr("replace(replace(text, ';', ';\n'), '><', '>\n<')"))  # a statement or tag a line
+    found = references.lexical_references(rows, symbols)
     return found.select("symbol", "path", _long("line").alias("line"), "kind", "evidence", "confidence")
 
 
