@@ -104,24 +104,30 @@ class Engine:
         return outline.outline(self.corpus(path), self.settings.python_enabled)
 
     def refresh(self, force: bool = False) -> dict:
-        """Rewrites the index: hashes of unchanged files are kept, and only new and changed files are chunked again."""
+        """Rewrites the index. Files of the same size and time keep their records, chunks and postings; only others are opened, hashed and chunked."""
         old_files = old_chunks = None
         if not force or self.store.status() == "ready":
             old_files, old_chunks = self.store.read("files"), self.store.read("chunks")
         chosen = discovery.selected(self.candidates(), self.settings.include_extensions, self.settings.exclude_globs)
-        files = self._with_content(chosen)
-        records = discovery.file_records(files, None if force else old_files)
-        empty = self.spark.createDataFrame([], records.schema)
-        changes = discovery.delta(old_files if old_files is not None else empty, records, force)
         if force or old_chunks is None:
-            fresh = files.join(records.select("path"), "path", "left_semi")
-            chunks = chunking.chunks(fresh.select("path", sources.decoded().alias("text")))
-        else:
-            changed = changes.where(F.col("change").isin("added", "updated")).select("path")
-            stay = changes.where("change = 'unchanged'").select("path")
-            new = chunking.chunks(files.join(changed, "path", "left_semi").select("path", sources.decoded().alias("text")))
-            chunks = old_chunks.join(stay, "path", "left_semi").unionByName(new)
-        tables = {"files": records, "chunks": chunks, "changes": changes}
+            old_files = old_files if old_files is not None else self.spark.createDataFrame([], sources.RECORD)
+            files = self._with_content(chosen)
+            records, stay = discovery.file_records(files), None
+        else:  # only files of another size or time are opened
+            key = ["path", "size", "mtime_ns"]
+            same = old_files.join(chosen.select(*key), key, "left_semi") if self.root else discovery.file_records(chosen).join(old_files, discovery.RECORD, "left_semi")
+            files = self._with_content(chosen.join(same.select("path"), "path", "left_anti"))
+            records, stay = same.select(*discovery.RECORD).unionByName(discovery.file_records(files)), same.select("path")
+        changes = discovery.delta(old_files, records, force)
+        fresh = files.where(~discovery.is_binary("content")).select("path", sources.decoded().alias("text"))
+        chunks = chunking.chunks(fresh).withColumn("dl", F.size(T.tokens("text")))
+        postings = search.postings(chunks)
+        if stay is not None:
+            kept = old_chunks.join(stay, "path", "left_semi")
+            old_postings = self.store.read("postings").join(kept.select("chunk_id"), "chunk_id", "left_semi")
+            chunks, postings = kept.unionByName(chunks), old_postings.unionByName(postings.select("chunk_id", "term", "tf", "dl"))
+        postings = postings.select("chunk_id", "term", "tf", "dl").repartitionByRange("term").sortWithinPartitions("term")  # a query's terms then touch few row groups
+        tables = {"files": records, "chunks": chunks, "postings": postings, "changes": changes}
         manifest = self.store.write(tables)
         counts = {r["change"]: r["n"] for r in self.store.read("changes").groupBy("change").agg(F.count("*").alias("n")).collect()}
         return {"added": counts.get("added", 0), "updated": counts.get("updated", 0), "removed": counts.get("removed", 0), "timestamp": manifest["last_refresh_timestamp"]}
@@ -131,7 +137,10 @@ class Engine:
         if stored is None:
             raise EngineError("There is no index.", "Refresh first.")
         docs = search.filtered(stored, file_glob, path_prefix)
-        words = None if mode == "semantic" else search.bm25(docs, queries, top_k)
+        index = self.store.read("postings")
+        if file_glob or path_prefix:
+            index = index.join(docs.select("chunk_id"), "chunk_id", "left_semi")
+        words = None if mode == "semantic" else search.bm25(docs, queries, top_k, index=index)
         if mode == "bm25":
             return words
         if self.embed is None:

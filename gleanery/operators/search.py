@@ -11,6 +11,8 @@ from gleanery.operators.sizes import if_small
 
 # The ranking constants.
 K1, B = 1.2, 0.75
+#: So many terms are looked up in a stored index by a pushed filter; more are joined.
+FEW_TERMS = 500
 
 
 def postings(docs: DataFrame, key: str = "chunk_id", wanted: DataFrame | None = None) -> DataFrame:
@@ -23,8 +25,9 @@ def postings(docs: DataFrame, key: str = "chunk_id", wanted: DataFrame | None =
 
 
 def stats(docs: DataFrame) -> DataFrame:
-    """One row: n documents, avgdl."""
-    return docs.select(F.size(T.tokens("text")).alias("dl")).agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
+    """One row: n documents, avgdl. A stored length, dl, saves tokenizing."""
+    length = F.col("dl") if "dl" in docs.columns else F.size(T.tokens("text"))
+    return docs.select(length.alias("dl")).agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
 
 
 def filtered(docs: DataFrame, file_glob: str | None = None, path_prefix: str | None = None) -> DataFrame:
@@ -52,11 +55,15 @@ def bm25(docs: DataFrame, queries: DataFrame, top_k: int | Column, key: str = "c
 
     Only the queries' terms are kept: a posting's text is tokenized once, and postings without a wanted term go before the
     shuffle by (query, document). Scores add up in the order of terms, so they don't depend on partitioning. Ties go by path
-    and start line; `rank` is at most top_k. docs: key, path, start_line, end_line, text.
+    and start line; `rank` is at most top_k. docs: key, path, start_line, end_line, text; index: stored postings of these docs.
     """
     terms = query_terms(queries)
-    wanted = if_small(terms.select("term").distinct())
-    found = postings(docs, key, wanted) if index is None else index.join(wanted, "term", "left_semi")
+    wanted = terms.select("term").distinct()
+    if index is None:
+        found = postings(docs, key, if_small(wanted))
+    else:
+        few = [r["term"] for r in wanted.limit(FEW_TERMS + 1).collect()]
+        found = index.where(F.col("term").isin(few)) if len(few) <= FEW_TERMS else index.join(if_small(wanted), "term", "left_semi")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     weighted = found.join(df, "term").crossJoin(F.broadcast(stats(docs)))
     weighted = weighted.select(key, "term", (idf(F.col("n"), F.col("df")) * weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("w"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CANDIDATES = "path string, size long, mtime_ns long"
+RECORD = f"{CANDIDATES}, content_hash string"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
