@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import stash
-from gleanery.llm.subwords import Subwords, default_tokenizer, loaded
+from gleanery.llm.subwords import bodies, default_tokenizer, in_groups, loaded, lowered
 
 CAPACITY = 4096
 #: A sequence with more padding than this is cut into sequences of powers of two, which need none.
@@ -105,10 +105,6 @@ def _crc(ids: bytes) -> int:
     return zlib.crc32(np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes())
 
 
-def _document_ids(subwords: Subwords, text: pa.Scalar, end: int) -> bytes:
-    return (subwords.of_text(text.as_buffer().to_pybytes()) if text.is_valid else b"") + end.to_bytes(2, "little")
-
-
 def pieces(docs: DataFrame, capacity: int, tokenizer: str, end: int, text: str) -> DataFrame:
     """(uid, doc_id, start, length, ids_crc32, doc_tokens): full windows of each document, then its rest. Streams over documents."""
 
@@ -116,13 +112,15 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, end: int, text: str)
         subwords = loaded(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
-            for uid, doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
-                ids = _document_ids(subwords, data, end)
-                n = len(ids) // 2
-                rows += [(uid, doc_id, at, min(capacity, n - at), _crc(ids[2 * at : 2 * (at + capacity)]), n) for at in range(0, n, capacity)]
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
+            uids, doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), bodies(batch.column(2))
+            for a, b in in_groups(texts):
+                for i, ids in zip(range(a, b), subwords.of_texts([lowered(t).split() for t in texts[a:b]]), strict=True):
+                    ids += last
+                    n = len(ids) // 2
+                    rows += [(uids[i], doc_ids[i], at, min(capacity, n - at), _crc(ids[2 * at : 2 * (at + capacity)]), n) for at in range(0, n, capacity)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(names), schema=schema)
 
-    names = ["uid", "doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    names, last = ["uid", "doc_id", "start", "length", "ids_crc32", "doc_tokens"], end.to_bytes(2, "little")
     schema = pa.schema([(x, pa.int64()) for x in names])
     return docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
@@ -174,8 +172,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, max_padding: int = MAX_PADDI
         subwords = loaded(tokenizer)
         for batch in batches:
             rows = []
-            for data, row_cuts in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), strict=True):
-                ids = _document_ids(subwords, data, end)
+            for body, row_cuts in zip(bodies(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                ids = subwords.of_text(body) + end.to_bytes(2, "little")
                 rows += [{**c, "ids_crc32": _crc(ids[2 * c["start"] : 2 * (c["start"] + c["length"])])} for c in row_cuts]
             yield pa.RecordBatch.from_pylist(rows, schema)
 

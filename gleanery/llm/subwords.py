@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import os
 import struct
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 
 #: Words, and parts of words, whose ids a worker keeps. The first ones to come stay: frequent words come early.
-CACHED = 600_000
+CACHED, STEMS = 800_000, 400_000
 _loaded: dict[str, "Subwords"] = {}
 
 
@@ -23,6 +27,28 @@ def loaded(path: str) -> "Subwords":
     return _loaded[path]
 
 
+def bodies(column: pa.Array) -> list[bytes]:
+    """Texts as bytes; null is empty."""
+    return [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in column.cast(pa.binary())]
+
+
+def lowered(text: bytes) -> bytes:
+    """The vocabulary ignores case, but for its special tokens' names."""
+    return text if b"<|" in text else text.lower()
+
+
+def in_groups(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Successive ranges of texts of about `size` bytes, at least one text each."""
+    start = total = 0
+    for i, t in enumerate(texts):
+        total += len(t)
+        if total >= size:
+            yield start, i + 1
+            start, total = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 class Subwords:
     """Ids of a vocabulary that drops white space, so that a text's ids are its words' ids in turn.
 
@@ -37,39 +63,54 @@ class Subwords:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
+        self.ends = np.zeros(1 << 16, dtype=bool)
+        self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
 
-    def of_each(self, words: list[bytes]) -> list[bytes]:
-        try:
-            return list(map(self.words.__getitem__, words))
-        except KeyError:
-            known = self.words
-            more = self._learn({w for w in words if w not in known})
-            return [known[w] if w in known else more[w] for w in words]
-
-    def of_words(self, words: list[bytes]) -> bytes:
-        return b"".join(self.of_each(words))
+    def of_texts(self, texts: list[list[bytes]]) -> list[bytes]:
+        """Ids of each text, given as its words."""
+        known = self.words
+        new = set().union(*texts).difference(known)
+        room = CACHED - len(known)
+        if new:
+            known.update(self.learned(new))
+        out = [b"".join(map(known.__getitem__, words)) for words in texts]
+        if len(new) > room:  # what doesn't fit goes again
+            for w in list(new)[max(0, room) :]:
+                del known[w]
+        return out
 
     def of_text(self, text: bytes) -> bytes:
-        return self.of_words(text.split())
+        return self.of_texts([text.split()])[0]
 
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of new words, kept while there is room. A word is its lower-case stem and one mark after it, if it ends with a
-        letter or digit before that mark: the vocabulary splits there, and ignores case."""
+    def learned(self, words: Iterable[bytes], keep: bool = True) -> dict[bytes, bytes]:
+        """Ids of new words, in their order; keep: remember stems for later words. A word is its lower-case stem and one mark after it, if it ends with a letter or digit before that
+        mark: the vocabulary splits there, and ignores case."""
         parts = {w: self._parts(w) for w in words}
         stems = self.stems
-        new = [*{p for ps in parts.values() for p in ps if p not in stems}]
-        made = {}
-        for part, found in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
-            made[part] = struct.pack(f"<{len(ids := found.ids)}H", *ids)
-        if len(stems) < CACHED:
-            stems.update(made)
+        new = [p.decode() for p in {p for ps in parts.values() for p in ps}.difference(stems)]
+        plain = [p for p in new if p.isalpha() and max(p) < "\u0180" and p.lower().isalpha()]
+        made = self._plain_words(plain)
+        others = [p for p in new if p.encode() not in made]
+        for part, found in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            made[part.encode()] = struct.pack(f"<{len(ids := found.ids)}H", *ids)
         out = {w: b"".join([stems[p] if p in stems else made[p] for p in ps]) for w, ps in parts.items()}
-        if len(self.words) < CACHED:
-            self.words.update(out)
+        if keep and len(stems) < STEMS:
+            stems.update(made)
         return out
 
+    def _plain_words(self, words: list[str]) -> dict[bytes, bytes]:
+        """Words of letters alone, encoded as one text: each ends with the first id that ends a word."""
+        if not words:
+            return {}
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u2")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("the vocabulary doesn't mark the ends of words")
+        data, bounds = ids.tobytes(), [0, *(2 * ends).tolist()]
+        return {w.encode(): data[a:b] for w, a, b in zip(words, bounds, bounds[1:], strict=False)}
+
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, ...]:
         if b"<|" in word:  # may be a special token, whose case counts
