@@ -15,7 +15,7 @@ from gleanery.functions import paths
 from gleanery.functions import text as T
 from gleanery.operators import audit, chunking, discovery, fusion, outline, references, search, semantic
 from gleanery.operators.languages import FALLBACK, SUFFIXES
-from gleanery.plans import bundle
+from gleanery.plans import bundle, documents
 from gleanery.plans.store import Store, now
 from gleanery.sources import corpus as sources
 
@@ -44,13 +44,13 @@ class Engine:
 
     # -- corpus
 
-    def candidates(self) -> DataFrame:
-        """All files: path, size, mtime_ns and, for tables, content."""
+    def candidates(self, pruned: bool = False) -> DataFrame:
+        """All files: path, size, mtime_ns and, for tables, content. pruned: without directories that a pattern excludes whole, which are not entered."""
         if self.table is not None:
             content = F.col("text").cast("binary")
             return self.table.where("path is not null and text is not null").select("path", F.octet_length("text").cast("long").alias("size"), F.lit(0).cast("long").alias("mtime_ns"), content.alias("content"))
         own = self.data_dir.rstrip("/") + "/"
-        found = sources.list_directory(self.spark, self.root)
+        found = sources.list_directory(self.spark, self.root, paths.whole_directories(self.settings.exclude_globs) if pruned else ())
         return found.where(~F.concat(F.lit(self.root.rstrip("/") + "/"), "path").startswith(own))
 
     def _with_content(self, rows: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ class Engine:
 
     def corpus(self, path: str | None = None) -> DataFrame:
         """(path, text) of what may be read: selected by suffix and patterns, not denied, not too large, not binary. A single path is checked and raises instead."""
-        rows = self.candidates()
+        rows = self.candidates(pruned=path is None)
         if path is not None:
             path = paths.resolve(path)
             rows = rows.where(F.col("path") == path)
@@ -108,7 +108,7 @@ class Engine:
         old_files = old_chunks = None
         if not force or self.store.status() == "ready":
             old_files, old_chunks = self.store.read("files"), self.store.read("chunks")
-        chosen = discovery.selected(self.candidates(), self.settings.include_extensions, self.settings.exclude_globs)
+        chosen = discovery.selected(self.candidates(pruned=True), self.settings.include_extensions, self.settings.exclude_globs)
         if force or old_chunks is None:
             old_files = old_files if old_files is not None else self.spark.createDataFrame([], sources.RECORD)
             files = self._with_content(chosen)
@@ -183,7 +183,7 @@ class Engine:
         return outline.definitions(self.outline(path), self._symbols(symbols), limit).orderBy("symbol", "rank")
 
     def bundle(self, prompts: str | list[str], max_files: int, max_total_lines: int, include_tests: bool = False, mode: str = "bm25") -> dict[str, DataFrame]:
-        """selections, totals, ranking, notes, ids: one row set per prompt_id."""
+        """documents (JSON), and their parts: selections, totals, ranking, notes, ids, by prompt_id. documents.export writes files."""
         _whole("max_files", max_files), _whole("max_total_lines", max_total_lines)
         names = [prompts] if isinstance(prompts, str) else prompts
         if not names or not all(isinstance(x, str) and x.strip() for x in names):
@@ -200,7 +200,9 @@ class Engine:
         budgets = asked.select("prompt_id", F.lit(max_files).alias("max_files"), F.lit(max_total_lines).alias("max_total_lines"))
         judged = bundle.verdicts(ranked, budgets)
         selections, sums = bundle.explained(judged, corpus), bundle.totals(judged)
-        return {"selections": selections, "totals": sums, "ranking": judged.where(F.col("rank_position") <= bundle.TOP), "notes": bundle.notes(judged), "ids": bundle.bundle_ids(asked, sums, selections)}
+        kept = hits if include_tests else hits.where(~paths.test_path("path"))
+        whole = documents.documents(asked, budgets, queries, kept, judged, selections, mode)
+        return {"documents": whole, "selections": selections, "totals": sums, "ranking": judged.where(F.col("rank_position") <= bundle.TOP), "notes": bundle.notes(judged), "ids": bundle.bundle_ids(asked, sums, selections)}
 
     # -- audit
 

@@ -54,6 +54,11 @@ def excluded(path: str | Column, globs: tuple[str, ...]) -> Column:
     return col(path).rlike(f"(?s)^(?:{either})\\z") | F.concat(F.lit("/"), col(path)).rlike(f"(?s)^(?:{either})\\z")
 
 
+def whole_directories(globs: tuple[str, ...]) -> tuple[str, ...]:
+    """Names of directories that patterns like **/name/** exclude with all below."""
+    return tuple(m[1] for g in globs if (m := re.fullmatch(r"\*\*/([^/*?\[\]]+)/\*\*", g)))
+
+
 def suffix(path: str | Column) -> Column:
     """The last suffix in lower case; names that only begin with a dot have none."""
     return F.lower(F.regexp_extract(col(path), r"[^/.][^/]*(\.[^./]+)$", 1))

@@ -11,7 +11,7 @@ from gleanery.config import EXCLUDE_GLOBS, INCLUDE_EXTENSIONS
 from gleanery.functions import paths
 from gleanery.functions import text as T
 from gleanery.operators import audit, chunking, discovery, fusion, lexical, outline, references, search, semantic
-from gleanery.plans import bundle, samples
+from gleanery.plans import bundle, documents, samples
 from gleanery.sources.corpus import document_path, documents_corpus, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -433,10 +433,10 @@ def bundle_notes(spark, sf):
 def bundle_documents(spark, sf):
     """Whole bundles as JSON."""
     prompts, judged = _prompts(spark, sf), _judged(spark, sf)
-    selections, sums = bundle.explained(judged, documents_corpus(spark, sf)), bundle.totals(judged)
-    ids = bundle.bundle_ids(prompts, sums, selections)
-    listed = selections.groupBy("prompt_id").agg(F.array_sort(F.collect_list(F.struct("selection_index", "path", "start_line", "end_line", "excerpt", "rationale", "why_selected"))).alias("selections"))
-    return ids.join(sums, "prompt_id", "left").join(listed, "prompt_id", "left").select("prompt_id", "bundle_id", F.to_json(F.struct("prompt_fingerprint", "selected_files", "selected_lines", "truncated", "selections")).alias("document"))
+    budgets = prompts.select("prompt_id", F.lit(3).alias("max_files"), F.lit(12).alias("max_total_lines"))
+    selections = bundle.explained(judged, documents_corpus(spark, sf))
+    hits = _hits(spark, sf).where(~paths.test_path("path"))
+    return documents.documents(prompts, budgets, bundle.queries(prompts, 20), hits, judged, selections, "bm25")
 
 
 # -- audit and measures

@@ -10,7 +10,7 @@ from gleanery.config import Limits, Settings
 from gleanery.engine import Engine
 from gleanery.errors import EngineError, InvalidArgument, PathBlocked, PolicyBlocked, SchemaUnsupported
 from gleanery.operators import audit
-from gleanery.plans import samples
+from gleanery.plans import documents, samples
 from gleanery.plans.store import MANIFEST
 from gleanery.streaming import streams
 
@@ -105,6 +105,14 @@ def test_bundle(engine):
     assert chosen[0].path == "app/store.py" and not any(r.path.startswith("tests/") for r in chosen)
     sums = out["totals"].first()
     assert sums.selected_files <= 2 and sums.selected_lines <= 30
+    made = json.loads(out["documents"].first().document)
+    assert made["selections"][0]["path"] == "app/store.py" and made["citations"][0]["selection_index"] == 0 and made["strategy"] == "bm25"
+    assert made["audit"]["search_queries"] == ["store load rows", "store", "load", "rows"] and made["audit"]["dedupe_counts"]["before"] >= made["audit"]["dedupe_counts"]["after"]
+    assert set(made["audit"]["selection_debug"]["why_not_selected_summary"]["reason_counts"]) == {"file_budget", "line_budget", "zero_lines", "other"}
+    folder = f"{engine.data_dir}/bundle"
+    assert documents.export(out["documents"].first().document, folder) == []
+    assert json.load(open(f"{folder}/last_bundle.json")) == made and "### Selection 1\n- path: `app/store.py`" in open(f"{folder}/last_bundle.md").read()
+    assert len(documents.export(out["documents"].first().document, "/proc/none")) == 2
     assert out["ids"].first().bundle_id == engine.bundle("store load rows", 2, 30)["ids"].first().bundle_id
 
 
