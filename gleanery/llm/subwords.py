@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Words, and parts of words, whose ids a worker keeps. The first ones to come stay: frequent words come early.
-CACHED, STEMS = 800_000, 400_000
+CACHED, STEMS = 750_000, 250_000
 _loaded: dict[str, "Subwords"] = {}
 
 
@@ -49,6 +49,11 @@ def in_groups(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, in
         yield start, len(texts)
 
 
+def _plain(part: str) -> bool:
+    """Letters alone, and such as stay letters when normalized and lower-cased."""
+    return part.isalpha() and max(part) < "\u0180" and part.lower().isalpha()
+
+
 class Subwords:
     """Ids of a vocabulary that drops white space, so that a text's ids are its words' ids in turn.
 
@@ -90,7 +95,7 @@ class Subwords:
         parts = {w: self._parts(w) for w in words}
         stems = self.stems
         new = [p.decode() for p in {p for ps in parts.values() for p in ps}.difference(stems)]
-        plain = [p for p in new if p.isalpha() and max(p) < "\u0180" and p.lower().isalpha()]
+        plain = [p for p in new if _plain(p)]
         made = self._plain_words(plain)
         others = [p for p in new if p.encode() not in made]
         for part, found in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
@@ -100,14 +105,32 @@ class Subwords:
             stems.update(made)
         return out
 
-    def _plain_words(self, words: list[str]) -> dict[bytes, bytes]:
-        """Words of letters alone, encoded as one text: each ends with the first id that ends a word."""
+    def counted(self, words: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, lengths, times): ids of distinct stems and marks, how many each has, and how often it occurs in words (word -> times)."""
+        times: dict[str, float] = {}
+        for word, n in words.items():
+            for part in self._parts(word):
+                part = part.decode()
+                times[part] = times.get(part, 0.0) + n
+        plain = [p for p in times if _plain(p)]
+        others = [p for p in times if not _plain(p)]
+        ids, ends = self._plain_ids(plain)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        lengths = np.concatenate([np.diff(ends, prepend=0), np.array([len(f) for f in found], dtype=np.int64)])
+        return np.concatenate([ids, *(np.array(f, dtype="<u2") for f in found)]), lengths, np.array([times[p] for p in (*plain, *others)])
+
+    def _plain_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters alone, encoded as one text: ids, and where each word ends, which is after an id that ends a word."""
         if not words:
-            return {}
+            return np.zeros(0, dtype="<u2"), np.zeros(0, dtype=np.int64)
         ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u2")
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words):
             raise ValueError("the vocabulary doesn't mark the ends of words")
+        return ids, ends
+
+    def _plain_words(self, words: list[str]) -> dict[bytes, bytes]:
+        ids, ends = self._plain_ids(words)
         data, bounds = ids.tobytes(), [0, *(2 * ends).tolist()]
         return {w.encode(): data[a:b] for w, a, b in zip(words, bounds, bounds[1:], strict=False)}
 
