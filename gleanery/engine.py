@@ -191,14 +191,15 @@ class Engine:
         asked = self.spark.createDataFrame([(i, p) for i, p in enumerate(names)], "prompt_id long, prompt string")
         queries = bundle.queries(asked, self.limits.max_search_hits).withColumn("query_id", F.col("prompt_id") * 16 + F.col("query_index"))
         hits = self._hits(queries, self.limits.max_search_hits, None, None, mode)
-        hits = hits.join(queries, "query_id").where("rank <= k").withColumnRenamed("query", "source_query")
+        # a few hundred rows a prompt, read by every part of the result: kept, and made anew if an executor goes
+        hits = hits.join(queries, "query_id").where("rank <= k").withColumnRenamed("query", "source_query").persist()
         corpus, paths_hit = self.corpus(), hits.select("path").distinct()
         wanted = corpus.join(paths_hit, "path", "left_semi")
         symbols = outline.outline(wanted, self.settings.python_enabled)
         refs = references.references(wanted, symbols.select(F.col("name").alias("symbol")).distinct(), self.settings.python_enabled)
         ranked = bundle.candidates(hits, asked, symbols, refs, include_tests)
         budgets = asked.select("prompt_id", F.lit(max_files).alias("max_files"), F.lit(max_total_lines).alias("max_total_lines"))
-        judged = bundle.verdicts(ranked, budgets)
+        judged = bundle.verdicts(ranked, budgets).persist()
         selections, sums = bundle.explained(judged, corpus), bundle.totals(judged)
         kept = hits if include_tests else hits.where(~paths.test_path("path"))
         whole = documents.documents(asked, budgets, queries, kept, judged, selections, mode)

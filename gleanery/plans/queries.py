@@ -432,7 +432,7 @@ def bundle_notes(spark, sf):
 @query
 def bundle_documents(spark, sf):
     """Whole bundles as JSON."""
-    prompts, judged = _prompts(spark, sf), _judged(spark, sf)
+    prompts, judged = _prompts(spark, sf), _judged(spark, sf).persist()  # a few hundred rows a prompt, read by every part
     budgets = prompts.select("prompt_id", F.lit(3).alias("max_files"), F.lit(12).alias("max_total_lines"))
     selections = bundle.explained(judged, documents_corpus(spark, sf))
     hits = _hits(spark, sf).where(~paths.test_path("path"))
