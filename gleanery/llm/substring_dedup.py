@@ -18,8 +18,8 @@ WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 8, 2
 #: Paragraphs are lines of at least LONG words. Blocks run from a cut to the first cut at least LEAST words on; a cut is before a word whose hash is the least within NEAR words.
 LONG, LEAST, NEAR = 20, 16, 4
-#: Pivots of a band's bucket: up to so many members, every pair is compared.
-PIVOTS = 8
+#: Pivots of a large bucket of a band. In buckets of up to SMALL members all pairs are compared, which are no more.
+PIVOTS, SMALL = 8, 16
 #: Values of the filter that thins out documents before a join: a fixed bound on what is broadcast.
 FILTER = 1 << 18
 CACHED = 300_000
@@ -102,7 +102,7 @@ class Units:
         n = len(starts)
         if n < min(LONG, LEAST):
             return _EMPTY
-        h = _word_hashes(data.split(), self.cache)
+        h = word_hashes(data.split(), self.cache)
         self._grow(n)
         total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * self.powers[:n], dtype=np.uint64)])
         breaks = np.searchsorted(starts, np.flatnonzero(raw == 10))
@@ -141,7 +141,7 @@ def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("uid"), text).mapInArrow(run, "uid long, start int, end int, key long, bands array<long>")
 
 
-def _word_hashes(words: list[bytes], cache: dict[bytes, bytes]) -> np.ndarray:
+def word_hashes(words: list[bytes], cache: dict[bytes, bytes]) -> np.ndarray:
     if len(cache) > CACHED:
         cache.clear()
     try:
@@ -154,21 +154,47 @@ def _word_hashes(words: list[bytes], cache: dict[bytes, bytes]) -> np.ndarray:
     return np.frombuffer(joined, dtype="<u8")
 
 
-def candidate_pairs(signed: DataFrame) -> DataFrame:
-    """(a, b), a < b: distinct paragraphs (key, bands) that meet in a band, each with PIVOTS members of its bucket at most.
+def candidate_pairs(signed: DataFrame, name: str = "repeats") -> tuple[DataFrame, DataFrame]:
+    """(a, b), a < b: distinct units (key, bands) that meet in a band; and the keys of buckets with more than SMALL members.
 
-    Pivots are the members with the least band-salted hash in each of PIVOTS slots, found by a bounded aggregate, so a bucket
-    of many near copies yields PIVOTS pairs a member instead of all pairs. In large buckets, two similar members are linked
-    through any pivot that both resemble, and every band draws other pivots. Entries are shuffled once, by bucket.
+    All pairs of small buckets, and in larger ones each member with PIVOTS others at most: those with the least band-salted
+    hash in each of PIVOTS slots, found by a bounded aggregate. So a bucket of many near copies yields PIVOTS pairs a member
+    instead of all pairs; what these leave apart is for separate_pairs. Entries are shuffled once, by bucket.
     """
     banded = F.transform("bands", lambda h, i: F.xxhash64(h, i))
     entries = signed.select("key", F.explode(banded).alias("bucket")).repartition("bucket")
-    sizes = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    sizes = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     met = entries.join(sizes, "bucket")
+    small = met.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    later = lambda x: F.transform(F.filter("keys", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))
+    pairs = small.select(F.explode(F.flatten(F.transform("keys", later))).alias("p")).select("p.a", "p.b")
+    large = met.where(F.col("n") > SMALL)
     salted = F.struct(F.xxhash64("key", "bucket").alias("h"), F.col("key"))
-    pivots = met.groupBy("bucket", F.pmod(F.xxhash64("bucket", "key", F.lit(1)), F.lit(PIVOTS)).alias("slot")).agg(F.min(salted).alias("p")).select("bucket", F.col("p.key").alias("pivot"))
-    pairs = met.join(pivots, "bucket").where("key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"))
-    return pairs.distinct()
+    pivots = large.groupBy("bucket", F.pmod(F.xxhash64("bucket", "key", F.lit(1)), F.lit(PIVOTS)).alias("slot")).agg(F.min(salted).alias("p")).select("bucket", F.col("p.key").alias("pivot"))
+    some = large.join(pivots, "bucket").where("key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"))
+    return stash(pairs.unionAll(some).distinct(), f"{name}-pairs"), stash(large.select("key").distinct(), f"{name}-large")
+
+
+def separate_pairs(sets: DataFrame, roots: DataFrame, similarity: float, name: str = "repeats") -> DataFrame:
+    """(a, b): all pairs of units of `sets` (key, shingles) under different roots (key, root) that may reach `similarity`.
+
+    An exact prefix filter: with shingles in one order, rare ones first, two sets of similarity s share one of the first
+    (1 - s) n + 1 of each. After the first they share, each must have enough left for the overlap that s asks. Shingles that
+    only occur under one root yield nothing, so a large group of near copies costs no pairs.
+    """
+    tokens = sets.join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"), F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = tokens.join(often, "token").groupBy("key").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))
+    # shingles of one unit alone come first and are in no pair
+    first = F.floor((1 - similarity) * F.col("n") + 1e-6) + 1 - (F.col("n") - F.size("own"))
+    cut = ranked.where(first > 0).select("key", "root", "n", F.posexplode(F.slice("own", F.lit(1), first.cast("int"))).alias("at", "own"), (F.col("n") - F.size("own")).alias("alone"))
+    prefix = stash(cut.select("key", "root", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("left"), F.col("own.token").alias("token")), f"{name}-prefix")
+    mixed = prefix.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
+    kept = prefix.join(mixed, "token")
+    one, two = (kept.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("key", "root", "n", "left"))) for side in "ab")
+    needed = similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    met = one.join(two, "token").where((F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & (F.least("left_a", "left_b") >= needed))
+    return met.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
 
 
 def _shingle_sets(docs: DataFrame, places: DataFrame, text: str) -> DataFrame:
@@ -185,7 +211,7 @@ def _shingle_sets(docs: DataFrame, places: DataFrame, text: str) -> DataFrame:
                 body = value.as_py()
                 for span in spans:
                     keys.append(span["key"])
-                    shingles.append(np.unique(shingle_hashes(_word_hashes(body[span["start"] : span["end"]].encode().split(), cache))).view(np.int64))
+                    shingles.append(np.unique(shingle_hashes(word_hashes(body[span["start"] : span["end"]].encode().split(), cache))).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(shingles, pa.list_(pa.int64()))], ["key", "shingles"])
 
     spans = places.groupBy(F.col("uid").alias("of")).agg(F.collect_list(F.struct("start", "end", "key")).alias("spans"))  # of one document
@@ -197,16 +223,26 @@ def _shingle_sets(docs: DataFrame, places: DataFrame, text: str) -> DataFrame:
     return joined.mapInArrow(run, "key long, shingles array<long>")
 
 
-def similar_pairs(docs: DataFrame, signed: DataFrame, text: str, similarity: float) -> DataFrame:
-    """Candidate pairs whose exact Jaccard similarity of shingle sets reaches `similarity`. signed: key, bands, at (uid, start, end)."""
-    pairs = stash(candidate_pairs(signed), "repeats-pairs")
+def similar_pairs(docs: DataFrame, signed: DataFrame, text: str, similarity: float, name: str = "repeats") -> DataFrame:
+    """Pairs (a, b) whose exact Jaccard similarity of shingle sets reaches `similarity`, so that all such pairs of units that
+    meet in a band are connected. signed: key, bands, at (uid, start, end)."""
+    pairs, large = candidate_pairs(signed, name)
     keys = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct()
-    places = stash(signed.join(keys, "key").select("at.uid", "at.start", "at.end", "key"), "repeats-places")
-    sets = stash(_shingle_sets(docs, places, text), "repeats-sets")
-    one = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
-    both = one.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    places = stash(signed.join(keys, "key").select("at.uid", "at.start", "at.end", "key"), f"{name}-places")
+    sets = stash(_shingle_sets(docs, places, text), f"{name}-sets")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        one = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
+        both = one.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+    found = similar(pairs)
+    if large.isEmpty():
+        return found
+    roots = stash(connected_components(found, "a", "b", f"{name}-first"), f"{name}-found").withColumnRenamed("node", "key")
+    rest = separate_pairs(sets.join(large, "key", "left_semi"), roots, similarity, name)
+    return roots.select(F.col("key").alias("a"), F.col("root").alias("b")).unionAll(similar(rest))
 
 
 def repeats(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -91,3 +91,33 @@ def test_cuts_depend_on_nearby_words_only():
     own = set(S.cuts(h)[1:-1])
     moved = {c - 30 for c in S.cuts(np.concatenate([rng.integers(0, 1 << 63, size=30, dtype=np.uint64), h]))}
     assert {c for c in own if c > S.NEAR} <= moved
+
+
+def test_pairs_within_a_template_family(docs):
+    rnd = random.Random(12)
+    template, rows = prose(rnd, 120).split(), []
+    for i in range(400):  # pairs of similarity 0.9 in a family of 0.6 to 0.7: no pivot resembles a pair
+        words = template[:100] + prose(rnd, 20).split()
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-4], *prose(rnd, 4).split()]))]
+    assert jaccard(rows[0][1], rows[1][1]) >= 0.8 > jaccard(rows[0][1], rows[2][1])
+    got = {r.doc_id: r.class_id for r in S.repeats(docs(rows)).collect() if r.start == 0 and r.end == len(rows[r.doc_id][1])}
+    met = [got.get(2 * i) is not None and got.get(2 * i) == got.get(2 * i + 1) for i in range(400)]
+    assert np.mean(met) > 0.995 and len(set(got.values())) == sum(met)
+
+
+def test_small_buckets_compare_all_pairs(spark):
+    rows = [(k, [7] * S.BANDS) for k in range(S.SMALL)]
+    pairs, large = S.candidate_pairs(spark.createDataFrame(rows, "key long, bands array<long>"))
+    assert {(r.a, r.b) for r in pairs.collect()} == {(a, b) for b in range(S.SMALL) for a in range(b)} and large.isEmpty()
+
+
+def test_separate_pairs_are_all_pairs_of_the_similarity(spark):
+    rnd = random.Random(4)
+    sets = {k: set(rnd.sample(range(14), rnd.randrange(4, 14))) | {100 + k % 3} for k in range(80)}
+    sets |= {200 + k: set(range(20)) - {k} for k in range(20)}
+    root = {k: k if k < 200 else 200 + k % 2 for k in sets}
+    table = spark.createDataFrame([(k, sorted(x)) for k, x in sets.items()], "key long, shingles array<long>")
+    roots = spark.createDataFrame([(k, r) for k, r in root.items() if k >= 200], "key long, root long")
+    got = {(r.a, r.b) for r in S.separate_pairs(table, roots, 0.8).collect()}
+    want = {(a, b) for b in sets for a in sets if a < b and root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert want and want <= got and all(root[a] != root[b] for a, b in got)
