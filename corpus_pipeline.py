@@ -31,6 +31,12 @@ def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return simhash.one_of_each_group(docs)
 
 
+def dedup_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of similar documents stays: five-word shingles, Jaccard similarity 0.8 or more."""
+    release(spark, "simhash")
+    return simhash.one_of_similar(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are left out or repeated as their source's target asks."""
     release(spark, "simhash")
@@ -43,7 +49,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("quality classifier", classify_quality), ("line dedup", dedup_lines), ("SimHash near-dedup", dedup_near_copies), ("mixing", mix_sources), ("packing", pack)]
+STAGES = [("quality classifier", classify_quality), ("line dedup", dedup_lines), ("SimHash near-dedup", dedup_near_copies), ("similar documents", dedup_similar), ("mixing", mix_sources), ("packing", pack)]
 
 #: The vote, XXH64 and the tokenizer have no SQL form; the tests hold each stage against brute force.
 ORACLE_SQL = None

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.common import stash, with_uid
 from gleanery.llm.components import connected_components
+from gleanery.llm.substring_dedup import BANDS, band_hashes, shingle_hashes, similar_pairs, word_hashes
 
 RADIUS = 2
 #: Buckets with up to this many fingerprints are compared inside; from larger ones, every fingerprint goes to the exact step.
 SMALL = 16
+#: Words signed at once by similar_documents.
+AT_ONCE = 1 << 17
 
 
 def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -102,9 +105,54 @@ def one_of_each_group(docs: DataFrame, text: str = "text", width: int = 3) -> Da
 
     The texts themselves are not shuffled unless the list of dropped rows is too large to broadcast.
     """
-    groups = near_duplicates(docs, text, width)
+    return _first_of_each(docs, near_duplicates(docs, text, width))
+
+
+def _first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs without all but the first row of each root in groups (uid, doc_id, root)."""
+    groups = stash(groups.select("uid", "doc_id", "root"), "simhash-groups")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("uid"))
     kept = groups.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.uid").alias("kept_uid"))
     lost = stash(groups.join(kept, groups.uid == kept.kept_uid, "left_anti").select(F.col("uid").alias("__lost")), "simhash-lost")
     marked = docs.withColumn("__uid", F.monotonically_increasing_id())
     return marked.join(lost, F.col("__uid") == F.col("__lost"), "left_anti").drop("__uid")
+
+
+def similar_documents(docs: DataFrame, text: str = "text", similarity: float = 0.8) -> DataFrame:
+    """(uid, doc_id, root): rows have the same root if links of similar documents connect them.
+
+    Documents are linked if the sets of their shingles of five lower-cased words have a Jaccard similarity of `similarity` or
+    more, which is checked exactly. Candidates meet in MinHash bands, since 64-bit fingerprints cannot find them: at similarity
+    0.8 they differ in some 10 of 64 bits, and covering masks for 10 bits are 2047 tables. Texts without words are equal.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[bytes, bytes] = {}
+        for batch in batches:
+            texts, low = batch.column(2).cast(pa.binary()), 0
+            while low < len(texts):
+                keys, shingles, n, high = [], [], 0, low
+                while high < len(texts) and n < AT_ONCE:
+                    words = texts[high].as_buffer().to_pybytes().split() if texts[high].is_valid else []
+                    keys.append(xxhash.xxh3_64_intdigest(b" ".join(words), 7))
+                    shingles.append(shingle_hashes(word_hashes(words, cache)))
+                    n, high = n + len(words), high + 1
+                ends = np.cumsum([len(x) for x in shingles])
+                bands = band_hashes(np.concatenate(shingles), ends - [len(x) for x in shingles], ends).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(bands.ravel(), pa.int64()))
+                columns = [batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "key", "bands"])
+                low = high
+
+    lowered = docs.withColumn(text, F.lower(text))
+    table = with_uid(lowered.select("doc_id", text)).select("uid", F.col("doc_id").cast("long").alias("doc_id"), text)
+    table = stash(table.mapInArrow(run, "uid long, doc_id long, key long, bands array<long>"), "simhash-signed")
+    place = F.struct("uid", F.lit(0).alias("start"), F.lit((1 << 31) - 1).alias("end"))
+    signed = stash(table.groupBy("key").agg(F.first("bands").alias("bands"), F.min(place).alias("at")), "simhash-keys")
+    roots = connected_components(similar_pairs(lowered, signed, text, similarity, "simhash"), "a", "b", "simhash-stars")
+    return table.select("uid", "doc_id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("uid", "doc_id", F.coalesce("root", "key").alias("root"))
+
+
+def one_of_similar(docs: DataFrame, text: str = "text", similarity: float = 0.8) -> DataFrame:
+    """docs without all but one row of each component of similar documents; the choice is that of one_of_each_group."""
+    return _first_of_each(docs, similar_documents(docs, text, similarity))

@@ -81,3 +81,26 @@ def test_empty_tables(spark, docs, tmp_path):
     docs([], extra=False).write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
     assert corpus_pipeline.run(spark, sf).collect() == []
+
+
+def test_near_copies_go_down_to_similarity_four_fifths(spark, tmp_path):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    sets = {r.doc_id: grams((r.text or "").lower().split()) for r in table.collect()}
+    holders = {}
+    for i, grams_ in sets.items():
+        for g in grams_:
+            holders.setdefault(g, []).append(i)
+    shared = Counter((a, b) for ids in holders.values() for b in ids for a in ids if a < b)
+    near = {p: n / (len(sets[p[0]]) + len(sets[p[1]]) - n) for p, n in shared.items()}
+    first = {i: i for i in sets}
+    links = [p for p, j in near.items() if j >= 0.8]
+    assert any(near[p] < 1 for p in links)
+    for _ in sets:
+        before = dict(first)
+        for a, b in links:
+            first[a] = first[b] = min(first[a], first[b])
+        if first == before:
+            break
+    got = dict(corpus_pipeline.STAGES)["similar documents"](spark, table, "")
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(set(first.values()))
