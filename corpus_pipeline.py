@@ -25,6 +25,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs, report=False)
 
 
+def dedup_long_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of single lines of 20 words or more go from the texts; documents stay."""
+    release(spark, "lines")
+    return line_dedup.dedup_long_lines(docs)
+
+
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays."""
     release(spark, "lines")
@@ -49,7 +55,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("quality classifier", classify_quality), ("line dedup", dedup_lines), ("SimHash near-dedup", dedup_near_copies), ("similar documents", dedup_similar), ("mixing", mix_sources), ("packing", pack)]
+STAGES = [("quality classifier", classify_quality), ("line dedup", dedup_lines), ("long line dedup", dedup_long_lines), ("SimHash near-dedup", dedup_near_copies), ("similar documents", dedup_similar), ("mixing", mix_sources), ("packing", pack)]
 
 #: The vote, XXH64 and the tokenizer have no SQL form; the tests hold each stage against brute force.
 ORACLE_SQL = None

@@ -77,6 +77,14 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, text: str = "text", report:
     covered = windows.where(F.col("length") < 2 * min_lines).select("uid", F.explode(F.sequence("seq", F.expr("seq + length - 1"))).alias("seq")).distinct()
     gone = covered.join(all_lines.select("uid", "seq", "pos"), ["uid", "seq"]).groupBy("uid").agg(F.collect_list("pos").alias("__gone"))
     gone = stash(gone.join(longest, "uid").withColumnRenamed("uid", "__of"), "lines-removed")
+    joined = _without(docs, gone, text)
+    if report:
+        joined = joined.withColumns({"n_lines": F.col("__n"), "n_removed": F.col("__m"), "longest_run": F.coalesce("__longest", F.lit(0)).cast("long")})
+    return joined.drop("__uid", "__of", "__gone", "__longest", "__n", "__m")
+
+
+def _without(docs: DataFrame, gone: DataFrame, text: str) -> DataFrame:
+    """docs joined with gone (__of: row, __gone: places of lines, ...), the lines cut out of `text`; __n lines with words, __m cut."""
     joined = docs.withColumn("__uid", F.monotonically_increasing_id()).join(gone.hint("shuffle_hash"), F.col("__uid") == F.col("__of"), "left")  # no sort of texts
     joined = joined.withColumn("__n", F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))), F.lit(0)).cast("long"))
     joined = joined.withColumn("__n", F.greatest("__n", F.lit(0))).withColumn("__m", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"))
@@ -87,6 +95,17 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, text: str = "text", report:
 
     rest = F.get(F.transform(F.array(F.split(text, "\n")), without), F.lit(0))
     joined = joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).when(F.col("__n") == F.col("__m"), F.lit("")).otherwise(rest))
-    if report:
-        joined = joined.withColumns({"n_lines": F.col("__n"), "n_removed": F.col("__m"), "longest_run": F.coalesce("__longest", F.lit(0)).cast("long")})
-    return joined.drop("__uid", "__of", "__gone", "__longest", "__n", "__m")
+    return joined
+
+
+def dedup_long_lines(docs: DataFrame, least: int = 20, text: str = "text") -> DataFrame:
+    """docs without later copies, by (doc_id, row, line), of single lines of `least` words or more: a passage that stands as one
+    line between different neighbours is no run of lines. Texts whose lines with words all go are empty; documents stay."""
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("pos"), F.xxhash64(x).alias("a"), F.hash(x).alias("b"), (F.regexp_count(x, F.lit(WORD)) >= least).alias("full")))
+    marked = docs.select(F.monotonically_increasing_id().alias("uid"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), text)
+    rows = marked.select("uid", "id", F.explode(F.filter(lines, lambda x: x["full"])).alias("line"))
+    rows = stash(rows.select("uid", F.struct("id", "uid", F.col("line.pos").alias("pos")).alias("place"), F.col("line.a").alias("a"), F.col("line.b").alias("b")), "lines-long")
+    groups = rows.groupBy("a", "b").agg(F.count("*").alias("copies"), F.min("place").alias("first")).where("copies > 1")
+    later = rows.join(groups, ["a", "b"]).where("place <> first")
+    gone = stash(later.groupBy(F.col("uid").alias("__of")).agg(F.collect_list("place.pos").alias("__gone")), "lines-long-removed")
+    return _without(docs, gone, text).drop("__uid", "__of", "__gone", "__n", "__m")

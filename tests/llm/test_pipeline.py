@@ -104,3 +104,17 @@ def test_near_copies_go_down_to_similarity_four_fifths(spark, tmp_path):
             break
     got = dict(corpus_pipeline.STAGES)["similar documents"](spark, table, "")
     assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(set(first.values()))
+
+
+def test_long_lines_stay_once(spark, docs):
+    rnd = random.Random(2)
+    line = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    long, short = line(20), line(19)
+    rows = [(3, f"{line(5)}\n{long}\n\n{line(6)}"), (1, f"{line(5)}\n{long}\n{short}\n{line(4)}\n{long}"), (2, f"{short}\n{line(3)}"), (4, f"\n{long}"), (None, long), (None, None), (5, "")]
+    table = docs(rows)
+    out = dict(corpus_pipeline.STAGES)["long line dedup"](spark, table, "")
+    assert out.columns == table.columns
+    cut = lambda t: "\n".join(x for x in t.split("\n") if x != long)
+    first = rows[1][1].rsplit("\n", 1)[0]
+    want = [(3, cut(rows[0][1])), (1, first), rows[2], (4, ""), (None, ""), (None, None), (5, "")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, want))
