@@ -70,13 +70,19 @@ def _transformed(stats: DataFrame) -> DataFrame:
     return stats.withColumns({"x0": F.log1p("n_words"), "x1": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / words), "x2": rate("n_symbols", words), "x3": rate("n_dup_lines", F.greatest(F.col("n_lines"), F.lit(1))), "x4": rate("n_repeat_words", words)})
 
 
-def _grouped(stats: DataFrame, least: int) -> DataFrame:
-    """stats with a group key `g`: language and source, the language alone if that has under `least` rows, else all."""
+def _grouped(stats: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """stats with a group key `g`: language and source, the language alone if that has under `least` rows, else all; and the rows
+    that each group's estimate rests on: all rows of the group, the language or the table, so that a row may be in three."""
     sizes = stats.groupBy(F.col("lang").alias("l"), F.col("source").alias("s")).agg(F.count("*").alias("n"))
     langs = sizes.groupBy(F.col("l").alias("k")).agg(F.sum("n").alias("m"))
-    key = F.when(F.col("n") >= least, F.xxhash64(F.lit(2), "l", F.col("l").isNull(), "s", F.col("s").isNull())).when(F.col("m") >= least, F.xxhash64(F.lit(1), "l", F.col("l").isNull())).otherwise(F.lit(0)).cast("long")
-    keys = sizes.join(langs, F.col("l").eqNullSafe(F.col("k"))).select("l", "s", key.alias("g"))
-    return stats.join(keys, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).drop("l", "s")
+    own, of_lang, of_all = F.xxhash64(F.lit(2), "l", F.col("l").isNull(), "s", F.col("s").isNull()), F.xxhash64(F.lit(1), "l", F.col("l").isNull()), F.lit(0).cast("long")
+    key = F.when(F.col("n") >= least, own).when(F.col("m") >= least, of_lang).otherwise(of_all)
+    keys = sizes.join(langs, F.col("l").eqNullSafe(F.col("k"))).select("l", "s", key.alias("g"), F.array_distinct(F.array(key, of_lang, of_all)).alias("may"))
+    keyed = stash(stats.join(keys, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).drop("l", "s"), "outliers-grouped")
+    used = keyed.select(F.col("g").alias("used")).distinct()
+    values = [f"x{i}" for i in range(DIM)]
+    rest = keyed.select(F.explode("may").alias("g"), *values).join(used, F.col("g") == F.col("used"), "left_semi")
+    return keyed.drop("may"), stash(rest, "outliers-rows")
 
 
 MODEL = "g long, mu array<double>, p array<double>"
@@ -144,15 +150,15 @@ def judge(docs: DataFrame, text: str = "text", core: float = CORE, least: int =
     base_failed: under 50 words, or over half the words in repeated 3-word windows. Others are kept unless their transformed
     statistics lie further from the centre of their language and source than the chi-square limit (distance > 1: squared
     Mahalanobis distance over limit). Estimates rest on documents that pass the base rules; groups with under `least` of them
-    use their language's, or all. Null texts count as empty (failed), null languages and sources are groups of their own,
+    use the estimate of all rows of their language, or of the table. Null texts count as empty (failed), null languages and sources are groups of their own,
     repeated rows count one by one, null doc_ids keep their rows, extra columns are ignored, very long texts are read whole
     one at a time, and an empty table gives an empty result.
     """
     words = F.col("n_words")
     failed = (words < 50) | (100 * F.col("n_repeat_words") > 50 * words)
     stats = stash(_transformed(statistics(docs, text)).withColumn("base_failed", failed), "outliers-statistics")
-    good = stash(_grouped(stats.where("not base_failed"), least), "outliers-grouped")
-    model = minimum_covariance(good.select("g", *(f"x{i}" for i in range(DIM))), core)
+    good, rows = _grouped(stats.where("not base_failed"), least)
+    model = minimum_covariance(rows, core)
     limit = chi_square(1 - rare, DIM)
     far = _with_distance(good, model).withColumn("distance", F.col("d2") / (F.col("scale") * limit))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]

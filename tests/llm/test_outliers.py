@@ -62,3 +62,13 @@ def test_model_of_a_contaminated_group(spark):
     df = spark.createDataFrame(rows, "g long, " + ", ".join(f"x{i} double" for i in range(outliers.DIM)))
     model = outliers.minimum_covariance(df).collect()
     assert len(model) == 1 and np.abs(model[0].mu).max() < 0.15
+
+
+def test_small_groups_are_judged_by_their_whole_language(docs):
+    rnd = random.Random(7)
+    rows = [(i, text(rnd, rnd.randrange(60, 400)), "en", "large") for i in range(300)]
+    rows += [(1000 + i, text(rnd, 150, True), "en", "small") for i in range(3)] + [(1100, text(rnd, 150), "en", "small")]
+    rows += [(2000, text(rnd, 150, True), "rare", "one"), (2001, text(rnd, 150), "rare", "two")]
+    kept = {r.doc_id: r.kept for r in outliers.judge(docs(rows)).collect()}
+    assert [i for i in sorted(kept) if i >= 1000 and kept[i]] == [1100, 2001]
+    assert np.mean([kept[i] for i in range(300)]) > 0.99
