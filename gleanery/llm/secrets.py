@@ -22,10 +22,10 @@ ROLE = {"assign": "key", "access": "id", "hex": "key", "weak_id": "id", "weak_ke
 #: Weak candidates: alone they are ordinary text. A weak key mixes upper and lower case and digits.
 WEAK = {
     "weak_id": re.compile(r"""(?:(?:A[GRNS][IOPS]A)[A-Z0-9]{12,}|(?:user(?:name)?|login|client_?id|access_?key_?id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,})""", re.I | re.A),
-    "weak_key": re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,200}={0,2}(?![A-Za-z0-9+/_=-])"),
+    "weak_key": re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"),
     "endpoint": re.compile(r"(?:(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D\"'<>]+|(?<![A-Za-z0-9.-])(?:[a-z0-9-]+\.)+amazonaws\.com|\b(?:host|endpoint|region)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.:/-]{3,})", re.I | re.A),
 }
-#: Parts are linked within a block (between blank lines) and this many characters.
+#: A narrower scope than the block (between blank lines), for callers that want one: so many characters either side.
 REACH = 400
 BLANK = re.compile(r"\n[\x20\x09\x0B-\x0D]*\n")
 
@@ -39,11 +39,12 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)], key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
+def linked_spans(text: str, base: list[Span], reach: int | None = REACH) -> list[Span]:
     """Weak candidates whose scope holds their complement: an identifier needs a key, a key an identifier or an endpoint, and an endpoint both others.
 
-    The scope of a candidate is its block, cut to `reach` characters either side. Identifiers, keys and endpoints are lists
-    sorted by place; each candidate finds those that begin in its scope by bisection, so the join is n log n. A weak candidate
+    The scope of a candidate is its block, cut to `reach` characters either side unless that is None. Identifiers, keys and
+    endpoints are lists sorted by place; each candidate finds those that extend into its scope by bisection and passes over
+    what it overlaps, so the join is n log n. A weak candidate
     that overlaps a base span is dropped, and one never links to what it overlaps.
     """
     weak: list[Span] = []
@@ -56,15 +57,17 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     by_role: dict[str, list[tuple[int, int]]] = {"id": [], "key": [], "endpoint": []}
     for s, e, kind in sorted(base + weak):
         by_role[ROLE[kind]].append((s, e))
-    cuts = [m.start() for m in BLANK.finditer(text)]
+    reached = {role: list(accumulate((e for _, e in parts), max)) for role, parts in by_role.items()}
+    cuts, reach = [m.start() for m in BLANK.finditer(text)], len(text) if reach is None else reach
 
     def near(role: str, span: Span) -> bool:
         k = bisect_right(cuts, span[0])
         low = max(span[0] - reach, cuts[k - 1] if k else 0)
         high = min(span[1] + reach, cuts[k] if k < len(cuts) else len(text))
         parts = by_role[role]
-        for s, e in parts[bisect_left(parts, (low, 0)) : bisect_left(parts, (high, 0))]:
-            if e <= span[0] or s >= span[1]:
+        for at in range(bisect_right(reached[role], low), bisect_left(parts, (high, 0))):
+            s, e = parts[at]
+            if e > low and (e <= span[0] or s >= span[1]):
                 return True
         return False
 
@@ -76,10 +79,11 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def scan(docs: DataFrame, text: str = "text", reach: int = REACH) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", reach: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked.
 
-    Base spans are reported always, weak ones if their complement is near (linked_spans). Null and empty texts have no spans
+    Base spans are reported always, weak ones if their complement is in their block (linked_spans), or
+    within `reach` characters in it. Null and empty texts have no spans
     (the hash is that of the empty string); null and repeated doc_ids and repeated rows keep their rows; extra columns are
     ignored; texts of any length are scanned whole, one at a time; an empty table gives an empty result. No shuffle.
     """
