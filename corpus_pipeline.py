@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.llm import line_dedup, mixing, packing, quality_knn, simhash
-from gleanery.llm.common import documents, release, shared_dir
+from gleanery.llm.common import delete, documents, scratch, shared_dir
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,51 +21,40 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of two or more lines go from the texts; documents stay."""
+    """Later copies of runs of two or more lines, and of single lines of 20 words or more, go from the texts; documents stay."""
     return line_dedup.dedup_lines(docs, report=False)
 
 
-def dedup_long_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of single lines of 20 words or more go from the texts; documents stay."""
-    release(spark, "lines")
-    return line_dedup.dedup_long_lines(docs)
-
-
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays."""
-    release(spark, "lines")
+    """One document of each group stays: linked by SimHash, or by a similarity of 0.8 or more of five-word shingles."""
     return simhash.one_of_each_group(docs)
 
 
-def dedup_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar documents stays: five-word shingles, Jaccard similarity 0.8 or more."""
-    release(spark, "simhash")
-    return simhash.one_of_similar(docs)
-
-
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are left out or repeated as their source's target asks."""
-    release(spark, "simhash")
     return mixing.repeated(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their place in sequences of 4096 tokens."""
-    release(spark, "mixing")
     return packing.pack(docs)
 
 
-STAGES = [("quality classifier", classify_quality), ("line dedup", dedup_lines), ("long line dedup", dedup_long_lines), ("SimHash near-dedup", dedup_near_copies), ("similar documents", dedup_similar), ("mixing", mix_sources), ("packing", pack)]
+STAGES = [("quality classifier", classify_quality), ("line dedup", dedup_lines), ("SimHash near-dedup", dedup_near_copies), ("mixing", mix_sources), ("packing", pack)]
 
 #: The vote, XXH64 and the tokenizer have no SQL form; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{k}")
-        docs = spark.read.schema(out.schema).parquet(f"{folder}/{k}")
+    """The rows of the last stage. What a stage wrote for itself is deleted once its result is written, and that once the next one's is."""
+    docs, last = documents(spark, sf_dir), None
+    for _, stage in STAGES:
+        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        if last:
+            delete(spark, last)
+        docs, last = spark.read.schema(out.schema).parquet(path), path
     return docs

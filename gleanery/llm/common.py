@@ -1,10 +1,14 @@
-"""What the training-data operators share: words, row ids, and tables kept in the cluster's shared folder."""
+"""What the training-data operators share: words, row ids, caches of workers, and tables kept in the cluster's shared folder."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,49 +16,89 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dirs: dict[str, str] = {}
-_written: dict[str, list[str]] = {}
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of our own on this machine
+    in local mode (tests), and an error on a cluster, whose executors would not see such a folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="gleanery-")
     return _own_dirs[app]
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, is computed once."""
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read back, and the table's path: cuts the lineage, survives lost executors, is computed once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.setdefault(name, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
-def unstash(spark: SparkSession, *names: str) -> None:
-    """Delete what stash() wrote under these names; only for tables nothing reads any more."""
-    for name in names:
-        for path in _written.pop(name, []):
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def stash(df: DataFrame, name: str) -> DataFrame:
+    return kept(df, name)[0]
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that nothing reads any more, by the paths that kept() gave."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: A written table of up to so many bytes is sent to all tasks.
+SMALL_BYTES = 16 << 20
+
+
+def to_all(df: DataFrame, path: str) -> DataFrame:
+    """A table that kept() wrote, as the small side of a join with texts: sent to all tasks if its files are small (measured), else shuffled and hashed, so that texts are not sorted."""
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return F.broadcast(df) if size <= SMALL_BYTES else df.hint("shuffle_hash")
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside are deleted at the end: for callers that write out an operator's result inside."""
+    _scopes.append(mine := [])
+    try:
+        yield
+    finally:
+        _scopes.remove(mine)
+        delete(spark, *mine)
 
 
-def release(spark: SparkSession, prefix: str) -> None:
-    """Delete the tables of one operator, by the prefix of their names, once its result has been written elsewhere."""
-    unstash(spark, *[name for name in _written if name.startswith(f"{prefix}-")])
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """These names, made longer until no column of docs has them: for helper columns beside a user's own."""
+    taken, found = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
 
 
-def with_uid(docs: DataFrame) -> DataFrame:
-    """docs with a row id `uid`, so that repeated doc_ids stay apart.
+def with_uid(docs: DataFrame, name: str = "uid") -> DataFrame:
+    """docs with a row id, so that repeated doc_ids stay apart.
 
-    The id follows the scan's splits, so docs has to be a stored table (or another source whose partitions are the same when
-    read again); a lost task then gets the same ids.
+    The id follows the scan's splits, so docs has to be a stored table. Spark splits small inputs by the number of cores, which
+    changes when executors come or go; the number it starts from is therefore fixed for the session, so that every later
+    scan of the same files gives the same ids. A lost task gets the same ids anyhow.
     """
-    return docs.withColumn("uid", F.monotonically_increasing_id())
+    spark, key = docs.sparkSession, "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism))
+    return docs.withColumn(name, F.monotonically_increasing_id())
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,3 +108,37 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crc_mod(doc_id: str, mod: int) -> Column:
     """crc32 of the id's decimal text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % mod
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run, for mapInArrow, with a worker's free memory given back at the end of each task: workers outlive their tasks."""
+
+    def wrapped(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
+class Recent:
+    """A worker's cache of `size` entries or little more, in two generations: what was not asked for since the last turn goes."""
+
+    def __init__(self, size: int):
+        self.half, self.young, self.old = size // 2, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """Which of the keys are not held; the others are in `young` after this."""
+        if len(self.young) > self.half:
+            self.old, self.young = self.young, {}
+        absent = keys.difference(self.young)
+        again = absent.intersection(self.old)
+        self.young.update({k: self.old[k] for k in again})
+        return absent.difference(again)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import WORD, stash
+from gleanery.llm.common import WORD, fresh, stash, with_uid
 
 #: Slots of the hash order in which documents are given one more repetition.
 SLOTS = 4096
@@ -50,7 +50,7 @@ def mix(docs: DataFrame, share: float = 1.5, max_epochs: int = 2, weights: tuple
     table gives an empty result. Reruns agree.
     """
     md5 = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id")).cast("binary"))
-    sized = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "source", size_of(text).alias("size"))
+    sized = with_uid(docs.select("doc_id", "source", size_of(text).alias("size")))
     sized = stash(sized, "mixing-sizes").withColumn("draw", md5).withColumn("slot", F.conv(F.substring("draw", 1, 3), 16, 10).cast("int"))
     # zero-size documents take nothing and so never count
     slots = stash(sized.groupBy("source", "slot").agg(F.sum("size").alias("size")), "mixing-slots")
@@ -72,6 +72,7 @@ def mix(docs: DataFrame, share: float = 1.5, max_epochs: int = 2, weights: tuple
 
 def repeated(docs: DataFrame, **kwargs) -> DataFrame:
     """docs with every row as often as mix() says; wordless documents, which cost no words, stay once."""
-    times = mix(docs, **kwargs).select(F.col("uid").alias("__of"), F.when(F.col("size") > 0, F.col("repeats")).otherwise(1).alias("__times"))
-    marked = docs.withColumn("__uid", F.monotonically_increasing_id())
-    return marked.join(times.where("__times > 0"), F.col("__uid") == F.col("__of")).withColumn("__time", F.explode(F.sequence(F.lit(1), "__times"))).drop("__uid", "__of", "__times", "__time")
+    uid, of, times, time = fresh(docs, "uid", "of", "times", "time")
+    plan = mix(docs, **kwargs).select(F.col("uid").alias(of), F.when(F.col("size") > 0, F.col("repeats")).otherwise(1).alias(times))
+    wanted = with_uid(docs, uid).join(plan.where(F.col(times) > 0), F.col(uid) == F.col(of))
+    return wanted.withColumn(time, F.explode(F.sequence(F.lit(1), times))).drop(uid, of, times, time)

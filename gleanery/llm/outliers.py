@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import stash
+from gleanery.llm.common import lean, stash
 
 #: Of the transformed statistics, in their order: the least standard deviation that counts as spread. Statistics that are the same in most documents would else have none.
 FLOORS = {"log_words": 0.5, "log_word_length": 0.08, "symbols": 0.5, "dup_lines": 1.0, "repeat_words": 1.0}
@@ -61,7 +61,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "lang", "source", *names])
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text)
-    return kept.mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{x} long" for x in names))
+    return kept.mapInArrow(lean(run), "doc_id long, lang string, source string, " + ", ".join(f"{x} long" for x in names))
 
 
 def _transformed(stats: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import stash
+from gleanery.llm.common import lean, stash, with_uid
 from gleanery.llm.subwords import bodies, default_tokenizer, in_groups, loaded, lowered
 
 CAPACITY = 4096
@@ -122,7 +122,7 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, end: int, text: str)
 
     names, last = ["uid", "doc_id", "start", "length", "ids_crc32", "doc_tokens"], end.to_bytes(2, "little")
     schema = pa.schema([(x, pa.int64()) for x in names])
-    return docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return with_uid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))).select("uid", "doc_id", "text").mapInArrow(lean(run), ", ".join(f"{x} long" for x in names))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, max_padding: int = MAX_PADDING, tokenizer: str | None = None, end: int = 2, text: str = "text") -> DataFrame:
@@ -165,7 +165,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, max_padding: int = MAX_PADDI
                     to, k = stop, k + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(names), schema=schema)
 
-    placed = ranked.select("uid", "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("rank") + F.col("before")).alias("rank")).mapInArrow(place, ", ".join(f"{x} long" for x in names))
+    placed = ranked.select("uid", "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("rank") + F.col("before")).alias("rank")).mapInArrow(lean(place), ", ".join(f"{x} long" for x in names))
     placed = stash(placed, "packing-placed")
 
     def crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +179,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, max_padding: int = MAX_PADDI
 
     again = placed.where("whole = 0").groupBy("uid").agg(F.collect_list(F.struct("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "whole", "uid")).alias("cuts")).withColumnRenamed("uid", "of")  # a document's own cuts
     again = stash(again, "packing-cuts")  # its size is known then: few documents, as a rule, to be broadcast
-    texts = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(text).alias("text")).join(again, F.col("uid") == F.col("of")).select("text", "cuts")
+    texts = with_uid(docs.select(F.col(text).alias("text"))).join(again, F.col("uid") == F.col("of")).select("text", "cuts")
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    return placed.where("whole = 1").select(*columns).unionAll(texts.mapInArrow(crcs, ", ".join(f"{x} long" for x in names)).select(*columns))
+    return placed.where("whole = 1").select(*columns).unionAll(texts.mapInArrow(lean(crcs), ", ".join(f"{x} long" for x in names)).select(*columns))

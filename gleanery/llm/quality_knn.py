@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gleanery.llm.common import crc_mod
+from gleanery.llm.common import Recent, crc_mod, fresh, lean
 
 #: Width of the hashed term space, of the latent space; at most as many labelled rows of each class are fitted on; neighbours that vote; documents in a block.
 HASHED, LATENT, PER_CLASS, NEIGHBOURS, BLOCK = 1 << 13, 48, 1000, 25, 512
 #: Characters that terms count by place in a word.
 SHAPE = bytes(c if c in b"\n" else ord("a") if 97 <= c < 123 else ord("A") if 65 <= c < 91 else ord("0") if 48 <= c < 58 else ord("w") if c >= 128 else c for c in range(256))
-CACHED = 200_000
+CACHED = 100_000
 
 
 class Model(NamedTuple):
@@ -41,18 +41,15 @@ class Terms:
     """Term frequencies of texts, dampened, as one row per text. Words' hashes are cached in a worker."""
 
     def __init__(self):
-        self.cache: dict[bytes, tuple[int, ...]] = {}
+        self.cache = Recent(CACHED)
 
     def row(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         words = data.split()
-        cache, at = self.cache, []
-        if len(cache) > CACHED:
-            cache.clear()
+        new = self.cache.missing(set(words))
+        cache, at = self.cache.young, []
+        cache.update({w: _word_terms(w) for w in new})
         for w in words:
-            found = cache.get(w)
-            if found is None:
-                found = cache[w] = _word_terms(w)
-            at += found
+            at += cache[w]
         lines = [x for x in data.split(b"\n") if x.strip()]
         repeats = len(lines) - len(set(lines))
         n = len(words)
@@ -118,16 +115,17 @@ def score_block(model: Model, rows: list[tuple[np.ndarray, np.ndarray]], neighbo
 def fit_from(docs: DataFrame, labels: DataFrame, text: str = "text", per_class: int = PER_CLASS, held_out: int = 5) -> Model | None:
     """A model from at most `per_class` labelled rows of each class, those first in a hashed order; None without labels.
 
-    Rows whose crc32(doc_id) is 0 modulo held_out are never used. Null labels and null ids are not either. The prior counts
-    all usable labels.
+    Rows whose crc32(doc_id) is 0 modulo held_out are never used. Null labels, null ids and ids with both labels are not either.
+    Of rows with the same labelled id the one whose text comes first is used. The prior counts all usable labels.
     """
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (crc_mod("doc_id", held_out) != 0)).dropDuplicates(["doc_id"])
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (crc_mod("doc_id", held_out) != 0))
+    usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
     counts = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
     if not counts:
         return None
     some = [usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
     picked = F.broadcast(some[0].unionAll(some[1]).withColumnRenamed("doc_id", "of"))  # 2 * per_class rows at most
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).join(picked, F.col("doc_id") == F.col("of")).select("doc_id", "quality", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).join(picked, F.col("doc_id") == F.col("of")).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
@@ -136,17 +134,17 @@ def fit_from(docs: DataFrame, labels: DataFrame, text: str = "text", per_class:
             ids, values = ([m[0].astype("<i4").tobytes() for m in made], [m[1].astype("<f4").tobytes() for m in made])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "quality", "ids", "values"])
 
-    found = sorted(tuple(r) for r in rows.mapInArrow(run, "doc_id long, quality int, ids binary, values binary").dropDuplicates(["doc_id", "ids"]).collect())
+    found = sorted(tuple(r) for r in rows.mapInArrow(lean(run), "doc_id long, quality int, ids binary, values binary").collect())
     if not found:
         return None
     made = [(np.frombuffer(r[2], dtype="<i4").astype(np.int64), np.frombuffer(r[3], dtype="<f4")) for r in found]
     return fit(made, np.array([r[1] for r in found]), counts.get(1, 0) / sum(counts.values()))
 
 
-def scored(docs: DataFrame, model: Model | None, text: str = "text", neighbours: int = NEIGHBOURS) -> DataFrame:
-    """All columns of docs and `__score`. Without a model (no labels) every score is 1."""
+def scored(docs: DataFrame, model: Model | None, score_name: str, text: str = "text", neighbours: int = NEIGHBOURS) -> DataFrame:
+    """All columns of docs and `score_name`. Without a model (no labels) every score is 1."""
     if model is None:
-        return docs.withColumn("__score", F.lit(1.0))
+        return docs.withColumn(score_name, F.lit(1.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # HASHED x LATENT floats and 2 * PER_CLASS vectors: under 5 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,10 +157,10 @@ def scored(docs: DataFrame, model: Model | None, text: str = "text", neighbours:
                 rows = [terms.row(x) if x.split(None, 1) else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32)) for x in bodies]
                 scores.append(score_block(own, rows, neighbours))
             joined = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(joined, pa.float64())], names=[*batch.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(joined, pa.float64())], names=[*batch.schema.names, score_name])
 
     at = docs.columns.index(text)
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__score", DoubleType())]))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField(score_name, DoubleType())]))
 
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = 0.3, held_out: int = 5, per_class: int = PER_CLASS) -> DataFrame:
@@ -173,10 +171,11 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: flo
     long texts are read whole. Without usable labels every score is 1; an empty table gives an empty result.
     """
     model = fit_from(docs, labels, text, per_class, held_out)
-    found = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), model)
-    return found.select("doc_id", (crc_mod("doc_id", held_out) == 0).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
+    found = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), model, "score")
+    return found.select("doc_id", (crc_mod("doc_id", held_out) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs without the documents that the classifier rejects."""
-    return scored(docs, fit_from(docs, labels, text), text).where(F.col("__score") >= threshold).drop("__score")
+    (name,) = fresh(docs, "score")
+    return scored(docs, fit_from(docs, labels, text), name, text).where(F.col(name) >= threshold).drop(name)

@@ -56,21 +56,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_quality, op4_secret_scan, op5_quality_rules, op6_line_dedup, op7_lm_scores, op8_fingerprints, op9_mixing, op10_simhash)}
 
 
-#: Words are counted as pieces between runs of the six blanks; windows of two lines stand for all longer runs.
+#: Equal lines at two places are pairs; successive pairs at one distance are a common run, and the longest one that begins at a place and earlier too is its run.
 LINE_DEDUP_SQL = r"""
 WITH parts AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
 ), lines AS (
-  SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM parts WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
-), arrays AS (
-  SELECT doc_id, list(md5(line) ORDER BY seq) AS a FROM lines GROUP BY doc_id
-), grams AS (
-  SELECT doc_id, n, seq, md5(array_to_string(list_slice(a, seq, seq + n - 1), ',')) AS g
-  FROM (SELECT doc_id, a, n, unnest(range(1, len(a) - n + 2)) AS seq FROM arrays, (SELECT unnest([2, 4, 8, 16, 32, 64, 128, 256, 512, 1024]) AS n) WHERE len(a) >= n)
-), later AS (
-  SELECT doc_id, n, seq FROM (SELECT *, row_number() OVER (PARTITION BY n, g ORDER BY doc_id, seq) AS k FROM grams) WHERE k > 1
+  SELECT doc_id, pos, md5(line) AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq
+  FROM parts WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), pairs AS (
+  SELECT b.doc_id, b.seq, a.doc_id AS of, a.seq - b.seq AS shift FROM lines a JOIN lines b ON a.h = b.h AND (a.doc_id, a.seq) < (b.doc_id, b.seq)
+), islands AS (
+  SELECT *, seq - row_number() OVER (PARTITION BY doc_id, of, shift ORDER BY seq) AS island FROM pairs
+), runs AS (
+  SELECT doc_id, seq, max(length) AS length FROM (SELECT doc_id, seq, count(*) OVER (PARTITION BY doc_id, of, shift, island ORDER BY seq DESC) AS length FROM islands) GROUP BY doc_id, seq
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest([seq, seq + 1]) AS seq FROM later WHERE n = 2
+  SELECT doc_id, unnest(range(seq, seq + length)) AS seq FROM runs WHERE length >= 2
+  UNION SELECT doc_id, seq FROM runs JOIN lines USING (doc_id, seq) WHERE words >= 20
 ), counted AS (
   SELECT doc_id, count(*) AS n_lines FROM lines GROUP BY doc_id
 ), removed AS (
@@ -79,7 +80,7 @@ WITH parts AS (
   SELECT p.doc_id, string_agg(p.line, chr(10) ORDER BY p.pos) AS text FROM parts p LEFT JOIN lines l USING (doc_id, pos)
   LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.seq = l.seq WHERE g.seq IS NULL GROUP BY p.doc_id
 ), longest AS (
-  SELECT doc_id, max(n) AS n FROM later GROUP BY doc_id
+  SELECT doc_id, max(length) AS n FROM runs WHERE length >= 2 GROUP BY doc_id
 )
 SELECT d.doc_id, CASE WHEN r.n_removed IS NULL THEN d.text WHEN r.n_removed = c.n_lines THEN '' ELSE rest.text END AS text,
        coalesce(c.n_lines, 0) AS n_lines, coalesce(r.n_removed, 0) AS n_removed, CAST(coalesce(x.n, 0) AS BIGINT) AS longest_run

@@ -13,11 +13,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.llm.common import Recent, lean
+
 WIDTH = 5
 #: Hashes below 2^64 / SCALE are kept.
 SCALE = 8
 #: Words whose hashes a worker keeps.
-CACHED = 300_000
+CACHED = 160_000
 #: Documents are dealt to ranges of about ROWS ids, in MOST ranges at most; a range is sorted on disk and streamed.
 ROWS, MOST = 2_000, 20_000
 
@@ -38,21 +40,18 @@ class Sketch(NamedTuple):
 class Sketcher:
     def __init__(self, scale: int = SCALE, width: int = WIDTH):
         self.below, self.width = np.uint64((1 << 64) // scale - 1), width
-        self.cache: dict[bytes, bytes] = {}
+        self.cache = Recent(CACHED)
         odd = [(0x9E3779B97F4A7C15 * (2 * k + 1) ^ (0xD6E8FEB86659FD93 >> k)) | 1 for k in range(width)]
         self.factors = np.array([x & ((1 << 64) - 1) for x in odd], dtype=np.uint64)
 
     def _word_hashes(self, words: list[bytes]) -> np.ndarray:
         cache = self.cache
-        if len(cache) > CACHED:
-            cache.clear()
         try:
-            joined = b"".join(map(cache.__getitem__, words))
+            joined = b"".join(map(cache.young.__getitem__, words))
         except KeyError:
-            for w in words:
-                if w not in cache:
-                    cache[w] = xxhash.xxh3_64_digest(w, 1)
-            joined = b"".join(map(cache.__getitem__, words))
+            new = cache.missing(set(words))
+            cache.young.update({w: xxhash.xxh3_64_digest(w, 1) for w in new})
+            joined = b"".join(map(cache.young.__getitem__, words))
         return np.frombuffer(joined, dtype="<u8")
 
     def sketch(self, data: bytes) -> Sketch:
@@ -153,4 +152,4 @@ def fingerprints(docs: DataFrame, text: str = "text", scale: int = SCALE, width:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((x, pa.string()) for x in ("edited_sha256", "fingerprint", "edited_fingerprint")), *((x, pa.float64()) for x in ("near_edited", "near_next", "contained_edited"))])
-    return in_id_order(docs, text).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_edited double")
+    return in_id_order(docs, text).mapInArrow(lean(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_edited double")

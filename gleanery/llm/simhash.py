@@ -10,9 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import stash, with_uid
+from gleanery.llm.common import Recent, fresh, kept, lean, stash, to_all, with_uid
 from gleanery.llm.components import connected_components
-from gleanery.llm.substring_dedup import BANDS, band_hashes, shingle_hashes, similar_pairs, word_hashes
+from gleanery.llm.substring_dedup import BANDS, CACHED, band_hashes, shingle_hashes, similar_pairs, word_hashes
 
 RADIUS = 2
 #: Buckets with up to this many fingerprints are compared inside; from larger ones, every fingerprint goes to the exact step.
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 3) -> DataFra
             prints = pa.array([_fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", width) for x in batch.column(2).cast(pa.binary())], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), prints], ["uid", "doc_id", "fingerprint"])
 
-    return with_uid(docs.select("doc_id", text)).select("uid", F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, "uid long, doc_id long, fingerprint long")
+    return with_uid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))).select("uid", "doc_id", "text").mapInArrow(lean(run), "uid long, doc_id long, fingerprint long")
 
 
 def _candidates(prints: DataFrame) -> DataFrame:
@@ -100,59 +100,68 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 3) -> Data
     return table.join(named, "fingerprint").select("uid", "doc_id", "fingerprint", "root", "component_id")
 
 
-def one_of_each_group(docs: DataFrame, text: str = "text", width: int = 3) -> DataFrame:
-    """docs without all but one row of each component: the row with the smallest doc_id stays (nulls last), then the first row.
-
-    The texts themselves are not shuffled unless the list of dropped rows is too large to broadcast.
-    """
-    return _first_of_each(docs, near_duplicates(docs, text, width))
-
-
-def _first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """docs without all but the first row of each root in groups (uid, doc_id, root)."""
-    groups = stash(groups.select("uid", "doc_id", "root"), "simhash-groups")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("uid"))
-    kept = groups.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.uid").alias("kept_uid"))
-    lost = stash(groups.join(kept, groups.uid == kept.kept_uid, "left_anti").select(F.col("uid").alias("__lost")), "simhash-lost")
-    marked = docs.withColumn("__uid", F.monotonically_increasing_id())
-    return marked.join(lost, F.col("__uid") == F.col("__lost"), "left_anti").drop("__uid")
+def shingle_print(shingles: np.ndarray) -> int:
+    """The fingerprint of shingle hashes, repeats counted: a bit is 1 if it is set in over half of them. Bounded blocks."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(shingles), 1 << 15):
+        ones += np.unpackbits(shingles[at : at + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(shingles)).tobytes(), "big", signed=True)
 
 
-def similar_documents(docs: DataFrame, text: str = "text", similarity: float = 0.8) -> DataFrame:
-    """(uid, doc_id, root): rows have the same root if links of similar documents connect them.
-
-    Documents are linked if the sets of their shingles of five lower-cased words have a Jaccard similarity of `similarity` or
-    more, which is checked exactly. Candidates meet in MinHash bands, since 64-bit fingerprints cannot find them: at similarity
-    0.8 they differ in some 10 of 64 bits, and covering masks for 10 bits are 2047 tables. Texts without words are equal.
-    """
+def _signed(docs: DataFrame) -> DataFrame:
+    """(uid, doc_id, key, print, bands) of docs (doc_id, text): a hash of the words in order, the fingerprint of five-word shingles, and their MinHash bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, bytes] = {}
+        cache = Recent(CACHED)
         for batch in batches:
             texts, low = batch.column(2).cast(pa.binary()), 0
             while low < len(texts):
-                keys, shingles, n, high = [], [], 0, low
+                keys, prints, shingles, n, high = [], [], [], 0, low
                 while high < len(texts) and n < AT_ONCE:
                     words = texts[high].as_buffer().to_pybytes().split() if texts[high].is_valid else []
                     keys.append(xxhash.xxh3_64_intdigest(b" ".join(words), 7))
                     shingles.append(shingle_hashes(word_hashes(words, cache)))
+                    prints.append(shingle_print(shingles[-1]) if words else 0)
                     n, high = n + len(words), high + 1
                 ends = np.cumsum([len(x) for x in shingles])
                 bands = band_hashes(np.concatenate(shingles), ends - [len(x) for x in shingles], ends).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(bands.ravel(), pa.int64()))
-                columns = [batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "key", "bands"])
+                columns = [batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(prints, pa.int64()), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "key", "print", "bands"])
                 low = high
 
-    lowered = docs.withColumn(text, F.lower(text))
-    table = with_uid(lowered.select("doc_id", text)).select("uid", F.col("doc_id").cast("long").alias("doc_id"), text)
-    table = stash(table.mapInArrow(run, "uid long, doc_id long, key long, bands array<long>"), "simhash-signed")
+    return with_uid(docs).select("uid", "doc_id", "text").mapInArrow(lean(run), "uid long, doc_id long, key long, print long, bands array<long>")
+
+
+def similar_documents(docs: DataFrame, text: str = "text", similarity: float = 0.8) -> DataFrame:
+    """(uid, doc_id, root): rows have the same root if links connect them.
+
+    Documents are linked if the fingerprints of their five lower-cased words' shingles differ in RADIUS bits at most, found by the
+    covering tables, or if the Jaccard similarity of the shingle sets is `similarity` or more, checked exactly. Fingerprints
+    alone cannot find the latter: at similarity 0.8 they differ in some 10 of 64 bits, and covering masks for 10 bits are
+    2047 tables; so candidates also meet in MinHash bands. Equal texts are linked; texts without words are equal.
+    """
+    lowered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text).alias("text"))
+    table = stash(_signed(lowered), "simhash-signed")
     place = F.struct("uid", F.lit(0).alias("start"), F.lit((1 << 31) - 1).alias("end"))
-    signed = stash(table.groupBy("key").agg(F.first("bands").alias("bands"), F.min(place).alias("at")), "simhash-keys")
-    roots = connected_components(similar_pairs(lowered, signed, text, similarity, "simhash"), "a", "b", "simhash-stars")
+    signed = stash(table.groupBy("key").agg(F.first("bands").alias("bands"), F.first("print").alias("print"), F.min(place).alias("at")), "simhash-keys")
+    least = stash(signed.groupBy(F.col("print").alias("fp")).agg(F.min("key").alias("least")), "simhash-prints")
+    same = signed.join(least, signed.print == least.fp).select(F.col("key").alias("a"), F.col("least").alias("b"))
+    near = links(least.select("fp")).join(least, "fp").select("to", F.col("least").alias("a")).join(least.select(F.col("fp").alias("to"), F.col("least").alias("b")), "to").select("a", "b")
+    pairs = similar_pairs(lowered, signed.drop("print"), "text", similarity, "simhash").unionAll(same).unionAll(near)
+    roots = connected_components(pairs, "a", "b", "simhash-stars")
     return table.select("uid", "doc_id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("uid", "doc_id", F.coalesce("root", "key").alias("root"))
 
 
-def one_of_similar(docs: DataFrame, text: str = "text", similarity: float = 0.8) -> DataFrame:
-    """docs without all but one row of each component of similar documents; the choice is that of one_of_each_group."""
-    return _first_of_each(docs, similar_documents(docs, text, similarity))
+def one_of_each_group(docs: DataFrame, text: str = "text", similarity: float = 0.8) -> DataFrame:
+    """docs without all but one row of each group of similar_documents: the row with the smallest doc_id stays (nulls last), then the first row.
+
+    The texts themselves are not shuffled unless the list of dropped rows is too large to broadcast. Columns of any name are
+    kept; an empty table gives an empty result.
+    """
+    groups = stash(similar_documents(docs, text, similarity), "simhash-groups")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("uid"))
+    first = groups.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.uid").alias("kept"))
+    uid, gone = fresh(docs, "uid", "gone")
+    lost = kept(groups.join(first, groups.uid == first.kept, "left_anti").select(F.col("uid").alias(gone)), "simhash-lost")
+    return with_uid(docs, uid).join(to_all(*lost), F.col(uid) == F.col(gone), "left_anti").drop(uid)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import stash
+from gleanery.llm.common import Recent, fresh, lean, stash, with_uid
 from gleanery.llm.components import connected_components
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -22,7 +22,8 @@ LONG, LEAST, NEAR = 20, 16, 4
 PIVOTS, SMALL = 8, 16
 #: Values of the filter that thins out documents before a join: a fixed bound on what is broadcast.
 FILTER = 1 << 18
-CACHED = 300_000
+#: Words whose hashes a worker keeps.
+CACHED = 160_000
 _PRIMES = np.random.default_rng(11).integers(1, 1 << 62, size=(2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
 
@@ -82,7 +83,7 @@ class Units:
     """Paragraphs and blocks of texts as arrays. Word hashes and powers are kept in a worker."""
 
     def __init__(self):
-        self.cache: dict[bytes, bytes] = {}
+        self.cache = Recent(CACHED)
         self.powers = self.inverses = np.ones(1, dtype=np.uint64)
 
     def _grow(self, n: int) -> None:
@@ -138,19 +139,16 @@ def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
             lists = pa.ListArray.from_arrays(offsets, pa.array(bands.ravel(), pa.int64()), mask=pa.array(~long))
             yield pa.RecordBatch.from_arrays([uid, pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(key), lists], ["uid", "start", "end", "key", "bands"])
 
-    return docs.select(F.monotonically_increasing_id().alias("uid"), text).mapInArrow(run, "uid long, start int, end int, key long, bands array<long>")
+    return with_uid(docs.select(text)).select("uid", text).mapInArrow(lean(run), "uid long, start int, end int, key long, bands array<long>")
 
 
-def word_hashes(words: list[bytes], cache: dict[bytes, bytes]) -> np.ndarray:
-    if len(cache) > CACHED:
-        cache.clear()
+def word_hashes(words: list[bytes], cache: Recent) -> np.ndarray:
     try:
-        joined = b"".join(map(cache.__getitem__, words))
+        joined = b"".join(map(cache.young.__getitem__, words))
     except KeyError:
-        for w in words:
-            if w not in cache:
-                cache[w] = xxhash.xxh3_64_digest(w)
-        joined = b"".join(map(cache.__getitem__, words))
+        new = cache.missing(set(words))
+        cache.young.update({w: xxhash.xxh3_64_digest(w) for w in new})
+        joined = b"".join(map(cache.young.__getitem__, words))
     return np.frombuffer(joined, dtype="<u8")
 
 
@@ -204,7 +202,7 @@ def _shingle_sets(docs: DataFrame, places: DataFrame, text: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, bytes] = {}
+        cache = Recent(CACHED)
         for batch in batches:
             keys, shingles = [], []
             for value, spans in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -217,10 +215,10 @@ def _shingle_sets(docs: DataFrame, places: DataFrame, text: str) -> DataFrame:
     spans = places.groupBy(F.col("uid").alias("of")).agg(F.collect_list(F.struct("start", "end", "key")).alias("spans"))  # of one document
     mark = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER))
     marks = F.broadcast(places.select(mark("uid").alias("mark")).distinct())
-    numbered = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(text).alias("text"))
+    numbered = with_uid(docs.select(F.col(text).alias("text")))
     thinned = numbered.withColumn("mark", mark("uid")).join(marks, "mark", "left_semi")
     joined = thinned.join(spans.hint("shuffle_hash"), F.col("uid") == F.col("of")).select("text", "spans")
-    return joined.mapInArrow(run, "key long, shingles array<long>")
+    return joined.mapInArrow(lean(run), "key long, shingles array<long>")
 
 
 def similar_pairs(docs: DataFrame, signed: DataFrame, text: str, similarity: float, name: str = "repeats") -> DataFrame:
@@ -261,7 +259,7 @@ def repeats(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY)
     roots = stash(connected_components(similar_pairs(docs, signed, text, similarity), "a", "b", "repeats-stars"), "repeats-roots")
     again = units.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     wanted = stash(again.unionAll(roots.select(F.col("node").alias("key"))).distinct().join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("class_id")), "repeats-classes")
-    ids = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"))
+    ids = with_uid(docs.select(F.col("doc_id").cast("long").alias("doc_id")))
     found = stash(units.select("uid", "start", "end", "key").join(wanted, "key").join(ids, "uid").drop("key"), "repeats-found")
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "uid", "start", "end")
     classes = found.groupBy("class_id").agg(F.count("*").alias("copies"), F.min(place).alias("first"))
@@ -271,13 +269,14 @@ def repeats(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY)
 
 def without_repeats(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs with the removed units cut out of `text` (overlapping ones together)."""
-    cuts = repeats(docs, text, similarity).where("removed").groupBy("uid").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__cuts")).withColumnRenamed("uid", "__of")
+    uid, of, at = fresh(docs, "uid", "of", "cuts")
+    cuts = repeats(docs, text, similarity).where("removed").groupBy(F.col("uid").alias(of)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(at))
 
     def keep(acc, c):  # text so far and where it ends in the old one
         part = F.substring(acc["t"], acc["at"] + 1, F.greatest(c["start"] - acc["at"], F.lit(0)))
         return F.struct(acc["t"].alias("t"), F.concat(acc["out"], part).alias("out"), F.greatest(acc["at"], c["end"]).alias("at"))
 
     start = F.struct(F.col(text).alias("t"), F.lit("").alias("out"), F.lit(0).alias("at"))
-    rest = F.aggregate("__cuts", start, keep, lambda acc: F.concat(acc["out"], F.substring(acc["t"], acc["at"] + 1, F.length(acc["t"]))))
-    joined = docs.withColumn("__uid", F.monotonically_increasing_id()).join(cuts, F.col("__uid") == F.col("__of"), "left")
-    return joined.withColumn(text, F.when(F.col("__cuts").isNull(), F.col(text)).otherwise(rest)).drop("__uid", "__of", "__cuts")
+    rest = F.aggregate(at, start, keep, lambda acc: F.concat(acc["out"], F.substring(acc["t"], acc["at"] + 1, F.length(acc["t"]))))
+    joined = with_uid(docs, uid).join(cuts, F.col(uid) == F.col(of), "left")
+    return joined.withColumn(text, F.when(F.col(at).isNull(), F.col(text)).otherwise(rest)).drop(uid, of, at)

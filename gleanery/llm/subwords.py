@@ -9,8 +9,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Words, and parts of words, whose ids a worker keeps. The first ones to come stay: frequent words come early.
-CACHED, STEMS = 750_000, 250_000
+from gleanery.llm.common import Recent
+
+#: Words, and parts of words, whose ids a worker keeps: some 40 MB in all, as an entry takes under 200 bytes.
+CACHED, STEMS = 160_000, 60_000
 _loaded: dict[str, "Subwords"] = {}
 
 
@@ -70,40 +72,31 @@ class Subwords:
             raise ValueError("ids must fit in 16 bits")
         self.ends = np.zeros(1 << 16, dtype=bool)
         self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
+        self.words, self.stems = Recent(CACHED), Recent(STEMS)
 
     def of_texts(self, texts: list[list[bytes]]) -> list[bytes]:
         """Ids of each text, given as its words."""
-        known = self.words
-        new = set().union(*texts).difference(known)
-        room = CACHED - len(known)
+        new = self.words.missing(set().union(*texts))
+        known = self.words.young
         if new:
             known.update(self.learned(new))
-        out = [b"".join(map(known.__getitem__, words)) for words in texts]
-        if len(new) > room:  # what doesn't fit goes again
-            for w in list(new)[max(0, room) :]:
-                del known[w]
-        return out
+        return [b"".join(map(known.__getitem__, words)) for words in texts]
 
     def of_text(self, text: bytes) -> bytes:
         return self.of_texts([text.split()])[0]
 
-    def learned(self, words: Iterable[bytes], keep: bool = True) -> dict[bytes, bytes]:
-        """Ids of new words, in their order; keep: remember stems for later words. A word is its lower-case stem and one mark after it, if it ends with a letter or digit before that
+    def learned(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
+        """Ids of new words. A word is its lower-case stem and one mark after it, if it ends with a letter or digit before that
         mark: the vocabulary splits there, and ignores case."""
         parts = {w: self._parts(w) for w in words}
-        stems = self.stems
-        new = [p.decode() for p in {p for ps in parts.values() for p in ps}.difference(stems)]
+        new = [p.decode() for p in self.stems.missing({p for ps in parts.values() for p in ps})]
+        stems = self.stems.young
         plain = [p for p in new if _plain(p)]
-        made = self._plain_words(plain)
-        others = [p for p in new if p.encode() not in made]
+        stems.update(self._plain_words(plain))
+        others = [p for p in new if p.encode() not in stems]
         for part, found in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            made[part.encode()] = struct.pack(f"<{len(ids := found.ids)}H", *ids)
-        out = {w: b"".join([stems[p] if p in stems else made[p] for p in ps]) for w, ps in parts.items()}
-        if keep and len(stems) < STEMS:
-            stems.update(made)
-        return out
+            stems[part.encode()] = struct.pack(f"<{len(ids := found.ids)}H", *ids)
+        return {w: b"".join([stems[p] for p in ps]) for w, ps in parts.items()}
 
     def counted(self, words: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, lengths, times): ids of distinct stems and marks, how many each has, and how often it occurs in words (word -> times)."""

@@ -3,10 +3,13 @@ from collections import Counter
 
 from test_line_dedup import brute as lines_left
 from test_packing import check as check_packing
-from test_simhash import brute_components, brute_print
+from test_simhash import brute_components
 
 import corpus_pipeline
 from gleanery.llm import quality_knn
+from gleanery.llm.common import Recent
+from gleanery.llm.simhash import shingle_print
+from gleanery.llm.substring_dedup import shingle_hashes, word_hashes
 
 
 def corpus(rnd):
@@ -20,6 +23,34 @@ def corpus(rnd):
     return rows + [(500, None, None, None), (501, "", "en", None), (0, rows[0][1], "en", "s0")]
 
 
+def firsts(rows):
+    """The least doc_id of each group, by brute force: five-word shingles, similarity 0.8 or fingerprints of two bits' difference."""
+    words = [(t or "").lower().split() for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    cache = Recent(1000)
+    prints = [shingle_print(shingle_hashes(word_hashes([x.encode() for x in w], cache))) if w else 0 for w in words]
+    groups = brute_components(dict(enumerate(prints)))
+    holders = {}
+    for i, own in enumerate(sets):
+        for g in own:
+            holders.setdefault(g, []).append(i)
+    shared = Counter((a, b) for ids in holders.values() for b in ids for a in ids if a < b)
+    links = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)] + list(groups.items())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), (True, 0)), (doc_id is None, doc_id or 0))
+    return sorted(d for _, d in least.values())
+
+
 def key(r):
     return tuple(map(str, r))
 
@@ -47,15 +78,10 @@ def test_stages_against_brute_force(spark, docs, tmp_path):
 
     before, after = at["line dedup"]
     given = sorted(before.collect(), key=lambda r: r.doc_id)
-    assert sorted(key((r.doc_id, r.text)) for r in after.collect()) == sorted(key((r.doc_id, t)) for r, t in zip(given, lines_left([(r.doc_id, r.text) for r in given], 2), strict=True))
+    assert sorted(key((r.doc_id, r.text)) for r in after.collect()) == sorted(key((r.doc_id, t)) for r, t in zip(given, [x[0] for x in lines_left([(r.doc_id, r.text) for r in given], 2, 20)], strict=True))
 
     before, after = at["SimHash near-dedup"]
-    prints = [(r.doc_id, brute_print(r.text)) for r in before.collect()]
-    groups = brute_components({i: p for i, (_, p) in enumerate(prints)})
-    first = Counter()
-    for i, (doc_id, _) in enumerate(prints):
-        first[groups[i]] = min(first.get(groups[i], doc_id), doc_id)
-    assert sorted(r.doc_id for r in after.collect()) == sorted(first.values())
+    assert sorted(r.doc_id for r in after.collect()) == firsts([(r.doc_id, r.text) for r in before.collect()])
 
     before, after = at["mixing"]
     had, took, most = Counter(), Counter(), 0
@@ -83,38 +109,7 @@ def test_empty_tables(spark, docs, tmp_path):
     assert corpus_pipeline.run(spark, sf).collect() == []
 
 
-def test_near_copies_go_down_to_similarity_four_fifths(spark, tmp_path):
+def test_near_copies_go_down_to_similarity_four_fifths(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    grams = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-    sets = {r.doc_id: grams((r.text or "").lower().split()) for r in table.collect()}
-    holders = {}
-    for i, grams_ in sets.items():
-        for g in grams_:
-            holders.setdefault(g, []).append(i)
-    shared = Counter((a, b) for ids in holders.values() for b in ids for a in ids if a < b)
-    near = {p: n / (len(sets[p[0]]) + len(sets[p[1]]) - n) for p, n in shared.items()}
-    first = {i: i for i in sets}
-    links = [p for p, j in near.items() if j >= 0.8]
-    assert any(near[p] < 1 for p in links)
-    for _ in sets:
-        before = dict(first)
-        for a, b in links:
-            first[a] = first[b] = min(first[a], first[b])
-        if first == before:
-            break
-    got = dict(corpus_pipeline.STAGES)["similar documents"](spark, table, "")
-    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(set(first.values()))
-
-
-def test_long_lines_stay_once(spark, docs):
-    rnd = random.Random(2)
-    line = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
-    long, short = line(20), line(19)
-    rows = [(3, f"{line(5)}\n{long}\n\n{line(6)}"), (1, f"{line(5)}\n{long}\n{short}\n{line(4)}\n{long}"), (2, f"{short}\n{line(3)}"), (4, f"\n{long}"), (None, long), (None, None), (5, "")]
-    table = docs(rows)
-    out = dict(corpus_pipeline.STAGES)["long line dedup"](spark, table, "")
-    assert out.columns == table.columns
-    cut = lambda t: "\n".join(x for x in t.split("\n") if x != long)
-    first = rows[1][1].rsplit("\n", 1)[0]
-    want = [(3, cut(rows[0][1])), (1, first), rows[2], (4, ""), (None, ""), (None, None), (5, "")]
-    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, want))
+    got = dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, table, "")
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == firsts([(r.doc_id, r.text) for r in table.collect()])
