@@ -8,18 +8,22 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import lean, stash
+from gleanery.llm.common import kept, lean, stash, to_all
 
 #: Of the transformed statistics, in their order: the least standard deviation that counts as spread. Statistics that are the same in most documents would else have none.
 FLOORS = {"log_words": 0.5, "log_word_length": 0.08, "symbols": 0.5, "dup_lines": 1.0, "repeat_words": 1.0}
 DIM = len(FLOORS)
-#: Share of a group that the estimate rests on, refinement steps, least rows of a group, and how rarely a row of a normal group may lie beyond the limit.
-CORE, STEPS, LEAST, RARE = 0.75, 3, 100, 1e-6
-#: Bins per power of two of the squared distance.
-FINE = 16
+#: Share of a group that the estimate rests on, least rows of a group, and how rarely a row of a normal group may lie beyond the limit.
+CORE, LEAST, RARE = 0.75, 100, 1e-6
+#: Bins per power of two of the squared distance: the border of a share of the rows is known to 0.07 %, and the bin on it counts in part.
+FINE = 1024
+#: A determinant falls if it does so by more than this part.
+LESS = 1e-6
+#: Estimates from which concentration starts.
+STARTS = ("spread", "half", "sign", "tanh")
 
 
 def chi_square(p: float, dim: int) -> float:
@@ -60,8 +64,8 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "lang", "source", *names])
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text)
-    return kept.mapInArrow(lean(run), "doc_id long, lang string, source string, " + ", ".join(f"{x} long" for x in names))
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text)
+    return wanted.mapInArrow(lean(run), "doc_id long, lang string, source string, " + ", ".join(f"{x} long" for x in names))
 
 
 def _transformed(stats: DataFrame) -> DataFrame:
@@ -70,26 +74,31 @@ def _transformed(stats: DataFrame) -> DataFrame:
     return stats.withColumns({"x0": F.log1p("n_words"), "x1": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / words), "x2": rate("n_symbols", words), "x3": rate("n_dup_lines", F.greatest(F.col("n_lines"), F.lit(1))), "x4": rate("n_repeat_words", words)})
 
 
+X = [f"x{i}" for i in range(DIM)]
+PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
+MODEL = "g long, start int, mu array<double>, p array<double>, det double, before double"
+
+
 def _grouped(stats: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """stats with a group key `g`: language and source, the language alone if that has under `least` rows, else all; and the rows
-    that each group's estimate rests on: all rows of the group, the language or the table, so that a row may be in three."""
+    """stats with a group key `g`: language and source, the language alone if that has under `least` rows, else all; and the
+    distinct vectors (g, x0, ..., w rows) that each group's estimate rests on: all rows of the group, the language or the
+    table, so that a row may be in three. A group of copies is one vector."""
     sizes = stats.groupBy(F.col("lang").alias("l"), F.col("source").alias("s")).agg(F.count("*").alias("n"))
     langs = sizes.groupBy(F.col("l").alias("k")).agg(F.sum("n").alias("m"))
     own, of_lang, of_all = F.xxhash64(F.lit(2), "l", F.col("l").isNull(), "s", F.col("s").isNull()), F.xxhash64(F.lit(1), "l", F.col("l").isNull()), F.lit(0).cast("long")
     key = F.when(F.col("n") >= least, own).when(F.col("m") >= least, of_lang).otherwise(of_all)
-    keys = sizes.join(langs, F.col("l").eqNullSafe(F.col("k"))).select("l", "s", key.alias("g"), F.array_distinct(F.array(key, of_lang, of_all)).alias("may"))
-    keyed = stash(stats.join(keys, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).drop("l", "s"), "outliers-grouped")
-    used = keyed.select(F.col("g").alias("used")).distinct()
-    values = [f"x{i}" for i in range(DIM)]
-    rest = keyed.select(F.explode("may").alias("g"), *values).join(used, F.col("g") == F.col("used"), "left_semi")
-    return keyed.drop("may"), stash(rest, "outliers-rows")
-
-
-MODEL = "g long, mu array<double>, p array<double>"
+    keys = sizes.join(langs, F.col("l").eqNullSafe(F.col("k"))).select("l", "s", key.alias("g"), F.array(own, of_lang, of_all).alias("may"))
+    keys, path = kept(keys, "outliers-groups")
+    small = to_all(keys, path)
+    keyed = stats.join(small, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).drop("l", "s", "may")
+    used, used_path = kept(keys.select(F.col("g").alias("used")).distinct(), "outliers-used")
+    vectors = stats.groupBy("lang", "source", *X).agg(F.count("*").alias("w")).join(small, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")))
+    rest = vectors.select(F.explode("may").alias("g"), *X, "w").join(to_all(used, used_path), F.col("g") == F.col("used"), "left_semi")
+    return keyed, stash(rest.groupBy("g", *X).agg(F.sum("w").alias("w")), "outliers-vectors")
 
 
-def _inverted(moments: DataFrame) -> DataFrame:
-    """(g, mu, p): centre and inverse covariance from the sums of each group, one row per group."""
+def _estimated(moments: DataFrame) -> DataFrame:
+    """Models (centre, inverse scatter, its determinant, the determinant before) from the weighted sums of each (g, start), one row each."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         floor = np.diag(np.square(list(FLOORS.values())))
@@ -98,50 +107,114 @@ def _inverted(moments: DataFrame) -> DataFrame:
             for r in f.itertuples(index=False):
                 mu = np.array([getattr(r, f"s{i}") for i in range(DIM)]) / r.n
                 cross = np.array([[getattr(r, f"s{min(i, j)}_{max(i, j)}") for j in range(DIM)] for i in range(DIM)]) / r.n
-                cov = cross - np.outer(mu, mu)
-                out.append((r.g, mu.tolist(), np.linalg.inv((cov + cov.T) / 2 + floor).ravel().tolist()))
-            yield pd.DataFrame(out, columns=["g", "mu", "p"])
+                scatter = cross - np.outer(mu, mu)
+                scatter = (scatter + scatter.T) / 2 + floor
+                out.append((r.g, r.start, mu.tolist(), np.linalg.inv(scatter).ravel().tolist(), float(np.linalg.det(scatter)), r.before))
+            yield pd.DataFrame(out, columns=["g", "start", "mu", "p", "det", "before"])
 
     return moments.mapInPandas(run, MODEL)
 
 
-def _with_distance(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """rows with `d2`, the squared Mahalanobis distance in their group's model, and its bin."""
-    joined = rows.join(model, "g")
-    dev = [F.col(f"x{i}") - F.get("mu", F.lit(i)) for i in range(DIM)]
-    d2 = sum((dev[i] * dev[j] * F.get("p", F.lit(DIM * i + j)) * (1 if i == j else 2) for i in range(DIM) for j in range(i, DIM)), F.lit(0.0))
-    return joined.withColumn("d2", d2).withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-9) * FINE))
-
-
-def _bins_up_to(rows: DataFrame, share: float) -> DataFrame:
-    """(g, upto): the bin in which each group's cumulated count reaches `share`. Counts per bin are pre-aggregated; a group has some hundred bins."""
-    counts = rows.groupBy("g", "bin").count()
-    along, whole = Window.partitionBy("g").orderBy("bin"), Window.partitionBy("g")
-    reached = counts.withColumn("cum", F.sum("count").over(along)).withColumn("all", F.sum("count").over(whole)).where(F.col("cum") >= share * F.col("all"))
-    return reached.groupBy("g").agg(F.min("bin").alias("upto"))
+def _sums(weight: Column) -> list[Column]:
+    return [F.sum(weight).alias("n"), *(F.sum(weight * F.col(x)).alias(f"s{i}") for i, x in enumerate(X)), *(F.sum(weight * F.col(X[i]) * F.col(X[j])).alias(f"s{i}_{j}") for i, j in PAIRS)]
 
 
-def minimum_covariance(rows: DataFrame, core: float = CORE, steps: int = STEPS) -> DataFrame:
-    """(g, mu, p, scale) per group: location, inverse scatter and spread of its central rows.
+def _with_distance(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """rows with the columns of the models of their group, and `d2`, the squared Mahalanobis distance, and its bin."""
+    joined = rows.join(model.withColumnRenamed("g", "of"), F.col("g") == F.col("of")).drop("of")
+    dev = [F.col(f"x{i}") - F.get("mu", F.lit(i)) for i in range(DIM)]
+    d2 = sum((dev[i] * dev[j] * F.get("p", F.lit(DIM * i + j)) * (1 if i == j else 2) for i, j in PAIRS), F.lit(0.0))
+    return joined.withColumn("d2", d2).withColumn("bin", F.floor(F.log2(F.greatest("d2", F.lit(0.0)) + 1e-9) * FINE))
+
+
+def _border(rows: DataFrame, share: Column) -> DataFrame:
+    """(g, start, border, part): the bin in which the cumulated rows of a model reach `share` of all, and how much of that bin
+    makes up the share. Counts per bin are pre-aggregated; a group has some ten thousand bins at most."""
+    counts = rows.groupBy("g", "start", "bin").agg(F.sum("w").alias("w"), F.first(share).alias("share"))
+    along, whole = Window.partitionBy("g", "start").orderBy("bin"), Window.partitionBy("g", "start")
+    cum = counts.withColumn("cum", F.sum("w").over(along)).withColumn("wanted", F.col("share") * F.sum("w").over(whole))
+    reached = cum.where((F.col("cum") >= F.col("wanted")) & (F.col("cum") - F.col("w") < F.col("wanted")))
+    return reached.select("g", "start", F.col("bin").alias("border"), ((F.col("wanted") - F.col("cum") + F.col("w")) / F.col("w")).alias("part"))
+
+
+def _concentrated(rows: DataFrame, model: DataFrame, share: Column) -> DataFrame:
+    """The next models: from the `share` of rows with the least distances. Equal distances count alike, in part if they are on the border."""
+    near = _with_distance(rows, model)
+    border = to_all(*kept(_border(near, share), "outliers-border")).select(F.col("g").alias("bg"), F.col("start").alias("bs"), "border", "part")
+    inside = near.join(border, (F.col("g") == F.col("bg")) & (F.col("start") == F.col("bs"))).where("bin <= border")
+    weight = F.col("w") * F.when(F.col("bin") < F.col("border"), 1.0).otherwise(F.col("part"))
+    return _estimated(inside.groupBy("g", "start").agg(*_sums(weight), F.first("det").alias("before")))
+
+
+def _medians(rows: DataFrame, values: list[Column], name: str) -> DataFrame:
+    """(g, name0, ...): the weighted median of each value, to three decimals. The values are logarithms, so a group has some ten thousand of them at most."""
+    each = rows.select("g", "w", F.posexplode(F.array(*(F.round(v, 3) for v in values))).alias("i", "v")).groupBy("g", "i", "v").agg(F.sum("w").alias("w"))
+    along, whole = Window.partitionBy("g", "i").orderBy("v"), Window.partitionBy("g", "i")
+    middle = each.withColumn("cum", F.sum("w").over(along)).withColumn("all", F.sum("w").over(whole)).where(2 * F.col("cum") >= F.col("all"))
+    return middle.groupBy("g").agg(*(F.min(F.when(F.col("i") == i, F.col("v"))).alias(f"{name}{i}") for i in range(len(values))))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Models to start from, for each group: medians with median absolute deviations, out of which half of the rows are taken
+    by distance in a second; and covariances of spatial signs and of hyperbolic tangents around the medians. Outliers cannot move any of them much."""
+    many = F.col("w").cast("long")
+    middle, path = kept(_medians(rows, [F.col(x) for x in X], "m").withColumnRenamed("g", "of"), "outliers-middle")
+    centred = rows.join(to_all(middle, path), F.col("g") == F.col("of"))
+    mad = _medians(centred, [F.abs(F.col(x) - F.col(f"m{i}")) for i, x in enumerate(X)], "a").join(middle, F.col("g") == F.col("of"))
+    scales = [F.sqrt(F.pow(1.4826 * F.col(f"a{i}"), F.lit(2.0)) + f * f) for i, f in enumerate(FLOORS.values())]
+    mad, path = kept(mad.select("of", *(f"m{i}" for i in range(DIM)), *(x.alias(f"a{i}") for i, x in enumerate(scales))), "outliers-spread")
+    z = rows.join(to_all(mad, path), F.col("g") == F.col("of")).withColumns({f"z{i}": (F.col(x) - F.col(f"m{i}")) / F.col(f"a{i}") for i, x in enumerate(X)})
+    length = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(DIM)), F.lit(0.0)))
+    z = z.withColumn("length", F.greatest(length, F.lit(1e-9)))
+    mixed = {"sign": lambda i: F.col(f"z{i}") / F.col("length"), "tanh": lambda i: F.tanh(f"z{i}")}
+    sums = [F.sum(many * f(i) * f(j)).alias(f"{name}{i}_{j}") for name, f in mixed.items() for i, j in PAIRS]
+    both = z.groupBy("g", *(f"{c}{i}" for c in "ma" for i in range(DIM))).agg(F.sum(many).alias("n"), *sums)
 
-    Starts at medians and median absolute deviations, which outliers cannot move much; then concentration steps: take the
-    `core` share of rows with the least distances, and estimate again from their sums. Each step lowers the determinant. All
-    rows of a group count in each step, through partial sums and histograms; no group is gathered anywhere. `scale` corrects
-    for the cut by the median distance.
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                mu, scale = (np.array([getattr(r, f"{c}{i}") for i in range(DIM)]) for c in "ma")
+                for k, name in enumerate(STARTS):
+                    scatter = np.eye(DIM)
+                    if name in ("sign", "tanh"):
+                        scatter = np.array([[getattr(r, f"{name}{min(i, j)}_{max(i, j)}") for j in range(DIM)] for i in range(DIM)]) / r.n
+                        scatter *= DIM / max(np.trace(scatter), 1e-9)
+                        scatter += 0.05 * np.eye(DIM)
+                    scatter = scatter * np.outer(scale, scale)
+                    out.append((r.g, k, mu.tolist(), np.linalg.inv(scatter).ravel().tolist(), float("inf"), float("inf")))
+            yield pd.DataFrame(out, columns=["g", "start", "mu", "p", "det", "before"])
+
+    return both.mapInPandas(run, MODEL)
+
+
+def minimum_covariance(rows: DataFrame, core: float = CORE) -> DataFrame:
+    """(g, mu, p, scale) per group of rows (g, x0, ..., w): location, inverse scatter and spread of its central rows.
+
+    Of subsets of the `core` share of a group's rows the one whose scatter has the least determinant is sought, by concentration
+    from several starts: take the rows with the least distances, estimate again from their sums, and go on as long as the
+    determinant falls. (With FLOORS added to the scatter a step cannot raise it, as for the plain estimator, but for the
+    width of a bin of distances.) Of the starts the one with the least determinant counts. All rows of a group count in each step,
+    through partial sums and histograms of distances; no group is gathered anywhere, and no number of steps is set. `scale`
+    corrects for the cut by the median distance.
     """
-    mid = rows.groupBy("g").agg(*(F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in range(DIM)))
-    mad = rows.join(mid, "g").groupBy("g").agg(*(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i in range(DIM)))
-    start = mid.join(mad, "g")
-    inverse = [1 / (F.pow(1.4826 * F.col(f"a{i}"), F.lit(2.0)) + f * f) if i == j else F.lit(0.0) for i, f in enumerate(FLOORS.values()) for j in range(DIM)]
-    model = stash(start.select("g", F.array(*(F.col(f"m{i}") for i in range(DIM))).alias("mu"), F.array(*inverse).alias("p")), "outliers-start")
-    for step in range(steps):
-        near = stash(_with_distance(rows, model).select("g", "bin", *(f"x{i}" for i in range(DIM))), f"outliers-near-{step}")
-        inside = near.join(_bins_up_to(near, core), "g").where("bin <= upto")
-        sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(DIM)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i in range(DIM) for j in range(i, DIM)]
-        model = stash(_inverted(inside.groupBy("g").agg(F.count("*").alias("n"), *sums)), f"outliers-model-{step}")
-    middle = _bins_up_to(_with_distance(rows, model), 0.5)
-    spread = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("upto") + 0.5) / FINE) / chi_square(0.5, DIM))
-    return stash(model.join(middle, "g").select("g", "mu", "p", spread.alias("scale")), "outliers-model")
+    rows = rows if "w" in rows.columns else rows.withColumn("w", F.lit(1))
+    model, path = kept(_starts(rows), "outliers-starts")
+    ended, share = [], F.when((F.col("det") == float("inf")) & (F.col("start") == STARTS.index("half")), 0.5).otherwise(core)
+    while True:
+        model, path = kept(_concentrated(rows, to_all(model, path), share), "outliers-model")
+        falls = F.col("det") < F.col("before") * (1 - LESS)
+        ended.append(model.where(~falls))
+        model, path = kept(model.where(falls), "outliers-open")
+        if model.isEmpty():
+            break
+    every = ended[0]
+    for x in ended[1:]:
+        every = every.unionAll(x)
+    best, best_path = kept(every.groupBy("g").agg(F.min(F.struct("det", "start", "mu", "p")).alias("least")).select("g", "least.start", "least.mu", "least.p", "least.det"), "outliers-least")
+    middle = _border(_with_distance(rows, to_all(best, best_path)), F.lit(0.5))
+    spread = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("border") + 0.5) / FINE) / chi_square(0.5, DIM))
+    return best.drop("start").join(middle.drop("start"), "g").select("g", "mu", "p", "det", spread.alias("scale"))
 
 
 def judge(docs: DataFrame, text: str = "text", core: float = CORE, least: int = LEAST, rare: float = RARE) -> DataFrame:
@@ -158,7 +231,7 @@ def judge(docs: DataFrame, text: str = "text", core: float = CORE, least: int =
     failed = (words < 50) | (100 * F.col("n_repeat_words") > 50 * words)
     stats = stash(_transformed(statistics(docs, text)).withColumn("base_failed", failed), "outliers-statistics")
     good, rows = _grouped(stats.where("not base_failed"), least)
-    model = minimum_covariance(rows, core)
+    model = to_all(*kept(minimum_covariance(rows, core), "outliers-models"))
     limit = chi_square(1 - rare, DIM)
     far = _with_distance(good, model).withColumn("distance", F.col("d2") / (F.col("scale") * limit))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]

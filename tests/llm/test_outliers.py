@@ -72,3 +72,69 @@ def test_small_groups_are_judged_by_their_whole_language(docs):
     kept = {r.doc_id: r.kept for r in outliers.judge(docs(rows)).collect()}
     assert [i for i in sorted(kept) if i >= 1000 and kept[i]] == [1100, 2001]
     assert np.mean([kept[i] for i in range(300)]) > 0.99
+
+
+def brute_model(x, core=outliers.CORE):
+    """Minimum covariance determinant of one group by plain loops over whole arrays."""
+    floors = np.array(list(outliers.FLOORS.values()))
+    middle = lambda v: np.sort(np.round(v, 3), axis=0)[(len(v) - 1) // 2]
+    mid = middle(x)
+    scale = np.sqrt((1.4826 * middle(np.abs(x - mid))) ** 2 + floors**2)
+    z = (x - mid) / scale
+    unit = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+    starts = []
+    for part in (None, None, unit, np.tanh(z)):
+        s = np.eye(len(mid))
+        if part is not None:
+            s = part.T @ part / len(z)
+            s = s * len(mid) / np.trace(s) + 0.05 * np.eye(len(mid))
+        starts.append(s * np.outer(scale, scale))
+    best = None
+    for k, start in enumerate(starts):
+        mu, cov, before, share = mid, start, np.inf, 0.5 if k == 1 else core
+        while True:
+            d = np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu)
+            wanted, border = share * len(x), np.sort(d)[int(np.ceil(share * len(x))) - 1]
+            low, on = d < border * (1 - 1e-9), np.abs(d - border) <= border * 1e-9
+            w = np.where(low, 1.0, np.where(on, (wanted - low.sum()) / on.sum(), 0.0))
+            mu = w @ x / w.sum()
+            cov = (x - mu).T @ ((x - mu) * w[:, None]) / w.sum() + np.diag(floors**2)
+            det, share = np.linalg.det(cov), core
+            if not det < before * (1 - outliers.LESS):
+                break
+            before = det
+        if best is None or det < best[0]:
+            best = det, mu, np.linalg.inv(cov)
+    d = np.einsum("ij,jk,ik->i", x - best[1], best[2], x - best[1])
+    spread = max(1.0, np.sort(d)[(len(d) + 1) // 2 - 1] / outliers.chi_square(0.5, outliers.DIM))
+    return best[0], d / (spread * outliers.chi_square(1 - outliers.RARE, outliers.DIM))
+
+
+def vectors(rows):
+    out = []
+    for n, chars, symbols, dups, again, lines in (brute(t) for t in rows):
+        out.append([np.log1p(n), np.log(max(chars, 1) / n), np.log1p(100 * symbols / n), np.log1p(100 * dups / max(lines, 1)), np.log1p(100 * again / n)])
+    return np.array(out)
+
+
+def test_verdicts_against_brute_force(docs):
+    rnd = random.Random(11)
+    rows = [(i, text(rnd, rnd.randrange(60, 300)), "en", "a") for i in range(160)] + [(i, text(rnd, rnd.randrange(60, 90)), "de", "b") for i in range(200, 330)]
+    rows += [(400 + i, text(rnd, 120, True), "en", "a") for i in range(25)] + [(500 + i, rows[3][1], "en", "a") for i in range(60)]
+    rows += [(600 + i, "\n".join([text(rnd, 12)] * 2 + [text(rnd, 60)]), "de", "b") for i in range(8)]
+    got = {r.doc_id: r for r in outliers.judge(docs(rows)).collect()}
+    for lang in ("en", "de"):
+        own = [r for r in rows if r[2] == lang and not got[r[0]].base_failed]
+        _, far = brute_model(vectors([r[1] for r in own]))
+        for r, d in zip(own, far, strict=True):
+            assert abs(got[r[0]].distance - d) <= 0.02 * d + 1e-3
+            assert got[r[0]].kept == (got[r[0]].distance <= 1) and (got[r[0]].kept == (d <= 1) or abs(d - 1) < 0.02)
+    assert not any(got[400 + i].kept for i in range(25))
+
+
+def test_no_determinant_is_left_that_another_start_beats(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(300, outliers.DIM)) * [1, 2, 3, 1, 1], rng.normal(4, 0.5, size=(90, outliers.DIM))])
+    df = spark.createDataFrame([(1, *map(float, v)) for v in x], "g long, " + ", ".join(f"x{i} double" for i in range(outliers.DIM)))
+    det, _ = brute_model(x)
+    assert abs(outliers.minimum_covariance(df).first().det - det) <= 0.01 * det
