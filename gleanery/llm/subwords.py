@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import os
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from gleanery.llm.common import Recent
+from gleanery.llm.words import Words
 
-#: Words, and parts of words, whose ids a worker keeps: some 40 MB in all, as an entry takes under 200 bytes.
-CACHED, STEMS = 160_000, 60_000
+#: Words, and parts of words, whose ids a worker keeps: some 100 MB in all, as an entry takes under 200 bytes.
+CACHED, STEMS = 400_000, 120_000
 _loaded: dict[str, "Subwords"] = {}
 
 
@@ -34,21 +36,9 @@ def bodies(column: pa.Array) -> list[bytes]:
     return [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in column.cast(pa.binary())]
 
 
-def lowered(text: bytes) -> bytes:
+def lowered(texts: pa.Array) -> pa.Array:
     """The vocabulary ignores case, but for its special tokens' names."""
-    return text if b"<|" in text else text.lower()
-
-
-def in_groups(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Successive ranges of texts of about `size` bytes, at least one text each."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        total += len(t)
-        if total >= size:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    return pc.if_else(pc.fill_null(pc.match_substring(texts, "<|"), False), texts, pc.ascii_lower(texts))
 
 
 def _plain(part: str) -> bool:
@@ -82,6 +72,21 @@ class Subwords:
             known.update(self.learned(new))
         return [b"".join(map(known.__getitem__, words)) for words in texts]
 
+    def of_words(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the ids of all words in turn (16 bits each), and where each word's end."""
+        bodies = words.bodies()
+        new = self.words.missing(set(bodies))
+        known = self.words.young
+        if new:
+            known.update(self.learned(new))
+        found = list(map(known.__getitem__, bodies))
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 2
+        each = sizes[words.codes]
+        ends = np.cumsum(each)
+        first = np.cumsum(sizes) - sizes
+        places = np.repeat(first[words.codes] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)
+        return np.frombuffer(b"".join(found), dtype="<u2")[places], ends
+
     def of_text(self, text: bytes) -> bytes:
         return self.of_texts([text.split()])[0]
 
