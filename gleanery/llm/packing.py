@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import lean, stash, with_uid
-from gleanery.llm.subwords import bodies, default_tokenizer, in_groups, loaded, lowered
+from gleanery.llm.subwords import bodies, default_tokenizer, loaded, lowered
+from gleanery.llm.words import ranges, words_of
 
 CAPACITY = 4096
 #: A sequence with more padding than this is cut into sequences of powers of two, which need none.
 MAX_PADDING = 64
-#: Pieces of one length are numbered in this many parts, so that no length meets in one task.
-SALTS = 32
+#: Pieces of one length are numbered in parts of about so many, so that no length meets in one task however many pieces it has.
+PART = 50_000
 
 
 class Pattern(NamedTuple):
@@ -112,15 +113,19 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, end: int, text: str)
         subwords = loaded(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
-            uids, doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), bodies(batch.column(2))
-            for a, b in in_groups(texts):
-                for i, ids in zip(range(a, b), subwords.of_texts([lowered(t).split() for t in texts[a:b]]), strict=True):
-                    ids += last
-                    n = len(ids) // 2
-                    rows += [(uids[i], doc_ids[i], at, min(capacity, n - at), _crc(ids[2 * at : 2 * (at + capacity)]), n) for at in range(0, n, capacity)]
+            uids, doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            for a, b in ranges(texts):
+                words = words_of(lowered(texts.slice(a, b - a)))
+                ids, ends = subwords.of_words(words)
+                bounds, whole = np.concatenate([[0], ends])[words.bounds].tolist(), memoryview(ids.astype("<u4")).cast("B")
+                for i, low, high in zip(range(a, b), bounds, bounds[1:], strict=False):
+                    n = high - low + 1
+                    for at in range(0, n, capacity):
+                        crc = zlib.crc32(whole[4 * (low + at) : 4 * min(high, low + at + capacity)])
+                        rows.append((uids[i], doc_ids[i], at, min(capacity, n - at), crc if at + capacity < n else zlib.crc32(last, crc), n))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(names), schema=schema)
 
-    names, last = ["uid", "doc_id", "start", "length", "ids_crc32", "doc_tokens"], end.to_bytes(2, "little")
+    names, last = ["uid", "doc_id", "start", "length", "ids_crc32", "doc_tokens"], end.to_bytes(4, "little")
     schema = pa.schema([(x, pa.int64()) for x in names])
     return with_uid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))).select("uid", "doc_id", "text").mapInArrow(lean(run), ", ".join(f"{x} long" for x in names))
 
@@ -130,17 +135,19 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, max_padding: int = MAX_PADDI
 
     A document is its subword ids and the end id (null and empty texts: the end id alone). Documents of `capacity` ids or
     more give full windows and a rest. The numbers of pieces of each length, at most `capacity` counts whatever the corpus,
-    go to the driver, which plans windows by minimum bin slack. Pieces are numbered within their length in salted parts, and
-    find their window by that number. Windows that would need more than max_padding ids of padding are cut into sequences of
+    go to the driver, which plans windows by minimum bin slack. Pieces are numbered within their length, in hashed parts of
+    about PART pieces, and find their window by that number. Windows that would need more than max_padding ids of padding are cut into sequences of
     powers of two; only documents with a piece cut that way are tokenized again. Repeated rows and doc_ids are packed one by
     one, equal pieces in either order; a null doc_id is kept; extra columns are ignored; an empty table gives an empty result.
     """
     tokenizer = tokenizer or default_tokenizer()
-    cut = stash(pieces(docs, capacity, tokenizer, end, text), "packing-pieces").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)))
-    sizes = stash(cut.groupBy("length", "salt").count(), "packing-sizes")
-    histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows
+    cut = stash(pieces(docs, capacity, tokenizer, end, text), "packing-pieces")
+    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     places = _places(minimum_bin_slack(histogram, capacity), capacity, max_padding)
-    before = sizes.select("length", "salt", (F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"))
+    many = F.array(*(F.lit(1 + histogram.get(x, 0) // PART) for x in range(capacity + 1)))
+    cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "uid"), F.get(many, F.col("length").cast("int"))))
+    sizes = cut.groupBy("length", "salt").count()
+    before = stash(sizes.select("length", "salt", (F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before")), "packing-sizes")
     ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "uid")) - 1).join(before, ["length", "salt"])
     names = ["uid", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "whole"]
     schema = pa.schema([(x, pa.int64()) for x in names])

@@ -5,22 +5,23 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from operator import eq
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gleanery.llm.common import Recent, crc_mod, fresh, lean
+from gleanery.llm.common import crc_mod, fresh, lean
+from gleanery.llm.words import Words, ranges, words_of
 
 #: Width of the hashed term space, of the latent space; at most as many labelled rows of each class are fitted on; neighbours that vote; documents in a block.
 HASHED, LATENT, PER_CLASS, NEIGHBOURS, BLOCK = 1 << 13, 48, 1000, 25, 512
 #: Characters that terms count by place in a word.
 SHAPE = bytes(c if c in b"\n" else ord("a") if 97 <= c < 123 else ord("A") if 65 <= c < 91 else ord("0") if 48 <= c < 58 else ord("w") if c >= 128 else c for c in range(256))
-CACHED = 100_000
 
 
 class Model(NamedTuple):
@@ -31,31 +32,46 @@ class Model(NamedTuple):
     prior: float
 
 
-def _word_terms(word: bytes) -> tuple[int, ...]:
-    """Hashed terms of a word: its lower-cased self, its last two characters, and its shape with runs cut short (Ab, AB!!, a%%%)."""
-    shape = re.sub(rb"(.)\1+", rb"\1\1", word.translate(SHAPE))
-    return tuple(zlib.crc32(t) % HASHED for t in (b"w" + word.lower(), b"e" + word[-2:].translate(SHAPE), b"s" + shape))
+def _word_terms(words: Words) -> np.ndarray:
+    """Hashed terms of each distinct word, a row of three: its lower-cased self, the shapes of its last two characters, and its
+    shape with runs cut short (Ab, AB!!, a%%%)."""
+    bodies = words.bodies()
+    out = np.empty((len(bodies), 3), dtype=np.int64)
+    out[:, 0] = hash_array(np.array(pc.ascii_lower(words.unique).to_pylist(), dtype=object), categorize=False) % np.uint64(HASHED)
+    shapes = b"\n".join(bodies).translate(SHAPE)
+    each: dict[bytes, int] = {}
 
+    def term(mark: bytes, shape: bytes) -> int:
+        found = each.get(mark + shape)
+        return each.setdefault(mark + shape, zlib.crc32(mark + shape) % HASHED) if found is None else found
 
-class Terms:
-    """Term frequencies of texts, dampened, as one row per text. Words' hashes are cached in a worker."""
+    out[:, 1] = [term(b"e", x[-2:]) for x in shapes.split(b"\n")]
+    out[:, 2] = [term(b"s", x) for x in re.sub(rb"(.)\1+", rb"\1\1", shapes).split(b"\n")]
+    return out
 
-    def __init__(self):
-        self.cache = Recent(CACHED)
+
+class Terms:
+    """Term frequencies of texts, dampened, as one row (ids, values) per text."""
+
+    def rows(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Texts without words have an empty row."""
+        words = words_of(texts)
+        if not len(words.codes):
+            return [_NONE] * len(texts)
+        terms, out = _word_terms(words), []
+        for a, b, value in zip(words.bounds, words.bounds[1:], texts.cast(pa.binary()), strict=False):
+            out.append(self._row(words.codes[a:b], terms, value.as_buffer().to_pybytes()) if b > a else _NONE)
+        return out
 
     def row(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        words = data.split()
-        new = self.cache.missing(set(words))
-        cache, at = self.cache.young, []
-        cache.update({w: _word_terms(w) for w in new})
-        for w in words:
-            at += cache[w]
+        return self.rows(pa.array([data.decode()]))[0]
+
+    def _row(self, codes: np.ndarray, terms: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         lines = [x for x in data.split(b"\n") if x.strip()]
-        repeats = len(lines) - len(set(lines))
-        n = len(words)
-        twice = sum(map(eq, words, words[1:]))
-        marks = [b"n%d" % (n.bit_length() // 3), b"r%d" % (5 * repeats // max(1, len(lines))), b"d%d" % min(3, 10 * len(set(words)) // max(1, n)), b"a%d" % min(3, 10 * twice // max(1, n))]
-        counts = np.bincount(np.array(at, dtype=np.int64), minlength=0) if at else np.zeros(0, dtype=np.int64)
+        repeats, n = len(lines) - len(set(lines)), len(codes)
+        twice, distinct = int((codes[1:] == codes[:-1]).sum()), len(np.unique(codes))
+        marks = [b"n%d" % (n.bit_length() // 3), b"r%d" % (5 * repeats // max(1, len(lines))), b"d%d" % min(3, 10 * distinct // n), b"a%d" % min(3, 10 * twice // n)]
+        counts = np.bincount(terms[codes].ravel(), minlength=HASHED)
         ids = np.flatnonzero(counts)
         values = np.log1p(counts[ids]).astype(np.float32)
         extra = np.array([zlib.crc32(m) % HASHED for m in marks])
@@ -63,6 +79,9 @@ class Terms:
         return np.concatenate([ids, extra]), np.concatenate([values, np.full(len(extra), weight, dtype=np.float32)])
 
 
+_NONE = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32)
+
+
 def _matrix(rows: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarray:
     out = np.zeros((len(rows), width), dtype=np.float32)
     for i, (ids, values) in enumerate(rows):
@@ -130,7 +149,7 @@ def fit_from(docs: DataFrame, labels: DataFrame, text: str = "text", per_class:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for batch in batches:
-            made = [terms.row(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in batch.column(2).cast(pa.binary())]
+            made = terms.rows(batch.column(2).fill_null(""))
             ids, values = ([m[0].astype("<i4").tobytes() for m in made], [m[1].astype("<f4").tobytes() for m in made])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "quality", "ids", "values"])
 
@@ -150,12 +169,10 @@ def scored(docs: DataFrame, model: Model | None, score_name: str, text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, own = Terms(), shared.value
         for batch in batches:
-            column, scores = batch.column(at), []
-            for start in range(0, batch.num_rows, BLOCK):
-                block = column.slice(start, BLOCK).cast(pa.binary())
-                bodies = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in block]
-                rows = [terms.row(x) if x.split(None, 1) else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32)) for x in bodies]
-                scores.append(score_block(own, rows, neighbours))
+            column, scores = batch.column(at).fill_null(""), []
+            for low, high in ranges(column):
+                rows = terms.rows(column.slice(low, high - low))
+                scores += [score_block(own, rows[k : k + BLOCK], neighbours) for k in range(0, len(rows), BLOCK)]
             joined = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(joined, pa.float64())], names=[*batch.schema.names, score_name])
 
