@@ -15,6 +15,8 @@ from gleanery.llm.words import Words
 
 #: Words, and parts of words, whose ids a worker keeps: some 100 MB in all, as an entry takes under 200 bytes.
 CACHED, STEMS = 400_000, 120_000
+#: Words that are encoded as one text, and marks that may end a word: the vocabulary never joins them with a letter or digit before them.
+JOINED, TAIL = 512, b".,!?;:|#$%*&+=~^_@/()[]{}-"
 _loaded: dict[str, "Subwords"] = {}
 
 
@@ -91,8 +93,8 @@ class Subwords:
         return self.of_texts([text.split()])[0]
 
     def learned(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
-        """Ids of new words. A word is its lower-case stem and one mark after it, if it ends with a letter or digit before that
-        mark: the vocabulary splits there, and ignores case."""
+        """Ids of new words. A word is its lower-case stem and the marks after it, if the stem ends with a letter or digit: the
+        vocabulary splits there, and ignores case."""
         parts = {w: self._parts(w) for w in words}
         new = [p.decode() for p in self.stems.missing({p for ps in parts.values() for p in ps})]
         stems = self.stems.young
@@ -118,10 +120,11 @@ class Subwords:
         return np.concatenate([ids, *(np.array(f, dtype="<u2") for f in found)]), lengths, np.array([times[p] for p in (*plain, *others)])
 
     def _plain_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Words of letters alone, encoded as one text: ids, and where each word ends, which is after an id that ends a word."""
+        """Words of letters alone, encoded as texts of JOINED of them: ids, and where each word ends, which is after an id that ends a word."""
         if not words:
             return np.zeros(0, dtype="<u2"), np.zeros(0, dtype=np.int64)
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u2")
+        texts = [" ".join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)]
+        ids = np.concatenate([np.array(e.ids, dtype="<u2") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words):
             raise ValueError("the vocabulary doesn't mark the ends of words")
@@ -137,4 +140,7 @@ class Subwords:
         if b"<|" in word:  # may be a special token, whose case counts
             return (word,)
         low = word.lower()
-        return (low[:-1], low[-1:]) if len(low) > 1 and low[-1] in b".,!?;:|" and low[-2:-1].isalnum() else (low,)
+        stem = low.rstrip(TAIL)
+        if len(stem) == len(low) or not stem or not (stem[-1:].isalnum() or stem[-1] >= 128 and stem.decode()[-1].lower()[-1].isalnum()):
+            return (low,)
+        return stem, low[len(stem) :]
