@@ -23,7 +23,7 @@ KINDS = ("assign", "access", "hex", "weak_id", "weak_key", "endpoint")
 ROLE = {"assign": "key", "access": "id", "hex": "key", "weak_id": "id", "weak_key": "key", "endpoint": "endpoint"}
 #: Weak candidates: alone they are ordinary text. A weak key mixes upper and lower case and digits.
 WEAK = {
-    "weak_id": re.compile(r"""(?:(?:A[GRNS][IOPS]A)[A-Z0-9]{12,}|(?:user(?:name)?|login|client_?id|access_?key_?id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,})""", re.I | re.A),
+    "weak_id": re.compile(r"""(?:(?<![A-Za-z0-9])(?-i:(?:ABIA|ACCA|AGPA|AIDA|AIPA|ANPA|ANVA|APKA|AROA|ASCA|ASIA)[A-Z0-9]{12,})|(?:user(?:name)?|login|client_?id|access_?key_?id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,})""", re.I | re.A),
     "weak_key": re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"),
     "endpoint": re.compile(r"(?:(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D\"'<>]+|(?<![A-Za-z0-9.-])(?:[a-z0-9-]+\.)+amazonaws\.com|\b(?:host|endpoint|region)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.:/-]{3,})", re.I | re.A),
 }
