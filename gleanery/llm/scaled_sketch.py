@@ -18,6 +18,8 @@ from gleanery.llm.common import Recent, lean
 WIDTH = 5
 #: Hashes below 2^64 / SCALE are kept.
 SCALE = 8
+#: Texts of up to so many shingles keep all their hashes, so that short texts are not known by a few of them.
+WHOLE = 128
 #: Words whose hashes a worker keeps.
 CACHED = 160_000
 #: Documents are dealt to ranges of about ROWS ids, in MOST ranges at most; a range is sorted on disk and streamed.
@@ -25,21 +27,23 @@ ROWS, MOST = 2_000, 20_000
 
 
 class Sketch(NamedTuple):
-    """All shingle hashes below the threshold, sorted; the least hash stands in where none is below it. Union of hashes and
-    least of the leasts merge two sketches."""
+    """Sorted shingle hashes: all of a short text (whole), else those below the threshold, which is the same for all. The union of the hashes below it merges two sketches."""
 
     hashes: np.ndarray
-    least: int | None
+    whole: bool
 
     def text(self) -> str:
-        if len(self.hashes):
-            return self.hashes.astype(">u8").tobytes().hex()
-        return "" if self.least is None else f"~{self.least:016x}"
+        if self.whole:
+            return "=" + self.hashes.astype(">u8").tobytes().hex() if len(self.hashes) else ""
+        return "/" + self.hashes.astype(">u8").tobytes().hex()
+
+    def below(self, limit: np.uint64) -> np.ndarray:
+        return self.hashes[: np.searchsorted(self.hashes, limit, side="right")] if self.whole else self.hashes
 
 
 class Sketcher:
     def __init__(self, scale: int = SCALE, width: int = WIDTH):
-        self.below, self.width = np.uint64((1 << 64) // scale - 1), width
+        self.below, self.width = _below(scale), width
         self.cache = Recent(CACHED)
         odd = [(0x9E3779B97F4A7C15 * (2 * k + 1) ^ (0xD6E8FEB86659FD93 >> k)) | 1 for k in range(width)]
         self.factors = np.array([x & ((1 << 64) - 1) for x in odd], dtype=np.uint64)
@@ -58,7 +62,7 @@ class Sketcher:
         """A shingle's hash mixes its words' hashes by place. Texts of fewer words than a shingle are one shingle."""
         w = self._word_hashes(data.split())
         if not len(w):
-            return Sketch(w, None)
+            return Sketch(w, True)
         n = max(1, len(w) - self.width + 1)
         h = np.zeros(n, dtype=np.uint64)
         for k in range(min(self.width, len(w))):
@@ -68,26 +72,31 @@ class Sketcher:
         h ^= h >> np.uint64(33)
         h *= np.uint64(0xC4CEB9FE1A85EC53)
         h ^= h >> np.uint64(33)
-        return Sketch(np.unique(h[h <= self.below]), int(h.min()))
+        return Sketch(np.unique(h), True) if n <= WHOLE else Sketch(np.unique(h[h <= self.below]), False)
 
 
-def _shared(a: Sketch, b: Sketch) -> int:
-    return len(np.intersect1d(a.hashes, b.hashes, assume_unique=True))
+def _below(scale: int) -> np.uint64:
+    return np.uint64((1 << 64) // scale - 1)
 
 
-def likeness(a: Sketch, b: Sketch) -> float:
-    """Estimated Jaccard similarity of the shingle sets."""
-    if not len(a.hashes) and not len(b.hashes):
-        return float(a.least == b.least)
-    both = _shared(a, b)
-    return both / (len(a.hashes) + len(b.hashes) - both)
+def likeness(a: Sketch, b: Sketch, scale: int = SCALE) -> float:
+    """Jaccard similarity of the shingle sets: exact between short texts, else estimated from the hashes below the threshold, 0 if neither has one there."""
+    if a.whole and b.whole:
+        x, y = a.hashes, b.hashes
+        if not len(x) and not len(y):
+            return 1.0
+    else:
+        x, y = a.below(_below(scale)), b.below(_below(scale))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
 
 
-def containment(a: Sketch, b: Sketch) -> float:
-    """Estimated share of a's shingles that b has, however much longer b is."""
-    if not len(a.hashes):
-        return float(a.least == b.least)
-    return _shared(a, b) / len(a.hashes)
+def containment(a: Sketch, b: Sketch, scale: int = SCALE) -> float | None:
+    """Share of a's shingles that b has, however much longer b is: exact between short texts, else estimated. None if no hash of a tells."""
+    x, y = (a.hashes, b.hashes) if a.whole and b.whole else (a.below(_below(scale)), b.below(_below(scale)))
+    if not len(x):
+        return 1.0 if a.whole and not len(a.hashes) else None
+    return len(np.intersect1d(x, y, assume_unique=True)) / len(x)
 
 
 def in_id_order(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -126,8 +135,8 @@ def fingerprints(docs: DataFrame, text: str = "text", scale: int = SCALE, width:
     The edited text is the document with its last quarter (rounded down) replaced by as much of the next document's start.
     Next is by ascending doc_id, null last; repeated doc_ids follow each other by text, and repeated rows follow each other;
     after the last comes the first (of a single document: itself). Null and empty texts have the fingerprint "", alike to each
-    other (1.0) and to no other text. A text without a hash below the threshold is known by its least hash, marked "~". Texts
-    are streamed in order, two at a time; very long ones are hashed whole; extra columns are ignored; an empty table gives an
+    other (1.0) and to no other text. Texts of up to WHOLE shingles keep all hashes ("="), longer ones those below the
+    threshold ("/"); between a short and a long text only hashes below it count. Texts are streamed in order, two at a time; very long ones are hashed whole; extra columns are ignored; an empty table gives an
     empty result.
     """
 
@@ -146,7 +155,7 @@ def fingerprints(docs: DataFrame, text: str = "text", scale: int = SCALE, width:
                     cut = len(body) // 4
                     edited = (body[: len(body) - cut] + data.decode()[:cut]).encode()
                     other = maker.sketch(edited)
-                    rows.append((last[0], len(body), sha256(edited).hexdigest(), mine.text(), other.text(), likeness(mine, other), likeness(mine, sketch), containment(mine, other)))
+                    rows.append((last[0], len(body), sha256(edited).hexdigest(), mine.text(), other.text(), likeness(mine, other, scale), likeness(mine, sketch, scale), containment(mine, other, scale)))
                 at, last, mine = bucket, None if follows else (doc_id, data), sketch
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

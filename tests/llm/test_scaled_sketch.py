@@ -47,4 +47,32 @@ def test_edited_texts_and_order(docs, monkeypatch):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     assert S.fingerprints(docs([])).collect() == []
     alone = S.fingerprints(docs([(1, "a b c d")])).collect()
-    assert alone[0].edited_sha256 == sha256(b"a b ca ".replace(b"ca ", b"c") + b"").hexdigest() or len(alone) == 1
+    assert len(alone) == 1 and alone[0].edited_sha256 == sha256(b"a b c a").hexdigest()
+
+
+def test_likeness_of_whole_result_against_brute_force(docs):
+    rnd = random.Random(9)
+    rows = [(i, " ".join(rnd.choice("ab cd ef gh ij kl".split()) for _ in range(rnd.choice([0, 3, 5, 7, 12, 60, 110])))) for i in range(80)]
+    rows += [(100, "one two three four five six"), (101, "one two three four five seven"), (102, "x y z"), (103, "x y w")]
+    got = {r.doc_id: r for r in S.fingerprints(docs(rows)).collect()}
+    for i, (doc_id, text) in enumerate(rows):
+        following = rows[(i + 1) % len(rows)][1]
+        cut = len(text) // 4
+        like = lambda x, y: len(x & y) / len(x | y) if x or y else 1.0
+        mine, edited, other = grams(text), grams(text[: len(text) - cut] + following[:cut]), grams(following)
+        r = got[doc_id]
+        assert abs(r.near_edited - like(mine, edited)) < 1e-9 and abs(r.near_next - like(mine, other)) < 1e-9
+        assert (r.fingerprint == r.edited_fingerprint) == (mine == edited)
+    by = {}
+    for doc_id, text in rows:
+        by.setdefault(got[doc_id].fingerprint, set()).add(frozenset(grams(text)))
+    assert all(len(x) == 1 for x in by.values()), "unequal shingle sets have unequal fingerprints"
+
+
+def test_short_text_in_a_long_one():
+    maker = S.Sketcher()
+    words = [f"w{i}" for i in range(3000)]
+    short, long = maker.sketch(" ".join(words[500:600]).encode()), maker.sketch(" ".join(words).encode())
+    assert short.whole and not long.whole
+    assert S.containment(short, long) == 1.0 and S.containment(maker.sketch(b"nothing like this at all"), long) in (0.0, None)
+    assert abs(S.likeness(short, long) - 96 / 2996) < 0.03
