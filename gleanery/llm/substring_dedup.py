@@ -16,7 +16,7 @@ from gleanery.llm.components import connected_components
 WIDTH, SIMILARITY = 5, 0.8
 #: Bands of rows: two paragraphs of similarity 0.8 meet in some band with probability 1 - (1 - 0.8^2)^8 = 0.9997.
 BANDS, ROWS = 8, 2
-#: Paragraphs are lines of at least LONG words. Blocks run from a cut to the first cut at least LEAST words on; a cut is before a word whose hash is the least within NEAR words.
+#: Paragraphs have at least LONG words. Blocks run from a cut to the first cut at least LEAST words on; a cut is before a word whose hash is the least within NEAR words.
 LONG, LEAST, NEAR = 20, 16, 4
 #: Pivots of a large bucket of a band. In buckets of up to SMALL members all pairs are compared, which are no more.
 PIVOTS, SMALL = 8, 16
@@ -79,6 +79,25 @@ def cuts(h: np.ndarray, near: int = NEAR) -> np.ndarray:
     return np.unique(np.concatenate([[0], found, [n]]))
 
 
+def paragraph_bounds(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last): the words of each paragraph of LONG words or more, from the words at which lines begin, and the end.
+
+    A line of so many words is a paragraph; shorter lines that follow each other, as of wrapped text, make up one together. Lines
+    without words end it.
+    """
+    sizes = np.diff(lines)
+    full = np.flatnonzero(sizes)
+    if not len(full):
+        return full, full
+    long = sizes[full] >= LONG
+    new = np.ones(len(full), dtype=bool)
+    new[1:] = long[1:] | long[:-1] | (np.diff(full) > 1)
+    first = lines[full[new]]
+    last = np.append(first[1:], lines[-1])
+    kept = last - first >= LONG
+    return first[kept], last[kept]
+
+
 class Units:
     """Paragraphs and blocks of texts as arrays. Word hashes and powers are kept in a worker."""
 
@@ -106,17 +125,15 @@ class Units:
         h = word_hashes(data.split(), self.cache)
         self._grow(n)
         total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * self.powers[:n], dtype=np.uint64)])
-        breaks = np.searchsorted(starts, np.flatnonzero(raw == 10))
-        lines = np.unique(np.concatenate([[0], breaks, [n]]))
-        long = np.flatnonzero(np.diff(lines) >= LONG)
+        first, last = paragraph_bounds(np.concatenate([[0], np.searchsorted(starts, np.flatnonzero(raw == 10)), [n]]))
         at = cuts(h)
         to = np.searchsorted(at, at + LEAST)
         full = np.flatnonzero(to < len(at))
-        a = np.concatenate([lines[long], at[full]])
-        b = np.concatenate([lines[long + 1], at[to[full]]])
+        a = np.concatenate([first, at[full]])
+        b = np.concatenate([last, at[to[full]]])
         key = _mixed((total[b] - total[a]) * self.inverses[a] + (b - a).astype(np.uint64))
         point = np.cumsum((raw & 0xC0) != 0x80)  # code points up to and with each byte
-        bands = band_hashes(shingle_hashes(h), lines[long], lines[long + 1] - WIDTH + 1).view(np.int64) if len(long) else _EMPTY[3]
+        bands = band_hashes(shingle_hashes(h), first, last - WIDTH + 1).view(np.int64) if len(first) else _EMPTY[3]
         return point[starts[a]] - 1, point[ends[b - 1] - 1], key.view(np.int64), bands
 
 
@@ -246,7 +263,7 @@ def similar_pairs(docs: DataFrame, signed: DataFrame, text: str, similarity: flo
 def repeats(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per repeated paragraph or block: doc_id, start, end, class_id, copies, first_doc_id, removed (uid too).
 
-    Paragraphs are lines of LONG words or more. Content-defined blocks of the whole text, which overlap, are taken as well, so
+    Paragraphs are lines of LONG words or more, and successive shorter lines if they have as many together. Content-defined blocks of the whole text, which overlap, are taken as well, so
     that a passage is found inside other text: one of over 50 words nearly always holds a whole block. Units of equal words
     are one class. Distinct paragraphs are signed by MinHash of five-word shingles, banded, verified by exact Jaccard
     similarity, and clustered by connected components; blocks are too short for near copies. In a class the first unit by

@@ -121,3 +121,29 @@ def test_separate_pairs_are_all_pairs_of_the_similarity(spark):
     got = {(r.a, r.b) for r in S.separate_pairs(table, roots, 0.8).collect()}
     want = {(a, b) for b in sets for a in sets if a < b and root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert want and want <= got and all(root[a] != root[b] for a, b in got)
+
+
+def test_paragraphs_are_long_lines_and_runs_of_shorter_ones():
+    import numpy as np
+
+    from gleanery.llm.substring_dedup import paragraph_bounds
+
+    # lines of 5, 25, 12, 12, blank, 9, 19, 3, blank, 19 words
+    lines = np.cumsum([0, 5, 25, 12, 12, 0, 9, 19, 3, 0, 19])
+    first, last = paragraph_bounds(lines)
+    assert list(zip(first.tolist(), last.tolist(), strict=True)) == [(5, 30), (30, 54), (54, 85)]
+    assert [len(x) for x in paragraph_bounds(np.array([0, 0, 0]))] == [0, 0]
+
+
+def test_near_copies_of_wrapped_paragraphs(docs):
+    import random
+
+    from gleanery.llm import substring_dedup
+
+    rnd = random.Random(3)
+    words = [f"v{rnd.randrange(10**6)}" for _ in range(120)]
+    other = [w if i not in (30, 90) else "changed" for i, w in enumerate(words)]
+    wrap = lambda ws, n: "\n".join(" ".join(ws[i : i + n]) for i in range(0, len(ws), n))
+    rows = [(1, "head\n\n" + wrap(words, 11) + "\n\ntail"), (2, "start\n\n" + wrap(other, 13) + "\n\nend of it")]
+    found = [r for r in substring_dedup.repeats(docs(rows)).collect() if r.end - r.start > 500]
+    assert {r.doc_id for r in found} == {1, 2} and len({r.class_id for r in found}) == 1
