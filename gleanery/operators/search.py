@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from gleanery.functions import paths
 from gleanery.functions import text as T
+from gleanery.operators.best import Best
 from gleanery.operators.sizes import if_small
 
 # The ranking constants.
 K1, B = 1.2, 0.75
 #: So many terms are looked up in a stored index by a pushed filter; more are joined.
 FEW_TERMS = 500
+#: Queries that are answered in one pass over the documents, and cells of a block's table of scores.
+AT_ONCE, CELLS = 20_000, 1 << 22
 
 
 def postings(docs: DataFrame, key: str = "chunk_id", wanted: DataFrame | None = None) -> DataFrame:
@@ -50,28 +60,124 @@ def weight(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * F.lit(K1 + 1.0) / (tf + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * dl / avgdl))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, top_k: int | Column, key: str = "chunk_id", index: DataFrame | None = None) -> DataFrame:
-    """(query_id, key, path, start_line, end_line, snippet, score, matched_terms, rank) for queries (query_id, query[, k]).
-
-    Only the queries' terms are kept: a posting's text is tokenized once, and postings without a wanted term go before the
-    shuffle by (query, document). Scores add up in the order of terms, so they don't depend on partitioning. Ties go by path
-    and start line; `rank` is at most top_k. docs: key, path, start_line, end_line, text; index: stored postings of these docs.
+def _wanted(words: pa.Array, place: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, at): where a list of words has a wanted one, its code, and its place among all words."""
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    coded = words.flatten().dictionary_encode()
+    codes = np.fromiter((place.get(w, -1) for w in coded.dictionary.to_pylist()), dtype=np.int64, count=len(coded.dictionary))
+    each = codes[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, dtype=np.int64)
+    at = np.flatnonzero(each >= 0)
+    return np.repeat(np.arange(len(words)), sizes)[at], each[at], at
+
+
+def _measured(docs: DataFrame, place: dict[str, int]) -> tuple[dict[str, int], int, int]:
+    """(df by term, documents, words) in one pass over docs; a row per term and task is shuffled."""
+    names = list(place)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, total = np.zeros(len(names), dtype=np.int64), 0, 0
+        for batch in batches:
+            words = batch.column(0)
+            row, code, _ = _wanted(words, place)
+            df += np.bincount(np.unique(row * len(names) + code) % len(names), minlength=len(names)) if len(row) else 0
+            n, total = n + batch.num_rows, total + (pc.sum(pc.list_value_length(words)).as_py() or 0)
+        found = np.flatnonzero(df)
+        terms = pa.array([names[i] for i in found] + [None], pa.string())
+        yield pa.RecordBatch.from_arrays([terms, pa.array(np.append(df[found], n)), pa.array(np.append(0 * found, total))], ["term", "n", "total"])
+
+    rows = docs.select(T.tokens("text").alias("words")).mapInArrow(run, "term string, n long, total long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
+    whole = [r for r in rows if r["term"] is None]
+    return {r["term"]: r["n"] for r in rows if r["term"] is not None}, sum(r["n"] for r in whole), sum(r["total"] for r in whole)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, top_k: int, key: str = "chunk_id", index: DataFrame | None = None) -> DataFrame:
+    """(query_id, key, path, start_line, end_line, snippet, score, matched_terms, rank) for queries (query_id, query).
+
+    Two passes over the documents and no shuffle by term or document: one for the statistics of the queries' terms, a row of
+    each per task; and one that scores blocks of documents where they lie, all queries at once, by adding the
+    terms' weights term by term into a table of documents and queries. Each task keeps a query's top_k, and only these are
+    shuffled. Scores add up in the order of terms, so they don't depend on partitioning. Ties go by path and start line. The
+    queries are a stated set; more than AT_ONCE are answered in several passes. docs: key, path, start_line, end_line, text;
+    index: stored postings of these docs, which save both passes the texts.
     """
-    terms = query_terms(queries)
-    wanted = terms.select("term").distinct()
+    spark = docs.sparkSession
+    asked = queries.select("query_id", F.array_sort(F.array_distinct(T.tokens("query"))).alias("terms"))
+    parts = -(-asked.count() // AT_ONCE)
+    if parts > 1:
+        each = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == g) for g in range(parts)]
+        return reduce(DataFrame.unionByName, [bm25(docs, q, top_k, key, index) for q in each])
+    rows = asked.collect()
+    terms = sorted({t for r in rows for t in r["terms"]})
+    place = {t: i for i, t in enumerate(terms)}
+    fields = [docs.schema[c] for c in (key, "path", "start_line", "end_line")]
+    schema = StructType([queries.schema["query_id"], *fields, StructField("snippet", StringType()), StructField("score", DoubleType()), StructField("matched_terms", ArrayType(StringType()))])
     if index is None:
-        found = postings(docs, key, if_small(wanted))
+        df, n, total = _measured(docs, place) if terms else ({}, 0, 0)
+        found = docs.select(key, "path", "start_line", "end_line", T.snippet(T.lines(F.substring("text", 1, 310))).alias("snippet"), T.tokens("text").alias("words"))
+        found = found.withColumns({"times": F.lit(None).cast("array<int>"), "dl": F.size("words")})
     else:
-        few = [r["term"] for r in wanted.limit(FEW_TERMS + 1).collect()]
-        found = index.where(F.col("term").isin(few)) if len(few) <= FEW_TERMS else index.join(if_small(wanted), "term", "left_semi")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = found.join(df, "term").crossJoin(F.broadcast(stats(docs)))
-    weighted = weighted.select(key, "term", (idf(F.col("n"), F.col("df")) * weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("w"))
-    scored = weighted.join(terms, "term").groupBy("query_id", key).agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("parts"))
-    total = F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["w"])
-    scored = scored.select("query_id", key, total.alias("score"), F.transform("parts", lambda p: p["term"]).alias("matched_terms")).where("score > 0")
-    places = docs.select(key, "path", "start_line", "end_line")
+        hits = index.where(F.col("term").isin(terms)) if len(terms) <= FEW_TERMS else index.join(if_small(spark.createDataFrame([(t,) for t in terms], "term string")), "term", "left_semi")
+        df = {r["term"]: r["df"] for r in hits.groupBy("term").agg(F.count("*").alias("df")).collect()}
+        n, total = docs.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        by_key = hits.groupBy(key).agg(F.collect_list("term").alias("words"), F.collect_list(F.col("tf").cast("int")).alias("times"))
+        found = docs.select(key, "path", "start_line", "end_line", F.lit(None).cast("string").alias("snippet"), "dl").join(by_key, key).select(key, "path", "start_line", "end_line", "snippet", "words", "times", "dl")
+    if not df:
+        return spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
+    idf_of = {r["term"]: r["idf"] for r in spark.createDataFrame([(t, d) for t, d in df.items()], "term string, df long").select("term", idf(F.lit(n), F.col("df")).alias("idf")).collect()}
+    inverse, average = np.array([idf_of.get(t, 0.0) for t in terms]), total / n
+    wanted = [np.array([place[t] for t in r["terms"] if t in df], dtype=np.int64) for r in rows]
+    of_term: list[list[int]] = [[] for _ in terms]
+    for q, own in enumerate(wanted):
+        for t in own.tolist():
+            of_term[t].append(q)
+    shared = spark.sparkContext.broadcast((place, terms, inverse, [np.array(x, dtype=np.int64) for x in of_term], wanted, [r["query_id"] for r in rows]))  # the queries of one pass
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, terms, inverse, of_term, wanted, ids = shared.value
+        best, types = Best(len(ids), top_k), None
+        for batch in batches:
+            types = [batch.schema.field(i).type for i in range(5)]
+            row, code, at = _wanted(batch.column(5), place)
+            times = batch.column(6).flatten().to_numpy(zero_copy_only=False)[at] if batch.column(6).null_count == 0 else np.ones(len(at), dtype=np.int64)
+            pairs, back = np.unique(row * len(terms) + code, return_inverse=True)
+            tf = np.bincount(back, weights=times, minlength=len(pairs)) if len(pairs) else np.zeros(0)
+            row, code = pairs // len(terms), pairs % len(terms)
+            dl = batch.column(7).to_numpy(zero_copy_only=False)[row]
+            weights = inverse[code] * (tf * (K1 + 1.0) / (tf + K1 * ((1.0 - B) + B * dl / average)))
+            paths_, starts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            size = max(16, CELLS // len(ids))
+            for low in range(0, batch.num_rows, size):
+                high = min(batch.num_rows, low + size)
+                order = sorted(range(low, high), key=lambda i: (paths_[i], starts[i]))
+                rank = np.empty(high - low, dtype=np.int64)
+                rank[np.array(order, dtype=np.int64) - low] = np.arange(high - low)
+                inside = slice(*np.searchsorted(row, [low, high]))
+                own_row, own_code, own_weight = rank[row[inside] - low], code[inside], weights[inside]
+                by = np.argsort(own_code, kind="stable")
+                own_code, bounds = own_code[by], np.searchsorted(own_code[by], np.arange(len(terms) + 1))
+                scores = np.zeros((len(ids), high - low))
+                for t in np.unique(own_code).tolist():
+                    at = by[bounds[t] : bounds[t + 1]]
+                    scores[np.ix_(of_term[t], own_row[at])] += own_weight[at]
+                for q, chosen in best.offered(scores, positive=True):
+                    for j in chosen.tolist():
+                        i = order[j]
+                        mine = slice(*np.searchsorted(row, [i, i + 1]))
+                        best.take(q, float(scores[q, j]), (paths_[i], starts[i]), (batch.slice(i, 1), code[mine]))
+                best.cut()
+        if types is None:
+            return
+        kept = [(q, score, entry) for q, score, entry in best.entries()]
+        records = pa.Table.from_batches([e[0].select([0, 1, 2, 3, 4]) for *_, e in kept]).combine_chunks() if kept else None
+        if records is not None:
+            matched = [[terms[t] for t in wanted[q][np.isin(wanted[q], e[1])]] for q, _, e in kept]
+            columns = [pa.array([ids[q] for q, *_ in kept]), *(records.column(i).combine_chunks() for i in range(5)), pa.array([s for _, s, _ in kept], pa.float64()), pa.array(matched, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns], names)
+
+    names = schema.fieldNames()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "start_line")
-    best = scored.join(places, key).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    top = found.mapInArrow(run, schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    if index is None:
+        return top
     texts = docs.select(key, T.snippet(T.lines("text")).alias("snippet"))
-    return best.join(texts, key).select("query_id", key, "path", "start_line", "end_line", "snippet", "score", "matched_terms", "rank")
+    return top.drop("snippet").join(texts, key).select(*names, "rank")

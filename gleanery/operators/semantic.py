@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gleanery.operators.sizes import SMALL_ROWS
+from gleanery.errors import InvalidArgument
+from gleanery.operators.best import Best
+
+#: Numbers in the queries of one pass, and cells of a block's table of scores.
+VALUES, CELLS = 1 << 23, 1 << 21
 
 
 def dot(a: str, b: str) -> Column:
@@ -28,21 +37,64 @@ def cosine(a: str, b: str, norm_a: Column | None = None, norm_b: Column | None =
 def nearest(vectors: DataFrame, queries: DataFrame, top_k: int, tie: list[str] | None = None) -> DataFrame:
     """vectors' columns but the vector, with query_id, score and rank: the top_k most similar rows (vector) of each query (query_id, query_vector).
 
-    Queries are a stated set: if they are few (sizes.if_small), they are sent to all and every vector is scored where it lies;
-    more of them are split in parts of that size, one after the other. Norms are computed once a vector, and only each task's
-    best rows of a query are shuffled.
+    Queries are a stated set: they are sent to all, at most VALUES numbers of them in one pass, and every vector is scored where
+    it lies, in blocks, all queries at once. Products add up in the order of dimensions, so equal vectors have equal scores
+    everywhere. Norms are computed once a vector, and only each task's best rows of a query are shuffled. Vectors of no length
+    score 0; vectors of another size than the queries are an error; null vectors have no score.
     """
+    spark, tie = vectors.sparkSession, tie or [c for c in vectors.columns if c != "vector"]
     rest = [c for c in vectors.columns if c != "vector"]
-    tie = tie or rest
-    wide = vectors.withColumn("norm", norm("vector"))
-    asked = queries.select("query_id", "query_vector").withColumn("query_norm", norm("query_vector"))
-    groups = -(-asked.count() // SMALL_ROWS)
+    asked = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
+    count, wide = asked.agg(F.count("*"), F.max(F.size("query_vector"))).first()
+    groups = -(-count * max(1, wide or 1) // VALUES)
     if groups > 1:
         parts = [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g) for g in range(groups)]
         return reduce(DataFrame.unionByName, [nearest(vectors, p, top_k, tie) for p in parts])
-    scored = wide.join(F.broadcast(asked)).select("query_id", *rest, cosine("vector", "query_vector", F.col("norm"), F.col("query_norm")).alias("score"))
+    schema = StructType([queries.schema["query_id"], *(vectors.schema[c] for c in rest), StructField("score", DoubleType())])
+    rows = asked.collect()  # at most VALUES numbers
+    if not rows:
+        return spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
+    if len({len(r["query_vector"]) for r in rows}) > 1:
+        raise InvalidArgument("vectors differ in size")
+    shared = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["query_vector"] for r in rows], dtype=np.float64).T.copy()))
+
+    def in_order(products: Iterator[np.ndarray], shape: tuple) -> np.ndarray:
+        total = np.zeros(shape)
+        for x in products:
+            total += x
+        return total
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        lengths = np.sqrt(in_order((x * x for x in q), (len(ids),)))
+        best, size = Best(len(ids), top_k), max(16, CELLS // len(ids))
+        for whole in batches:
+            whole = whole.filter(pc.is_valid(whole.column(len(rest))))
+            for low in range(0, whole.num_rows, size):
+                batch = whole.slice(low, size)
+                column = batch.column(len(rest))
+                if set(pc.list_value_length(column).unique().to_pylist()) - {len(q)}:
+                    raise InvalidArgument("vectors differ in size")
+                ties = list(zip(*(batch.column(rest.index(c)).to_pylist() for c in tie), strict=True)) if tie else [()] * batch.num_rows
+                order = sorted(range(batch.num_rows), key=ties.__getitem__)
+                v = column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(q))[order].T.copy()
+                norms = lengths[:, None] * np.sqrt(in_order((x * x for x in v), (batch.num_rows,)))
+                scores = in_order((a[:, None] * b for a, b in zip(q, v, strict=True)), norms.shape)
+                scores = np.divide(scores, norms, out=np.zeros_like(scores), where=norms != 0)
+                for k, chosen in best.offered(scores):
+                    for j in chosen.tolist():
+                        best.take(k, float(scores[k, j]), ties[order[j]], batch.slice(order[j], 1))
+                best.cut()
+        kept = list(best.entries())
+        if kept:
+            records = pa.Table.from_batches([e for *_, e in kept]).combine_chunks()
+            columns = [pa.array([ids[k] for k, *_ in kept]), *(records.column(i).combine_chunks() for i in range(len(rest))), pa.array([s for _, s, _ in kept], pa.float64())]
+            yield pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns], names)
+
+    names = schema.fieldNames()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), *tie)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    found = vectors.select(*rest, F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, schema)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
 
 def mean_pool(vectors: DataFrame, group: str) -> DataFrame:
