@@ -14,7 +14,7 @@ INCLUDE_EXTENSIONS = (
     ".cpp", ".hpp", ".cxx", ".cs", ".md", ".rst", ".toml", ".yaml", ".yml", ".json", ".ini", ".cfg",
 )
 EXCLUDED_DIRECTORIES = (
-    ".git", ".github", ".venv", "__pycache__", ".repo_mcp", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".nox",
+    ".git", ".github", ".venv", "__pycache__", ".gleanery", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".nox",
     ".cache", "node_modules", ".pnpm-store", ".yarn", ".npm", ".next", ".nuxt", ".svelte-kit", ".gradle", ".idea",
     ".vscode", "dist", "build", "target", "bin", "obj", "out", "coverage", "tmp", "temp",
 )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 
@@ -18,6 +19,7 @@ from gleanery.operators.languages import FALLBACK, SUFFIXES
 from gleanery.plans import bundle, documents
 from gleanery.plans.store import Store, now
 from gleanery.sources import corpus as sources
+from gleanery.sources.work import written
 
 MODES = ("bm25", "semantic", "hybrid")
 
@@ -58,16 +60,17 @@ class Engine:
 
     def corpus(self, path: str | None = None) -> DataFrame:
         """(path, text) of what may be read: selected by suffix and patterns, not denied, not too large, not binary. A single path is checked and raises instead."""
-        rows = self.candidates(pruned=path is None)
         if path is not None:
-            path = paths.resolve(path)
-            rows = rows.where(F.col("path") == path)
+            path = paths.resolve(path, self.root)
+            rows = self.candidates().where(F.col("path") == path) if self.table is not None else sources.one_file(self.spark, self.root, path)
+            if self.table is None and f"{self.root.rstrip('/')}/{path}/".startswith(self.data_dir.rstrip("/") + "/"):
+                rows = rows.limit(0)
             reason = rows.select(paths.block_reason("path", "size", self.limits.max_file_bytes).alias("reason")).first()
             denied = reason["reason"] if reason else ("denylist" if self.spark.range(1).select(paths.denied(F.lit(path))).first()[0] else None)
             if denied:
                 raise PolicyBlocked(f"{path} is blocked: {denied}.", "Choose another file.")
         else:
-            rows = discovery.selected(rows, self.settings.include_extensions, self.settings.exclude_globs)
+            rows = discovery.selected(self.candidates(pruned=True), self.settings.include_extensions, self.settings.exclude_globs)
             rows = rows.where(paths.block_reason("path", "size", self.limits.max_file_bytes).isNull())
         files = self._with_content(rows)
         return (files if path is not None else files.where(~discovery.is_binary("content"))).select("path", sources.decoded().alias("text"))
@@ -101,7 +104,13 @@ class Engine:
         return rows.where(F.col("line").between(start_line, end_line)).orderBy("line")
 
     def outline(self, path: str | None = None) -> DataFrame:
-        return outline.outline(self.corpus(path), self.settings.python_enabled)
+        return outline.ordered(self._outline(self.corpus(path)))
+
+    def _outline(self, corpus: DataFrame) -> DataFrame:
+        return outline.checked(outline.outline(corpus, self.settings.python_enabled))
+
+    def _references(self, corpus: DataFrame, symbols: DataFrame) -> DataFrame:
+        return references.checked(references.references(corpus, symbols, self.settings.python_enabled))
 
     def refresh(self, force: bool = False) -> dict:
         """Rewrites the index. Files of the same size and time keep their records, chunks and postings; only others are opened, hashed and chunked."""
@@ -128,10 +137,23 @@ class Engine:
             chunks, postings = kept.unionByName(chunks), old_postings.unionByName(postings.select("chunk_id", "term", "tf", "dl"))
         postings = postings.select("chunk_id", "term", "tf", "dl").repartitionByRange("term").sortWithinPartitions("term")  # a query's terms then touch few row groups
         tables = {"files": records, "chunks": chunks, "postings": postings, "changes": changes}
+        if self.embed is not None:  # vectors that are there stay, only chunks without one are embedded
+            tables["vectors"] = lambda made: semantic.refreshed(self._old_vectors(), made("chunks"), self.embed)
         manifest = self.store.write(tables)
         counts = {r["change"]: r["n"] for r in self.store.read("changes").groupBy("change").agg(F.count("*").alias("n")).collect()}
         return {"added": counts.get("added", 0), "updated": counts.get("updated", 0), "removed": counts.get("removed", 0), "timestamp": manifest["last_refresh_timestamp"]}
 
+    def _old_vectors(self) -> DataFrame:
+        found = self.store.read("vectors") if self.store.status() == "ready" else None
+        return found if found is not None else self.spark.createDataFrame([], "chunk_id string, vector array<double>")
+
+    def vector_plan(self) -> DataFrame:
+        """(chunk_id, action): what a refresh of the vectors would embed, reuse and remove, by the index as it is."""
+        chunks = self.store.read("chunks")
+        if chunks is None:
+            raise EngineError("There is no index.", "Refresh first.")
+        return semantic.refresh_plan(self._old_vectors(), chunks)
+
     def _hits(self, queries: DataFrame, top_k, file_glob: str | None, path_prefix: str | None, mode: str) -> DataFrame:
         stored = self.store.read("chunks")
         if stored is None:
@@ -145,7 +167,10 @@ class Engine:
             return words
         if self.embed is None:
             raise EngineError("Semantic search needs an embedder.")
-        vectors = docs.select("chunk_id", "path", "start_line", "end_line", self.embed("text").alias("vector")).where("vector is not null")
+        stored_vectors = self.store.read("vectors")
+        if stored_vectors is None:
+            raise EngineError("The index has no vectors.", "Refresh with an embedder.")
+        vectors = docs.select("chunk_id", "path", "start_line", "end_line").join(stored_vectors, "chunk_id")
         asked = queries.select("query_id", self.embed("query").alias("query_vector"))
         near = semantic.nearest(vectors, asked, top_k, ["path", "start_line"]).withColumns({"snippet": F.lit(""), "matched_terms": F.array().cast("array<string>")})
         return near if mode == "semantic" else fusion.fuse(words, near, top_k)
@@ -176,11 +201,19 @@ class Engine:
 
     def references(self, symbols: str | list[str], path: str | None = None, top_k: int | None = None) -> DataFrame:
         limit = self._top_k(top_k, self.limits.max_references)
-        return references.limited(references.references(self.corpus(path), self._symbols(symbols), self.settings.python_enabled), limit).orderBy("symbol", "rank")
+        return references.limited(self._references(self.corpus(path), self._symbols(symbols)), limit).orderBy("symbol", "rank")
+
+    def profile_references(self, symbols: str | list[str], path: str | None = None, sink: str | None = None) -> DataFrame:
+        """Per language: files, characters and references to the symbols. sink: a folder to which the rows are appended as JSON."""
+        corpus = self.corpus(path)
+        found = references.profile(corpus, self._references(corpus, self._symbols(symbols)), self.settings.python_enabled)
+        if sink is not None:
+            found.withColumn("timestamp", F.lit(now())).coalesce(1).write.mode("append").json(sink)
+        return found.orderBy("language")
 
     def find_definition(self, symbols: str | list[str], path: str | None = None, top_k: int | None = None) -> DataFrame:
         limit = self._top_k(top_k, self.limits.max_references)
-        return outline.definitions(self.outline(path), self._symbols(symbols), limit).orderBy("symbol", "rank")
+        return outline.definitions(self._outline(self.corpus(path)), self._symbols(symbols), limit).orderBy("symbol", "rank")
 
     def bundle(self, prompts: str | list[str], max_files: int, max_total_lines: int, include_tests: bool = False, mode: str = "bm25") -> dict[str, DataFrame]:
         """documents (JSON), and their parts: selections, totals, ranking, notes, ids, by prompt_id. documents.export writes files."""
@@ -191,32 +224,38 @@ class Engine:
         asked = self.spark.createDataFrame([(i, p) for i, p in enumerate(names)], "prompt_id long, prompt string")
         queries = bundle.queries(asked, self.limits.max_search_hits).withColumn("query_id", F.col("prompt_id") * 16 + F.col("query_index"))
         hits = self._hits(queries, self.limits.max_search_hits, None, None, mode)
-        # a few hundred rows a prompt, read by every part of the result: kept, and made anew if an executor goes
-        hits = hits.join(queries, "query_id").where("rank <= k").withColumnRenamed("query", "source_query").persist()
+        # a few hundred rows a prompt, read by every part of the result: written once, deleted by clean()
+        work = f"{self.data_dir}/work"
+        hits = written(hits.join(queries, "query_id").where("rank <= k").withColumnRenamed("query", "source_query"), "hits", work)
         corpus, paths_hit = self.corpus(), hits.select("path").distinct()
         wanted = corpus.join(paths_hit, "path", "left_semi")
-        symbols = outline.outline(wanted, self.settings.python_enabled)
-        refs = references.references(wanted, symbols.select(F.col("name").alias("symbol")).distinct(), self.settings.python_enabled)
+        symbols = written(self._outline(wanted), "symbols", work)
+        refs = self._references(wanted, symbols.select(F.col("name").alias("symbol")).distinct())
         ranked = bundle.candidates(hits, asked, symbols, refs, include_tests)
         budgets = asked.select("prompt_id", F.lit(max_files).alias("max_files"), F.lit(max_total_lines).alias("max_total_lines"))
-        judged = bundle.verdicts(ranked, budgets).persist()
+        judged = written(bundle.verdicts(ranked, budgets), "judged", work)
         selections, sums = bundle.explained(judged, corpus), bundle.totals(judged)
         kept = hits if include_tests else hits.where(~paths.test_path("path"))
         whole = documents.documents(asked, budgets, queries, kept, judged, selections, mode)
         return {"documents": whole, "selections": selections, "totals": sums, "ranking": judged.where(F.col("rank_position") <= bundle.TOP), "notes": bundle.notes(judged), "ids": bundle.bundle_ids(asked, sums, selections)}
 
+    def clean(self) -> None:
+        """Deletes what bundles have written for themselves; their DataFrames can't be read after this."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.data_dir}/work")
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
     # -- audit
 
     def log(self, tool: str, arguments: dict, ok: bool = True, blocked: bool = False, error_code: str | None = None) -> None:
         meta = {k: json.dumps(v, sort_keys=True) for k, v in audit.sanitized(arguments).items()}
-        row = (now(), uuid.uuid4().hex, tool, ok, blocked, error_code, meta)
+        row = (time.time_ns(), now(), uuid.uuid4().hex, tool, ok, blocked, error_code, meta)
         self.spark.createDataFrame([row], audit.EVENT).coalesce(1).write.mode("append").json(f"{self.data_dir}/audit")
 
     def audit_log(self, since: str | None = None, limit: int = 50) -> DataFrame:
         if not self.store._exists(f"{self.data_dir}/audit"):
-            return self.spark.createDataFrame([], audit.EVENT)
+            return self.spark.createDataFrame([], audit.EVENT).drop("seq")
         events = self.spark.read.schema(audit.EVENT).option("mode", "DROPMALFORMED").json(f"{self.data_dir}/audit")
-        return audit.recent(events, since, min(max(1, limit), self.limits.max_search_hits), "timestamp")
+        return audit.recent(events, since, min(max(1, limit), self.limits.max_search_hits)).drop("seq")
 
     def response(self, rows: DataFrame) -> str:
         """JSON of a result, unless it is too long."""

@@ -102,13 +102,16 @@ def normal_prefix(prefix: str | None) -> str:
     return out
 
 
-def resolve(path: str) -> str:
-    """A caller's relative path in normal form; blocks what is empty, absolute, or leads upwards."""
+def resolve(path: str, root: str | None = None) -> str:
+    """A caller's path, relative to the root, in normal form; an absolute one must lie under the root. Blocks what is empty, elsewhere, or leads upwards."""
     out = path.strip().replace("\\", "/")
     if not out:
         raise PathBlocked("The path is empty.")
     if out.startswith("/") or re.match(r"^[A-Za-z]:/", out):
-        raise PathBlocked("The path is absolute.", "Use a path relative to the corpus root.")
+        whole, top = posixpath.normpath(out), posixpath.normpath(root.removeprefix("file://")) if root else None
+        if top is None or not whole.startswith(top.rstrip("/") + "/"):
+            raise PathBlocked("The path is outside the corpus.", "Use a path under the corpus root.")
+        return posixpath.relpath(whole, top)
     if ".." in out.split("/"):
         raise PathBlocked("The path leads out of the corpus.", "Remove '..' segments.")
     return posixpath.normpath(out)

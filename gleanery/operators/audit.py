@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EVENT = "timestamp string, request_id string, tool string, ok boolean, blocked boolean, error_code string, metadata map<string,string>"
+EVENT = "seq long, timestamp string, request_id string, tool string, ok boolean, blocked boolean, error_code string, metadata map<string,string>"
 
 # Arguments that may be logged as they are, by type.
 PLAIN = {str: ("path", "glob", "file_glob", "mode"), int: ("start_line", "end_line", "top_k", "max_results", "limit"), bool: ("include_hidden", "force", "include_tests")}

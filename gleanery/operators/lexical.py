@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
@@ -22,6 +22,21 @@ def identifier_tokens(corpus: DataFrame) -> DataFrame:
     return found.groupBy("path", "line", "token").agg(F.count("*").alias("n"))
 
 
+def identifier_places(corpus: DataFrame) -> DataFrame:
+    """(path, line, token, start_col, end_col): every identifier outside comments and strings, with its first and last column, from 1."""
+    rows = source_lines(corpus).select("path", "line", T.identifiers("masked").alias("tokens"), F.split("masked", T.IDENTIFIER, -1).alias("between"))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<token:string,start_col:int,end_col:int>>").alias("found"))
+
+    def step(acc: Column, pair: Column) -> Column:
+        start = acc["at"] + F.length(pair["gap"]) + 1
+        end = start + F.length(pair["token"]) - 1
+        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(pair["token"].alias("token"), start.alias("start_col"), end.alias("end_col")))).alias("found"))
+
+    pairs = F.zip_with("tokens", F.slice("between", F.lit(1), F.size("tokens")), lambda t, g: F.struct(t.alias("token"), g.alias("gap")))
+    found = rows.where(F.size("tokens") > 0).select("path", "line", F.explode(F.aggregate(pairs, empty, step)["found"]).alias("x"))
+    return found.select("path", "line", "x.token", "x.start_col", "x.end_col")
+
+
 def brace_depth(corpus: DataFrame) -> DataFrame:
     """(path, line, depth): open blocks before each line, never below zero.
 
@@ -57,3 +72,20 @@ def brace_blocks(corpus: DataFrame, opening: str = "{", closing: str = "}") -> D
     leveled = run.withColumn("depth", level.cast("int"))
     pairs = leveled.withColumn("end", F.lead("at").over(Window.partitionBy("path", "depth").orderBy("at", "k")))
     return pairs.where((F.col("value") == 1) & F.col("end").isNotNull()).select("path", (F.col("at") + 1).alias("start_line"), (F.col("end") + 1).alias("end_line"), "depth")
+
+
+def unmatched_braces(corpus: DataFrame, opening: str = "{", closing: str = "}") -> DataFrame:
+    """(path, unmatched_open, unmatched_close) of each file: what stays open at its end, and closes without an opening one.
+
+    The sum of a prefix is carried as (open, missing): two neighbouring parts join without regard to where the split lies, so
+    a file is folded in one row, without a shuffle.
+    """
+    braces = F.regexp_extract_all(T.masked("text"), F.lit(f"[{T.quoted(opening)}{T.quoted(closing)}]"), F.lit(0))
+    start = F.struct(F.lit(0).cast("long").alias("o"), F.lit(0).cast("long").alias("m"))
+
+    def step(acc: Column, brace: Column) -> Column:
+        up = brace == opening
+        return F.struct(F.when(up, acc["o"] + 1).otherwise(F.greatest(acc["o"] - 1, F.lit(0))).alias("o"), (acc["m"] + F.when(~up & (acc["o"] == 0), 1).otherwise(0)).alias("m"))
+
+    folded = corpus.where("text is not null").select("path", F.aggregate(braces, start, step).alias("x"))
+    return folded.select("path", F.col("x.o").alias("unmatched_open"), F.col("x.m").alias("unmatched_close"))

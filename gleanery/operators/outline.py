@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
+from gleanery.functions.contract import guarded
 from gleanery.functions.text import col
 from gleanery.operators import pysource
 from gleanery.operators.languages import FALLBACK, READERS, SUFFIXES, Source
 
 SYMBOLS = "path string, language string, kind string, name string, signature string, start_line int, end_line int, doc string, parent_symbol string, scope_kind string, is_conditional boolean, decl_context string"
 
+SCOPES = ("module", "class", "function")
+
 
 def language(path: str | Column, python_enabled: bool = True) -> Column:
     out, low = F.when(F.lit(False), F.lit("")), F.lower(col(path))
@@ -37,7 +40,8 @@ def _rows(path: str, lang: str, text: str, masked: str) -> Iterator[tuple]:
 
 
 def outline(corpus: DataFrame, python_enabled: bool = True) -> DataFrame:
-    """Symbols of a corpus (path, text). Masking is done in the JVM; files are parsed one by one, and one that can't be parsed has no symbols."""
+    """Symbols of a corpus (path, text). Masking is done in the JVM; files are parsed one by one, and one that can't be parsed has no symbols. A file's symbols
+    stand together, by lines, name and kind."""
     names = [c.split()[0] for c in SYMBOLS.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -45,7 +49,7 @@ def outline(corpus: DataFrame, python_enabled: bool = True) -> DataFrame:
             out = []
             for r in frame.itertuples(index=False):
                 try:
-                    out += list(_rows(r.path, r.language, r.text, r.masked))
+                    out += sorted(_rows(r.path, r.language, r.text, r.masked), key=lambda x: (x[5], x[6], x[3], x[2]))
                 except (RecursionError, MemoryError):
                     continue
             made = pd.DataFrame(out, columns=names)
@@ -75,7 +79,22 @@ def definitions(symbols: DataFrame, requests: DataFrame, top_k: int) -> DataFram
     return ranked.where(F.col("rank") <= top_k).select("symbol", "path", "start_line", "end_line", "kind", "name", "signature", "scope_kind", "rank", "total_candidates", (F.col("total_candidates") > top_k).alias("truncated"))
 
 
-def violations(symbols: DataFrame) -> DataFrame:
-    """Symbols that break the contract: blank names or kinds, or lines out of order."""
+def ordered(symbols: DataFrame) -> DataFrame:
+    """By path, then lines, name and kind: a distributed sort, since there may be as many symbols as the corpus has."""
+    return symbols.orderBy("path", "start_line", "end_line", "name", "kind")
+
+
+def _broken() -> Column:
     blank = lambda c: T.blank_to_null(c).isNull()
-    return symbols.where(blank("kind") | blank("name") | (F.col("start_line") < 1) | (F.col("end_line") < F.col("start_line")))
+    scope = F.col("scope_kind").isNotNull() & ~F.col("scope_kind").isin(*SCOPES)
+    return blank("kind") | blank("name") | F.coalesce(F.col("start_line") < 1, F.lit(True)) | F.coalesce(F.col("end_line") < F.col("start_line"), F.lit(True)) | scope
+
+
+def violations(symbols: DataFrame) -> DataFrame:
+    """Symbols that break the contract: blank names or kinds, lines out of order, or an unknown scope."""
+    return symbols.where(_broken())
+
+
+def checked(symbols: DataFrame) -> DataFrame:
+    """symbols, with an error where one breaks the contract; no pass of its own."""
+    return guarded(symbols, _broken(), "A symbol breaks the contract.")

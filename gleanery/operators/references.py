@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
+from gleanery.functions.contract import guarded
 from gleanery.operators import lexical, pysource
 from gleanery.operators.languages import FALLBACK
 from gleanery.operators.outline import language, short
+from gleanery.operators.sizes import if_small
 
 REFERENCES = ["symbol", "path", "line", "kind", "evidence", "strategy", "confidence"]
 
@@ -19,6 +21,7 @@ REFERENCES = ["symbol", "path", "line", "kind", "evidence", "strategy", "confide
 IMPORT_HINT = r"(?U)\b(import|from|using|use|require|include)\b"
 INHERITANCE_HINT = r"(?U)\b(extends|implements|inherits|:\s*public|:\s*private)\b"
 DECLARATION_HINT = r"(?U)\b(class|struct|interface|enum|record|trait|type|namespace|package|module|impl|func|fn|def)\b"
+RUN = "[A-Za-z0-9_$]"
 BEFORE, AFTER = "(?<![A-Za-z0-9_$])", "(?![A-Za-z0-9_$])"
 
 
@@ -44,14 +47,18 @@ def lexical_references(corpus: DataFrame, symbols: DataFrame) -> DataFrame:
     """
     wanted = lexical_symbols(symbols)
     rows = lexical.source_lines(corpus).withColumn("short", F.explode(F.array_distinct(T.identifiers("masked"))))
-    met = rows.join(wanted, "short")
-    name = _literal(F.col("short"))
-    matches = lambda before, after: F.regexp_like("masked", F.concat(F.lit(before), name, F.lit(after)))
-    called, created = matches("", r"(?U)\s*\("), matches(r"(?U)\bnew\s+", r"\b")
+    met = rows.join(if_small(wanted), "short")
+    # patterns are literals, compiled once: they find names, which are then compared; only a name after `new`, whose end is a matter of word boundaries, is tried by itself
+    every = lambda pattern, group: F.regexp_extract_all("masked", F.lit(pattern), F.lit(group))
+    called = F.exists(every(rf"({RUN}++)(?U)\s*\(", 1), lambda x: x.endswith(F.col("short")))
+    new = F.exists(every(rf"(?U)\bnew\s+({RUN}++)", 1), lambda x: x.startswith(F.col("short")))
+    created = F.when(new, F.regexp_like("masked", F.concat(F.lit(r"(?U)\bnew\s+"), _literal(F.col("short")), F.lit(r"\b")))).otherwise(False)
     imports, inherits, declares = (F.col("masked").rlike(p) for p in (IMPORT_HINT, INHERITANCE_HINT, DECLARATION_HINT))
-    alone = matches(BEFORE, AFTER)
-    in_sequence = F.coalesce(F.regexp_like("masked", F.col("sequence")), F.lit(False))
-    kept = met.where(in_sequence | (alone & (called | created | imports | inherits))).where(~(declares & alone))
+    alone = F.array_contains(every(f"{RUN}+", 0), F.col("short"))
+    in_sequence = F.when(F.col("sequence").isNull(), False).otherwise(F.coalesce(F.regexp_like("masked", F.col("sequence")), F.lit(False)))
+    signs = {"alone": alone, "called": called, "created": created, "imports": imports, "inherits": inherits, "declares": declares, "in_sequence": in_sequence}
+    kept = met.withColumns(signs).where("(in_sequence or (alone and (called or created or imports or inherits))) and not (declares and alone)")
+    imports, inherits, created, called = (F.col(c) for c in ("imports", "inherits", "created", "called"))
     kind = F.when(imports, "import").when(inherits, "inheritance").when(created, "instantiation").when(called, "call").otherwise("read")
     confidence = F.when(imports | inherits | created, "high").when(called, "medium").otherwise("low")
     out = kept.select("symbol", "path", "line", kind.alias("kind"), T.squeezed("original").alias("evidence"), F.lit("lexical").alias("strategy"), confidence.alias("confidence"))
@@ -87,6 +94,31 @@ def references(corpus: DataFrame, symbols: DataFrame, python_enabled: bool = Tru
     return lexical_references(code, symbols).unionByName(python_references(python_candidates(tagged.where("language = 'python'")), symbols)).select(*REFERENCES)
 
 
+def _broken() -> Column:
+    blank = lambda c: T.blank_to_null(c).isNull()
+    odd = ~F.coalesce(F.col("strategy").isin("ast", "lexical") & F.col("confidence").isin("high", "medium", "low"), F.lit(False))
+    return blank("symbol") | blank("path") | blank("kind") | blank("evidence") | F.coalesce(F.col("line") < 1, F.lit(True)) | odd
+
+
+def violations(found: DataFrame) -> DataFrame:
+    """References that break the contract: blank fields, lines before the first, unknown strategies or confidences."""
+    return found.where(_broken())
+
+
+def checked(found: DataFrame) -> DataFrame:
+    """References, with an error where one breaks the contract; no pass of its own."""
+    return guarded(found, _broken(), "A reference breaks the contract.")
+
+
+def profile(corpus: DataFrame, found: DataFrame, python_enabled: bool = True) -> DataFrame:
+    """Per language of a corpus (path, text): files, characters, references found in them, by strategy, and the files that have some."""
+    files = corpus.select("path", F.length("text").alias("chars"), language("path", python_enabled).alias("language"))
+    each = found.groupBy("path").agg(F.count("*").alias("references"), F.count_if(F.col("strategy") == "ast").alias("ast"))
+    joined = files.join(each, "path", "left")
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return joined.groupBy("language").agg(F.count("*").alias("files"), zero("chars").alias("chars"), F.count("references").alias("files_with_references"), zero("references").alias("references"), zero("ast").alias("ast"))
+
+
 def limited(found: DataFrame, top_k: int) -> DataFrame:
     """The first references of each symbol by path, line, symbol and kind, with rank, total_candidates and truncated."""
     order = Window.partitionBy("symbol").orderBy("path", "line", "kind", "evidence", "confidence")

@@ -97,10 +97,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, top_k: int, tie: list[str] |
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
 
-def mean_pool(vectors: DataFrame, group: str) -> DataFrame:
-    """(group, vector): the mean of each group's vectors, made length 1 (zeros stay zeros). Sums are taken per dimension, before the shuffle."""
-    long = vectors.select(group, F.posexplode("vector").alias("dim", "value"))
-    means = long.groupBy(group, "dim").agg(F.avg("value").alias("value"))
+def mean_pool(vectors: DataFrame, group: str, mask: str | None = None) -> DataFrame:
+    """(group, vector): the mean of each group's vectors, made length 1 (zeros stay zeros). Sums are taken per dimension, before the shuffle.
+
+    mask: a column that is 0 for rows that don't count (padding); a group without others has a vector of zeros.
+    """
+    counts = F.lit(True) if mask is None else F.coalesce(F.col(mask).cast("int") != 0, F.lit(False))
+    long = vectors.select(group, counts.alias("counts"), F.posexplode("vector").alias("dim", "value"))
+    means = long.groupBy(group, "dim").agg(F.coalesce(F.avg(F.when(F.col("counts"), F.col("value"))), F.lit(0.0)).alias("value"))
     rows = means.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("parts")).select(group, F.transform("parts", lambda p: p["value"]).alias("vector"))
     return rows.select(group, F.when(norm("vector") == 0, F.col("vector")).otherwise(F.transform("vector", lambda v: v / norm("vector"))).alias("vector"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,10 +47,12 @@ class Store:
         path = f"{self.root}/{found['snapshot']}/{name}"
         return self.spark.read.parquet(path) if self._exists(path) else None
 
-    def write(self, tables: dict[str, DataFrame]) -> dict:
+    def write(self, tables: dict[str, DataFrame | Callable]) -> dict:
+        """A new snapshot of the tables, in their order; one may be a function that gets a reader of those written before it."""
         snapshot = f"snapshot-{uuid.uuid4().hex}"
+        made = lambda name: self.spark.read.parquet(f"{self.root}/{snapshot}/{name}")
         for name, df in tables.items():
-            df.write.parquet(f"{self.root}/{snapshot}/{name}")
+            (df if isinstance(df, DataFrame) else df(made)).write.parquet(f"{self.root}/{snapshot}/{name}")
         count = lambda name: self.spark.read.parquet(f"{self.root}/{snapshot}/{name}").count()
         row = (SCHEMA_VERSION, snapshot, now(), count("files"), count("chunks"))
         self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")

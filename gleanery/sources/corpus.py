@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from stat import S_ISREG
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,27 +27,65 @@ def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(document_path().alias("path"), "text", "doc_id")
 
 
+#: The driver lists directories until it knows so many that are not listed yet; the executors list these with all below.
+LISTED = 64
+
+
+def _entries(root: str, at: str, excluded: tuple[str, ...]) -> tuple[list[tuple[str, int, int]], list[str]]:
+    """Regular files and directories in one directory, links not followed."""
+    files, directories = [], []
+    try:
+        with os.scandir(os.path.join(root, at)) as entries:
+            for e in entries:
+                rel = f"{at}/{e.name}" if at else e.name
+                if e.is_dir(follow_symlinks=False):
+                    if e.name not in excluded:
+                        directories.append(rel)
+                elif e.is_file(follow_symlinks=False):
+                    stat = e.stat(follow_symlinks=False)
+                    files.append((rel, stat.st_size, stat.st_mtime_ns))
+    except OSError:
+        pass
+    return files, directories
+
+
 def list_directory(spark: SparkSession, root: str, excluded_directories: tuple[str, ...] = ()) -> DataFrame:
-    """Regular files below root by name order, links not followed, hidden ones included: path, size, mtime_ns.
+    """Regular files below root, links not followed, hidden ones included: path, size, mtime_ns.
 
-    Only names and sizes are listed here; contents are read by the executors (read_files).
+    The driver lists the upper directories, some LISTED of them, and the executors the rest, each some whole subtrees; contents
+    are read by the executors too (read_files). Root is in a file system that all of them mount.
     """
     found, todo = [], [""]
-    while todo:
-        at = todo.pop()
-        try:
-            entries = sorted(os.scandir(os.path.join(root, at)), key=lambda e: e.name)
-        except OSError:
-            continue
-        for e in entries:
-            rel = f"{at}/{e.name}" if at else e.name
-            if e.is_dir(follow_symlinks=False):
-                if e.name not in excluded_directories:
-                    todo.append(rel)
-            elif e.is_file(follow_symlinks=False):
-                stat = e.stat(follow_symlinks=False)
-                found.append((rel, stat.st_size, stat.st_mtime_ns))
-    return spark.createDataFrame(sorted(found), CANDIDATES)
+    while todo and len(todo) < LISTED:
+        files, directories = _entries(root, todo.pop(0), excluded_directories)
+        found += files
+        todo += directories
+    near = spark.createDataFrame(found, CANDIDATES)
+    if not todo:
+        return near
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = batch.column(0).to_pylist()
+            while left:
+                files, directories = _entries(root, left.pop(), excluded_directories)
+                left += directories
+                if files:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*files, strict=True)], ["path", "size", "mtime_ns"])
+
+    below = spark.createDataFrame([(x,) for x in todo], "path string").repartition(min(len(todo), 4 * spark.sparkContext.defaultParallelism))
+    return near.unionAll(below.mapInArrow(run, CANDIDATES))
+
+
+def one_file(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """The one regular file at a path below root, or nothing; no directory is listed."""
+    at = os.path.join(root, path)
+    try:
+        stat = os.stat(at, follow_symlinks=False)
+    except OSError:
+        stat = None
+    inside = os.path.realpath(at).startswith(os.path.realpath(root) + os.sep)
+    return spark.createDataFrame([(path, stat.st_size, stat.st_mtime_ns)] if stat and S_ISREG(stat.st_mode) and inside else [], CANDIDATES)
 
 
 def read_files(candidates: DataFrame, root: str) -> DataFrame:
