@@ -139,6 +139,6 @@ class Recent:
         if len(self.young) > self.half:
             self.old, self.young = self.young, {}
         absent = keys.difference(self.young)
-        again = absent.intersection(self.old)
-        self.young.update({k: self.old[k] for k in again})
+        again = {k: self.old[k] for k in absent if k in self.old}  # not absent.intersection(), which would walk through all of `old`
+        self.young.update(again)
         return absent.difference(again)
