@@ -181,3 +181,50 @@ FROM met WHERE (sequenced OR (alone AND (called OR created OR imports OR inherit
     "bench_drift": "WITH g AS (SELECT l_returnflag AS scenario, l_linestatus AS step, min(l_quantity) FILTER (l_orderkey % 2 <> 0) AS min_now, max(l_quantity) FILTER (l_orderkey % 2 <> 0) AS max_now, avg(l_quantity) FILTER (l_orderkey % 2 <> 0) AS a, avg(l_quantity) FILTER (l_orderkey % 2 = 0) AS b FROM lineitem GROUP BY ALL) SELECT scenario, step, min_now, max_now, round(a, 6) AS mean_now, round(b, 6) AS mean_base, round(100.0 * (a - b) / b, 4) AS drift_percent, 100.0 * (a - b) / b > 20.0 AS warn FROM g",
 }
 SQL["file_records_sha256"] = f"WITH {CORPUS}, {RECORDS} SELECT * FROM records"
+
+# Sources made from rows by fixed templates: what is declared and used stands at known lines.
+PATH = "'gen/f' || lpad(CAST(doc_id AS VARCHAR), 7, '0') || ['.py', '.go', '.rs'][doc_id % 3 + 1]"
+SYMBOLS = f"""symbols AS (SELECT {PATH} AS path, * EXCLUDE (doc_id, k) FROM (
+  SELECT doc_id, 0 AS k, 'python' AS language, 'class' AS kind, 'C' || doc_id AS name, '(Base)' AS signature, 3 AS start_line, 7 AS end_line, 'Doc ' || doc_id || '.' AS doc, NULL AS parent_symbol, 'module' AS scope_kind, false AS is_conditional FROM documents
+  UNION ALL SELECT doc_id, 0, 'python', 'method', 'C' || doc_id || '.load', '(self, x)', 6, 7, NULL, 'C' || doc_id, 'class', false FROM documents
+  UNION ALL SELECT doc_id, 0, 'python', 'function', 'main' || doc_id % 5, '()', 9, 10, NULL, NULL, 'module', false FROM documents
+  UNION ALL SELECT doc_id, 1, 'go_lexical', 'type', 'gen.T' || doc_id, NULL, 3, 5, NULL, NULL, 'module', NULL FROM documents
+  UNION ALL SELECT doc_id, 1, 'go_lexical', 'method', 'gen.T' || doc_id || '.Run', '(x int)', 7, 9, NULL, 'gen.T' || doc_id, 'class', NULL FROM documents
+  UNION ALL SELECT doc_id, 1, 'go_lexical', 'function', 'gen.make' || doc_id % 5, '()', 11, 13, NULL, NULL, 'module', NULL FROM documents
+  UNION ALL SELECT doc_id, 2, 'rust_lexical', 'struct', 'S' || doc_id, NULL, 1, 1, NULL, NULL, 'module', NULL FROM documents
+  UNION ALL SELECT doc_id, 2, 'rust_lexical', 'impl', 'S' || doc_id, NULL, 2, 6, NULL, NULL, 'module', NULL FROM documents
+  UNION ALL SELECT doc_id, 2, 'rust_lexical', 'method', 'S' || doc_id || '.turn', '(&self)', 3, 5, NULL, 'S' || doc_id, 'class', NULL FROM documents
+  UNION ALL SELECT doc_id, 2, 'rust_lexical', 'const', 'L' || doc_id % 5, NULL, 7, 7, NULL, NULL, 'module', NULL FROM documents
+) WHERE doc_id % 3 = k)"""
+SQL["outline_sources"] = f"WITH {SYMBOLS} SELECT path, language, kind, name, signature, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, doc, parent_symbol, scope_kind, is_conditional, CAST(NULL AS VARCHAR) AS decl_context FROM symbols"
+USES = f"""found AS (SELECT 'helper' || doc_id % 7 AS symbol, {PATH} AS path, [7, 8, 4][doc_id % 3 + 1] AS line, 'call' AS kind,
+  CASE doc_id % 3 WHEN 0 THEN 'helper' || doc_id % 7 || '()' WHEN 1 THEN 'return helper' || doc_id % 7 || '(x)' ELSE 'helper' || doc_id % 7 || '(self.n)' END AS evidence, CASE doc_id % 3 WHEN 0 THEN 'ast' ELSE 'lexical' END AS strategy, 'medium' AS confidence FROM documents)"""
+SQL["python_refs"] = f"""SELECT symbol, {PATH} AS path, CAST(line AS BIGINT) AS line, kind, evidence, 'ast' AS strategy, confidence FROM (
+  SELECT doc_id, 'json' AS symbol, 1 AS line, 'import' AS kind, 'import json' AS evidence, 'high' AS confidence FROM documents
+  UNION ALL SELECT doc_id, 'helper' || doc_id % 7, 7, 'call', 'helper' || doc_id % 7 || '()', 'medium' FROM documents
+  UNION ALL SELECT doc_id, unnest(['load', 'Store.load']), 10, 'call', 'C' || doc_id || '.load()', 'medium' FROM documents) WHERE doc_id % 3 = 0"""
+SQL["references_limited"] = f"""WITH {USES}, numbered AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY path, line) AS rank, count(*) OVER (PARTITION BY symbol) AS total_candidates FROM found)
+SELECT symbol, path, CAST(line AS BIGINT) AS line, kind, evidence, strategy, confidence, rank, total_candidates, total_candidates > 50 AS truncated FROM numbered WHERE rank <= 50"""
+SQL["reference_profile"] = "SELECT ['python', 'go_lexical', 'rust_lexical'][doc_id % 3 + 1] AS language, count(*) AS files, CAST(sum([126, 124, 121][doc_id % 3 + 1] + [3, 4, 2][doc_id % 3 + 1] * length(CAST(doc_id AS VARCHAR))) AS BIGINT) AS chars, count(*) AS files_with_references, count(*) AS references, count(*) FILTER (doc_id % 3 = 0) AS ast FROM documents GROUP BY 1"
+SQL["find_definition"] = f"""WITH {SYMBOLS}, asked AS (SELECT unnest(['load', 'gen.Run', 'turn', 'main3', 'C12.load', 'nothing']) AS symbol), met AS (
+  SELECT symbol, s.* FROM symbols s, asked WHERE name = symbol OR name = list_last(string_split(symbol, '.')) OR list_last(string_split(name, '.')) = symbol
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY path, start_line, end_line, name, kind) AS rank, count(*) OVER (PARTITION BY symbol) AS total_candidates FROM met)
+SELECT symbol, path, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, kind, name, signature, scope_kind, rank, total_candidates, total_candidates > 50 AS truncated FROM numbered WHERE rank <= 50"""
+SQL["vector_refresh"] = "SELECT CAST(vec_id AS VARCHAR) AS chunk_id, CAST(len(embedding) AS BIGINT) AS size, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings WHERE vec_id % 7 <> 0 AND vec_id IN (SELECT doc_id FROM documents WHERE doc_id % 5 <> 0) UNION ALL SELECT CAST(doc_id AS VARCHAR), 2, CAST(length(text) AS DOUBLE) FROM documents WHERE doc_id % 5 <> 0 AND text IS NOT NULL AND doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 7 <> 0)"
+SQL["mean_pool_masked"] = f"WITH {VECTORS}, means AS (SELECT label, dim, coalesce(avg(value) FILTER (vec_id % 3 <> 0), 0.0) AS m FROM (SELECT vec_id, label, unnest(range(0, len(v))) AS dim, unnest(v) AS value FROM vectors) GROUP BY ALL), norms AS (SELECT label, sqrt(sum(m * m)) AS n FROM means GROUP BY label) SELECT label, dim, round(CASE WHEN n = 0 THEN m ELSE m / n END, 6) AS value FROM means JOIN norms USING (label)"
+SQL["identifier_columns"] = f"""WITH {MASKED}, {MLINES}, cut AS (SELECT path, ln, regexp_extract_all(line, '[A-Za-z_$][A-Za-z0-9_$]*') AS ts, regexp_split_to_array(line, '[A-Za-z_$][A-Za-z0-9_$]*') AS gs FROM mlines),
+flat AS (SELECT path, ln, unnest(range(1, len(ts) + 1)) AS i, unnest(ts) AS token, unnest(list_slice(gs, 1, len(ts))) AS gap FROM cut WHERE len(ts) > 0),
+placed AS (SELECT token, sum(length(gap) + length(token)) OVER (PARTITION BY path, ln ORDER BY i) AS e FROM flat)
+SELECT token, count(*) AS n, CAST(min(e - length(token) + 1) AS BIGINT) AS first_col, CAST(max(e) AS BIGINT) AS last_col, CAST(sum(e - length(token) + 1) AS BIGINT) AS starts, CAST(sum(e) AS BIGINT) AS ends FROM placed GROUP BY token"""
+SQL["unmatched_braces"] = f"""WITH {masked("substr(html, 200)")}, bs AS (SELECT path, regexp_extract_all(masked, '[{{}}]') AS b FROM masked), each AS (SELECT path, unnest(range(1, len(b) + 1)) AS i, unnest(b) AS c FROM bs),
+sums AS (SELECT path, i, sum(CASE c WHEN '{{' THEN 1 ELSE -1 END) OVER (PARTITION BY path ORDER BY i) AS s FROM each), ends AS (SELECT path, arg_max(s, i) AS s, least(0, min(s)) AS low FROM sums GROUP BY path)
+SELECT path, CAST(sum(coalesce(s - low, 0)) AS BIGINT) AS unmatched_open, CAST(sum(coalesce(-low, 0)) AS BIGINT) AS unmatched_close FROM (SELECT path FROM masked) LEFT JOIN ends USING (path) GROUP BY path"""
+SQL["bundle_documents"] = f"""WITH RECURSIVE {JUDGED}, chosen AS (SELECT j.prompt_id, j.path, start_line, end_line, row_number() OVER (PARTITION BY prompt_id ORDER BY rank_position) - 1 AS i, array_to_string(list_slice(ls, start_line, end_line), chr(10)) AS excerpt FROM judged j JOIN lined l ON l.path = j.path WHERE verdict = 'selected'),
+sums AS (SELECT prompt_id, count(*) AS after, least(count(*), 20) AS n_top, count(DISTINCT path) FILTER (verdict = 'selected') AS files, coalesce(sum(end_line - start_line + 1) FILTER (verdict = 'selected'), 0) AS lines, bool_or(verdict IN ('file_budget', 'line_budget')) AS truncated, count(*) FILTER (verdict = 'selected') AS n, count(*) FILTER (verdict <> 'selected') AS skipped, count(*) FILTER (verdict = 'line_budget') AS line_budget FROM judged GROUP BY prompt_id),
+counted AS (SELECT prompt_id, count(*) AS before FROM hits GROUP BY prompt_id), questions AS (SELECT prompt_id, count(*) AS n_queries FROM asked GROUP BY prompt_id)
+SELECT p.prompt_id, sha256(p.prompt) AS fingerprint, CAST(3 AS BIGINT) AS max_files, coalesce(files, 0) AS files, CAST(coalesce(lines, 0) AS BIGINT) AS lines, coalesce(truncated, false) AS truncated, CASE WHEN n > 0 THEN n END AS n_selections, CASE WHEN n > 0 THEN n END AS n_citations, n_queries, coalesce(skipped, 0) AS n_notes, coalesce(before, 0) AS before, coalesce(after, 0) AS after, n_top,
+  c.path AS first_path, c.excerpt AS first_excerpt, coalesce(line_budget, 0) AS line_budget, coalesce(skipped, 0) AS skipped
+FROM prompts p LEFT JOIN sums USING (prompt_id) LEFT JOIN counted USING (prompt_id) LEFT JOIN questions USING (prompt_id) LEFT JOIN chosen c ON c.prompt_id = p.prompt_id AND c.i = 0"""
+SQL["bundle_explanations"] = f"""WITH RECURSIVE {JUDGED} SELECT prompt_id, row_number() OVER (PARTITION BY prompt_id ORDER BY rank_position) - 1 AS selection_index,
+  'Selected from query ' || chr(39) || source_query || chr(39) || ' with score; matched_terms=' || CASE WHEN len(terms) > 0 THEN array_to_string(terms, ', ') ELSE 'none' END || '.' || coalesce(' aligned_symbol=' || aligned_symbol || '.', '') AS rationale,
+  array_to_string(list_filter(['search_score', CASE WHEN len(terms) > 0 THEN 'matched_terms' END, CASE WHEN definition_match THEN 'definition_match' END, CASE WHEN reference_count_in_range > 0 THEN 'reference_proximity' END, CASE WHEN aligned_symbol IS NOT NULL THEN 'aligned_symbol' END], lambda x: x IS NOT NULL), ',') AS signals, array_to_string(terms, ' ') AS terms FROM judged WHERE verdict = 'selected'"""

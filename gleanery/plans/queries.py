@@ -11,8 +11,9 @@ from gleanery.config import EXCLUDE_GLOBS, INCLUDE_EXTENSIONS
 from gleanery.functions import paths
 from gleanery.functions import text as T
 from gleanery.operators import audit, chunking, discovery, fusion, lexical, outline, references, search, semantic
-from gleanery.plans import bundle, documents, samples
+from gleanery.plans import bundle, documents, generated
 from gleanery.sources.corpus import document_path, documents_corpus, table
+from gleanery.sources.work import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -247,6 +248,21 @@ def vector_refresh_plan(spark, sf):
     return semantic.refresh_plan(stored, wanted)
 
 
+@query
+def vector_refresh(spark, sf):
+    """The table of vectors after a refresh: stored ones stay, others are made from the text."""
+    stored = _vectors(spark, sf).where("vec_id % 7 <> 0").select(F.col("vec_id").cast("string").alias("chunk_id"), "vector")
+    wanted = table(spark, sf, "documents").where("doc_id % 5 <> 0").select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    found = semantic.refreshed(stored, wanted, lambda c: F.array(F.length(c).cast("double"), F.lit(0.5)))
+    return found.select("chunk_id", _long(F.size("vector")).alias("size"), F.round(F.get("vector", F.lit(0)), 6).alias("first"))
+
+
+@query
+def mean_pool_masked(spark, sf):
+    pooled = semantic.mean_pool(_vectors(spark, sf).withColumn("mask", F.col("vec_id") % 3), "label", "mask")
+    return pooled.select("label", F.posexplode("vector").alias("dim", "value")).select("label", _long("dim").alias("dim"), F.round("value", 6).alias("value"))
+
+
 @query
 def mean_pool_l2(spark, sf):
     pooled = semantic.mean_pool(_vectors(spark, sf), "label")
@@ -281,6 +297,18 @@ def identifier_tokens(spark, sf):
     return found.groupBy("token").agg(F.sum("n").alias("n"), F.count_distinct("path").alias("paths"), F.max("line").cast("long").alias("last_line"))
 
 
+@query
+def identifier_columns(spark, sf):
+    found = lexical.identifier_places(_pages(spark, sf))
+    return found.groupBy("token").agg(F.count("*").alias("n"), F.min("start_col").cast("long").alias("first_col"), F.max("end_col").cast("long").alias("last_col"), F.sum("start_col").alias("starts"), F.sum("end_col").alias("ends"))
+
+
+@query
+def unmatched_braces(spark, sf):
+    found = lexical.unmatched_braces(_pages(spark, sf).withColumn("text", F.expr("substring(text, 200)")))
+    return found.groupBy("path").agg(F.sum("unmatched_open").alias("unmatched_open"), F.sum("unmatched_close").alias("unmatched_close"))
+
+
 @query
 def brace_depth(spark, sf):
     return lexical.brace_depth(_pages(spark, sf)).select("path", _long("line").alias("line"), _long("depth").alias("depth"))
@@ -299,34 +327,43 @@ def lexical_refs(spark, sf):
     return found.select("symbol", "path", _long("line").alias("line"), "kind", "evidence", "confidence")
 
 
-# -- outlines and references of a sample corpus
+# -- outlines and references of a generated corpus
+
+
+def _helpers(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(f"helper{k}",) for k in range(7)], "symbol string")
 
 
 @query
-def outline_samples(spark, sf):
-    return outline.outline(samples.corpus(spark))
+def outline_sources(spark, sf):
+    found = outline.checked(outline.outline(generated.corpus(spark, sf)))
+    return found.withColumns({c: _long(c) for c in ("start_line", "end_line")})
 
 
 @query
 def python_refs(spark, sf):
-    rows = samples.corpus(spark)
-    symbols = outline.outline(rows).where("language = 'python'").select(F.col("name").alias("symbol"))
-    return references.python_references(references.python_candidates(rows.where("path like '%.py'")), symbols)
+    rows = generated.corpus(spark, sf).where(F.col("path").endswith(".py"))
+    asked = _helpers(spark).unionAll(spark.createDataFrame([("load",), ("Store.load",), ("json",)], "symbol string"))
+    return references.python_references(references.python_candidates(rows), asked).withColumn("line", _long("line"))
 
 
 @query
 def references_limited(spark, sf):
-    rows = samples.corpus(spark)
-    symbols = outline.outline(rows).select(F.col("name").alias("symbol")).distinct()
-    return references.limited(references.references(rows, symbols), 50)
+    found = references.limited(references.checked(references.references(generated.corpus(spark, sf), _helpers(spark))), 50)
+    return found.withColumns({c: _long(c) for c in ("line", "rank", "total_candidates")})
+
+
+@query
+def reference_profile(spark, sf):
+    rows = generated.corpus(spark, sf)
+    return references.profile(rows, references.references(rows, _helpers(spark)))
 
 
 @query
 def find_definition(spark, sf):
-    rows = samples.corpus(spark)
-    symbols = outline.outline(rows)
-    asked = symbols.select(outline.short("name").alias("symbol")).distinct()
-    return outline.definitions(symbols, asked, 50)
+    asked = spark.createDataFrame([("load",), ("gen.Run",), ("turn",), ("main3",), ("C12.load",), ("nothing",)], "symbol string")
+    found = outline.definitions(outline.outline(generated.corpus(spark, sf)), asked, 50)
+    return found.withColumns({c: _long(c) for c in ("start_line", "end_line", "rank", "total_candidates")})
 
 
 # -- bundles
@@ -359,18 +396,21 @@ def _mentions(corpus: DataFrame, symbols: DataFrame) -> DataFrame:
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
     asked = bundle.queries(_prompts(spark, sf), 20).withColumn("query_id", F.col("prompt_id") * 16 + F.col("query_index"))
     hits = search.bm25(_chunks(spark, sf, 12, 3), asked, 20).join(asked, "query_id").where("rank <= k")
-    return hits.withColumnRenamed("query", "source_query")
+    return written(hits.withColumnRenamed("query", "source_query"), "hits")  # a few hundred rows a prompt, read by every part
 
 
 def _ranked(spark: SparkSession, sf: str) -> DataFrame:
     corpus = documents_corpus(spark, sf)
     symbols = _paragraphs(corpus)
-    return bundle.candidates(_hits(spark, sf), _prompts(spark, sf), symbols, _mentions(corpus, symbols))
+    hits = _hits(spark, sf)
+    hit = F.broadcast(hits.select("path").distinct())  # as few paths as there are hits
+    symbols = written(symbols.join(hit, "path", "left_semi"), "symbols")
+    return bundle.candidates(hits, _prompts(spark, sf), symbols, _mentions(corpus.join(hit, "path", "left_semi"), symbols))
 
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
     budgets = _prompts(spark, sf).select("prompt_id", F.lit(3).alias("max_files"), F.lit(12).alias("max_total_lines"))
-    return bundle.verdicts(_ranked(spark, sf), budgets)
+    return bundle.verdicts(written(_ranked(spark, sf), "ranked"), budgets)
 
 
 @query
@@ -429,16 +469,36 @@ def bundle_notes(spark, sf):
     return bundle.notes(_judged(spark, sf)).select("prompt_id", _long("rank_position").alias("rank_position"), "note")
 
 
-@query
-def bundle_documents(spark, sf):
+def _bundles(spark: SparkSession, sf: str) -> DataFrame:
     """Whole bundles as JSON."""
-    prompts, judged = _prompts(spark, sf), _judged(spark, sf).persist()  # a few hundred rows a prompt, read by every part
+    prompts, judged = _prompts(spark, sf), written(_judged(spark, sf), "judged")
     budgets = prompts.select("prompt_id", F.lit(3).alias("max_files"), F.lit(12).alias("max_total_lines"))
     selections = bundle.explained(judged, documents_corpus(spark, sf))
     hits = _hits(spark, sf).where(~paths.test_path("path"))
     return documents.documents(prompts, budgets, bundle.queries(prompts, 20), hits, judged, selections, "bm25")
 
 
+@query
+def bundle_documents(spark, sf):
+    """What the JSON documents say."""
+    at = lambda *path: F.get_json_object("document", "$." + ".".join(path))
+    size = lambda *path: F.json_array_length(at(*path)).cast("long")
+    fields = {
+        "fingerprint": at("prompt_fingerprint"), "max_files": at("budget", "max_files").cast("long"), "files": at("totals", "selected_files").cast("long"), "lines": at("totals", "selected_lines").cast("long"), "truncated": at("totals", "truncated").cast("boolean"),
+        "n_selections": size("selections"), "n_citations": size("citations"), "n_queries": size("audit", "search_queries"), "n_notes": size("audit", "budget_enforcement"), "before": at("audit", "dedupe_counts", "before").cast("long"), "after": at("audit", "dedupe_counts", "after").cast("long"),
+        "n_top": size("audit", "ranking_debug", "top_candidates"), "first_path": at("selections[0]", "path"), "first_excerpt": at("selections[0]", "excerpt"), "line_budget": at("audit", "selection_debug", "why_not_selected_summary", "reason_counts", "line_budget").cast("long"),
+        "skipped": at("audit", "selection_debug", "why_not_selected_summary", "total_skipped_candidates").cast("long"),
+    }
+    return _bundles(spark, sf).select("prompt_id", *(c.alias(n) for n, c in fields.items()))
+
+
+@query
+def bundle_explanations(spark, sf):
+    """Rationales and what they rest on."""
+    rows = bundle.explained(written(_judged(spark, sf), "judged"), documents_corpus(spark, sf))
+    return rows.select("prompt_id", _long("selection_index").alias("selection_index"), F.regexp_replace("rationale", r"score [0-9.]+", "score").alias("rationale"), F.array_join("why_selected.matched_signals", ",").alias("signals"), _joined("why_selected.matched_terms").alias("terms"))
+
+
 # -- audit and measures
 
 
