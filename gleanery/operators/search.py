@@ -90,22 +90,22 @@ def _measured(docs: DataFrame, place: dict[str, int]) -> tuple[dict[str, int], i
     return {r["term"]: r["n"] for r in rows if r["term"] is not None}, sum(r["n"] for r in whole), sum(r["total"] for r in whole)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, top_k: int, key: str = "chunk_id", index: DataFrame | None = None) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, top_k: int, key: str = "chunk_id", index: DataFrame | None = None, part: bool = False) -> DataFrame:
     """(query_id, key, path, start_line, end_line, snippet, score, matched_terms, rank) for queries (query_id, query).
 
     Two passes over the documents and no shuffle by term or document: one for the statistics of the queries' terms, a row of
     each per task; and one that scores blocks of documents where they lie, all queries at once, by adding the
     terms' weights term by term into a table of documents and queries. Each task keeps a query's top_k, and only these are
     shuffled. Scores add up in the order of terms, so they don't depend on partitioning. Ties go by path and start line. The
-    queries are a stated set; more than AT_ONCE are answered in several passes. docs: key, path, start_line, end_line, text;
+    queries are a stated set; of more than AT_ONCE some half as many are answered in a pass (a `part`). docs: key, path, start_line, end_line, text;
     index: stored postings of these docs, which save both passes the texts.
     """
     spark = docs.sparkSession
     asked = queries.select("query_id", F.array_sort(F.array_distinct(T.tokens("query"))).alias("terms"))
     parts = -(-asked.count() // AT_ONCE)
-    if parts > 1:
-        each = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == g) for g in range(parts)]
-        return reduce(DataFrame.unionByName, [bm25(docs, q, top_k, key, index) for q in each])
+    if parts > 1 and not part:
+        each = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(2 * parts)) == g) for g in range(2 * parts)]
+        return reduce(DataFrame.unionByName, [bm25(docs, q, top_k, key, index, True) for q in each])
     rows = asked.collect()
     terms = sorted({t for r in rows for t in r["terms"]})
     place = {t: i for i, t in enumerate(terms)}

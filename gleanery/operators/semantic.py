@@ -34,10 +34,10 @@ def cosine(a: str, b: str, norm_a: Column | None = None, norm_b: Column | None =
     return F.when(F.size(a) == F.size(b), value).otherwise(F.raise_error(F.lit("vectors differ in size")).cast("double"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, top_k: int, tie: list[str] | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, top_k: int, tie: list[str] | None = None, part: bool = False) -> DataFrame:
     """vectors' columns but the vector, with query_id, score and rank: the top_k most similar rows (vector) of each query (query_id, query_vector).
 
-    Queries are a stated set: they are sent to all, at most VALUES numbers of them in one pass, and every vector is scored where
+    Queries are a stated set: they are sent to all, about VALUES numbers of them in one pass at most (a `part`), and every vector is scored where
     it lies, in blocks, all queries at once. Products add up in the order of dimensions, so equal vectors have equal scores
     everywhere. Norms are computed once a vector, and only each task's best rows of a query are shuffled. Vectors of no length
     score 0; vectors of another size than the queries are an error; null vectors have no score.
@@ -47,11 +47,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, top_k: int, tie: list[str] |
     asked = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
     count, wide = asked.agg(F.count("*"), F.max(F.size("query_vector"))).first()
     groups = -(-count * max(1, wide or 1) // VALUES)
-    if groups > 1:
-        parts = [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g) for g in range(groups)]
-        return reduce(DataFrame.unionByName, [nearest(vectors, p, top_k, tie) for p in parts])
+    if groups > 1 and not part:
+        parts = [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(2 * groups)) == g) for g in range(2 * groups)]
+        return reduce(DataFrame.unionByName, [nearest(vectors, p, top_k, tie, True) for p in parts])
     schema = StructType([queries.schema["query_id"], *(vectors.schema[c] for c in rest), StructField("score", DoubleType())])
-    rows = asked.collect()  # at most VALUES numbers
+    rows = asked.collect()
     if not rows:
         return spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
     if len({len(r["query_vector"]) for r in rows}) > 1:
