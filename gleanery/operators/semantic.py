@@ -119,5 +119,7 @@ def refresh_plan(stored: DataFrame, chunks: DataFrame, key: str = "chunk_id") ->
 def refreshed(stored: DataFrame, chunks: DataFrame, embed, key: str = "chunk_id") -> DataFrame:
     """(key, vector) for all chunks: stored vectors are reused, others come from `embed`, a pandas UDF of the text; failed ones (null) are left out."""
     reuse = stored.join(chunks.select(key), key, "left_semi").select(key, "vector")
-    new = chunks.join(stored.select(key), key, "left_anti").select(key, embed("text").alias("vector")).where("vector is not null")
-    return reuse.unionByName(new)
+    # a filter on what a mark stands beside isn't moved below the join, where it would embed all chunks
+    mark = F.monotonically_increasing_id().alias("mark")
+    new = chunks.join(stored.select(key), key, "left_anti").select(key, embed("text").alias("vector"), mark).where("vector is not null and mark >= 0")
+    return reuse.unionByName(new.drop("mark"))
