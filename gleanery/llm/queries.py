@@ -1,4 +1,4 @@
-"""Queries of the ten operators, with production parameters, over whole tables."""
+"""Queries of the thirteen operators, with production parameters, over whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import attention_lm, line_dedup, mixing, outliers, packing, quality_knn, scaled_sketch, secrets, simhash, substring_dedup
+from gleanery.llm import attention_lm, fill_in_middle, line_dedup, mixing, outliers, packing, quality_knn, scaled_sketch, secrets, simhash, substring_dedup
 from gleanery.llm.common import documents
 
 
@@ -52,8 +52,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.transform(documents(spark, sf_dir), texts=False).drop("output", "restored")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_quality, op4_secret_scan, op5_quality_rules, op6_line_dedup, op7_lm_scores, op8_fingerprints, op9_mixing, op10_simhash)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_quality, op4_secret_scan, op5_quality_rules, op6_line_dedup, op7_lm_scores, op8_fingerprints, op9_mixing, op10_simhash, op11_fill_in_middle)}
 
 
 #: Equal lines at two places are pairs; successive pairs at one distance are a common run, and the longest one that begins at a place and earlier too is its run.
@@ -111,5 +115,24 @@ SELECT doc_id, size, source_size, target,
 """
 
 
+#: Written apart from the operator's own SQL: cuts are places in the text, found by the lengths of units, and restored texts are joined from the cut text.
+FILL_IN_MIDDLE_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, coalesce(text, '') AS t, [length(x) FOR x IN regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+')] AS sizes, sha256(concat('42:', doc_id)) AS h FROM documents
+), drawn AS (
+  SELECT doc_id, t, sizes, CAST(len(sizes) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(sizes) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(sizes) + 1) AS b,
+         CAST('0x' || h[17:24] AS BIGINT) % 100 AS share, CAST('0x' || h[25:32] AS BIGINT) % 100 AS turned FROM sized
+), cut AS (
+  SELECT doc_id, t, n, CAST(coalesce(list_sum(sizes[1:least(a, b)]), 0) AS BIGINT) AS p, CAST(coalesce(list_sum(sizes[1:greatest(a, b)]), 0) AS BIGINT) AS q,
+         CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR share >= 50 THEN 'plain' WHEN turned < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || left(t, p) || '<S>' || substr(t, q + 1) || '<M>' || substr(t, p + 1, q - p)
+                   ELSE '<S>' || substr(t, q + 1) || '<P>' || left(t, p) || '<M>' || substr(t, p + 1, q - p) END) AS output_sha256,
+       sha256(left(t, p) || substr(t, p + 1, q - p) || substr(t, q + 1)) AS restored_sha256
+FROM cut
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": LINE_DEDUP_SQL, "op9_mixing": MIXING_SQL}
+    return {"op6_line_dedup": LINE_DEDUP_SQL, "op9_mixing": MIXING_SQL, "op11_fill_in_middle": FILL_IN_MIDDLE_SQL}
