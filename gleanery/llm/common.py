@@ -77,6 +77,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         delete(spark, *mine)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table that make() gives, written; what it wrote on its way is deleted."""
+    with scratch(spark):
+        out, path = make(), f"{shared_dir(spark)}/stash/{name}-{uuid.uuid4().hex}"
+        out.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
 def fresh(docs: DataFrame, *names: str) -> list[str]:
     """These names, made longer until no column of docs has them: for helper columns beside a user's own."""
     taken, found = {c.lower() for c in docs.columns}, []

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import attention_lm, fill_in_middle, line_dedup, mixing, outliers, packing, quality_knn, scaled_sketch, secrets, simhash, substring_dedup
+from gleanery.llm import attention_lm, fill_in_middle, line_dedup, mixing, outliers, packing, prefix_trie, quality_knn, scaled_sketch, secrets, simhash, substring_dedup
 from gleanery.llm.common import documents
 
 
@@ -56,8 +56,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.transform(documents(spark, sf_dir), texts=False).drop("output", "restored")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_quality, op4_secret_scan, op5_quality_rules, op6_line_dedup, op7_lm_scores, op8_fingerprints, op9_mixing, op10_simhash, op11_fill_in_middle)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_quality, op4_secret_scan, op5_quality_rules, op6_line_dedup, op7_lm_scores, op8_fingerprints, op9_mixing, op10_simhash, op11_fill_in_middle, op13_prefix_trie)}
 
 
 #: Equal lines at two places are pairs; successive pairs at one distance are a common run, and the longest one that begins at a place and earlier too is its run.
@@ -134,5 +138,41 @@ FROM cut
 """
 
 
+#: A node is a list of turns; each node counts at all its prefixes.
+PREFIX_TRIE_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS said,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), bits(v) AS (SELECT unnest(range(256))
+), crc_table AS (
+  WITH RECURSIVE r(v, k, c) AS (SELECT v, 0, CAST(v AS BIGINT) FROM bits UNION ALL SELECT v, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM r WHERE k < 8)
+  SELECT list(c ORDER BY v) AS t FROM r WHERE k = 8
+), crc AS (
+  WITH RECURSIVE r(conv_id, digits, k, c) AS (
+    SELECT conv_id, CAST(conv_id AS VARCHAR), 1, CAST(4294967295 AS BIGINT) FROM (SELECT DISTINCT conv_id FROM turns)
+    UNION ALL SELECT conv_id, digits, k + 1, xor(c // 256, (SELECT t FROM crc_table)[xor(c % 256, ascii(digits[k])) + 1]) FROM r WHERE k <= length(digits)
+  ) SELECT conv_id, xor(c, 4294967295) % 4 AS h FROM r WHERE k = length(digits) + 1
+), rebuilt AS (
+  SELECT conv_id, list(said ORDER BY part, pos) FILTER (WHERE said IS NOT NULL) AS said FROM (
+    SELECT conv_id, 1 AS part, pos, said FROM turns JOIN crc USING (conv_id) WHERE pos > h
+    UNION ALL SELECT c.conv_id, 0, b.pos, b.said FROM crc c JOIN turns b ON b.conv_id = c.conv_id - c.conv_id % 20 AND b.pos <= c.h
+    UNION ALL SELECT conv_id, 2, 0, NULL FROM crc
+  ) GROUP BY conv_id
+), whole AS (SELECT conv_id, coalesce(said, []) AS said FROM rebuilt
+), places AS (SELECT conv_id, unnest(range(len(said) + 1)) AS depth, said FROM whole
+), nodes AS (
+  SELECT said[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(said) = depth) AS ids FROM places GROUP BY ALL
+), children AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+), counted AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n - 1) * len(regexp_extract_all(path[depth].t, '[^\x20\x09-\x0D]+')) END AS saved FROM nodes n LEFT JOIN children USING (path, depth)
+), totals AS (
+  SELECT path[1:d] AS path, d AS depth, sum(saved) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves FROM (SELECT *, unnest(range(depth + 1)) AS d FROM counted) GROUP BY ALL
+)
+SELECT c.conv_id, CAST(c.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, c.n AS n_convs, CAST(c.n_children AS BIGINT) AS n_children, t.leaves AS n_leaves, CAST(t.saved AS BIGINT) AS saved_tokens, sha256(coalesce(c.ids, '')) AS ends_sha256
+FROM counted c JOIN totals t USING (path, depth) LEFT JOIN nodes p ON p.depth = c.depth - 1 AND p.path = c.path[1:c.depth - 1]
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": LINE_DEDUP_SQL, "op9_mixing": MIXING_SQL, "op11_fill_in_middle": FILL_IN_MIDDLE_SQL}
+    return {"op6_line_dedup": LINE_DEDUP_SQL, "op9_mixing": MIXING_SQL, "op11_fill_in_middle": FILL_IN_MIDDLE_SQL, "op13_prefix_trie": PREFIX_TRIE_SQL}
