@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import attention_lm, fill_in_middle, line_dedup, mixing, outliers, packing, prefix_trie, quality_knn, scaled_sketch, secrets, simhash, substring_dedup
+from gleanery.llm import attention_lm, fill_in_middle, language_id, line_dedup, mixing, outliers, packing, prefix_trie, quality_knn, scaled_sketch, secrets, simhash, substring_dedup
 from gleanery.llm.common import documents
 
 
@@ -56,12 +56,16 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.transform(documents(spark, sf_dir), texts=False).drop("output", "restored")
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(documents(spark, sf_dir))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_quality, op4_secret_scan, op5_quality_rules, op6_line_dedup, op7_lm_scores, op8_fingerprints, op9_mixing, op10_simhash, op11_fill_in_middle, op13_prefix_trie)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_quality, op4_secret_scan, op5_quality_rules, op6_line_dedup, op7_lm_scores, op8_fingerprints, op9_mixing, op10_simhash, op11_fill_in_middle, op12_language_id, op13_prefix_trie)}
 
 
 #: Equal lines at two places are pairs; successive pairs at one distance are a common run, and the longest one that begins at a place and earlier too is its run.
