@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
@@ -13,6 +13,7 @@ from gleanery.functions.contract import guarded
 from gleanery.functions.text import col
 from gleanery.operators import pysource
 from gleanery.operators.languages import FALLBACK, READERS, SUFFIXES, Source
+from gleanery.operators.topk import first_with_totals
 
 SYMBOLS = "path string, language string, kind string, name string, signature string, start_line int, end_line int, doc string, parent_symbol string, scope_kind string, is_conditional boolean, decl_context string"
 
@@ -74,9 +75,9 @@ def definitions(symbols: DataFrame, requests: DataFrame, top_k: int) -> DataFram
     bare = symbols.join(asked, symbols.name == short("symbol")).where(F.col("name") != F.col("symbol"))
     last = symbols.join(asked, short("name") == F.col("symbol")).where(F.col("name") != F.col("symbol")).where(F.col("name") != short("symbol"))
     found = exact.unionByName(bare).unionByName(last)
-    order = Window.partitionBy("symbol").orderBy("path", "start_line", "end_line", "name", "kind")
-    ranked = found.withColumn("rank", F.row_number().over(order)).withColumn("total_candidates", F.count("*").over(Window.partitionBy("symbol")))
-    return ranked.where(F.col("rank") <= top_k).select("symbol", "path", "start_line", "end_line", "kind", "name", "signature", "scope_kind", "rank", "total_candidates", (F.col("total_candidates") > top_k).alias("truncated"))
+    wanted = found.select("symbol", "path", "start_line", "end_line", "kind", "name", "signature", "scope_kind")
+    ranked = first_with_totals(wanted, "symbol", ["path", "start_line", "end_line", "name", "kind"], top_k).withColumnRenamed("total", "total_candidates")
+    return ranked.withColumn("truncated", F.col("total_candidates") > top_k)
 
 
 def ordered(symbols: DataFrame) -> DataFrame:

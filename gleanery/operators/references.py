@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
@@ -14,6 +14,7 @@ from gleanery.operators import lexical, pysource
 from gleanery.operators.languages import FALLBACK
 from gleanery.operators.outline import language, short
 from gleanery.operators.sizes import if_small
+from gleanery.operators.topk import first_with_totals
 
 REFERENCES = ["symbol", "path", "line", "kind", "evidence", "strategy", "confidence"]
 
@@ -121,6 +122,5 @@ def profile(corpus: DataFrame, found: DataFrame, python_enabled: bool = True) ->
 
 def limited(found: DataFrame, top_k: int) -> DataFrame:
     """The first references of each symbol by path, line, symbol and kind, with rank, total_candidates and truncated."""
-    order = Window.partitionBy("symbol").orderBy("path", "line", "kind", "evidence", "confidence")
-    ranked = found.withColumn("rank", F.row_number().over(order)).withColumn("total_candidates", F.count("*").over(Window.partitionBy("symbol")))
-    return ranked.where(F.col("rank") <= top_k).withColumn("truncated", F.col("total_candidates") > top_k)
+    ranked = first_with_totals(found, "symbol", ["path", "line", "kind", "evidence", "confidence"], top_k)
+    return ranked.withColumnRenamed("total", "total_candidates").withColumn("truncated", F.col("total_candidates") > top_k)
