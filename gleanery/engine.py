@@ -14,7 +14,7 @@ from gleanery.config import Settings
 from gleanery.errors import EngineError, InvalidArgument, PolicyBlocked
 from gleanery.functions import paths
 from gleanery.functions import text as T
-from gleanery.operators import audit, chunking, discovery, fusion, outline, references, search, semantic
+from gleanery.operators import audit, blocks, chunking, discovery, fusion, names, outline, references, search, semantic
 from gleanery.operators.languages import FALLBACK, SUFFIXES
 from gleanery.plans import bundle, documents
 from gleanery.plans.store import Store, now
@@ -33,15 +33,17 @@ def _whole(name: str, value, least: int = 1) -> int:
 class Engine:
     """Verbs over one directory (root) or one table (files: path, text).
 
-    DataFrames come back lazily. The index lies under data_dir. `embed` is a pandas UDF from text to array<double>; semantic
-    and hybrid search need it.
+    DataFrames come back lazily. The index lies under data_dir, in segments: a refresh writes what changed. Once there is an
+    index, outline, references, find_definition and bundle read its symbols, names and texts, as of the last refresh, and
+    open no source file; before that, and for a single path, they read the sources. `embed` is a pandas UDF from text to
+    array<double>; semantic and hybrid search need it.
     """
 
     def __init__(self, spark: SparkSession, data_dir: str, root: str | None = None, files: DataFrame | None = None, settings: Settings | None = None, embed: Callable | None = None):
         if (root is None) == (files is None):
             raise InvalidArgument("Give either root or files.")
         self.spark, self.root, self.table, self.embed = spark, root, files, embed
-        self.settings, self.store, self.data_dir = settings or Settings(), Store(spark, f"{data_dir}/index"), data_dir
+        self.settings, self.store, self.data_dir = settings or Settings(), Store(spark, f"{data_dir}/index", {"blocks": blocks.build}), data_dir
         self.limits = self.settings.limits
 
     # -- corpus
@@ -103,49 +105,104 @@ class Engine:
             raise PolicyBlocked("Too many lines asked for.", "Ask for fewer.")
         return rows.where(F.col("line").between(start_line, end_line)).orderBy("line")
 
-    def outline(self, path: str | None = None) -> DataFrame:
-        return outline.ordered(self._outline(self.corpus(path)))
-
-    def _outline(self, corpus: DataFrame) -> DataFrame:
-        return outline.checked(outline.outline(corpus, self.settings.python_enabled))
+    # -- the index
 
-    def _references(self, corpus: DataFrame, symbols: DataFrame) -> DataFrame:
-        return references.checked(references.references(corpus, symbols, self.settings.python_enabled))
+    def _stored(self, path: str | None = None) -> bool:
+        """Whether the index answers: it is there, complete, and made under the same settings; a single path is read itself."""
+        if path is not None:
+            return False
+        found = self.store.manifest()
+        return bool(found) and self.store.status() == "ready" and found["python_enabled"] == self.settings.python_enabled and self.store.complete("symbols")
+
+    def _texts(self) -> DataFrame:
+        return self.store.read("texts").where("allowed")
+
+    def _differing(self, chosen: DataFrame, old: DataFrame | None, force: bool) -> DataFrame:
+        """(path, size, mtime_ns, had, opened): files that are new or of another size or time (tables: of another content), all with force, and those that are gone."""
+        if self.root is None:
+            chosen = discovery.file_records(chosen)
+        fields = [c for c in discovery.RECORD[1:] if c in chosen.columns]
+        new = chosen.select("path", F.struct(*fields).alias("new"))
+        was = old.select("path", F.struct(*fields).alias("old")) if old is not None else self.spark.createDataFrame([], sources.RECORD).select("path", F.struct(*fields).alias("old"))
+        both = new.join(was, "path", "full_outer")
+        opened = F.col("new").isNotNull() & (F.lit(force) | F.col("old").isNull() | (F.col("new") != F.col("old")))
+        return both.select("path", F.col("new.size").alias("size"), F.col("new.mtime_ns").alias("mtime_ns"), F.col("old").isNotNull().alias("had"), F.coalesce(opened, F.lit(True)).alias("opened"), F.col("new").isNull().alias("gone")).where("opened or gone")
 
     def refresh(self, force: bool = False) -> dict:
-        """Rewrites the index. Files of the same size and time keep their records, chunks and postings; only others are opened, hashed and chunked."""
-        old_files = old_chunks = None
-        if not force or self.store.status() == "ready":
-            old_files, old_chunks = self.store.read("files"), self.store.read("chunks")
+        """Brings the index up to date: one segment with what changed, and marks on the files whose older rows are dead.
+
+        Only files of another size or time are opened, each once; what is written grows with them, not with the corpus. With force, or under
+        another schema or setting, the index is written anew.
+        """
+        status, manifest = self.store.status(), self.store.manifest()
+        old = None if status == "not_indexed" or force and status != "ready" else self.store.read("files")
+        anew = force or old is None or manifest["python_enabled"] != self.settings.python_enabled
         chosen = discovery.selected(self.candidates(pruned=True), self.settings.include_extensions, self.settings.exclude_globs)
-        if force or old_chunks is None:
-            old_files = old_files if old_files is not None else self.spark.createDataFrame([], sources.RECORD)
-            files = self._with_content(chosen)
-            records, stay = discovery.file_records(files), None
-        else:  # only files of another size or time are opened
-            key = ["path", "size", "mtime_ns"]
-            same = old_files.join(chosen.select(*key), key, "left_semi") if self.root else discovery.file_records(chosen).join(old_files, discovery.RECORD, "left_semi")
-            files = self._with_content(chosen.join(same.select("path"), "path", "left_anti"))
-            records, stay = same.select(*discovery.RECORD).unionByName(discovery.file_records(files)), same.select("path")
-        changes = discovery.delta(old_files, records, force)
-        fresh = files.where(~discovery.is_binary("content")).select("path", sources.decoded().alias("text"))
-        chunks = chunking.chunks(fresh).withColumn("dl", F.size(T.tokens("text")))
-        postings = search.postings(chunks)
-        if stay is not None:
-            kept = old_chunks.join(stay, "path", "left_semi")
-            old_postings = self.store.read("postings").join(kept.select("chunk_id"), "chunk_id", "left_semi")
-            chunks, postings = kept.unionByName(chunks), old_postings.unionByName(postings.select("chunk_id", "term", "tf", "dl"))
-        postings = postings.select("chunk_id", "term", "tf", "dl").repartitionByRange("term").sortWithinPartitions("term")  # a query's terms then touch few row groups
-        tables = {"files": records, "chunks": chunks, "postings": postings, "changes": changes}
-        if self.embed is not None:  # vectors that are there stay, only chunks without one are embedded
-            tables["vectors"] = lambda made: semantic.refreshed(self._old_vectors(), made("chunks"), self.embed)
-        manifest = self.store.write(tables)
-        counts = {r["change"]: r["n"] for r in self.store.read("changes").groupBy("change").agg(F.count("*").alias("n")).collect()}
-        return {"added": counts.get("added", 0), "updated": counts.get("updated", 0), "removed": counts.get("removed", 0), "timestamp": manifest["last_refresh_timestamp"]}
+        segment = self.store.begin()
+        put, made = (lambda name, rows: self.store.put(segment, name, rows)), (lambda name: self.store.made(segment, name))
+        differing = put("differing", self._differing(chosen, old, anew))
+        opened = differing.where("opened and not gone")
+        content = self._with_content(opened.select("path", "size", "mtime_ns") if self.root else chosen.join(opened.select("path"), "path", "left_semi"))
+        text, tongue = sources.decoded(), outline.language("path", self.settings.python_enabled)
+        allowed = paths.block_reason("path", "size", self.limits.max_file_bytes).isNull()
+        rows = content.where(~discovery.is_binary("content")).select("path", "size", "mtime_ns", F.sha2("content", 256).alias("content_hash"), tongue.alias("language"), allowed.alias("allowed"), text.alias("text"))
+        texts = put("texts", rows.withColumn("masked", F.when(F.col("allowed") & ~F.col("language").isin("python", FALLBACK), T.masked("text"))))
+        files = put("files", texts.select(*discovery.RECORD))
+        chunks = put("chunks", chunking.chunks(texts.select("path", "text")).withColumns({"dl": F.size(T.tokens("text")), "snippet": T.snippet(T.lines("text"))}))
+        put("blocks", blocks.build(chunks))
+        code = texts.where("allowed")
+        put("symbols", self._outline(code).withColumn("short", outline.short("name")))
+        put("uses", references.python_candidates(code.where("language = 'python'")).withColumn("short", outline.short("candidate")))
+        put("names", names.build(code))
+        had, gone_chunks = differing.where("had").select("path"), 0
+        now_there, was_there = files.select("path", F.lit(1).alias("now")), had.withColumn("was", F.lit(1))
+        added, updated, removed = now_there.join(was_there, "path", "full_outer").agg(*(F.count_if(F.expr(e)) for e in ("was is null", "now = was", "now is null"))).first()
+        if not anew:
+            put("marks", had)
+            gone_chunks = names.looked_up(self.store.read("chunks"), "path", had).count()
+        if self.embed is not None:
+            put("vectors", self._new_vectors(chunks, had, anew))
+        self.store._delete(f"{self.store.root}/segments/{segment}/differing")
+        file_count, chunk_count = (0, 0) if anew else (manifest["indexed_file_count"], manifest["indexed_chunk_count"])
+        changed = anew or added or updated or removed or self.embed is not None and not made("vectors").isEmpty()
+        done = self.store.commit(segment if changed else None, files.count() if anew else file_count + added - removed, chunk_count - gone_chunks + (chunks.count() if changed else 0), self.settings.python_enabled, replace=anew)
+        return {"added": added, "updated": updated, "removed": removed, "timestamp": done["last_refresh_timestamp"]}
+
+    def _new_vectors(self, chunks: DataFrame, had: DataFrame, anew: bool) -> DataFrame:
+        """(chunk_id, path, vector) of new chunks, and of those that have none yet. Vectors that are there stay where they are; those of changed files are taken over by chunk."""
+        have, wanted = self._old_vectors(), chunks.select("chunk_id", "path", "text")
+        pool = have.join(had, "path", "left_semi")
+        if anew:
+            pool = have
+        else:
+            stay = have.join(had, "path", "left_anti")
+            rest = self.store.read("chunks").select("chunk_id", "path", "text").join(had, "path", "left_anti").join(stay.select("chunk_id"), "chunk_id", "left_anti")
+            wanted = wanted.unionByName(rest)
+        return semantic.refreshed(pool, wanted, self.embed).join(wanted.select("chunk_id", "path"), "chunk_id").select("chunk_id", "path", "vector")
 
     def _old_vectors(self) -> DataFrame:
         found = self.store.read("vectors") if self.store.status() == "ready" else None
-        return found if found is not None else self.spark.createDataFrame([], "chunk_id string, vector array<double>")
+        return found if found is not None else self.spark.createDataFrame([], "chunk_id string, path string, vector array<double>")
+
+    def optimize(self) -> None:
+        """Merges all segments of the index into one."""
+        self.store.optimize()
+
+    def _outline(self, corpus: DataFrame) -> DataFrame:
+        return outline.checked(outline.outline(corpus, self.settings.python_enabled))
+
+    def outline(self, path: str | None = None) -> DataFrame:
+        if self._stored(path):
+            return outline.ordered(self.store.read("symbols").drop("short"))
+        return outline.ordered(self._outline(self.corpus(path)))
+
+    def _references(self, symbols: DataFrame, path: str | None = None, within: DataFrame | None = None) -> DataFrame:
+        """References by the index, or of the sources themselves. within: only in these paths."""
+        if not self._stored(path):
+            corpus = self.corpus(path)
+            return references.checked(references.references(corpus if within is None else corpus.join(within, "path", "left_semi"), symbols, self.settings.python_enabled))
+        scoped = lambda rows: rows if within is None else rows.join(within, "path", "left_semi")
+        return references.checked(names.stored_references(scoped(self.store.read("names")), self._texts(), scoped(self.store.read("uses")), symbols))
 
     def vector_plan(self) -> DataFrame:
         """(chunk_id, action): what a refresh of the vectors would embed, reuse and remove, by the index as it is."""
@@ -155,14 +212,11 @@ class Engine:
         return semantic.refresh_plan(self._old_vectors(), chunks)
 
     def _hits(self, queries: DataFrame, top_k, file_glob: str | None, path_prefix: str | None, mode: str) -> DataFrame:
-        stored = self.store.read("chunks")
+        stored = self.store.read("chunks", segment=True)
         if stored is None:
             raise EngineError("There is no index.", "Refresh first.")
         docs = search.filtered(stored, file_glob, path_prefix)
-        index = self.store.read("postings")
-        if file_glob or path_prefix:
-            index = index.join(docs.select("chunk_id"), "chunk_id", "left_semi")
-        words = None if mode == "semantic" else search.bm25(docs, queries, top_k, index=index)
+        words = None if mode == "semantic" else self._search(queries, top_k, docs, bool(file_glob or path_prefix)).hits()
         if mode == "bm25":
             return words
         if self.embed is None:
@@ -170,21 +224,31 @@ class Engine:
         stored_vectors = self.store.read("vectors")
         if stored_vectors is None:
             raise EngineError("The index has no vectors.", "Refresh with an embedder.")
-        vectors = docs.select("chunk_id", "path", "start_line", "end_line").join(stored_vectors, "chunk_id")
+        vectors = docs.select("chunk_id", "path", "start_line", "end_line").join(stored_vectors.drop("path"), "chunk_id")
         asked = queries.select("query_id", self.embed("query").alias("query_vector"))
         near = semantic.nearest(vectors, asked, top_k, ["path", "start_line"]).withColumns({"snippet": F.lit(""), "matched_terms": F.array().cast("array<string>")})
         return near if mode == "semantic" else fusion.fuse(words, near, top_k)
 
+    def _search(self, queries: DataFrame, top_k: int, docs: DataFrame, filtered: bool) -> blocks.Search:
+        every = self.store.read("chunks", live=False, segment=True)
+        return blocks.Search(self.store.read("blocks", live=False, segment=True), every, queries, top_k, docs if filtered or self.store.has_marks() else None)
+
+    def search_report(self, queries: str | list[str] | DataFrame, top_k: int | None = None, file_glob: str | None = None, path_prefix: str | None = None) -> DataFrame:
+        """(query_id, blocks, scored_blocks, ranges, scored_ranges): how much of the queries' postings a bm25 search opens."""
+        docs = search.filtered(self.store.read("chunks", segment=True), file_glob, path_prefix)
+        return self._search(self._asked(queries), self._top_k(top_k, self.limits.max_search_hits), docs, bool(file_glob or path_prefix)).report()
+
+    def _asked(self, queries: str | list[str] | DataFrame) -> DataFrame:
+        if isinstance(queries, str):
+            queries = [queries]
+        return self.spark.createDataFrame(list(enumerate(queries)), "query_id long, query string") if isinstance(queries, list) else queries
+
     def search(self, queries: str | list[str] | DataFrame, top_k: int | None = None, file_glob: str | None = None, path_prefix: str | None = None, mode: str = "bm25") -> DataFrame:
         """Hits of one query, a list, or a table (query_id, query)."""
         top_k = self._top_k(top_k, self.limits.max_search_hits)
         if mode not in MODES:
             raise InvalidArgument(f"mode must be one of {', '.join(MODES)}")
-        if isinstance(queries, str):
-            queries = [queries]
-        if isinstance(queries, list):
-            queries = self.spark.createDataFrame(list(enumerate(queries)), "query_id long, query string")
-        return self._hits(queries, top_k, file_glob, path_prefix, mode).orderBy("query_id", "rank")
+        return self._hits(self._asked(queries), top_k, file_glob, path_prefix, mode).orderBy("query_id", "rank")
 
     def _top_k(self, value: int | None, limit: int) -> int:
         if value is None:
@@ -201,19 +265,24 @@ class Engine:
 
     def references(self, symbols: str | list[str], path: str | None = None, top_k: int | None = None) -> DataFrame:
         limit = self._top_k(top_k, self.limits.max_references)
-        return references.limited(self._references(self.corpus(path), self._symbols(symbols)), limit).orderBy("symbol", "rank")
+        return references.limited(self._references(self._symbols(symbols), path), limit).orderBy("symbol", "rank")
 
     def profile_references(self, symbols: str | list[str], path: str | None = None, sink: str | None = None) -> DataFrame:
         """Per language: files, characters and references to the symbols. sink: a folder to which the rows are appended as JSON."""
-        corpus = self.corpus(path)
-        found = references.profile(corpus, self._references(corpus, self._symbols(symbols)), self.settings.python_enabled)
+        corpus = self._texts().select("path", "text") if self._stored(path) else self.corpus(path)
+        found = references.profile(corpus, self._references(self._symbols(symbols), path), self.settings.python_enabled)
         if sink is not None:
             found.withColumn("timestamp", F.lit(now())).coalesce(1).write.mode("append").json(sink)
         return found.orderBy("language")
 
     def find_definition(self, symbols: str | list[str], path: str | None = None, top_k: int | None = None) -> DataFrame:
         limit = self._top_k(top_k, self.limits.max_references)
-        return outline.definitions(self._outline(self.corpus(path)), self._symbols(symbols), limit).orderBy("symbol", "rank")
+        asked = self._symbols(symbols)
+        if self._stored(path):
+            known = names.looked_up(self.store.read("symbols"), "short", asked.select(outline.short("symbol").alias("short"))).drop("short")
+        else:
+            known = self._outline(self.corpus(path))
+        return outline.definitions(known, asked, limit).orderBy("symbol", "rank")
 
     def bundle(self, prompts: str | list[str], max_files: int, max_total_lines: int, include_tests: bool = False, mode: str = "bm25") -> dict[str, DataFrame]:
         """documents (JSON), and their parts: selections, totals, ranking, notes, ids, by prompt_id. documents.export writes files."""
@@ -227,10 +296,10 @@ class Engine:
         # a few hundred rows a prompt, read by every part of the result: written once, deleted by clean()
         work = f"{self.data_dir}/work"
         hits = written(hits.join(queries, "query_id").where("rank <= k").withColumnRenamed("query", "source_query"), "hits", work)
-        corpus, paths_hit = self.corpus(), hits.select("path").distinct()
-        wanted = corpus.join(paths_hit, "path", "left_semi")
-        symbols = written(self._outline(wanted), "symbols", work)
-        refs = self._references(wanted, symbols.select(F.col("name").alias("symbol")).distinct())
+        corpus, paths_hit = (self._texts().select("path", "text") if self._stored() else self.corpus()), hits.select("path").distinct()
+        known = self.store.read("symbols").drop("short").join(paths_hit, "path", "left_semi") if self._stored() else self._outline(corpus.join(paths_hit, "path", "left_semi"))
+        symbols = written(known, "symbols", work)
+        refs = self._references(symbols.select(F.col("name").alias("symbol")).distinct(), within=paths_hit)
         ranked = bundle.candidates(hits, asked, symbols, refs, include_tests)
         budgets = asked.select("prompt_id", F.lit(max_files).alias("max_files"), F.lit(max_total_lines).alias("max_total_lines"))
         judged = written(bundle.verdicts(ranked, budgets), "judged", work)

@@ -46,9 +46,12 @@ def lexical_references(corpus: DataFrame, symbols: DataFrame) -> DataFrame:
     line counts if all parts stand in sequence, or the last part is called, created, or in an import or inheritance line;
     lines that look like declarations don't.
     """
-    wanted = lexical_symbols(symbols)
     rows = lexical.source_lines(corpus).withColumn("short", F.explode(F.array_distinct(T.identifiers("masked"))))
-    met = rows.join(if_small(wanted), "short")
+    return judged(rows.join(if_small(lexical_symbols(symbols)), "short"))
+
+
+def judged(met: DataFrame) -> DataFrame:
+    """References among lines (path, line, masked, original) that have a symbol's last part as an identifier (symbol, short, sequence)."""
     # patterns are literals, compiled once: they find names, which are then compared; only a name after `new`, whose end is a matter of word boundaries, is tried by itself
     every = lambda pattern, group: F.regexp_extract_all("masked", F.lit(pattern), F.lit(group))
     called = F.exists(every(rf"({RUN}++)(?U)\s*\(", 1), lambda x: x.endswith(F.col("short")))

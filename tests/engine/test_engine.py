@@ -11,7 +11,7 @@ from gleanery.engine import Engine
 from gleanery.errors import EngineError, InvalidArgument, PathBlocked, PolicyBlocked, SchemaUnsupported
 from gleanery.operators import audit
 from gleanery.plans import documents, samples
-from gleanery.plans.store import MANIFEST
+from gleanery.plans.store import MANIFEST, SCHEMA_VERSION
 from gleanery.streaming import streams
 
 
@@ -68,7 +68,7 @@ def test_semantic_and_hybrid(spark, root):
 
 def test_newer_schemas_are_refused(spark, engine):
     engine.refresh()
-    spark.createDataFrame([(2, "s", "9999", 0, 0)], MANIFEST).write.mode("append").parquet(f"{engine.store.root}/manifest")
+    spark.createDataFrame([(SCHEMA_VERSION + 1, 2, "9999", 0, 0, True, [])], MANIFEST).write.parquet(f"{engine.store.root}/manifest/v-000000000002")
     assert engine.status()["index_status"] == "schema_mismatch"
     with pytest.raises(SchemaUnsupported):
         engine.search("x")
