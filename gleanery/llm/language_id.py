@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -14,22 +15,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import Recent, crc_mod, kept, lean, scratch
-from gleanery.llm.words import ranges, words_of
+from gleanery.llm.words import Words, ranges, words_of
 
 #: A run of letters with their marks; what stands between runs says nothing here.
 RUN = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 START = "▁"
+#: What often stands at a word's ends and is no letter: taken away before words are told apart.
+ENDS = ".,;:!?…\"'`´’‘“”«»()[]{}<>|/\\*_-–—+=~#&%$@0123456789"
 #: Passes of expectation and maximization, and what every piece has besides its expected count.
 ROUNDS, ALPHA = 3, 0.05
 #: Languages scored in one pass: bounds what is sent to all (LANGUAGES times the vocabulary, 8 bytes each); more take more passes.
 LANGUAGES = 64
-#: Letters that are segmented at once, and words whose scores a worker keeps.
-CELLS, CACHED = 200_000, 400_000
+#: Letters that are segmented at once, words whose scores a worker keeps, and bytes of text that are scored at once.
+CELLS, CACHED, BYTES = 200_000, 250_000, 1 << 20
 #: Expected counts are whole multiples of a UNIT-th, so that their sums don't depend on partitioning (up to 2^53 units in a group of words).
 UNIT = 1 << 16
 UNKNOWN = "und"
 
 _loaded: dict[str, "Pieces"] = {}
+_caches: dict[str, Recent] = {}
 
 
 def default_vocabulary() -> str:
@@ -72,7 +76,9 @@ class Pieces:
             at = np.argsort(keys)
             if len(np.unique(keys)) < len(keys):
                 raise ValueError("two pieces have one hash")
-            self.by_length.append((keys[at], ids[at]))
+            there = np.zeros(1 << 20, dtype=bool)  # by the first bits of the hash: most parts of words are no pieces
+            there[keys >> np.uint64(44)] = True
+            self.by_length.append((keys[at], ids[at], there))
 
     def _hash(self, piece: str) -> int:
         value = 0
@@ -105,11 +111,14 @@ class Pieces:
             sums[:, k + 1] = sums[:, k] * self.BASE + letters[:, k] + np.uint64(1)
         ids = np.full((min(self.longest, wide), len(starts), wide), -1, dtype=np.int32)
         for length in range(1, len(ids) + 1):
-            keys, of = self.by_length[length - 1]
+            keys, of, there = self.by_length[length - 1]
             if len(keys):
                 hashes = sums[:, length:] - sums[:, : wide + 1 - length] * self.powers[length]
-                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-                ids[length - 1, :, : wide + 1 - length] = np.where((keys[at] == hashes) & inside[:, length - 1 :], of[at], -1)
+                row, start = np.nonzero(there[hashes >> np.uint64(44)] & inside[:, length - 1 :])
+                found = hashes[row, start]
+                at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+                same = np.flatnonzero(keys[at] == found)
+                ids[length - 1, row[same], start[same]] = of[at[same]]
         strange = inside & (ids[0] < 0)
         spelled, code = np.unique(letters[strange], return_inverse=True)
         ids[0][strange] = self.size + code
@@ -177,25 +186,42 @@ def expected(pieces: Pieces, words: list[str], langs: np.ndarray, times: np.ndar
     return total
 
 
-def runs(word: bytes) -> list[str]:
-    return RUN.findall(word.decode("utf-8", "replace").lower())
+def folded(words: Words) -> tuple[pa.Array, np.ndarray]:
+    """(distinct, codes): the texts' words in lower case without ENDS, and which of them each word is."""
+    found = pc.utf8_trim(pc.utf8_lower(words.unique), characters=ENDS).dictionary_encode()
+    return found.dictionary, found.indices.to_numpy(zero_copy_only=False)[words.codes] if len(words.codes) else words.codes
+
+
+def runs(words: pa.Array) -> tuple[np.ndarray, dict[int, list[str]]]:
+    """(plain, others): which folded words are one run of letters, and the runs of each other word."""
+    plain = pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False)
+    rest = np.flatnonzero(~plain)
+    return plain, dict(zip(rest.tolist(), map(RUN.findall, words.take(pa.array(rest)).to_pylist()), strict=True))
 
 
 def word_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, run, n): how often each run of letters stands in the texts of a language. Counted in each task before the shuffle."""
 
+    def counted(texts: pa.Array, name: str) -> pa.RecordBatch:
+        words, codes = folded(words_of(texts))
+        times = np.bincount(codes, minlength=len(words))
+        plain, others = runs(words)
+        found: Counter = Counter()
+        for i, parts in others.items():
+            for r in parts:
+                found[r] += int(times[i])
+        alone = np.flatnonzero(plain)
+        run = pa.concat_arrays([words.take(pa.array(alone)), pa.array(list(found), pa.string())])
+        n = np.concatenate([times[alone], np.fromiter(found.values(), dtype=np.int64, count=len(found))]).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(run), pa.string()), run, pa.array(n)], ["lang", "run", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high in ranges(batch.column(1)):
                 part = batch.slice(low, high - low)
                 names = part.column(0).dictionary_encode()
                 for code, name in enumerate(names.dictionary.to_pylist()):
-                    words = words_of(part.column(1).filter(pc.equal(names.indices, code)))
-                    found: Counter = Counter()
-                    for word, n in zip(words.bodies(), np.bincount(words.codes, minlength=len(words.unique)).tolist(), strict=True):
-                        for r in runs(word):
-                            found[r] += n
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "run", "n"])
+                    yield counted(part.column(1).filter(pc.equal(names.indices, code)), name)
 
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(lean(run), "lang string, run string, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
@@ -254,27 +280,32 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     letter, and a model without languages give `und` and 0. Texts are read whole, of any length; repeated rows and null doc_ids
     stay; equal texts get equal scores. No shuffle; each LANGUAGES languages are one pass.
     """
-    state = "doc_id long, text string, lang_pred string, best double, total double"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(None).cast("double").alias("best"), F.lit(None).cast("double").alias("total"))
     for k, logs in enumerate(model.blocks):
-        rows = rows.mapInArrow(lean(_scorer(docs, logs, model.languages[k * LANGUAGES : (k + 1) * LANGUAGES], model.path)), state)
+        last = k + 1 == len(model.blocks)  # then the text isn't passed on
+        state = "doc_id long, lang_pred string, best double, total double" if last else "doc_id long, text string, lang_pred string, best double, total double"
+        rows = rows.mapInArrow(lean(_scorer(docs, logs, model.languages[k * LANGUAGES : (k + 1) * LANGUAGES], model.path, last)), state)
     return rows.select("doc_id", "lang_pred", F.coalesce(F.exp(F.col("best") - F.col("total")), F.lit(0.0)).alias("score"))
 
 
-def _scorer(docs: DataFrame, logs: np.ndarray, names: list[str], path: str):
-    shared = docs.sparkSession.sparkContext.broadcast(logs)
+def _scorer(docs: DataFrame, logs: np.ndarray, names: list[str], path: str, last: bool):
+    shared, token = docs.sparkSession.sparkContext.broadcast(logs), uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, now, cache = pieces_at(path), shared.value, Recent(CACHED)
-        wide = len(names) + 1
+        pieces, now, wide = pieces_at(path), shared.value, len(names) + 1
+        if token not in _caches:  # the worker's own, for one model at a time
+            _caches.clear()
+            _caches[token] = Recent(CACHED)
+        cache = _caches[token]
         for batch in batches:
-            for low, high in ranges(batch.column(1)):
+            for low, high in ranges(batch.column(1), BYTES):
                 part = batch.slice(low, high - low)
                 words = words_of(part.column(1))
-                bodies = words.bodies()
+                unique, codes = folded(words)
+                bodies = unique.to_pylist()
                 new = list(cache.missing(set(bodies)))
                 cache.young.update(_learned(pieces, new, now))
-                each = np.frombuffer(b"".join(map(cache.young.__getitem__, bodies)), dtype=float).reshape(-1, wide)[words.codes]
+                each = np.frombuffer(b"".join(map(cache.young.__getitem__, bodies)), dtype=float).reshape(-1, wide)[codes]
                 sums = np.zeros((len(part), wide))
                 some = np.flatnonzero(np.diff(words.bounds))
                 if len(some):
@@ -287,24 +318,28 @@ def _scorer(docs: DataFrame, logs: np.ndarray, names: list[str], path: str):
                 seen = part.column(4).to_numpy(zero_copy_only=False)
                 total = np.where(np.isnan(seen), total, np.logaddexp(np.where(np.isnan(seen), -np.inf, seen), total))
                 pred = [names[i] if b else o for i, b, o in zip(at.tolist(), better.tolist(), part.column(2).to_pylist(), strict=True)]
-                columns = [part.column(0), part.column(1), pa.array(pred, pa.string()), pa.array(np.where(better, best, old), mask=~letters), pa.array(total, mask=~letters)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "lang_pred", "best", "total"])
+                columns = {"doc_id": part.column(0), "text": part.column(1), "lang_pred": pa.array(pred, pa.string()), "best": pa.array(np.where(better, best, old), mask=~letters), "total": pa.array(total, mask=~letters)}
+                yield pa.RecordBatch.from_pydict({k: v for k, v in columns.items() if not (last and k == "text")})
 
     return run
 
 
-def _learned(pieces: Pieces, words: list[bytes], logs: np.ndarray) -> dict[bytes, bytes]:
-    """Of each word: the number of its runs, and the sum of their logs, as bytes."""
-    parts = [runs(w) for w in words]
-    flat = list(dict.fromkeys(r for p in parts for r in p))
-    place = {r: i for i, r in enumerate(flat)}
+def _learned(pieces: Pieces, words: list[str], logs: np.ndarray) -> dict[str, bytes]:
+    """Of each folded word: the number of its runs, and the sum of their logs, as bytes."""
+    plain, others = runs(pa.array(words, pa.string()))
+    alone = np.flatnonzero(plain).tolist()
+    flat = list(dict.fromkeys([*(words[i] for i in alone), *(r for parts in others.values() for r in parts)]))
     each = word_logs(pieces, flat, logs)
     out = np.zeros((len(words), logs.shape[1] + 1))
-    out[:, 0] = [len(p) for p in parts]
-    for i, p in enumerate(parts):
-        for r in p:
+    out[alone, 0] = 1.0
+    out[alone, 1:] = each[: len(alone)]  # words are distinct, so these come first and in order
+    place = {r: i for i, r in enumerate(flat)} if others else {}
+    for i, parts in others.items():
+        out[i, 0] = len(parts)
+        for r in parts:
             out[i, 1:] += each[place[r]]
-    return {w: out[i].tobytes() for i, w in enumerate(words)}
+    data, size = out.tobytes(), 8 * out.shape[1]
+    return {w: data[i * size : (i + 1) * size] for i, w in enumerate(words)}
 
 
 def predict(docs: DataFrame, path: str | None = None) -> DataFrame:
