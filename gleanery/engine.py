@@ -6,7 +6,9 @@ import json
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,33 +143,46 @@ class Engine:
         segment = self.store.begin()
         put, made = (lambda name, rows: self.store.put(segment, name, rows)), (lambda name: self.store.made(segment, name))
         differing = put("differing", self._differing(chosen, old, anew))
-        opened = differing.where("opened and not gone")
-        content = self._with_content(opened.select("path", "size", "mtime_ns") if self.root else chosen.join(opened.select("path"), "path", "left_semi"))
-        text, tongue = sources.decoded(), outline.language("path", self.settings.python_enabled)
-        allowed = paths.block_reason("path", "size", self.limits.max_file_bytes).isNull()
-        rows = content.where(~discovery.is_binary("content")).select("path", "size", "mtime_ns", F.sha2("content", 256).alias("content_hash"), tongue.alias("language"), allowed.alias("allowed"), text.alias("text"))
-        texts = put("texts", rows.withColumn("masked", F.when(F.col("allowed") & ~F.col("language").isin("python", FALLBACK), T.masked("text"))))
-        files = put("files", texts.select(*discovery.RECORD))
-        chunks = put("chunks", chunking.chunks(texts.select("path", "text")).withColumns({"dl": F.size(T.tokens("text")), "snippet": T.snippet(T.lines("text"))}))
-        put("blocks", blocks.build(chunks))
-        code = texts.where("allowed")
-        put("symbols", self._outline(code).withColumn("short", outline.short("name")))
-        put("uses", references.python_candidates(code.where("language = 'python'")).withColumn("short", outline.short("candidate")))
-        put("names", names.build(code))
-        had, gone_chunks = differing.where("had").select("path"), 0
-        now_there, was_there = files.select("path", F.lit(1).alias("now")), had.withColumn("was", F.lit(1))
+        opened, had = differing.where("opened and not gone"), differing.where("had").select("path")
+        fresh = anew or not opened.isEmpty()
+        if fresh:
+            self._put_content(put, opened, chosen)
+        files, chunks = (made(n) if fresh else None for n in ("files", "chunks"))
+        was_there = had.withColumn("was", F.lit(1))
+        now_there = (files.select("path") if fresh else had.limit(0)).withColumn("now", F.lit(1))
         added, updated, removed = now_there.join(was_there, "path", "full_outer").agg(*(F.count_if(F.expr(e)) for e in ("was is null", "now = was", "now is null"))).first()
-        if not anew:
+        changed, gone_chunks = anew or bool(added or updated or removed), 0
+        if not anew and (updated or removed):
             put("marks", had)
             gone_chunks = names.looked_up(self.store.read("chunks"), "path", had).count()
         if self.embed is not None:
-            put("vectors", self._new_vectors(chunks, had, anew))
+            changed = not put("vectors", self._new_vectors(chunks if fresh else self.store.read("chunks").limit(0), had, anew)).isEmpty() or changed
         self.store._delete(f"{self.store.root}/segments/{segment}/differing")
         file_count, chunk_count = (0, 0) if anew else (manifest["indexed_file_count"], manifest["indexed_chunk_count"])
-        changed = anew or added or updated or removed or self.embed is not None and not made("vectors").isEmpty()
-        done = self.store.commit(segment if changed else None, files.count() if anew else file_count + added - removed, chunk_count - gone_chunks + (chunks.count() if changed else 0), self.settings.python_enabled, replace=anew)
+        done = self.store.commit(segment if changed else None, file_count + added + (updated if anew else -removed), chunk_count - gone_chunks + (chunks.count() if fresh else 0), self.settings.python_enabled, replace=anew)
         return {"added": added, "updated": updated, "removed": removed, "timestamp": done["last_refresh_timestamp"]}
 
+    def _put_content(self, put: Callable, opened: DataFrame, chosen: DataFrame) -> None:
+        """A segment's tables of the opened files; each is read once, and what follows is made from what was written."""
+        content = self._with_content(opened.select("path", "size", "mtime_ns") if self.root else chosen.join(opened.select("path"), "path", "left_semi"))
+        text, tongue = sources.decoded(), outline.language("path", self.settings.python_enabled)
+        allowed = paths.block_reason("path", "size", self.limits.max_file_bytes).isNull()
+        rows = content.where(~discovery.is_binary("content")).select("path", "size", "mtime_ns", F.sha2("content", 256).alias("content_hash"), tongue.alias("language"), allowed.alias("allowed"), text.alias("text"))
+        texts = put("texts", rows.withColumn("masked", F.when(F.col("allowed") & ~F.col("language").isin("python", FALLBACK), T.masked("text"))))
+        chunks = chunking.chunks(texts.select("path", "text")).withColumns({"dl": F.size(T.tokens("text")), "snippet": T.snippet(T.lines("text"))})
+        code = texts.where("allowed")
+        uses = references.python_candidates(code.where("language = 'python'")).withColumn("short", outline.short("candidate"))
+        makers = [
+            lambda: put("blocks", blocks.build(put("chunks", chunks))),
+            lambda: put("symbols", self._outline(code).withColumn("short", outline.short("name"))),
+            lambda: put("uses", uses),
+            lambda: put("names", names.build(code)),
+            lambda: put("files", texts.select(*discovery.RECORD)),
+        ]
+        with ThreadPoolExecutor(len(makers)) as pool:  # independent jobs, side by side
+            for done in [pool.submit(inheritable_thread_target(self.spark)(m)) for m in makers]:
+                done.result()
+
     def _new_vectors(self, chunks: DataFrame, had: DataFrame, anew: bool) -> DataFrame:
         """(chunk_id, path, vector) of new chunks, and of those that have none yet. Vectors that are there stay where they are; those of changed files are taken over by chunk."""
         have, wanted = self._old_vectors(), chunks.select("chunk_id", "path", "text")

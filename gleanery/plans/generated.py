@@ -45,7 +45,7 @@ FILES = (("py", PYTHON), ("go", GO), ("rs", RUST))
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """(path, text) of each row of `documents`."""
+    """(doc_id, path, text) of each row of `documents`."""
     rows = table(spark, sf, "documents").select("doc_id")
     values = [F.col("doc_id").cast("string"), (F.col("doc_id") % 7).cast("string"), (F.col("doc_id") % 5).cast("string")]
 
@@ -64,4 +64,4 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
         here = F.col("doc_id") % len(FILES) == k
         text = F.when(here, filled(template)) if text is None else text.when(here, filled(template))
         suffix = F.when(here, F.lit(name)) if suffix is None else suffix.when(here, F.lit(name))
-    return rows.select(F.concat(F.lit("gen/f"), F.lpad(F.col("doc_id").cast("string"), 7, "0"), F.lit("."), suffix).alias("path"), text.alias("text"))
+    return rows.select("doc_id", F.concat(F.lit("gen/f"), F.lpad(F.col("doc_id").cast("string"), 7, "0"), F.lit("."), suffix).alias("path"), text.alias("text"))

@@ -228,3 +228,7 @@ FROM prompts p LEFT JOIN sums USING (prompt_id) LEFT JOIN counted USING (prompt_
 SQL["bundle_explanations"] = f"""WITH RECURSIVE {JUDGED} SELECT prompt_id, row_number() OVER (PARTITION BY prompt_id ORDER BY rank_position) - 1 AS selection_index,
   'Selected from query ' || chr(39) || source_query || chr(39) || ' with score; matched_terms=' || CASE WHEN len(terms) > 0 THEN array_to_string(terms, ', ') ELSE 'none' END || '.' || coalesce(' aligned_symbol=' || aligned_symbol || '.', '') AS rationale,
   array_to_string(list_filter(['search_score', CASE WHEN len(terms) > 0 THEN 'matched_terms' END, CASE WHEN definition_match THEN 'definition_match' END, CASE WHEN reference_count_in_range > 0 THEN 'reference_proximity' END, CASE WHEN aligned_symbol IS NOT NULL THEN 'aligned_symbol' END], lambda x: x IS NOT NULL), ',') AS signals, array_to_string(terms, ' ') AS terms FROM judged WHERE verdict = 'selected'"""
+
+# What an index holds after its refreshes is what a plain pass finds; files that look binary are not in it.
+INDEXED = CORPUS.replace("FROM documents)", f"FROM documents WHERE text IS NOT NULL AND NOT {CUT} AND NOT contains(text, chr(0)))")
+SQL |= {f"indexed_{new}": SQL[old].replace(CORPUS, INDEXED) for new, old in (("search", "bm25_batch"), ("prefix", "bm25_prefix"), ("references", "references_limited"), ("definitions", "find_definition"), ("outline", "outline_sources"))}

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.config import EXCLUDE_GLOBS, INCLUDE_EXTENSIONS
+from gleanery.engine import Engine
 from gleanery.functions import paths
 from gleanery.functions import text as T
 from gleanery.operators import audit, chunking, discovery, fusion, lexical, outline, references, search, semantic
 from gleanery.plans import bundle, documents, generated
 from gleanery.sources.corpus import document_path, documents_corpus, table
-from gleanery.sources.work import written
+from gleanery.sources.work import shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -366,6 +368,53 @@ def find_definition(spark, sf):
     return found.withColumns({c: _long(c) for c in ("start_line", "end_line", "rank", "total_candidates")})
 
 
+# -- the same through the index of an engine
+
+
+def _indexed(files: DataFrame, ask: Callable[[Engine], DataFrame]) -> DataFrame:
+    """ask(engine), over an index that has come to hold files (doc_id, path, text) in three refreshes, with files added, changed and removed. It is deleted after the answer is written."""
+    spark = files.sparkSession
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    old = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("helper1(the of and)\n"), "text")).otherwise(F.col("text"))
+    gone = F.when(F.col("doc_id") % 13 == 0, F.concat(F.lit("old/"), "path")).otherwise(F.col("path"))
+    engine = Engine(spark, folder, files=files.where("doc_id % 5 <> 0").select(gone.alias("path"), old.alias("text")))
+    engine.refresh()
+    for now in (files.where("doc_id % 3 <> 0").select("path", old.alias("text")), files.select("path", "text")):
+        engine.table = now
+        engine.refresh()
+    out = written(ask(engine), "indexed")
+    engine.store._delete(folder)
+    return out
+
+
+@query
+def indexed_search(spark, sf):
+    return _shown(_indexed(documents_corpus(spark, sf), lambda e: e.search(_benchmark(spark, sf), top_k=10)))
+
+
+@query
+def indexed_prefix(spark, sf):
+    return _shown(_indexed(documents_corpus(spark, sf), lambda e: e.search(_one(spark), top_k=10, path_prefix="./src1//en/")))
+
+
+@query
+def indexed_references(spark, sf):
+    found = _indexed(generated.corpus(spark, sf), lambda e: e.references([f"helper{k}" for k in range(7)]))
+    return found.withColumns({c: _long(c) for c in ("line", "rank", "total_candidates")})
+
+
+@query
+def indexed_definitions(spark, sf):
+    found = _indexed(generated.corpus(spark, sf), lambda e: e.find_definition(["load", "gen.Run", "turn", "main3", "C12.load", "nothing"]))
+    return found.withColumns({c: _long(c) for c in ("start_line", "end_line", "rank", "total_candidates")})
+
+
+@query
+def indexed_outline(spark, sf):
+    found = _indexed(generated.corpus(spark, sf), lambda e: e.outline())
+    return found.withColumns({c: _long(c) for c in ("start_line", "end_line")})
+
+
 # -- bundles
 
 
