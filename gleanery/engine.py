@@ -16,7 +16,7 @@ from gleanery.config import Settings
 from gleanery.errors import EngineError, InvalidArgument, PolicyBlocked
 from gleanery.functions import paths
 from gleanery.functions import text as T
-from gleanery.operators import audit, blocks, chunking, discovery, fusion, names, outline, references, search, semantic
+from gleanery.operators import audit, blocks, chunking, clusters, discovery, fusion, names, outline, references, search, semantic
 from gleanery.operators.languages import FALLBACK, SUFFIXES
 from gleanery.plans import bundle, documents
 from gleanery.plans.store import Store, now
@@ -156,7 +156,7 @@ class Engine:
             put("marks", had)
             gone_chunks = names.looked_up(self.store.read("chunks"), "path", had).count()
         if self.embed is not None:
-            changed = not put("vectors", self._new_vectors(chunks if fresh else self.store.read("chunks").limit(0), had, anew)).isEmpty() or changed
+            changed = self._put_vectors(segment, self._new_vectors(chunks if fresh else self.store.read("chunks").limit(0), had, anew), anew) or changed
         self.store._delete(f"{self.store.root}/segments/{segment}/differing")
         file_count, chunk_count = (0, 0) if anew else (manifest["indexed_file_count"], manifest["indexed_chunk_count"])
         done = self.store.commit(segment if changed else None, file_count + added + (updated if anew else -removed), chunk_count - gone_chunks + (chunks.count() if fresh else 0), self.settings.python_enabled, replace=anew)
@@ -195,6 +195,18 @@ class Engine:
             wanted = wanted.unionByName(rest)
         return semantic.refreshed(pool, wanted, self.embed).join(wanted.select("chunk_id", "path"), "chunk_id").select("chunk_id", "path", "vector")
 
+    def _put_vectors(self, segment: str, vectors: DataFrame, anew: bool) -> bool:
+        """Write a segment's vectors by cluster; whether there are any. Centroids are fitted once, on the first vectors, and serve until the index is made anew."""
+        made = self.store.put(segment, "embedded", vectors)
+        old = None if anew else self.store.read("centroids", live=False)
+        if old is None and not made.isEmpty():
+            fitted = [(i, c.tolist()) for i, c in enumerate(clusters.fit(made))]
+            old = self.store.put(segment, "centroids", self.spark.createDataFrame(fitted, "cluster int, centroid array<double>"))
+        self.store.put(segment, "vectors", clusters.assigned(made, clusters.stored(old)))
+        some = not made.isEmpty()
+        self.store._delete(f"{self.store.root}/segments/{segment}/embedded")
+        return some
+
     def _old_vectors(self) -> DataFrame:
         found = self.store.read("vectors") if self.store.status() == "ready" else None
         return found if found is not None else self.spark.createDataFrame([], "chunk_id string, path string, vector array<double>")
@@ -241,7 +253,8 @@ class Engine:
             raise EngineError("The index has no vectors.", "Refresh with an embedder.")
         vectors = docs.select("chunk_id", "path", "start_line", "end_line").join(stored_vectors.drop("path"), "chunk_id")
         asked = queries.select("query_id", self.embed("query").alias("query_vector"))
-        near = semantic.nearest(vectors, asked, top_k, ["path", "start_line"]).withColumns({"snippet": F.lit(""), "matched_terms": F.array().cast("array<string>")})
+        centroids = clusters.stored(self.store.read("centroids", live=False))
+        near = clusters.Search(vectors, centroids, asked, top_k, ["path", "start_line"]).hits().withColumns({"snippet": F.lit(""), "matched_terms": F.array().cast("array<string>")})
         return near if mode == "semantic" else fusion.fuse(words, near, top_k)
 
     def _search(self, queries: DataFrame, top_k: int, docs: DataFrame, filtered: bool) -> blocks.Search:

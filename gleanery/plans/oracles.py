@@ -232,3 +232,4 @@ SQL["bundle_explanations"] = f"""WITH RECURSIVE {JUDGED} SELECT prompt_id, row_n
 # What an index holds after its refreshes is what a plain pass finds; files that look binary are not in it.
 INDEXED = CORPUS.replace("FROM documents)", f"FROM documents WHERE text IS NOT NULL AND NOT {CUT} AND NOT contains(text, chr(0)))")
 SQL |= {f"indexed_{new}": SQL[old].replace(CORPUS, INDEXED) for new, old in (("search", "bm25_batch"), ("prefix", "bm25_prefix"), ("references", "references_limited"), ("definitions", "find_definition"), ("outline", "outline_sources"))}
+SQL["cosine_pruned"] = SQL["cosine_topk"]

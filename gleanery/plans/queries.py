@@ -12,7 +12,7 @@ from gleanery.config import EXCLUDE_GLOBS, INCLUDE_EXTENSIONS
 from gleanery.engine import Engine
 from gleanery.functions import paths
 from gleanery.functions import text as T
-from gleanery.operators import audit, chunking, discovery, fusion, lexical, outline, references, search, semantic
+from gleanery.operators import audit, chunking, clusters, discovery, fusion, lexical, outline, references, search, semantic
 from gleanery.plans import bundle, documents, generated
 from gleanery.sources.corpus import document_path, documents_corpus, table
 from gleanery.sources.work import shared_folder, written
@@ -243,6 +243,16 @@ def cosine_scoped(spark, sf):
     return hits.select("query_id", "vec_id", _long("rank").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query
+def cosine_pruned(spark, sf):
+    """As cosine_topk, by clusters with bounds."""
+    vectors = _vectors(spark, sf).drop("label")
+    centroids = clusters.fit(vectors)
+    near = written(clusters.assigned(vectors, centroids).repartitionByRange("cluster").sortWithinPartitions("cluster"), "clusters")
+    hits = clusters.Search(near, centroids, _query_vectors(spark, sf), 10, ["vec_id"]).hits()
+    return hits.select("query_id", "vec_id", _long("rank").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query
 def vector_refresh_plan(spark, sf):
     stored = _vectors(spark, sf).where("vec_id % 7 <> 0").select(F.col("vec_id").cast("string").alias("chunk_id"))
