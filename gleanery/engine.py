@@ -16,7 +16,7 @@ from gleanery.config import Settings
 from gleanery.errors import EngineError, InvalidArgument, PolicyBlocked
 from gleanery.functions import paths
 from gleanery.functions import text as T
-from gleanery.operators import audit, blocks, chunking, clusters, discovery, fusion, names, outline, references, search, semantic
+from gleanery.operators import audit, blocks, chunking, clusters, discovery, fusion, latent, names, outline, references, search, semantic
 from gleanery.operators.languages import FALLBACK, SUFFIXES
 from gleanery.plans import bundle, documents
 from gleanery.plans.store import Store, now
@@ -38,13 +38,15 @@ class Engine:
     DataFrames come back lazily. The index lies under data_dir, in segments: a refresh writes what changed. Once there is an
     index, outline, references, find_definition and bundle read its symbols, names and texts, as of the last refresh, and
     open no source file; before that, and for a single path, they read the sources. `embed` is a pandas UDF from text to
-    array<double>; semantic and hybrid search need it.
+    array<double>, or "latent" for vectors learned from the index's own postings; semantic and hybrid search need it.
     """
 
-    def __init__(self, spark: SparkSession, data_dir: str, root: str | None = None, files: DataFrame | None = None, settings: Settings | None = None, embed: Callable | None = None):
+    def __init__(self, spark: SparkSession, data_dir: str, root: str | None = None, files: DataFrame | None = None, settings: Settings | None = None, embed: Callable | str | None = None):
+        if isinstance(embed, str) and embed != "latent":
+            raise InvalidArgument('embed must be a function or "latent"')
         if (root is None) == (files is None):
             raise InvalidArgument("Give either root or files.")
-        self.spark, self.root, self.table, self.embed = spark, root, files, embed
+        self.spark, self.root, self.table, self._embed = spark, root, files, embed
         self.settings, self.store, self.data_dir = settings or Settings(), Store(spark, f"{data_dir}/index", {"blocks": blocks.build}), data_dir
         self.limits = self.settings.limits
 
@@ -155,8 +157,8 @@ class Engine:
         if not anew and (updated or removed):
             put("marks", had)
             gone_chunks = names.looked_up(self.store.read("chunks"), "path", had).count()
-        if self.embed is not None:
-            changed = self._put_vectors(segment, self._new_vectors(chunks if fresh else self.store.read("chunks").limit(0), had, anew), anew) or changed
+        if (embed := self._embedder(segment if fresh else None, anew)) is not None:
+            changed = self._put_vectors(segment, self._new_vectors(chunks if fresh else self.store.read("chunks").limit(0), had, anew, embed), anew) or changed
         self.store._delete(f"{self.store.root}/segments/{segment}/differing")
         file_count, chunk_count = (0, 0) if anew else (manifest["indexed_file_count"], manifest["indexed_chunk_count"])
         done = self.store.commit(segment if changed else None, file_count + added + (updated if anew else -removed), chunk_count - gone_chunks + (chunks.count() if fresh else 0), self.settings.python_enabled, replace=anew)
@@ -183,17 +185,30 @@ class Engine:
             for done in [pool.submit(inheritable_thread_target(self.spark)(m)) for m in makers]:
                 done.result()
 
-    def _new_vectors(self, chunks: DataFrame, had: DataFrame, anew: bool) -> DataFrame:
+    def _embedder(self, segment: str | None = None, anew: bool = False) -> Callable | None:
+        """The embedder given, or the index's own. The latter is learned from the first segment that has terms, lies with it, and serves until the index is made anew."""
+        if self._embed != "latent":
+            return self._embed
+        known = None if anew else self.store.read("latent", live=False)
+        if known is None and segment is not None:
+            postings = self.store.made(segment, "blocks").select("term", F.explode("docs").alias("x")).select("term", "x.doc", "x.tf")
+            model = latent.fit(postings, ["doc"], self.store.made(segment, "chunks").count(), lambda rows: self.store.put(segment, "matrix", rows))
+            self.store._delete(f"{self.store.root}/segments/{segment}/matrix")
+            known = self.store.put(segment, "latent", latent.table(self.spark, model)) if model else None
+        model = latent.stored(known)
+        return latent.embedder(self.spark, model) if model else None
+
+    def _new_vectors(self, chunks: DataFrame, had: DataFrame, anew: bool, embed: Callable) -> DataFrame:
         """(chunk_id, path, vector) of new chunks, and of those that have none yet. Vectors that are there stay where they are; those of changed files are taken over by chunk."""
         have, wanted = self._old_vectors(), chunks.select("chunk_id", "path", "text")
         pool = have.join(had, "path", "left_semi")
         if anew:
-            pool = have
+            pool = have if self._embed != "latent" else have.limit(0)  # another model, other vectors
         else:
             stay = have.join(had, "path", "left_anti")
             rest = self.store.read("chunks").select("chunk_id", "path", "text").join(had, "path", "left_anti").join(stay.select("chunk_id"), "chunk_id", "left_anti")
             wanted = wanted.unionByName(rest)
-        return semantic.refreshed(pool, wanted, self.embed).join(wanted.select("chunk_id", "path"), "chunk_id").select("chunk_id", "path", "vector")
+        return semantic.refreshed(pool, wanted, embed).join(wanted.select("chunk_id", "path"), "chunk_id").select("chunk_id", "path", "vector")
 
     def _put_vectors(self, segment: str, vectors: DataFrame, anew: bool) -> bool:
         """Write a segment's vectors by cluster; whether there are any. Centroids are fitted once, on the first vectors, and serve until the index is made anew."""
@@ -246,13 +261,13 @@ class Engine:
         words = None if mode == "semantic" else self._search(queries, top_k, docs, bool(file_glob or path_prefix)).hits()
         if mode == "bm25":
             return words
-        if self.embed is None:
+        if self._embed is None:
             raise EngineError("Semantic search needs an embedder.")
         stored_vectors = self.store.read("vectors")
         if stored_vectors is None:
             raise EngineError("The index has no vectors.", "Refresh with an embedder.")
         vectors = docs.select("chunk_id", "path", "start_line", "end_line").join(stored_vectors.drop("path"), "chunk_id")
-        asked = queries.select("query_id", self.embed("query").alias("query_vector"))
+        asked = queries.select("query_id", self._embedder()("query").alias("query_vector"))
         centroids = clusters.stored(self.store.read("centroids", live=False))
         near = clusters.Search(vectors, centroids, asked, top_k, ["path", "start_line"]).hits().withColumns({"snippet": F.lit(""), "matched_terms": F.array().cast("array<string>")})
         return near if mode == "semantic" else fusion.fuse(words, near, top_k)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import paths
 from gleanery.functions import text as T
+from gleanery.operators import intervals
 
 # Fixed values of the contract.
 MAX_KEYWORDS, LEAST_KEYWORD, FAR, TOP = 8, 3, 1_000_000_000, 20
@@ -29,13 +30,22 @@ def queries(prompts: DataFrame, base_top_k: int) -> DataFrame:
 def align(hits: DataFrame, symbols: DataFrame) -> DataFrame:
     """hits with the range and name (aligned_symbol) of the smallest symbol range on the path that overlaps; without one they stay.
 
-    hits: hit_id, path, start_line, end_line and more. An equi-join by path with a range condition, and a minimum per hit.
+    hits: hit_id, path, start_line, end_line and more. A range overlaps if it begins inside the hit, or begins before it and goes on
+    to its first line. Each is an equi-join by binary blocks of lines: ranges and places meet in the blocks that
+    make up the one and contain the other, and a block keeps its smallest range only. So rows grow with the inputs
+    times the logarithm of a line number, however many hits and symbols a file has.
     """
     usable = symbols.where(T.blank_to_null("name").isNotNull() & T.blank_to_null("kind").isNotNull() & (F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line")))
-    ranges = usable.select(F.col("path").alias("of"), F.struct((F.col("end_line") - F.col("start_line")).alias("span"), F.col("start_line").alias("s"), F.col("end_line").alias("e"), "name", "kind").alias("range"))
-    spots = hits.select("hit_id", "path", F.col("start_line").alias("a"), F.col("end_line").alias("b"))
-    met = spots.join(ranges, (F.col("path") == F.col("of")) & (F.col("range.e") >= F.col("a")) & (F.col("range.s") <= F.col("b")))
-    best = met.groupBy("hit_id").agg(F.min("range").alias("range"))
+    ranges = usable.select("path", F.struct((F.col("end_line") - F.col("start_line")).alias("span"), F.col("start_line").alias("s"), F.col("end_line").alias("e"), "name", "kind").alias("range"))
+    spots = hits.select("hit_id", "path", F.greatest("start_line", F.lit(1)).alias("a"), F.col("end_line").alias("b"))
+    inside, through = F.lit(0).alias("way"), F.lit(1).alias("way")
+    begun = ranges.select("path", "range", inside, F.explode(intervals.containing(F.col("range.s"))).alias("block"))
+    open_ = ranges.select("path", "range", through, F.explode(intervals.covering(F.col("range.s") + 1, F.col("range.e"))).alias("block"))
+    least = begun.unionAll(open_).select("path", "way", "block.level", "block.at", "range").groupBy("path", "way", "level", "at").agg(F.min("range").alias("range"))
+    within = spots.select("hit_id", "path", inside, F.explode(intervals.covering(F.col("a"), F.col("b"))).alias("block"))
+    at_start = spots.select("hit_id", "path", through, F.explode(intervals.containing(F.col("a"))).alias("block"))
+    asked = within.unionAll(at_start).select("hit_id", "path", "way", "block.level", "block.at")
+    best = asked.join(least, ["path", "way", "level", "at"]).groupBy("hit_id").agg(F.min("range").alias("range"))
     joined = hits.join(best, "hit_id", "left")
     return joined.withColumns({"start_line": F.coalesce("range.s", "start_line"), "end_line": F.coalesce("range.e", "end_line"), "aligned_symbol": F.col("range.name")}).drop("range")
 
@@ -47,14 +57,13 @@ def dedupe(hits: DataFrame) -> DataFrame:
 
 
 def proximity(hits: DataFrame, refs: DataFrame) -> DataFrame:
-    """hits with reference_count_in_range and min_definition_distance, from reference lines (symbol, path, line) of the aligned symbol on the path."""
-    lines = refs.where("line >= 1").select(F.col("symbol").alias("s"), F.col("path").alias("p"), "line").distinct()
-    keyed = hits.select("hit_id", "path", "aligned_symbol", "start_line", "end_line").where("aligned_symbol is not null")
-    met = keyed.join(lines, (F.col("aligned_symbol") == F.col("s")) & (F.col("path") == F.col("p")))
-    inside = F.col("line").between(F.col("start_line"), F.col("end_line"))
-    distance = F.greatest(F.col("start_line") - F.col("line"), F.col("line") - F.col("end_line"), F.lit(0))
-    near = met.groupBy("hit_id").agg(F.count_if(inside).alias("c"), F.min(distance).alias("d"))
-    return hits.join(near, "hit_id", "left").withColumns({"reference_count_in_range": F.coalesce("c", F.lit(0)).cast("long"), "min_definition_distance": F.coalesce("d", F.lit(FAR)).cast("long")}).drop("c", "d")
+    """hits with reference_count_in_range and min_definition_distance, from reference lines (symbol, path, line) of the aligned symbol on the path: an as-of join on either side of the hit."""
+    lines = refs.where("line >= 1").select("symbol", "path", F.col("line").cast("long").alias("line")).distinct()
+    keyed = hits.select("hit_id", "path", F.col("aligned_symbol").alias("symbol"), F.col("start_line").cast("long").alias("a"), F.col("end_line").cast("long").alias("b")).where("symbol is not null")
+    near = intervals.nearest_and_inside(keyed, lines, ["symbol", "path"], "line")
+    distance = F.when(F.col("inside") > 0, F.lit(0)).otherwise(F.least(F.col("a") - F.col("before"), F.col("after") - F.col("b")))
+    found = near.where("inside > 0 or before is not null or after is not null").select("hit_id", F.col("inside").alias("c"), distance.alias("d"))
+    return hits.join(found, "hit_id", "left").withColumns({"reference_count_in_range": F.coalesce("c", F.lit(0)).cast("long"), "min_definition_distance": F.coalesce("d", F.lit(FAR)).cast("long")}).drop("c", "d")
 
 
 def ranked(hits: DataFrame, prompts: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ SMALL_MARKS, KEPT = 100_000, 2
 #: By which columns each table lies: a query reads the row groups of its names, terms or paths.
 LAYOUT = {
     "files": ["path"], "texts": ["path"], "chunks": ["path", "start_line"], "blocks": ["term", "range"], "symbols": ["short", "path", "start_line"],
-    "uses": ["short", "path", "line"], "names": ["name", "path"], "vectors": ["cluster", "path", "chunk_id"], "centroids": ["cluster"],
+    "uses": ["short", "path", "line"], "names": ["name", "path"], "vectors": ["cluster", "path", "chunk_id"], "centroids": ["cluster"], "latent": ["term"],
 }
 #: Documents whose postings of a term lie in one block: ranges of 2^RANGE_BITS chunks in the order of paths.
 RANGE_BITS = 8
@@ -229,7 +229,7 @@ class Store:
         name, some = self.begin(), segments[low:high]
         for table in LAYOUT:
             if table not in self.derived and (rows := self._raw(some, table)) is not None:
-                rows = self._live(rows, segments[low:]) if "path" in rows.columns else rows  # centroids are of no file
+                rows = self._live(rows, segments[low:]) if "path" in rows.columns else rows  # centroids and terms are of no file
                 self.put(name, table, rows.drop(SEG, *(["doc", "range"] if table == "chunks" else [])))
         for table, make in self.derived.items():
             if any(table in s["tables"] for s in some):
