@@ -216,7 +216,7 @@ SQL["identifier_columns"] = f"""WITH {MASKED}, {MLINES}, cut AS (SELECT path, ln
 flat AS (SELECT path, ln, unnest(range(1, len(ts) + 1)) AS i, unnest(ts) AS token, unnest(list_slice(gs, 1, len(ts))) AS gap FROM cut WHERE len(ts) > 0),
 placed AS (SELECT token, sum(length(gap) + length(token)) OVER (PARTITION BY path, ln ORDER BY i) AS e FROM flat)
 SELECT token, count(*) AS n, CAST(min(e - length(token) + 1) AS BIGINT) AS first_col, CAST(max(e) AS BIGINT) AS last_col, CAST(sum(e - length(token) + 1) AS BIGINT) AS starts, CAST(sum(e) AS BIGINT) AS ends FROM placed GROUP BY token"""
-SQL["unmatched_braces"] = f"""WITH {masked("substr(html, 200)")}, bs AS (SELECT path, regexp_extract_all(masked, '[{{}}]') AS b FROM masked), each AS (SELECT path, unnest(range(1, len(b) + 1)) AS i, unnest(b) AS c FROM bs),
+SQL["unmatched_braces"] = f"""WITH {masked("repeat('}', page_id % 4) || html || repeat('{{ ', page_id % 3)").replace("{{ ", "{ ")}, bs AS (SELECT path, regexp_extract_all(masked, '[{{}}]') AS b FROM masked), each AS (SELECT path, unnest(range(1, len(b) + 1)) AS i, unnest(b) AS c FROM bs),
 sums AS (SELECT path, i, sum(CASE c WHEN '{{' THEN 1 ELSE -1 END) OVER (PARTITION BY path ORDER BY i) AS s FROM each), ends AS (SELECT path, arg_max(s, i) AS s, least(0, min(s)) AS low FROM sums GROUP BY path)
 SELECT path, CAST(sum(coalesce(s - low, 0)) AS BIGINT) AS unmatched_open, CAST(sum(coalesce(-low, 0)) AS BIGINT) AS unmatched_close FROM (SELECT path FROM masked) LEFT JOIN ends USING (path) GROUP BY path"""
 SQL["bundle_documents"] = f"""WITH RECURSIVE {JUDGED}, chosen AS (SELECT j.prompt_id, j.path, start_line, end_line, row_number() OVER (PARTITION BY prompt_id ORDER BY rank_position) - 1 AS i, array_to_string(list_slice(ls, start_line, end_line), chr(10)) AS excerpt FROM judged j JOIN lined l ON l.path = j.path WHERE verdict = 'selected'),
@@ -233,3 +233,34 @@ SQL["bundle_explanations"] = f"""WITH RECURSIVE {JUDGED} SELECT prompt_id, row_n
 INDEXED = CORPUS.replace("FROM documents)", f"FROM documents WHERE text IS NOT NULL AND NOT {CUT} AND NOT contains(text, chr(0)))")
 SQL |= {f"indexed_{new}": SQL[old].replace(CORPUS, INDEXED) for new, old in (("search", "bm25_batch"), ("prefix", "bm25_prefix"), ("references", "references_limited"), ("definitions", "find_definition"), ("outline", "outline_sources"))}
 SQL["cosine_pruned"] = SQL["cosine_topk"]
+
+# Of more languages: (which of the eight templates, kind, name, signature, first and last line in the template, owner); {0} is the row's id.
+DECLARED = [
+    (0, "interface", "Runner{0}", "()", 2, 4, ""), (0, "enum", "Mode{0}", "()", 5, 5, ""), (0, "type_alias", "Result{0}", None, 6, 6, ""), (0, "class", "Service{0}", "()", 7, 12, ""),
+    (0, "method", "Service{0}.constructor", "(private n: number)", 8, 8, "Service{0}"), (0, "async_method", "Service{0}.run", "(x: string)", 9, 11, "Service{0}"),
+    (0, "async_function", "build{0}", "(x: number)", 13, 15, ""), (0, "exported_variable", "NAME{0}", None, 16, 16, ""),
+    (1, "class", "Worker{0}", "()", 1, 6, ""), (1, "method", "Worker{0}.run", "(task)", 2, 4, "Worker{0}"), (1, "method", "Worker{0}.from", "(x)", 5, 5, "Worker{0}"),
+    (1, "function", "helper{0}", "(a, b)", 7, 10, ""), (1, "exported_variable", "main{0}", None, 11, 11, ""),
+    (2, "interface", "org.made.p{0}.Runner", "()", 3, 5, ""), (2, "method", "org.made.p{0}.Runner.run", "(int n)", 4, 4, "org.made.p{0}.Runner"), (2, "enum", "org.made.p{0}.Mode", "()", 6, 6, ""),
+    (2, "type", "org.made.p{0}.Pair{0}", "()", 7, 7, ""), (2, "class", "org.made.p{0}.Service{0}", "()", 8, 16, ""),
+    (2, "constructor", "org.made.p{0}.Service{0}.Service{0}", "(int n)", 10, 12, "org.made.p{0}.Service{0}"), (2, "method", "org.made.p{0}.Service{0}.run", "(int n)", 13, 15, "org.made.p{0}.Service{0}"),
+    (3, "const", "work.First{0}", None, 4, 4, ""), (3, "const", "work.Second{0}", None, 5, 5, ""), (3, "var", "work.Flag{0}", None, 8, 8, ""), (3, "var", "work.left{0}", None, 11, 11, ""),
+    (3, "type", "work.Box{0}", None, 14, 16, ""), (3, "method", "work.Box{0}.Open", "(x int)", 18, 20, "work.Box{0}"), (3, "function", "work.Make{0}", "()", 22, 24, ""),
+    (4, "mod", "engine{0}", None, 1, 2, ""), (4, "enum", "Mode{0}", None, 3, 5, ""), (4, "trait", "Turn{0}", None, 6, 8, ""), (4, "impl", "Box", None, 9, 13, ""),
+    (4, "method", "Box.turn", "(&self)", 10, 12, "Box"), (4, "type", "Text{0}", None, 14, 14, ""), (4, "function", "build{0}", "(n: u32)", 15, 17, ""),
+    (5, "namespace", "made{0}", None, 1, 14, ""), (5, "class", "Gear{0}", "()", 2, 6, ""), (5, "method", "Gear{0}.Gear{0}", "(int teeth)", 4, 4, "Gear{0}"), (5, "method", "Gear{0}.turn", "(int by)", 5, 5, "Gear{0}"),
+    (5, "struct", "Config{0}", "()", 7, 9, ""), (5, "enum", "Mode{0}", None, 10, 10, ""), (5, "function", "parse{0}", "(int x)", 11, 13, ""),
+    (6, "namespace", "Made.N{0}", None, 1, 1, ""), (6, "interface", "Made.N{0}.IRunner", "()", 3, 6, ""), (6, "method", "Made.N{0}.IRunner.Run", "(int n)", 5, 5, "Made.N{0}.IRunner"), (6, "enum", "Made.N{0}.Mode", "()", 7, 11, ""),
+    (6, "record", "Made.N{0}.Result{0}", "()", 12, 12, ""), (6, "class", "Made.N{0}.Tool{0}", "()", 13, 26, ""), (6, "property", "Made.N{0}.Tool{0}.Name", None, 15, 15, ""), (6, "event", "Made.N{0}.Tool{0}.Changed", None, 16, 16, ""),
+    (6, "constructor", "Made.N{0}.Tool{0}.Tool{0}", "(string name)", 17, 20, "Made.N{0}.Tool{0}"), (6, "method", "Made.N{0}.Tool{0}.Run", "(int n)", 21, 24, "Made.N{0}.Tool{0}"), (6, "method", "Made.N{0}.Tool{0}.Build", "(int n)", 25, 25, "Made.N{0}.Tool{0}"),
+]
+_value = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x + "'"
+MANY = f"""many AS (SELECT doc_id, doc_id % 8 AS which, 'many/f' || lpad(CAST(doc_id AS VARCHAR), 7, '0') || ['.ts', '.js', '.java', '.go', '.rs', '.cpp', '.cs', '.txt'][doc_id % 8 + 1] AS path,
+  CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(CASE WHEN right(text, 1) = chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10))) END AS above FROM documents),
+declared(which, kind, name, signature, first, last, owner) AS (VALUES {", ".join("(" + ", ".join(map(_value, d)) + ")" for d in DECLARED)})"""
+_filled = lambda c: f"replace({c}, '{{0}}', CAST(doc_id AS VARCHAR))"
+SQL["outline_languages"] = f"""WITH {MANY} SELECT path, ['ts_js_lexical', 'ts_js_lexical', 'java_lexical', 'go_lexical', 'rust_lexical', 'cpp_lexical', 'csharp_lexical'][which + 1] AS language, kind, {_filled("name")} AS name, signature,
+  CAST(first + above AS BIGINT) AS start_line, CAST(last + above AS BIGINT) AS end_line, nullif({_filled("owner")}, '') AS parent_symbol, CASE WHEN kind IN ('method', 'async_method', 'constructor') THEN 'class' ELSE 'module' END AS scope_kind
+FROM many JOIN declared USING (which)"""
+SQL["references_languages"] = f"""WITH {MANY}, used(which, symbol, kind, confidence, line, only_id) AS (VALUES (0, 'draw', 'import', 'high', 1, -1), (0, 'draw', 'call', 'medium', 10, -1), (2, 'call', 'call', 'medium', 14, -1), (0, 'Service8', 'instantiation', 'high', 14, 8))
+SELECT symbol, kind, 'lexical' AS strategy, confidence, count(*) AS n, count(DISTINCT path) AS paths, CAST(sum(line + above) AS BIGINT) AS lines FROM many JOIN used USING (which) WHERE only_id IN (-1, doc_id) GROUP BY ALL"""

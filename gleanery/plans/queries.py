@@ -317,8 +317,9 @@ def identifier_columns(spark, sf):
 
 @query
 def unmatched_braces(spark, sf):
-    found = lexical.unmatched_braces(_pages(spark, sf).withColumn("text", F.expr("substring(text, 200)")))
-    return found.groupBy("path").agg(F.sum("unmatched_open").alias("unmatched_open"), F.sum("unmatched_close").alias("unmatched_close"))
+    """Of whole pages, each also behind closing braces and before opening ones, as many as its id has digits of."""
+    pages = table(spark, sf, "pages").select(F.col("url").alias("path"), F.concat(F.repeat(F.lit("}"), (F.col("page_id") % 4).cast("int")), "html", F.repeat(F.lit("{ "), (F.col("page_id") % 3).cast("int"))).alias("text"))
+    return lexical.unmatched_braces(pages)
 
 
 @query
@@ -352,6 +353,21 @@ def outline_sources(spark, sf):
     return found.withColumns({c: _long(c) for c in ("start_line", "end_line")})
 
 
+@query
+def outline_languages(spark, sf):
+    """Outlines in eight kinds of files, each under its document's lines as comments."""
+    found = outline.checked(outline.outline(generated.many_languages(spark, sf)))
+    return found.withColumns({c: _long(c) for c in ("start_line", "end_line")}).drop("doc", "is_conditional", "decl_context")
+
+
+@query
+def references_languages(spark, sf):
+    """References in these files to names that many of them use, with comments and strings that name them too."""
+    asked = spark.createDataFrame([(x,) for x in ("draw", "call", "Service8", "Turn4", "Core12", "Base", "the", "Runner")], "symbol string")
+    found = references.checked(references.references(generated.many_languages(spark, sf), asked))
+    return found.groupBy("symbol", "kind", "strategy", "confidence").agg(F.count("*").alias("n"), F.count_distinct("path").alias("paths"), F.sum("line").alias("lines"))
+
+
 @query
 def python_refs(spark, sf):
     rows = generated.corpus(spark, sf).where(F.col("path").endswith(".py"))
