@@ -114,7 +114,7 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, end: int, text: str)
         for batch in batches:
             rows: list[tuple] = []
             uids, doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            for a, b in ranges(texts):
+            for a, b in ranges(texts, 1 << 20):
                 words = words_of(lowered(texts.slice(a, b - a)))
                 ids, ends = subwords.of_words(words)
                 bounds, whole = np.concatenate([[0], ends])[words.bounds].tolist(), memoryview(ids.astype("<u4")).cast("B")

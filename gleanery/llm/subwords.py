@@ -13,8 +13,8 @@ import pyarrow.compute as pc
 from gleanery.llm.common import Recent
 from gleanery.llm.words import Words
 
-#: Words, and parts of words, whose ids a worker keeps: some 100 MB in all, as an entry takes under 200 bytes.
-CACHED, STEMS = 400_000, 120_000
+#: Words, and parts of words, whose ids a worker keeps: some 80 MB in all, as an entry takes under 200 bytes.
+CACHED, STEMS = 300_000, 120_000
 #: Words that are encoded as one text, and marks that may end a word: the vocabulary never joins them with a letter or digit before them.
 JOINED, TAIL = 512, b".,!?;:|#$%*&+=~^_@/()[]{}-"
 _loaded: dict[str, "Subwords"] = {}
