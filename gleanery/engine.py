@@ -254,7 +254,7 @@ class Engine:
         return semantic.refresh_plan(self._old_vectors(), chunks)
 
     def _hits(self, queries: DataFrame, top_k, file_glob: str | None, path_prefix: str | None, mode: str) -> DataFrame:
-        stored = self.store.read("chunks", segment=True)
+        stored = self.store.read("chunks", segment=True, prefix=paths.normal_prefix(path_prefix))
         if stored is None:
             raise EngineError("There is no index.", "Refresh first.")
         docs = search.filtered(stored, file_glob, path_prefix)
@@ -293,6 +293,18 @@ class Engine:
             raise InvalidArgument(f"mode must be one of {', '.join(MODES)}")
         return self._hits(self._asked(queries), top_k, file_glob, path_prefix, mode).orderBy("query_id", "rank")
 
+    def marked_stale(self, hits: DataFrame) -> DataFrame:
+        """hits (path, ...) with stale: whether the file has changed or gone since the refresh that the hit comes from. Only the hits' files are looked at."""
+        met, known = hits.select("path").distinct(), self.store.read("files")
+        if self.root is None:
+            now = discovery.file_records(self.candidates().join(met, "path", "left_semi")).select("path", F.struct("size", "content_hash").alias("now"))
+            was = known.select("path", F.struct("size", "content_hash").alias("was"))
+        else:
+            now = sources.stat_files(met, self.root).select("path", F.struct("size", "mtime_ns").alias("now"))
+            was = known.select("path", F.struct("size", "mtime_ns").alias("was"))
+        fresh = was.join(now, "path").where("was = now").select("path", F.lit(False).alias("stale"))
+        return hits.join(fresh, "path", "left").withColumn("stale", F.coalesce("stale", F.lit(True)))
+
     def _top_k(self, value: int | None, limit: int) -> int:
         if value is None:
             return limit

@@ -51,7 +51,7 @@ def outline(corpus: DataFrame, python_enabled: bool = True) -> DataFrame:
             for r in frame.itertuples(index=False):
                 try:
                     out += sorted(_rows(r.path, r.language, r.text, r.masked), key=lambda x: (x[5], x[6], x[3], x[2]))
-                except (RecursionError, MemoryError):
+                except Exception:  # whatever a reader stumbles over: its file has no symbols, others are not affected
                     continue
             made = pd.DataFrame(out, columns=names)
             yield made.astype({"start_line": "int32", "end_line": "int32", "is_conditional": "object"})

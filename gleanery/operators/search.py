@@ -163,12 +163,12 @@ def bm25(docs: DataFrame, queries: DataFrame, top_k: int, key: str = "chunk_id",
                     for j in chosen.tolist():
                         i = order[j]
                         mine = slice(*np.searchsorted(row, [i, i + 1]))
-                        best.take(q, float(scores[q, j]), (paths_[i], starts[i]), (batch.slice(i, 1), code[mine]))
+                        best.take(q, float(scores[q, j]), (paths_[i], starts[i]), (batch.select([0, 1, 2, 3, 4]).take(pa.array([i])), code[mine].copy()))  # copies: a slice would keep its whole batch
                 best.cut()
         if types is None:
             return
         kept = [(q, score, entry) for q, score, entry in best.entries()]
-        records = pa.Table.from_batches([e[0].select([0, 1, 2, 3, 4]) for *_, e in kept]).combine_chunks() if kept else None
+        records = pa.Table.from_batches([e[0] for *_, e in kept]).combine_chunks() if kept else None
         if records is not None:
             matched = [[terms[t] for t in wanted[q][np.isin(wanted[q], e[1])]] for q, _, e in kept]
             columns = [pa.array([ids[q] for q, *_ in kept]), *(records.column(i).combine_chunks() for i in range(5)), pa.array([s for _, s, _ in kept], pa.float64()), pa.array(matched, pa.list_(pa.string()))]

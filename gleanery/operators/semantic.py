@@ -83,7 +83,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top_k: int, tie: list[str] |
                 scores = np.divide(scores, norms, out=np.zeros_like(scores), where=norms != 0)
                 for k, chosen in best.offered(scores):
                     for j in chosen.tolist():
-                        best.take(k, float(scores[k, j]), ties[order[j]], batch.slice(order[j], 1))
+                        best.take(k, float(scores[k, j]), ties[order[j]], batch.take(pa.array([order[j]])))  # a copy: a slice would keep its whole batch
                 best.cut()
         kept = list(best.entries())
         if kept:

@@ -107,12 +107,23 @@ class Store:
     def _folder(self, segment: dict) -> str:
         return f"{self.root}/segments/{segment['id']}"
 
-    def _raw(self, segments: list[dict], name: str) -> DataFrame | None:
+    def _files(self, segment: dict, name: str, prefix: str | None) -> list[str]:
+        """A table's folder, or those of its files whose paths may begin with the prefix, by the bounds that were written with it."""
+        folder, bounds = f"{self._folder(segment)}/{name}", f"{self._folder(segment)}/_bounds-{name}"
+        if not prefix or not self._exists(bounds):
+            return [folder]
+        rows = self.spark.read.schema("file string, low string, high string").parquet(bounds).where((F.substring("low", 1, len(prefix)) <= prefix) & (F.col("high") >= prefix))
+        return [f"{folder}/{r['file']}" for r in rows.collect()]  # a row for each file
+
+    def _raw(self, segments: list[dict], name: str, prefix: str | None = None) -> DataFrame | None:
         having = [s for s in segments if name in s["tables"]]
         if not having:
             return None
         schema = self.spark.read.parquet(f"{self._folder(having[0])}/{name}").schema  # one table's footer is read, not every segment's
-        return reduce(lambda a, b: a.unionByName(b), [self.spark.read.schema(schema).parquet(f"{self._folder(s)}/{name}").withColumn(SEG, F.lit(s["seq"])) for s in having])
+        chosen = [(s, files) for s in having if (files := self._files(s, name, prefix))]
+        if not chosen:
+            return self.spark.createDataFrame([], schema).withColumn(SEG, F.lit(0).cast("long"))
+        return reduce(lambda a, b: a.unionByName(b), [self.spark.read.schema(schema).parquet(*files).withColumn(SEG, F.lit(s["seq"]).cast("long")) for s, files in chosen])
 
     def _live(self, rows: DataFrame, segments: list[dict]) -> DataFrame:
         """rows but those whose path a later segment marks. The marks are sent to all if the manifest says that they are few."""
@@ -124,10 +135,13 @@ class Store:
         marks = F.broadcast(marks) if sum(s["marks"] for s in marking) <= SMALL_MARKS else marks
         return rows.join(marks, (F.col("path") == F.col("_marked")) & (F.col(SEG) < F.col(UNTIL)), "left_anti")
 
-    def read(self, name: str, live: bool = True, segment: bool = False) -> DataFrame | None:
-        """Rows of a table in all segments, without the dead ones (live), with their segment's number (segment); None if no segment has the table."""
+    def read(self, name: str, live: bool = True, segment: bool = False, prefix: str | None = None) -> DataFrame | None:
+        """Rows of a table in all segments, without the dead ones (live), with their segment's number (segment); None if no segment has the table.
+
+        prefix: only files that may hold paths with this prefix are opened; the rows are still to be filtered.
+        """
         found = self._checked()
-        rows = self._raw(found["segments"], name) if found else None
+        rows = self._raw(found["segments"], name, prefix) if found else None
         if rows is None:
             return None
         rows = self._live(rows, found["segments"]) if live else rows
@@ -167,6 +181,9 @@ class Store:
             staged = self.spark.read.parquet(f"{self.root}/segments/{segment}/_stage-{name}").select(*rows.columns)
             finish(staged.repartitionByRange(*keys).sortWithinPartitions(*keys)).write.parquet(path)
             fs.delete(stage, True)
+            if keys[0] == "path":
+                file = F.element_at(F.split(F.input_file_name(), "/"), -1)
+                self.made(segment, name).groupBy(file.alias("file")).agg(F.min("path").alias("low"), F.max("path").alias("high")).coalesce(1).write.parquet(f"{self.root}/segments/{segment}/_bounds-{name}")
         return self.made(segment, name, first.schema)
 
     def _segment(self, name: str, seq: int) -> dict:

@@ -104,6 +104,25 @@ def read_files(candidates: DataFrame, root: str) -> DataFrame:
     return candidates.select("path", "size", "mtime_ns").mapInArrow(run, f"{CANDIDATES}, content binary")
 
 
+def stat_files(rows: DataFrame, root: str) -> DataFrame:
+    """(path, size, mtime_ns) of the regular files among rows (path), as they are now; looked at where the rows are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column(0).to_pylist():
+                try:
+                    stat = os.stat(os.path.join(root, path), follow_symlinks=False)
+                except OSError:
+                    continue
+                if S_ISREG(stat.st_mode):
+                    found.append((path, stat.st_size, stat.st_mtime_ns))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["path", "size", "mtime_ns"])
+
+    return rows.select("path").mapInArrow(run, CANDIDATES)
+
+
 def binary_files(spark: SparkSession, root: str) -> DataFrame:
     """The same by Spark's own source, for stores that only Spark reads; it skips names that begin with . or _ ."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)

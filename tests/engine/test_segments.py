@@ -201,3 +201,46 @@ def test_names_equal_the_plain_join(spark):
     code = plain.where(~language("path").isin("python", "lexical"))
     want = sorted(map(str, references.lexical_references(code, symbols).collect()))
     assert sorted(map(str, names.lexical_references(names.build(texts), texts, symbols).collect())) == want and len(want) > 20
+
+
+def test_a_prefix_opens_few_files(spark, tmp_path, monkeypatch):
+    """Large tables lie in files of neighbouring paths, whose bounds tell which of them a prefix needs."""
+    monkeypatch.setattr(Store, "_bytes", lambda self, path: store_module.SMALL_BYTES + 1)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as if it were large
+    files = {f"d{k // 10:02d}/f{k:03d}.md": f"alpha w{k} beta" for k in range(200)} | {"d1/x.md": "alpha d1"}
+    engine = Engine(spark, str(tmp_path / "d"), files=table(spark, files))
+    engine.refresh()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    every = engine.store.read("chunks").inputFiles()
+    for prefix, n in (("d03", 10), ("d1", 101), ("d19/f199", 1), ("zz", 0), ("a", 0)):
+        some = engine.store.read("chunks", prefix=prefix)
+        assert some.where(F.col("path").startswith(prefix)).count() == n
+        if n <= 10:
+            assert len(some.inputFiles()) <= 2 < len(every)
+    hits = engine.search("alpha", top_k=50, path_prefix="d03").collect()
+    assert len(hits) == 10 and all(r.path.startswith("d03/") for r in hits)
+
+
+def test_stale_hits_are_marked(spark, tmp_path):
+    root = tmp_path / "repo"
+    root.mkdir()
+    for name in "abc":
+        (root / f"{name}.md").write_text("alpha beta")
+    engine = Engine(spark, str(tmp_path / "data"), root=str(root))
+    engine.refresh()
+    (root / "b.md").write_text("alpha beta gamma")
+    (root / "c.md").unlink()
+    hits = engine.search("alpha")
+    assert {r.path: r.stale for r in engine.marked_stale(hits).collect()} == {"a.md": False, "b.md": True, "c.md": True}
+    rows = Engine(spark, str(tmp_path / "other"), files=table(spark, {"a.md": "alpha", "b.md": "alpha"}))
+    rows.refresh()
+    rows.table = table(spark, {"a.md": "alpha", "b.md": "alphb"})
+    assert {r.path: r.stale for r in rows.marked_stale(rows.search("alpha")).collect()} == {"a.md": False, "b.md": True}
+
+
+def test_a_reader_that_stumbles_affects_its_file_only(spark, monkeypatch):
+    from gleanery.operators import outline
+
+    found = outline.outline(table(spark, {"a.go": "package p\n\nfunc f() {\n}\n", "b.py": "def g(" + "(" * 5000, "c.py": "def h():\n    pass\n"}))
+    assert {r.path for r in found.collect()} == {"a.go", "c.py"}
