@@ -378,9 +378,21 @@ class Engine:
     def audit_log(self, since: str | None = None, limit: int = 50) -> DataFrame:
         if not self.store._exists(f"{self.data_dir}/audit"):
             return self.spark.createDataFrame([], audit.EVENT).drop("seq")
-        events = self.spark.read.schema(audit.EVENT).option("mode", "DROPMALFORMED").json(f"{self.data_dir}/audit")
+        events = self.spark.read.schema(audit.EVENT).option("mode", "DROPMALFORMED").json(f"{self.data_dir}/audit").dropDuplicates(["request_id"])
         return audit.recent(events, since, min(max(1, limit), self.limits.max_search_hits)).drop("seq")
 
+    def compact_audit(self) -> int:
+        """Writes the events of all audit files there are into one, then deletes those; how many went. Between the two an event may stand twice, which reading leaves out."""
+        folder = f"{self.data_dir}/audit"
+        old = [f for f in self.store._names(folder) if f.endswith(".json")]
+        if len(old) < 2:
+            return 0
+        events = self.spark.read.schema(audit.EVENT).option("mode", "DROPMALFORMED").json([f"{folder}/{f}" for f in old])
+        events.dropDuplicates(["request_id"]).coalesce(1).sortWithinPartitions("seq").write.mode("append").json(folder)
+        for f in old:
+            self.store._delete(f"{folder}/{f}")
+        return len(old)
+
     def response(self, rows: DataFrame) -> str:
         """JSON of a result, unless it is too long."""
         out = json.dumps([json.loads(x) for x in rows.toJSON().collect()], sort_keys=True)
