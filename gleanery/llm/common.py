@@ -98,10 +98,29 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
     return found
 
 
+#: What a plan may consist of if its rows are to be numbered alike in every scan.
+PLAIN_SCAN = {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "DataSourceV2Relation", "RelationV2"}
+
+
+def stored_rows(docs: DataFrame) -> DataFrame:
+    """docs if it is a scan of a stored table, with columns and rows chosen at most; else its rows, written and read back.
+
+    Operators that number rows by with_uid() more than once begin with this: after a shuffle, a union or a join the numbers
+    would follow partitions that depend on the columns read.
+    """
+    todo = [docs._jdf.queryExecution().analyzed()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() not in PLAIN_SCAN:
+            return stash(docs, "rows")
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return docs
+
+
 def with_uid(docs: DataFrame, name: str = "uid") -> DataFrame:
     """docs with a row id, so that repeated doc_ids stay apart.
 
-    The id follows the scan's splits, so docs has to be a stored table. Spark splits small inputs by the number of cores, which
+    The id follows the scan's splits, so docs has to be a stored table (stored_rows() sees to that). Spark splits small inputs by the number of cores, which
     changes when executors come or go; the number it starts from is therefore fixed for the session, so that every later
     scan of the same files gives the same ids. A lost task gets the same ids anyhow.
     """

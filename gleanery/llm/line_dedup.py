@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import WORD, delete, fresh, kept, stash, to_all, with_uid
+from gleanery.llm.common import WORD, delete, fresh, kept, stash, stored_rows, to_all, with_uid
 
 #: A single line of so many words is a passage of its own: its later copies go, whatever stands around them.
 LONG = 20
@@ -105,6 +105,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, text: str = "text", long_wo
     of each other, the first stays whole; very long texts cost as many rows as lines; an empty table gives an empty
     result; all other columns are kept, whatever their names. Texts are shuffled only if the list of lines to delete is too large to broadcast.
     """
+    docs = stored_rows(docs)
     lines = stash(line_table(docs, text), "lines-all")
     runs = stash(repeated_runs(lines), "lines-runs")
     uid, of, gone, n, longest = fresh(docs, "uid", "of", "gone", "n", "longest")

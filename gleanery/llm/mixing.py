@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import WORD, fresh, stash, with_uid
+from gleanery.llm.common import WORD, fresh, stash, stored_rows, with_uid
 
 #: Slots of the hash order in which documents are given one more repetition.
 SLOTS = 4096
@@ -49,6 +49,7 @@ def mix(docs: DataFrame, share: float = 1.5, max_epochs: int = 2, weights: tuple
     of its own, the last; a null doc_id orders by its seed alone and ties go by row; repeated rows count one by one; an empty
     table gives an empty result. Reruns agree.
     """
+    docs = stored_rows(docs)
     md5 = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id")).cast("binary"))
     sized = with_uid(docs.select("doc_id", "source", size_of(text).alias("size")))
     sized = stash(sized, "mixing-sizes").withColumn("draw", md5).withColumn("slot", F.conv(F.substring("draw", 1, 3), 16, 10).cast("int"))
@@ -72,6 +73,7 @@ def mix(docs: DataFrame, share: float = 1.5, max_epochs: int = 2, weights: tuple
 
 def repeated(docs: DataFrame, **kwargs) -> DataFrame:
     """docs with every row as often as mix() says; wordless documents, which cost no words, stay once."""
+    docs = stored_rows(docs)
     uid, of, times, time = fresh(docs, "uid", "of", "times", "time")
     plan = mix(docs, **kwargs).select(F.col("uid").alias(of), F.when(F.col("size") > 0, F.col("repeats")).otherwise(1).alias(times))
     wanted = with_uid(docs, uid).join(plan.where(F.col(times) > 0), F.col(uid) == F.col(of))

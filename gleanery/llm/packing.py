@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import lean, stash, with_uid
+from gleanery.llm.common import lean, stash, stored_rows, with_uid
 from gleanery.llm.subwords import bodies, default_tokenizer, loaded, lowered
 from gleanery.llm.words import ranges, words_of
 
@@ -140,6 +140,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, max_padding: int = MAX_PADDI
     powers of two; only documents with a piece cut that way are tokenized again. Repeated rows and doc_ids are packed one by
     one, equal pieces in either order; a null doc_id is kept; extra columns are ignored; an empty table gives an empty result.
     """
+    docs = stored_rows(docs)
     tokenizer = tokenizer or default_tokenizer()
     cut = stash(pieces(docs, capacity, tokenizer, end, text), "packing-pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import Recent, fresh, kept, lean, stash, to_all, with_uid
+from gleanery.llm.common import Recent, fresh, kept, lean, stash, stored_rows, to_all, with_uid
 from gleanery.llm.components import connected_components
 from gleanery.llm.substring_dedup import BANDS, CACHED, band_hashes, shingle_hashes, similar_pairs, word_hashes
 
@@ -91,6 +91,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 3) -> Data
     link like others. Rows with a null doc_id are linked but never name a component unless it has no other id (then null).
     Repeated rows and doc_ids each keep their row; extra columns are ignored; an empty table gives an empty result.
     """
+    docs = stored_rows(docs)
     table = stash(fingerprints(docs, text, width), "simhash-prints")
     prints = stash(table.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = connected_components(links(prints), "fp", "to", "simhash-stars")
@@ -141,6 +142,7 @@ def similar_documents(docs: DataFrame, text: str = "text", similarity: float = 0
     alone cannot find the latter: at similarity 0.8 they differ in some 10 of 64 bits, and covering masks for 10 bits are
     2047 tables; so candidates also meet in MinHash bands. Equal texts are linked; texts without words are equal.
     """
+    docs = stored_rows(docs)
     lowered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text).alias("text"))
     table = stash(_signed(lowered), "simhash-signed")
     place = F.struct("uid", F.lit(0).alias("start"), F.lit((1 << 31) - 1).alias("end"))
@@ -159,6 +161,7 @@ def one_of_each_group(docs: DataFrame, text: str = "text", similarity: float = 0
     The texts themselves are not shuffled unless the list of dropped rows is too large to broadcast. Columns of any name are
     kept; an empty table gives an empty result.
     """
+    docs = stored_rows(docs)
     groups = stash(similar_documents(docs, text, similarity), "simhash-groups")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("uid"))
     first = groups.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.uid").alias("kept"))

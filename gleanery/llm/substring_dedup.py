@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import Recent, fresh, lean, stash, with_uid
+from gleanery.llm.common import Recent, fresh, lean, stash, stored_rows, with_uid
 from gleanery.llm.components import connected_components
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -271,6 +271,7 @@ def repeats(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY)
     and end are code points. Documents without repeats have no row. Null, empty and short texts have no units; repeated rows
     repeat their paragraphs; extra columns are ignored; an empty table gives no rows.
     """
+    docs = stored_rows(docs)
     units = stash(paragraphs(docs, text), "repeats-units")
     signed = stash(units.where("bands is not null").groupBy("key").agg(F.first("bands").alias("bands"), F.min(F.struct("uid", "start", "end")).alias("at")), "repeats-signed")
     roots = stash(connected_components(similar_pairs(docs, signed, text, similarity), "a", "b", "repeats-stars"), "repeats-roots")
@@ -286,6 +287,7 @@ def repeats(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY)
 
 def without_repeats(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs with the removed units cut out of `text` (overlapping ones together)."""
+    docs = stored_rows(docs)
     uid, of, at = fresh(docs, "uid", "of", "cuts")
     cuts = repeats(docs, text, similarity).where("removed").groupBy(F.col("uid").alias(of)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(at))
 
