@@ -54,7 +54,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str, derived: dict[str, Callable[[DataFrame], DataFrame]] | None = None):
         """derived: tables that a merge makes anew from the merged chunks, since their rows are of more than one path."""
-        self.spark, self.root, self.derived = spark, root.rstrip("/"), derived or {}
+        self.spark, self.root, self.derived, self._read = spark, root.rstrip("/"), derived or {}, {}
 
     # -- folders
 
@@ -84,9 +84,12 @@ class Store:
         return [v for v in self._names(f"{self.root}/manifest") if v.startswith("v-") and self._exists(f"{self.root}/manifest/{v}/_SUCCESS")]
 
     def _manifest(self, version: str) -> dict:
-        rows = self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/{version}").collect()
-        found = rows[0].asDict(recursive=True)
-        return found | {"segments": found["segments"] or []}
+        at, fs = self._fs(f"{self.root}/manifest/{version}/_SUCCESS")
+        key = version, fs.getFileStatus(at).getModificationTime()
+        if key not in self._read:  # a version is never changed
+            found = self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/{version}").collect()[0].asDict(recursive=True)
+            self._read = dict([*self._read.items(), (key, found | {"segments": found["segments"] or []})][-2 * KEPT :])
+        return self._read[key]
 
     def manifest(self) -> dict | None:
         versions = self._versions()
