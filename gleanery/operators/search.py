@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +24,10 @@ from gleanery.operators.sizes import if_small
 K1, B = 1.2, 0.75
 #: So many terms are looked up in a stored index by a pushed filter; more are joined.
 FEW_TERMS = 500
-#: Queries that are answered in one pass over the documents, and cells of a block's table of scores.
-AT_ONCE, CELLS = 20_000, 1 << 22
+#: Queries that are answered in one pass over the documents, and cells and rows of a block's table of scores.
+AT_ONCE, CELLS, ROWS = 20_000, 1 << 22, 1024
+#: The same words as text.TOKEN's in bytes in lower case, and characters that a snippet is made of.
+WORD, HEAD = re.compile(rb"[a-z0-9_]+"), 310
 
 
 def postings(docs: DataFrame, key: str = "chunk_id", wanted: DataFrame | None = None) -> DataFrame:
@@ -70,22 +75,37 @@ def _wanted(words: pa.Array, place: dict[str, int]) -> tuple[np.ndarray, np.ndar
     return np.repeat(np.arange(len(words)), sizes)[at], each[at], at
 
 
+def _counted(texts: pa.Array, place: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, tf, dl): how often each wanted word stands in a text, and how many words each text has. Of ASCII letters alone, so that bytes can be searched."""
+    row, code, tf, dl = [], [], [], np.zeros(len(texts), dtype=np.int64)
+    for i, text in enumerate(texts.cast(pa.binary())):
+        words = WORD.findall((text.as_py() or b"").lower())
+        dl[i] = len(words)
+        times = Counter(map(place.get, words))
+        times.pop(None, None)
+        row += [i] * len(times)
+        code += times.keys()
+        tf += times.values()
+    return *(np.array(x, dtype=np.int64) for x in (row, code, tf)), dl
+
+
 def _measured(docs: DataFrame, place: dict[str, int]) -> tuple[dict[str, int], int, int]:
     """(df by term, documents, words) in one pass over docs; a row per term and task is shuffled."""
-    names = list(place)
+    names, coded = list(place), {t.encode(): i for t, i in place.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, total = np.zeros(len(names), dtype=np.int64), 0, 0
         for batch in batches:
-            words = batch.column(0)
-            row, code, _ = _wanted(words, place)
-            df += np.bincount(np.unique(row * len(names) + code) % len(names), minlength=len(names)) if len(row) else 0
-            n, total = n + batch.num_rows, total + (pc.sum(pc.list_value_length(words)).as_py() or 0)
+            for low in range(0, batch.num_rows, ROWS):
+                part = batch.slice(low, ROWS)
+                _, code, _, dl = _counted(part.column(0), coded)
+                df += np.bincount(code, minlength=len(names))
+                n, total = n + part.num_rows, total + int(dl.sum())
         found = np.flatnonzero(df)
         terms = pa.array([names[i] for i in found] + [None], pa.string())
         yield pa.RecordBatch.from_arrays([terms, pa.array(np.append(df[found], n)), pa.array(np.append(0 * found, total))], ["term", "n", "total"])
 
-    rows = docs.select(T.tokens("text").alias("words")).mapInArrow(run, "term string, n long, total long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
+    rows = docs.select("text").mapInArrow(run, "term string, n long, total long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
     whole = [r for r in rows if r["term"] is None]
     return {r["term"]: r["n"] for r in rows if r["term"] is not None}, sum(r["n"] for r in whole), sum(r["total"] for r in whole)
 
@@ -113,14 +133,13 @@ def bm25(docs: DataFrame, queries: DataFrame, top_k: int, key: str = "chunk_id",
     schema = StructType([queries.schema["query_id"], *fields, StructField("snippet", StringType()), StructField("score", DoubleType()), StructField("matched_terms", ArrayType(StringType()))])
     if index is None:
         df, n, total = _measured(docs, place) if terms else ({}, 0, 0)
-        found = docs.select(key, "path", "start_line", "end_line", T.snippet(T.lines(F.substring("text", 1, 310))).alias("snippet"), T.tokens("text").alias("words"))
-        found = found.withColumns({"times": F.lit(None).cast("array<int>"), "dl": F.size("words")})
+        found = docs.select(key, "path", "start_line", "end_line", "text")
     else:
         hits = index.where(F.col("term").isin(terms)) if len(terms) <= FEW_TERMS else index.join(if_small(spark.createDataFrame([(t,) for t in terms], "term string")), "term", "left_semi")
         df = {r["term"]: r["df"] for r in hits.groupBy("term").agg(F.count("*").alias("df")).collect()}
         n, total = docs.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         by_key = hits.groupBy(key).agg(F.collect_list("term").alias("words"), F.collect_list(F.col("tf").cast("int")).alias("times"))
-        found = docs.select(key, "path", "start_line", "end_line", F.lit(None).cast("string").alias("snippet"), "dl").join(by_key, key).select(key, "path", "start_line", "end_line", "snippet", "words", "times", "dl")
+        found = docs.select(key, "path", "start_line", "end_line", "dl").join(by_key, key).select(key, "path", "start_line", "end_line", "words", "times", "dl")
     if not df:
         return spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
     idf_of = {r["term"]: r["idf"] for r in spark.createDataFrame([(t, d) for t, d in df.items()], "term string, df long").select("term", idf(F.lit(n), F.col("df")).alias("idf")).collect()}
@@ -132,52 +151,55 @@ def bm25(docs: DataFrame, queries: DataFrame, top_k: int, key: str = "chunk_id",
             of_term[t].append(q)
     shared = spark.sparkContext.broadcast((place, terms, inverse, [np.array(x, dtype=np.int64) for x in of_term], wanted, [r["query_id"] for r in rows]))  # the queries of one pass
 
+    plain = index is None
+
+    def counted(part: pa.RecordBatch, place: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        if plain:
+            return _counted(part.column(4), place)
+        row, code, at = _wanted(part.column(4), {t.decode(): i for t, i in place.items()})
+        return row, code, part.column(5).flatten().to_numpy(zero_copy_only=False)[at], part.column(6).to_numpy(zero_copy_only=False)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, terms, inverse, of_term, wanted, ids = shared.value
-        best, types = Best(len(ids), top_k), None
+        place = {t.encode(): i for t, i in place.items()}
+        best, types, size = Best(len(ids), top_k), None, min(ROWS, max(16, CELLS // len(ids)))
         for batch in batches:
-            types = [batch.schema.field(i).type for i in range(5)]
-            row, code, at = _wanted(batch.column(5), place)
-            times = batch.column(6).flatten().to_numpy(zero_copy_only=False)[at] if batch.column(6).null_count == 0 else np.ones(len(at), dtype=np.int64)
-            pairs, back = np.unique(row * len(terms) + code, return_inverse=True)
-            tf = np.bincount(back, weights=times, minlength=len(pairs)) if len(pairs) else np.zeros(0)
-            row, code = pairs // len(terms), pairs % len(terms)
-            dl = batch.column(7).to_numpy(zero_copy_only=False)[row]
-            weights = inverse[code] * (tf * (K1 + 1.0) / (tf + K1 * ((1.0 - B) + B * dl / average)))
-            paths_, starts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            size = max(16, CELLS // len(ids))
-            for low in range(0, batch.num_rows, size):
-                high = min(batch.num_rows, low + size)
-                order = sorted(range(low, high), key=lambda i: (paths_[i], starts[i]))
-                rank = np.empty(high - low, dtype=np.int64)
-                rank[np.array(order, dtype=np.int64) - low] = np.arange(high - low)
-                inside = slice(*np.searchsorted(row, [low, high]))
-                own_row, own_code, own_weight = rank[row[inside] - low], code[inside], weights[inside]
-                by = np.argsort(own_code, kind="stable")
-                own_code, bounds = own_code[by], np.searchsorted(own_code[by], np.arange(len(terms) + 1))
-                scores = np.zeros((len(ids), high - low))
-                for t in np.unique(own_code).tolist():
+            types = [batch.schema.field(i).type for i in range(4)]
+            for part in (batch.slice(low, size) for low in range(0, batch.num_rows, size)):
+                row, code, tf, dl = counted(part, place)
+                pairs, back = np.unique(row * len(terms) + code, return_inverse=True)
+                tf = np.bincount(back, weights=tf, minlength=len(pairs)) if len(pairs) else np.zeros(0)
+                row, code = pairs // len(terms), pairs % len(terms)
+                weights = inverse[code] * (tf * (K1 + 1.0) / (tf + K1 * ((1.0 - B) + B * dl[row] / average)))
+                paths_, starts = part.column(1).to_pylist(), part.column(2).to_pylist()
+                order = sorted(range(part.num_rows), key=lambda i: (paths_[i], starts[i]))
+                rank = np.empty(part.num_rows, dtype=np.int64)
+                rank[np.array(order, dtype=np.int64)] = np.arange(part.num_rows)
+                own_row, by = rank[row], np.argsort(code, kind="stable")
+                bounds = np.searchsorted(code[by], np.arange(len(terms) + 1))
+                scores = np.zeros((len(ids), part.num_rows))
+                for t in np.unique(code).tolist():
                     at = by[bounds[t] : bounds[t + 1]]
-                    scores[np.ix_(of_term[t], own_row[at])] += own_weight[at]
+                    scores[np.ix_(of_term[t], own_row[at])] += weights[at]
+                records: dict[int, tuple] = {}  # what is kept of a document, once for all queries that keep it
                 for q, chosen in best.offered(scores, positive=True):
                     for j in chosen.tolist():
                         i = order[j]
-                        mine = slice(*np.searchsorted(row, [i, i + 1]))
-                        best.take(q, float(scores[q, j]), (paths_[i], starts[i]), (batch.select([0, 1, 2, 3, 4]).take(pa.array([i])), code[mine].copy()))  # copies: a slice would keep its whole batch
+                        if i not in records:
+                            head = part.column(4)[i].as_py()[:HEAD] if plain else None
+                            records[i] = (part.column(0)[i].as_py(), paths_[i], starts[i], part.column(3)[i].as_py(), head, code[slice(*np.searchsorted(row, [i, i + 1]))].astype(np.int32))
+                        best.take(q, float(scores[q, j]), (paths_[i], starts[i]), records[i])
                 best.cut()
-        if types is None:
-            return
-        kept = [(q, score, entry) for q, score, entry in best.entries()]
-        records = pa.Table.from_batches([e[0] for *_, e in kept]).combine_chunks() if kept else None
-        if records is not None:
-            matched = [[terms[t] for t in wanted[q][np.isin(wanted[q], e[1])]] for q, _, e in kept]
-            columns = [pa.array([ids[q] for q, *_ in kept]), *(records.column(i).combine_chunks() for i in range(5)), pa.array([s for _, s, _ in kept], pa.float64()), pa.array(matched, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns], names)
+        kept = best.entries()
+        while some := list(islice(kept, ROWS)):
+            columns = [pa.array([e[i] for *_, e in some], t) for i, t in enumerate([*types, pa.string()])]
+            matched = [[terms[t] for t in wanted[q][np.isin(wanted[q], e[5])]] for q, _, e in some]
+            yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q, *_ in some]), *columns, pa.array([s for _, s, _ in some], pa.float64()), pa.array(matched, pa.list_(pa.string()))], names)
 
     names = schema.fieldNames()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "start_line")
     top = found.mapInArrow(run, schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
     if index is None:
-        return top
+        return top.withColumn("snippet", T.snippet(T.lines("snippet")))
     texts = docs.select(key, T.snippet(T.lines("text")).alias("snippet"))
     return top.drop("snippet").join(texts, key).select(*names, "rank")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -81,15 +82,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, top_k: int, tie: list[str] |
                 norms = lengths[:, None] * np.sqrt(in_order((x * x for x in v), (batch.num_rows,)))
                 scores = in_order((a[:, None] * b for a, b in zip(q, v, strict=True)), norms.shape)
                 scores = np.divide(scores, norms, out=np.zeros_like(scores), where=norms != 0)
+                records: dict[int, tuple] = {}  # what is kept of a row, once for all queries that keep it
                 for k, chosen in best.offered(scores):
                     for j in chosen.tolist():
-                        best.take(k, float(scores[k, j]), ties[order[j]], batch.take(pa.array([order[j]])))  # a copy: a slice would keep its whole batch
+                        if j not in records:
+                            records[j] = tuple(batch.column(i)[order[j]].as_py() for i in range(len(rest)))
+                        best.take(k, float(scores[k, j]), ties[order[j]], records[j])
                 best.cut()
-        kept = list(best.entries())
-        if kept:
-            records = pa.Table.from_batches([e for *_, e in kept]).combine_chunks()
-            columns = [pa.array([ids[k] for k, *_ in kept]), *(records.column(i).combine_chunks() for i in range(len(rest))), pa.array([s for _, s, _ in kept], pa.float64())]
-            yield pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns], names)
+            types = [whole.schema.field(i).type for i in range(len(rest))]
+        kept = best.entries()
+        while some := list(islice(kept, 4096)):
+            columns = [pa.array([e[i] for *_, e in some], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k, *_ in some]), *columns, pa.array([s for _, s, _ in some], pa.float64())], names)
 
     names = schema.fieldNames()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), *tie)

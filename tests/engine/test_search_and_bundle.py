@@ -1,10 +1,12 @@
 import math
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gleanery.errors import InvalidArgument
+from gleanery.functions import text as T
 from gleanery.operators import chunking, discovery, fusion, search, semantic
 from gleanery.plans import bundle
 
@@ -168,3 +170,31 @@ def test_a_skip_does_not_end_the_budget(spark):
     budget = spark.createDataFrame([(0, 2, 9)], "prompt_id long, max_files int, max_total_lines int")
     got = [r.verdict for r in bundle.verdicts(cand, budget).orderBy("rank_position").collect()]
     assert got == ["selected", "line_budget", "selected", "selected", "zero_lines"]
+
+
+def test_wanted_words_of_bytes_are_the_tokens_of_texts(spark):
+    texts = ["Alpha alpha_1 BETA", None, "", "Kelvin Käse beta BETA İx", "x" * 50 + " alpha " * 3, "퟿\U0001f600beta"]
+    place = {t: i for i, t in enumerate(["alpha", "beta", "k", "se", "x", "elvin"])}
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string").select("i", T.tokens("text").alias("words")).collect()
+    want = {(r.i, place[w]): r.words.count(w) for r in rows for w in r.words or [] if w in place}
+    row, code, tf, dl = search._counted(pa.array(texts), {t.encode(): i for t, i in place.items()})
+    assert dict(zip(zip(row.tolist(), code.tolist(), strict=True), tf.tolist(), strict=True)) == want
+    assert dl.tolist() == [len(r.words or []) for r in sorted(rows)]
+
+
+def test_a_kept_document_is_held_once_for_all_queries(spark, monkeypatch):
+    """Between two batches a task of 400 queries with 20 hits each holds no Arrow memory of its own."""
+    docs = spark.range(200).select(F.col("id").cast("string").alias("chunk_id"), F.concat(F.lit("p/"), "id").alias("path"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.concat(F.repeat(F.lit("alpha "), F.col("id").cast("int") % 7 + 1), F.lit("ü" * 300)).alias("text")).coalesce(1)
+    run, plain = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: (run.append((self, f)), plain(self, f, schema))[1])
+    hits = search.bm25(docs, spark.range(400).select(F.col("id").alias("query_id"), F.lit("alpha").alias("query")), 20)
+    assert [len(r.snippet) for r in hits.collect()] == [300] * 8000
+    read, score = run[-1]
+    batches, held = read.toArrow().combine_chunks().to_batches(), []
+
+    def given():
+        before = pa.total_allocated_bytes()
+        yield batches[0]
+        held.append(pa.total_allocated_bytes() - before)
+
+    assert sum(b.num_rows for b in score(given())) == 8000 and held[0] < 1 << 20
