@@ -28,15 +28,46 @@ FEW_TERMS = 500
 AT_ONCE, CELLS, ROWS = 20_000, 1 << 22, 1024
 #: The same words as text.TOKEN's in bytes in lower case, and characters that a snippet is made of.
 WORD, HEAD = re.compile(rb"[a-z0-9_]+"), 310
+#: Postings in a batch.
+PIECE = 1 << 16
+
+
+def _terms(docs: DataFrame, key: str) -> DataFrame:
+    """(key, term, tf, dl): the words of each row of docs, counted where the row is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(low, ROWS) for low in range(0, batch.num_rows, ROWS)):
+                rows, terms, tf, dl = [], [], [], []
+                for i, text in enumerate(part.column(1).cast(pa.binary())):
+                    words = WORD.findall((text.as_py() or b"").lower())
+                    times = Counter(words)
+                    rows += [i] * len(times)
+                    terms += times.keys()
+                    tf += times.values()
+                    dl += [len(words)] * len(times)
+                names = pa.array(terms, pa.binary()).cast(pa.string())
+                for low in range(0, len(rows), PIECE):  # a key is long beside its terms
+                    own = slice(low, low + PIECE)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows[own], pa.int64())), names[own], pa.array(tf[own], pa.int64()), pa.array(dl[own], pa.int32())], [key, "term", "tf", "dl"])
+
+    schema = StructType([docs.schema[key], *StructType.fromDDL("term string, tf long, dl int")])
+    return docs.select(key, "text").mapInArrow(run, schema)
 
 
 def postings(docs: DataFrame, key: str = "chunk_id", wanted: DataFrame | None = None) -> DataFrame:
-    """(key, term, tf, dl) of documents (key, text), of all terms or those wanted (term), which are chosen before the shuffle."""
-    words = docs.select(key, T.tokens("text").alias("words"))
-    long = words.select(key, F.size("words").alias("dl"), F.explode("words").alias("term"))
+    """(key, term, tf, dl) of documents (key, text), of all terms or those wanted (term).
+
+    No posting is shuffled: a row's words are counted where it is. Only keys that several rows have are found by a shuffle of the
+    keys, and these rows' counts are added up.
+    """
+    each = _terms(docs, key)
     if wanted is not None:
-        long = long.join(wanted, "term", "left_semi")
-    return long.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+        each = each.join(wanted, "term", "left_semi")
+    again = docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(F.col(key).alias("_again"))
+    marked = each.join(if_small(again), F.col(key) == F.col("_again"), "left")
+    added = marked.where("_again is not null").groupBy(key, "term").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+    return marked.where("_again is null").select(key, "term", "tf", "dl").unionAll(added)
 
 
 def stats(docs: DataFrame) -> DataFrame:

@@ -198,3 +198,13 @@ def test_a_kept_document_is_held_once_for_all_queries(spark, monkeypatch):
         held.append(pa.total_allocated_bytes() - before)
 
     assert sum(b.num_rows for b in score(given())) == 8000 and held[0] < 1 << 20
+
+
+def test_postings_are_counted_in_place_and_repeated_keys_added_up(spark):
+    docs = spark.createDataFrame([("a", "x x Y"), ("b", "y z"), ("b", "y"), ("c", None), ("d", "")], "chunk_id string, text string")
+    found = search.postings(docs)
+    assert sorted((r.chunk_id, r.term, r.tf) for r in found.collect()) == [("a", "x", 2), ("a", "y", 1), ("b", "y", 2), ("b", "z", 1)]
+    assert {r.dl for r in found.where("chunk_id = 'a'").collect()} == {3}
+    wanted = spark.createDataFrame([("y",)], "term string")
+    assert sorted((r.chunk_id, r.tf) for r in search.postings(docs, wanted=wanted).collect()) == [("a", 1), ("b", 2)]
+    assert "Generate" not in found._jdf.queryExecution().toString()  # no row for each word before a shuffle
