@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from gleanery.functions import text as T
-from gleanery.operators.search import FEW_TERMS, idf, weight
+from gleanery.operators.search import FEW_TERMS, WORD, idf, weight
 
 #: Ranges of the greatest bounds, scored first to learn how good a query's best are.
 SEEDS = 2
@@ -22,10 +27,32 @@ def build(chunks: DataFrame) -> DataFrame:
     """(term, range, n, max_tf, min_dl, docs) of chunks (doc, range, dl, text): a term's postings (doc, tf, dl) in one range of documents.
 
     A block holds as many postings as a range has documents at most, so the commonest term is many rows in many partitions.
+    Chunks of a range lie together, so a task makes most blocks whole, and only these are shuffled, not their postings.
     """
-    words = chunks.select("doc", "range", "dl", F.explode(T.tokens("text")).alias("term"))
-    each = words.groupBy("term", "range", "doc").agg(F.count("*").cast("int").alias("tf"), F.first("dl").cast("int").alias("dl"))
-    return each.groupBy("term", "range").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.array_sort(F.collect_list(F.struct("doc", "tf", "dl"))).alias("docs"))
+    posting = pa.struct([("doc", pa.int64()), ("tf", pa.int32()), ("dl", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, found = None, defaultdict(list)
+
+        def block() -> pa.RecordBatch:
+            bounds = np.cumsum([0, *map(len, found.values())])
+            docs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*(p for own in found.values() for p in own), strict=True), posting, strict=True)], fields=list(posting))
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()).cast(pa.string()), pa.array([at] * len(found), pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), docs)], ["term", "range", "docs"])
+
+        for batch in batches:
+            for doc, number, dl, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3).cast(pa.binary()), strict=True):
+                if number != at and found:
+                    yield block()
+                    found.clear()
+                at = number
+                for term, tf in Counter(WORD.findall((text.as_py() or b"").lower())).items():
+                    found[term].append((doc, tf, dl))
+        if found:
+            yield block()
+
+    parts = chunks.select("doc", "range", "dl", "text").mapInArrow(run, "term string, range long, docs array<struct<doc:long,tf:int,dl:int>>")
+    whole = parts.groupBy("term", "range").agg(F.array_sort(F.flatten(F.collect_list("docs"))).alias("docs"))
+    return whole.select("term", "range", F.size("docs").cast("long").alias("n"), F.array_max(F.col("docs.tf")).alias("max_tf"), F.array_min(F.col("docs.dl")).alias("min_dl"), "docs")
 
 
 def _sent(df: DataFrame, rows: int) -> DataFrame:

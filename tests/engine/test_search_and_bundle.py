@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.errors import InvalidArgument
 from gleanery.functions import text as T
-from gleanery.operators import chunking, discovery, fusion, search, semantic
+from gleanery.operators import blocks, chunking, discovery, fusion, search, semantic
 from gleanery.plans import bundle
 
 
@@ -208,3 +208,10 @@ def test_postings_are_counted_in_place_and_repeated_keys_added_up(spark):
     wanted = spark.createDataFrame([("y",)], "term string")
     assert sorted((r.chunk_id, r.tf) for r in search.postings(docs, wanted=wanted).collect()) == [("a", 1), ("b", 2)]
     assert "Generate" not in found._jdf.queryExecution().toString()  # no row for each word before a shuffle
+
+
+def test_blocks_are_made_in_place(spark):
+    chunks = spark.createDataFrame([(0, 0, 3, "x x Y"), (1, 0, 0, "-"), (2, 0, 1, "y"), (300, 1, 1, "y")], "doc long, range long, dl int, text string")
+    found = blocks.build(chunks.coalesce(1))
+    assert sorted((r.term, r.range, r.n, r.max_tf, r.min_dl, [tuple(d) for d in r.docs]) for r in found.collect()) == [("x", 0, 1, 2, 3, [(0, 2, 3)]), ("y", 0, 2, 1, 1, [(0, 1, 3), (2, 1, 1)]), ("y", 1, 1, 1, 1, [(300, 1, 1)])]
+    assert "Generate" not in found._jdf.queryExecution().toString()  # no row for each word before a shuffle
