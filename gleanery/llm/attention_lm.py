@@ -19,8 +19,6 @@ from gleanery.llm.words import encoded, ranges, split, words_of
 
 #: Tokens scored per window (a window also sees as many before them), widths, groups of ids, and classes in a group, the first of which hold one frequent id each.
 SPAN, DIM, HIDDEN, GROUPS, MEMBERS, SINGLE = 16, 16, 32, 32, 32, 24
-#: Every training document teaches one window of SPAN targets, and another for every STRIDE words; the next window begins with the TAKE words there.
-STRIDE, TAKE = 128, 16
 #: The weights start from so many windows, in so many passes, with so many in a step. Then ROUNDS follow, each over all windows of all partitions.
 FIT_WINDOWS, PASSES, STEP, ROUNDS = 60_000, 4, 128, 1
 #: Ids whose neighbourhood groups the others, besides the end; windows in a row of their table; results that are added up in one task, and by the driver.
@@ -399,10 +397,7 @@ def subword_counts(counts: DataFrame, tokenizer: str, size: int) -> np.ndarray:
 
 
 def training_windows(training: DataFrame, tokenizer: str, end: int) -> DataFrame:
-    """(key, rows): sequences (see sequences()) of all training texts (uid, text), some of each; texts without words have none.
-
-    The first one begins at a hashed place, the others every STRIDE words from there, so their number grows with the corpus.
-    """
+    """(key, rows): all sequences (see sequences()) of all training texts (uid, text), so that every token is a target once; texts without words have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = loaded(tokenizer)
@@ -410,31 +405,11 @@ def training_windows(training: DataFrame, tokenizer: str, end: int) -> DataFrame
             uids, texts = batch.column(0).to_numpy(), batch.column(1)
             for a, b in ranges(texts):
                 flat, bounds = split(texts.slice(a, b - a), lower=True)
-                n = np.diff(bounds)
-                first = uids[a:b].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
-                first = (first % np.maximum(1, np.minimum(n, STRIDE)).astype(np.uint64)).astype(np.int64)
-                many = np.where(n > 0, 1 + np.maximum(n - 1 - first, 0) // STRIDE, 0)
-                of = np.repeat(np.arange(b - a), many)
-                at = first[of] + STRIDE * (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many))
-                long = np.minimum(TAKE, n[of] - at)
-                if not len(of):
+                if not len(flat):
                     continue
-                ends = np.cumsum(long)
-                wanted = np.repeat(bounds[of] + at - ends + long, long) + np.arange(ends[-1])
-                ids, id_ends = subwords.of_words(encoded(flat.take(pa.array(wanted)), np.concatenate([[0], ends])))
-                cuts = np.concatenate([[0], id_ends])[np.concatenate([[0], ends])]
-                rows = np.full((len(of), 2 * SPAN + 1), GAP, dtype=np.uint16)
-                begins, closes = (at == 0).tolist(), (at + long == n[of]).tolist()
-                for k, (low, high) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)):
-                    to = 0
-                    if begins[k]:
-                        rows[k, SPAN] = end
-                        to = SPAN + 1
-                    m = min(high - low, 2 * SPAN + 1 - to)
-                    rows[k, to : to + m] = ids[low : low + m]
-                    if closes[k] and m == high - low and to + m <= 2 * SPAN:
-                        rows[k, to + m] = end
-                rows = rows[(rows[:, SPAN + 1 :] != GAP).any(axis=1)]
+                ids, id_ends = subwords.of_words(encoded(flat, bounds))
+                cuts = np.concatenate([[0], id_ends])[bounds]
+                rows = sequences([ids[low:high] for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if high > low], end)
                 parts = [rows[k : k + CHUNK] for k in range(0, len(rows), CHUNK)]
                 yield pa.RecordBatch.from_arrays([pa.array([int(uids[a]) * 1000 + k for k in range(len(parts))], pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["key", "rows"])
 

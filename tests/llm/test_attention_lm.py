@@ -84,3 +84,17 @@ def test_baseline_and_edges(docs):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(words) + 1, 1 + sum(counts[w] > 0 for w in words), total)
         assert r.score < 0
     assert A.score(docs([])).collect() == []
+
+
+def test_every_token_of_a_training_text_is_a_target_once(spark):
+    from gleanery.llm import attention_lm
+    from gleanery.llm.subwords import default_tokenizer, loaded
+
+    texts = ["one", " ".join(f"word{i % 50} and" for i in range(700)), None, "", " \n ", "Three SHORT words"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "uid long, text string").coalesce(1)
+    name = default_tokenizer()
+    found = attention_lm.training_windows(rows, name, 60_000).collect()
+    windows = np.concatenate([np.frombuffer(r.rows, dtype=np.uint16).reshape(-1, 2 * attention_lm.SPAN + 1) for r in found])
+    got = windows[:, attention_lm.SPAN + 1 :]
+    want = [np.append(np.frombuffer(loaded(name).of_text(t.lower().encode()), dtype="<u2"), 60_000) for t in texts if t and t.split()]
+    assert got[got != attention_lm.GAP].tolist() == np.concatenate(want).tolist()
