@@ -171,3 +171,20 @@ class Recent:
         again = {k: self.old[k] for k in absent if k in self.old}  # not absent.intersection(), which would walk through all of `old`
         self.young.update(again)
         return absent.difference(again)
+
+    def values(self, keys: pa.Array, make: Callable[[pa.Array], list]) -> list:
+        """The values of distinct keys (texts); make gives those that are not held."""
+        if len(self.young) > self.half:
+            self.old, self.young = self.young, {}
+        names = keys.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.young.get, names))
+        absent = [k for k, x in enumerate(found) if x is None]
+        if self.old:
+            for k in absent:
+                found[k] = self.old.get(names[k])
+        new = [k for k in absent if found[k] is None]
+        if new:
+            for k, x in zip(new, make(keys.take(pa.array(new, pa.int64()))), strict=True):
+                found[k] = x
+        self.young.update((names[k], found[k]) for k in absent)
+        return found

@@ -16,7 +16,7 @@ class Words(NamedTuple):
     bounds: np.ndarray  # where the words of each text begin, and the end
 
     def bodies(self) -> list[bytes]:
-        return self.unique.cast(pa.binary()).to_pylist()
+        return self.unique.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
 
 
 def split(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:

@@ -96,3 +96,16 @@ def test_query_covers_every_document(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     padding, n = check(rows, op2_packing(spark, "/root/testdata/sf0.001").collect())
     assert padding < 0.001 * n * 4096
+
+
+def test_words_of_letters_and_marks_are_encoded_together(monkeypatch):
+    words = ["ñandú,", "Über!?", "thheingble", "ciónmente.", "ÀÉÎõü|", "straße;", "the", "Ñ", "a-", "x#$%"]
+    want = [i for w in words for i in TOKENIZER.encode(w, add_special_tokens=False).ids]
+    own = Subwords(default_tokenizer())
+
+    def one_by_one(word):
+        raise AssertionError(word)
+
+    monkeypatch.setattr(Subwords, "_parts", staticmethod(one_by_one))
+    for _ in range(2):
+        assert np.frombuffer(own.of_text(" ".join(words).encode()), dtype="<u2").tolist() == want
