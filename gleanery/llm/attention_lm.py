@@ -27,6 +27,8 @@ MARKS, CHUNK, FAN = 255, 256, 16
 BLEND = 0.3
 #: So many of the most frequent words at most have their counts in all workers; counts of other words are joined.
 HEAD = 1 << 18
+#: Rows of the windows' table whose contexts are counted at once, and by which a partition trains in turn.
+COUNTED, TRAINED = 64, 256
 #: Windows attended at once, and classed at once.
 AT_ONCE, CLASSED = 256, 1024
 LN10 = float(np.log(10.0))
@@ -420,16 +422,28 @@ def _rows(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, dtype=np.uint16).reshape(-1, 2 * SPAN + 1)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[np.ndarray]:
+    """The sequences of `size` rows of the windows' table at a time, so that a task holds no more of them however large its partition is."""
+    some: list[bytes] = []
+    for batch in batches:
+        for x in batch.column(column):
+            some.append(x.as_py())
+            if len(some) == size:
+                yield np.concatenate([_rows(b) for b in some])
+                some = []
+    if some:
+        yield np.concatenate([_rows(b) for b in some])
+
+
 def corpus_contexts(table: DataFrame, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """contexts() of all training windows: sums per task, then per key, of which there are 2 * marks for each id at most."""
+    """contexts() of all training windows: sums per block of windows, then per key, of which there are 2 * marks for each id at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                keys, times = contexts(np.concatenate([_rows(x.as_py()) for x in batch.column(1)]), marks)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times)], ["key", "n"])
+        for rows in _blocks(batches, 0, COUNTED):
+            keys, times = contexts(rows, marks)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times)], ["key", "n"])
 
-    found = table.select("key", "rows").mapInArrow(lean(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    found = table.select("rows").mapInArrow(lean(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     keys = found.column("key").to_numpy()
     order = np.argsort(keys)
     return keys[order], found.column("n").to_numpy()[order]
@@ -460,7 +474,8 @@ class Gathered:
 
 
 def averaged(table: DataFrame, weights: Weights, classes: Classes, round_: int) -> Weights:
-    """The mean of the weights that all partitions of the windows reach from `weights`, each by a pass over its own windows.
+    """The mean of the weights that all partitions of the windows reach from `weights`, each by a pass over its own windows,
+    TRAINED rows of the table after another.
 
     The changes are added up in tasks, FAN of them in each, until FAN are left for the driver.
     """
@@ -468,12 +483,15 @@ def averaged(table: DataFrame, weights: Weights, classes: Classes, round_: int)
     shared = spark.sparkContext.broadcast((weights, classes))  # DIM floats and two numbers per id: a fixed bound
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [x.as_py() for batch in batches for x in batch.column(0)]
-        if blobs:
-            own, classes = shared.value
-            rows = np.concatenate([_rows(x) for x in blobs])
-            after, ids, times = descend(own, classes, rows, 1, 0.004, seed=round_)
-            change = (len(rows), [len(rows) * (x - y) for x, y in zip(after[1:], own[1:], strict=True)], ids.astype(np.uint16), times.astype(np.float64), (after.e[ids] - own.e[ids]) * times[:, None].astype(np.float32))
+        own, classes = shared.value
+        after, n, times = own, 0, np.zeros(size)
+        for rows in _blocks(batches, 0, TRAINED):
+            after, ids, some = descend(after, classes, rows, 1, 0.004, seed=round_)
+            times[ids] += some
+            n += len(rows)
+        if n:
+            ids = np.flatnonzero(times)
+            change = (n, [n * (x - y) for x, y in zip(after[1:], own[1:], strict=True)], ids.astype(np.uint16), times[ids], (after.e[ids] - own.e[ids]) * times[ids, None].astype(np.float32))
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(change)], pa.binary())], ["change"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -500,9 +518,11 @@ def averaged(table: DataFrame, weights: Weights, classes: Classes, round_: int)
 def fit(training: DataFrame, counts: np.ndarray, tokenizer: str) -> tuple[Classes, Weights] | None:
     """Classes and weights from all training texts (uid, text); counts: of ids in the whole corpus. None without words."""
     table = stash(training_windows(training, tokenizer, len(counts) - 1), "lm-windows")
-    first = table.orderBy(F.xxhash64("key"), "key").limit(-(-FIT_WINDOWS // CHUNK)).collect()
-    if not first:
+    order = [F.xxhash64("key"), F.col("key")]
+    chosen = [r["key"] for r in table.select("key").orderBy(*order).limit(-(-FIT_WINDOWS // CHUNK)).collect()]  # keys alone, since each task sends as many
+    if not chosen:
         return None
+    first = table.where(F.col("key").isin(chosen)).orderBy(*order).collect()
     marks = make_marks(counts)
     classes = classes_of(counts, *corpus_contexts(table, marks), len(marks))
     weights = begun(np.concatenate([_rows(bytes(r["rows"])) for r in first])[:FIT_WINDOWS], classes, counts)

@@ -98,3 +98,28 @@ def test_every_token_of_a_training_text_is_a_target_once(spark):
     got = windows[:, attention_lm.SPAN + 1 :]
     want = [np.append(np.frombuffer(loaded(name).of_text(t.lower().encode()), dtype="<u2"), 60_000) for t in texts if t and t.split()]
     assert got[got != attention_lm.GAP].tolist() == np.concatenate(want).tolist()
+
+
+def test_a_partition_is_trained_and_counted_by_blocks(spark, monkeypatch):
+    """Every window is trained on once, and no task holds more of them at a time than a block, however large its partition is."""
+    from gleanery.llm import attention_lm
+    from gleanery.llm.subwords import default_tokenizer
+
+    texts = [" ".join(f"word{(i * k) % 50} and" for i in range(3000)) for k in range(1, 4)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "uid long, text string").coalesce(1)
+    size = 49_409
+    table = attention_lm.training_windows(rows, default_tokenizer(), size - 1).coalesce(1).cache()
+    every = np.concatenate([np.frombuffer(r.rows, dtype=np.uint16).reshape(-1, 2 * attention_lm.SPAN + 1) for r in table.collect()])
+    counts = np.bincount(every[:, attention_lm.SPAN + 1 :][every[:, attention_lm.SPAN + 1 :] != attention_lm.GAP], minlength=size).astype(float)
+    marks = attention_lm.make_marks(counts)
+    want = attention_lm.contexts(every, marks)
+    monkeypatch.setattr(attention_lm, "COUNTED", 2)
+    monkeypatch.setattr(attention_lm, "TRAINED", 2)
+    blocks = list(attention_lm._blocks(iter(table.toArrow().to_batches()), 1, 2))
+    assert max(map(len, blocks)) <= 2 * attention_lm.CHUNK < len(every) and (np.concatenate(blocks) == every).all()
+    found = attention_lm.corpus_contexts(table, marks)
+    assert (found[0] == want[0]).all() and (found[1] == want[1]).all()
+    classes = attention_lm.classes_of(counts, *want, len(marks))
+    first = attention_lm.first_weights(classes, counts)
+    before, after = (attention_lm.Scorer(w, classes).score([every[5, attention_lm.SPAN + 1 :].astype(np.int64)])[0] for w in (first, attention_lm.averaged(table, first, classes, 0)))
+    assert after > before
