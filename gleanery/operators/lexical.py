@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,19 +39,21 @@ def identifier_places(corpus: DataFrame) -> DataFrame:
     return found.select("path", "line", "x.token", "x.start_col", "x.end_col")
 
 
-def brace_depth(corpus: DataFrame) -> DataFrame:
+def brace_depth(corpus: DataFrame, lines: Callable[[Column], Column] = T.lines, ties: Sequence[str] = ()) -> DataFrame:
     """(path, line, depth): open blocks before each line, never below zero.
 
     Clamping is undone by running minima: the depth is the sum so far less its least value so far, if that is negative.
-    Braces are taken one by one, since a line may close and open.
+    Braces are taken one by one, since a line may close and open. Texts of one path are taken together, by lines, places in
+    them and the columns `ties`.
     """
-    text_lines = corpus.select("path", F.posexplode(T.lines(T.masked("text"))).alias("at", "masked"))
-    steps = text_lines.select("path", "at", F.posexplode_outer(F.regexp_extract_all("masked", F.lit("[{}]"), F.lit(0))).alias("k", "brace"))
+    text_lines = corpus.select("path", *ties, F.posexplode(lines(T.masked("text"))).alias("at", "masked"))
+    steps = text_lines.select("path", "at", *ties, F.posexplode_outer(F.regexp_extract_all("masked", F.lit("[{}]"), F.lit(0))).alias("k", "brace"))
+    steps = steps.withColumn("k", F.coalesce("k", F.lit(0)))
     value = F.when(F.col("brace") == "{", 1).when(F.col("brace") == "}", -1).otherwise(0)
-    order = Window.partitionBy("path").orderBy("at", "k")
+    order = Window.partitionBy("path").orderBy("at", "k", *ties)
     run = steps.withColumn("sum", F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     run = run.withColumn("low", F.least(F.lit(0), F.min("sum").over(order.rowsBetween(Window.unboundedPreceding, 0))))
-    after = run.groupBy("path", "at").agg(F.max_by(F.col("sum") - F.col("low"), F.coalesce("k", F.lit(0))).alias("after"))
+    after = run.groupBy("path", "at").agg(F.min_by(F.col("sum") - F.col("low"), F.struct(-F.col("k"), *ties)).alias("after"))
     before = F.lag("after", 1, 0).over(Window.partitionBy("path").orderBy("at"))
     return after.select("path", (F.col("at") + 1).alias("line"), before.cast("int").alias("depth"))
 
