@@ -58,7 +58,9 @@ def outline(corpus: DataFrame, python_enabled: bool = True) -> DataFrame:
 
     rows = corpus.where("text is not null").select("path", language("path", python_enabled).alias("language"), "text")
     wanted = rows.where(F.col("language") != FALLBACK)
-    return wanted.withColumn("masked", F.when(F.col("language") == "python", F.lit("")).otherwise(T.masked("text"))).mapInPandas(run, SYMBOLS)
+    python = F.col("language") == "python"
+    blank = F.regexp_replace(T.masked("text"), r"(?dm)^ ++(?=\n)", "")  # lines of comments alone
+    return wanted.select("path", "language", F.when(python, F.col("text")).otherwise("").alias("text"), F.when(python, F.lit("")).otherwise(blank).alias("masked")).mapInPandas(run, SYMBOLS)
 
 
 def short(symbol: str | Column) -> Column:
