@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,10 +26,15 @@ def tokens(text: str | Column) -> Column:
     return F.transform(F.regexp_extract_all(col(text), F.lit(TOKEN), F.lit(0)), lambda t: F.lower(t))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once a row, where plans repeat what an expression uses twice, as they do in generators."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def lines(text: str | Column) -> Column:
     """Lines at any of Unicode's breaks; a break at the end adds no empty line, and an empty text has none."""
-    parts = F.split(col(text), LINE_BREAK, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    ended = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return once(F.split(col(text), LINE_BREAK, -1), ended)
 
 
 def snippet(text_lines: str | Column) -> Column:
@@ -79,8 +86,8 @@ def masked(text: str | Column, pattern: str | None = None) -> Column:
     """text with every character of comments and strings but line feeds made blank; places stay the same."""
     pattern = pattern or mask_pattern()
     code, hidden = F.split(col(text), pattern, -1), F.regexp_extract_all(col(text), F.lit(pattern), F.lit(0))
-    both = F.zip_with(code, hidden, lambda a, b: F.concat(a, F.coalesce(F.regexp_replace(b, "[^\n]", " "), F.lit(""))))
-    return F.when(F.size(hidden) == 0, col(text)).otherwise(F.array_join(both, ""))
+    blanks = lambda b: F.when(F.contains(b, F.lit("\n")), F.regexp_replace(b, "[^\n]", " ")).otherwise(F.repeat(F.lit(" "), F.length(b)))
+    return F.array_join(F.zip_with(code, hidden, lambda a, b: F.concat(a, F.coalesce(blanks(b), F.lit("")))), "")
 
 
 def identifiers(text: str | Column) -> Column:

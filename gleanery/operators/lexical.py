@@ -10,23 +10,33 @@ from pyspark.sql import functions as F
 from gleanery.functions import text as T
 
 
+def _lines(corpus: DataFrame, kept: Callable[[Column], Column]) -> DataFrame:
+    """Texts are masked once: the generator takes an expression of `both`, since Spark would filter by a bare column's size, and compute it for that."""
+    split = F.struct(T.lines(T.masked("text")).alias("masked"), T.lines("text").alias("original"))
+    both = T.once(split, lambda x: F.when(F.size(x["masked"]) == F.size(x["original"]), F.arrays_zip(x["masked"].alias("masked"), x["original"].alias("original"))))
+    numbered = F.transform("both", lambda x, i: F.struct((i + 1).alias("line"), x["masked"].alias("masked"), x["original"].alias("original")))
+    return corpus.select("path", both.alias("both")).select("path", F.inline(kept(numbered)))
+
+
 def source_lines(corpus: DataFrame) -> DataFrame:
     """(path, line, masked, original). Files whose masked and original lines don't pair up are left out."""
-    both = corpus.select("path", T.lines(T.masked("text")).alias("masked"), T.lines("text").alias("original"))
-    paired = both.where(F.size("masked") == F.size("original"))
-    zipped = paired.select("path", F.posexplode(F.arrays_zip("masked", "original")).alias("at", "both"))
-    return zipped.select("path", (F.col("at") + 1).alias("line"), F.col("both.masked").alias("masked"), F.col("both.original").alias("original"))
+    return _lines(corpus, lambda rows: rows)
+
+
+def code_lines(corpus: DataFrame) -> DataFrame:
+    """source_lines() with an identifier outside comments and strings: others don't become rows."""
+    return _lines(corpus, lambda rows: F.filter(rows, lambda x: x["masked"].rlike("[A-Za-z_$]")))
 
 
 def identifier_tokens(corpus: DataFrame) -> DataFrame:
     """(path, line, token, n): identifiers outside comments and strings, with how often each stands in its line."""
-    found = source_lines(corpus).select("path", "line", F.explode(T.identifiers("masked")).alias("token"))
+    found = code_lines(corpus).select("path", "line", F.explode(T.identifiers("masked")).alias("token"))
     return found.groupBy("path", "line", "token").agg(F.count("*").alias("n"))
 
 
 def identifier_places(corpus: DataFrame) -> DataFrame:
     """(path, line, token, start_col, end_col): every identifier outside comments and strings, with its first and last column, from 1."""
-    rows = source_lines(corpus).select("path", "line", T.identifiers("masked").alias("tokens"), F.split("masked", T.IDENTIFIER, -1).alias("between"))
+    rows = code_lines(corpus).select("path", "line", T.identifiers("masked").alias("tokens"), F.split("masked", T.IDENTIFIER, -1).alias("between"))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<token:string,start_col:int,end_col:int>>").alias("found"))
 
     def step(acc: Column, pair: Column) -> Column:

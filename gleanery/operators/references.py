@@ -46,7 +46,7 @@ def lexical_references(corpus: DataFrame, symbols: DataFrame) -> DataFrame:
     line counts if all parts stand in sequence, or the last part is called, created, or in an import or inheritance line;
     lines that look like declarations don't.
     """
-    rows = lexical.source_lines(corpus).withColumn("short", F.explode(F.array_distinct(T.identifiers("masked"))))
+    rows = lexical.code_lines(corpus).withColumn("short", F.explode(F.array_distinct(T.identifiers("masked"))))
     return judged(rows.join(if_small(lexical_symbols(symbols)), "short"))
 
 

@@ -109,3 +109,30 @@ def test_definitions(spark):
     symbols = outline.outline(samples.corpus(spark))
     got = outline.definitions(symbols, symbols_of(spark, "load", "Store.load", "Other.load", "Core"), 5).collect()
     assert sorted((r.symbol, r.path, r.start_line, r.total_candidates) for r in got) == [("Core", "lib/core.rs", 1, 2), ("Core", "lib/core.rs", 5, 2), ("Store.load", "app/store.py", 8, 1), ("load", "app/store.py", 8, 1)]
+
+
+def test_lines_of_comments_are_not_tried_against_patterns():
+    """Blank lines, which masked comments leave, took a time that grows with the square of their length."""
+    import time
+
+    from gleanery.operators.languages import READERS, Source
+
+    for name, reader in READERS.items():
+        start = time.process_time()
+        assert list(reader(Source("\n".join([" " * 20_000] * 20)))) == [], name
+        assert time.process_time() - start < 1, name
+
+
+def test_texts_are_masked_once(spark):
+    """A plan that filters and uses masked lines must not mask the texts for each use."""
+    from gleanery.operators import lexical
+
+    rows = spark.range(3).selectExpr("cast(id as string) path", "concat('a', id, ' // x\n// y\n  b') text")
+    assert sorted(map(tuple, lexical.code_lines(rows).where("path = '1'").collect())) == [("1", 1, "a1     ", "a1 // x"), ("1", 3, "  b", "  b")]
+    before = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = lexical.source_lines(rows)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", before)
+    assert plan.count("regexp_extract_all(") == 1, plan
