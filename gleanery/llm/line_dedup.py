@@ -16,17 +16,17 @@ def _place() -> Column:
     return F.struct("id", "uid", "seq")
 
 
-def _ranked(keyed: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """(uid, id, seq, rank, first) for the places of `keyed` (uid, id, seq, a, b) whose key occurs again, and the table's path.
+def _ranked(keyed: DataFrame, level: int) -> tuple[DataFrame, str]:
+    """(uid, id, seq, rank, first, level) for the places of `keyed` (uid, id, seq, a, b) whose key occurs again, and the table's path.
 
     `rank` (long) follows the order of (a, b): range partitioning, a sort inside, running ids. The keys' table is written
     before it is joined, since sampled range borders may differ if a lost task were run again, and so that Spark can split the
     join's partition of a very common key.
     """
-    spark = keyed.sparkSession
+    spark, name = keyed.sparkSession, f"lines-{1 << level}"
     groups = keyed.groupBy("a", "b").agg(F.count("*").alias("copies"), F.min(_place()).alias("first")).where("copies > 1")
     groups, path = kept(groups.repartitionByRange("a", "b").sortWithinPartitions("a", "b").withColumn("rank", F.monotonically_increasing_id()), f"{name}-groups")
-    found = kept(keyed.join(groups, ["a", "b"]).select("uid", "id", "seq", "rank", "first"), name)
+    found = kept(keyed.join(groups, ["a", "b"]).select("uid", "id", "seq", "rank", "first", F.lit(level).alias("level")), name)
     delete(spark, path)
     return found
 
@@ -52,25 +52,23 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
     each suffix of an interval is compared with groups, never with other suffixes one by one.
     """
     spark = lines.sparkSession
-    ranks: list[tuple[DataFrame, str]] = [_ranked(lines.select("uid", "id", "seq", "a", "b"), "lines-1")]
+    ranks: list[tuple[DataFrame, str]] = [_ranked(lines.select("uid", "id", "seq", "a", "b"), 0)]
     while not ranks[-1][0].isEmpty():
         by = 1 << (len(ranks) - 1)
         at = ranks[-1][0].select("uid", "id", "seq", F.col("rank").alias("a"))
         on = ranks[-1][0].select("uid", (F.col("seq") - by).alias("seq"), F.col("rank").alias("b"))
-        ranks.append(_ranked(at.join(on, ["uid", "seq"]), f"lines-{2 * by}"))
-    later = [r.where(_place() != F.col("first")) for r, _ in ranks]
+        ranks.append(_ranked(at.join(on, ["uid", "seq"]), len(ranks)))
     empty = lines.select("uid", "seq", F.lit(0).alias("length")).limit(0)
     if len(ranks) == 1:
         delete(spark, ranks[0][1])
         return empty
-    # state: a suffix in an interval (level, group) that shares `length` lines; target: its prefix is sought, else it is the first one
-    state = None
-    for level, (found, _) in enumerate(ranks[:-1]):
-        ends = later[level].join(later[level + 1].select("uid", "seq"), ["uid", "seq"], "left_anti")
-        heads = ends.groupBy("rank").agg(F.min("first").alias("first")).select(F.col("first.uid").alias("uid"), F.col("first.id").alias("id"), F.col("first.seq").alias("seq"), "rank")
-        own = ends.select("uid", "id", "seq", "rank", F.lit(True).alias("target")).unionAll(heads.select("uid", "id", "seq", "rank", F.lit(False).alias("target")))
-        own = own.select("uid", "id", "seq", F.xxhash64(F.lit(level), "rank").alias("g1"), F.hash(F.lit(level), "rank").alias("g2"), F.lit(1 << level).alias("length"), "target")
-        state = own if state is None else state.unionAll(own)
+    # state: a suffix in an interval (level, group) that shares `length` lines; target: its prefix is sought, else it is the first one.
+    # All levels are read as one table, so that the plan is as large for any number of them.
+    later = spark.read.schema(ranks[0][0].schema).parquet(*(p for _, p in ranks)).where(_place() != F.col("first"))
+    ends = later.join(later.select("uid", "seq", (F.col("level") - 1).alias("level")), ["uid", "seq", "level"], "left_anti")
+    heads = ends.groupBy("level", "rank").agg(F.min("first").alias("first")).select(F.col("first.uid").alias("uid"), F.col("first.id").alias("id"), F.col("first.seq").alias("seq"), "rank", "level")
+    own = ends.select("uid", "id", "seq", "rank", "level", F.lit(True).alias("target")).unionAll(heads.select("uid", "id", "seq", "rank", "level", F.lit(False).alias("target")))
+    state = own.select("uid", "id", "seq", F.xxhash64("level", "rank").alias("g1"), F.hash("level", "rank").alias("g2"), F.expr("shiftleft(1, level)").alias("length"), "target")
     state, path = kept(state, "lines-state")
     for level in range(len(ranks) - 3, -1, -1):
         step = 1 << level

@@ -91,3 +91,21 @@ def test_report_and_empty(docs):
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed, r.longest_run) for r in line_dedup.dedup_lines(docs(rows)).collect()}
     assert got == {1: ("a\nb\nc\nd\ne", 5, 0, 0), 2: ("q", 6, 5, 5)}
     assert line_dedup.dedup_lines(docs([])).collect() == []
+
+
+def test_plans_do_not_grow_with_the_longest_run(docs, monkeypatch):
+    joins = {}
+
+    def counted(df, name, own=line_dedup.kept):
+        joins[name] = max(joins.get(name, 0), df._jdf.queryExecution().analyzed().toString().count("Join "))
+        return own(df, name)
+
+    monkeypatch.setattr(line_dedup, "kept", counted)
+    most = []
+    for n in (3, 40):
+        joins.clear()
+        run = "\n".join(f"line {i}" for i in range(n))
+        got = {r.doc_id: r.longest_run for r in line_dedup.dedup_lines(docs([(1, run), (2, f"x\n{run}")])).collect()}
+        assert got == {1: 0, 2: n}
+        most.append(max(joins.values()))
+    assert most[0] == most[1]
