@@ -9,6 +9,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ BLEND = 0.3
 HEAD = 1 << 18
 #: Rows of the windows' table whose contexts are counted at once, and by which a partition trains in turn.
 COUNTED, TRAINED = 64, 256
+#: Bytes of texts that are scored together, at some fifty bytes of memory each.
+SCORED = 1 << 20
 #: Windows attended at once, and classed at once.
 AT_ONCE, CLASSED = 256, 1024
 LN10 = float(np.log(10.0))
@@ -257,8 +260,13 @@ def first_weights(classes: Classes, counts: np.ndarray, seed: int = 1) -> Weight
 def descend(weights: Weights, classes: Classes, rows: np.ndarray, passes: int, rate: float, seed: int = 1) -> tuple[Weights, np.ndarray, np.ndarray]:
     """(weights, ids, times) after Adam over the sequences, each in every pass: of the embeddings only those of `ids` have changed, which occur `times`."""
     rng, groups = np.random.default_rng(seed), len(weights.b2)
-    known, small, times = np.unique(rows[:, :-1], return_inverse=True, return_counts=True)
-    small, full = small.reshape(len(rows), 2 * SPAN), rows == GAP
+    often = np.zeros(GAP + 1, dtype=np.int64)
+    for a in range(0, len(rows), COUNTED * CHUNK):  # bincount() makes eight bytes of each id
+        often += np.bincount(rows[a : a + COUNTED * CHUNK, :-1].ravel(), minlength=GAP + 1)
+    known = np.flatnonzero(often)
+    place = np.zeros(GAP + 1, dtype=np.uint16)
+    place[known] = np.arange(len(known))
+    small, times, full = place[rows[:, :-1]], often[known], rows == GAP
     real_ids = known != GAP
     start = np.zeros((len(known), DIM), dtype=np.float32)
     start[real_ids] = weights.e[known[real_ids]]
@@ -326,7 +334,7 @@ def descend(weights: Weights, classes: Classes, rows: np.ndarray, passes: int, r
                 p[n][at] -= now * (one / np.float32(1 - 0.9**step)) / (np.sqrt(two / np.float32(1 - 0.99**step)) + np.float32(1e-8))
                 if n == "e":
                     m1[n][at], m2[n][at] = one, two
-    ids = known[real_ids].astype(np.int64)
+    ids = known[real_ids]
     table = weights.e.copy()
     table[ids] = p["e"][real_ids]
     return Weights(table, *(p[n] for n in Weights._fields[1:])), ids, times[real_ids]
@@ -556,23 +564,23 @@ def score(docs: DataFrame, text: str = "text", folds: int = 7, held: int = 2, to
     by_id[size - 1] = ends
     model = fit(training, by_id, tokenizer)
     found = counts.where(F.col("c") >= _least_count(counts, HEAD)).toArrow()
-    shared = Shared(uuid.uuid4().hex, spark.sparkContext.broadcast((found.column("word").to_pylist(), found.column("c").to_numpy(), model)))  # HEAD words, and DIM floats per id: a fixed bound
+    shared = Shared(uuid.uuid4().hex, spark.sparkContext.broadcast((found.column("word").combine_chunks(), found.column("c").to_numpy(), model)))  # HEAD words, and DIM floats per id: a fixed bound
     floor = total + (vocabulary + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if shared.id not in _ready:  # once a worker
             own, c, model = shared.value
             _ready.clear()
-            _ready[shared.id] = {w.encode(): k for k, w in enumerate(own)}, np.append(c, 0).astype(np.float64), Scorer(model[1], model[0]) if model else None
-        (place, many, scorer), subwords = _ready[shared.id], loaded(tokenizer)
+            _ready[shared.id] = own, np.append(c, 0).astype(np.float64), Scorer(model[1], model[0]) if model else None
+        (frequent, many, scorer), subwords = _ready[shared.id], loaded(tokenizer)
 
         for batch in batches:
             texts = batch.column(2)
-            for a, b in ranges(texts):
+            for a, b in ranges(texts, SCORED):
                 found = words_of(texts.slice(a, b - a), lower=True)
                 ids, ends_at = subwords.of_words(found)
                 cuts = np.concatenate([[0], ends_at])
-                at = np.fromiter((place.get(w, -1) for w in found.bodies()), dtype=np.int64, count=len(found.unique))
+                at = pc.index_in(found.unique, value_set=frequent).fill_null(-1).to_numpy(zero_copy_only=False)
                 each = at[found.codes]
                 unknown, c = each < 0, many[each]
                 if scorer:

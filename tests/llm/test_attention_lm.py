@@ -123,3 +123,24 @@ def test_a_partition_is_trained_and_counted_by_blocks(spark, monkeypatch):
     first = attention_lm.first_weights(classes, counts)
     before, after = (attention_lm.Scorer(w, classes).score([every[5, attention_lm.SPAN + 1 :].astype(np.int64)])[0] for w in (first, attention_lm.averaged(table, first, classes, 0)))
     assert after > before
+
+
+def test_a_block_of_windows_is_trained_in_little_memory():
+    import tracemalloc
+
+    from gleanery.llm import attention_lm
+
+    rng = np.random.default_rng(4)
+    rows = rng.integers(0, 3000, size=(1 << 16, 2 * attention_lm.SPAN + 1)).astype(np.uint16)
+    rows[::7, :5] = attention_lm.GAP
+    counts = np.ones(3001)
+    marks = attention_lm.make_marks(counts)
+    classes = attention_lm.classes_of(counts, *attention_lm.contexts(rows[:500], marks), len(marks))
+    weights = attention_lm.first_weights(classes, counts)
+    tracemalloc.start()
+    _, ids, times = attention_lm.descend(weights, classes, rows, 0, 0.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    known = rows[:, :-1][rows[:, :-1] != attention_lm.GAP]
+    assert ids.tolist() == np.unique(known).tolist() and times.tolist() == np.bincount(known)[ids].tolist()
+    assert peak < 3 * rows.nbytes + weights.e.nbytes * 5 + (8 << 20)  # 61 MB when ids were counted as 64-bit numbers, all at once
