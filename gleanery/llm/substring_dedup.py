@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.common import Recent, fresh, lean, stash, stored_rows, with_uid
 from gleanery.llm.components import connected_components
+from gleanery.llm.subwords import bodies
+from gleanery.llm.words import ranges
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Bands of rows: two paragraphs of similarity 0.8 meet in some band with probability 1 - (1 - 0.8^2)^8 = 0.9997.
@@ -24,6 +26,8 @@ PIVOTS, SMALL = 8, 16
 FILTER = 1 << 18
 #: Words whose hashes a worker keeps.
 CACHED = 160_000
+#: Texts are taken together up to so many bytes, since most are too short for arrays of their own; one longer text is taken by itself.
+TOGETHER = 1 << 17
 _PRIMES = np.random.default_rng(11).integers(1, 1 << 62, size=(2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
 
@@ -64,19 +68,25 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
 
 
-def cuts(h: np.ndarray, near: int = NEAR) -> np.ndarray:
-    """Word places at which blocks begin or end: local minima of the word hashes (the first of equal ones), and both ends.
+def cuts(h: np.ndarray, near: int = NEAR, bounds: np.ndarray | None = None) -> np.ndarray:
+    """Word places at which blocks begin or end: local minima of the word hashes (the first of equal ones), and both ends of each
+    text. bounds: where the texts begin, and the end, if h is of several.
 
     A cut depends on the `near` words either side only, so a passage is cut alike wherever it stands, but for its rims.
     """
-    n, most = len(h), np.full(near, np.iinfo(np.uint64).max, dtype=np.uint64)
-    wide = np.concatenate([most, h, most])
+    bounds = np.array([0, len(h)]) if bounds is None else bounds
+    at = np.arange(len(h)) + near * np.repeat(np.arange(1, len(bounds)), np.diff(bounds))  # gaps keep texts apart
+    wide = np.full(len(h) + near * len(bounds), np.iinfo(np.uint64).max, dtype=np.uint64)
+    wide[at] = h
+    n = len(wide) - 2 * near
     before, after = wide[:n].copy(), wide[near + 1 : near + 1 + n].copy()
     for k in range(1, near):
         np.minimum(before, wide[k : k + n], out=before)
         np.minimum(after, wide[near + 1 + k : near + 1 + k + n], out=after)
-    found = np.flatnonzero((before > h) & (after >= h))
-    return np.unique(np.concatenate([[0], found, [n]]))
+    found = ((before > wide[near : near + n]) & (after >= wide[near : near + n]))[at - near]
+    found = np.append(found, False)
+    found[bounds] = True
+    return np.flatnonzero(found)
 
 
 def paragraph_bounds(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,31 +123,31 @@ class Units:
                 step[0] = 1
             self.powers, self.inverses = map(np.multiply.accumulate, steps)
 
-    def of(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, key, bands): places in code points, a hash of the words in order, and the bands of the first rows, which are the paragraphs."""
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, start, end, key, bands): the number of the text, places in its code points, a hash of the words in order, and the bands of the first rows, which are the paragraphs."""
+        data = b"\n\n".join(texts)  # a line without words ends a paragraph
         raw = np.frombuffer(data, dtype=np.uint8)
         inside = np.concatenate([[False], ~_BLANK[raw], [False]])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         starts, ends = edges[::2], edges[1::2]
         n = len(starts)
-        if n < min(LONG, LEAST):
-            return _EMPTY
         h = word_hashes(data.split(), self.cache)
         self._grow(n)
         total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * self.powers[:n], dtype=np.uint64)])
         first, last = paragraph_bounds(np.concatenate([[0], np.searchsorted(starts, np.flatnonzero(raw == 10)), [n]]))
-        at = cuts(h)
-        to = np.searchsorted(at, at + LEAST)
-        full = np.flatnonzero(to < len(at))
-        a = np.concatenate([first, at[full]])
-        b = np.concatenate([last, at[to[full]]])
+        begin = np.cumsum([0, *(len(t) + 2 for t in texts)])  # in bytes
+        bounds = np.searchsorted(starts, begin)  # in words
+        at = cuts(h, bounds=bounds)
+        text_end = bounds[np.searchsorted(bounds, at, side="right").clip(max=len(texts))]
+        at, cut = at[at + LEAST <= text_end], at
+        a = np.concatenate([first, at])
+        b = np.concatenate([last, cut[np.searchsorted(cut, at + LEAST)]])
         key = _mixed((total[b] - total[a]) * self.inverses[a] + (b - a).astype(np.uint64))
         point = np.cumsum((raw & 0xC0) != 0x80)  # code points up to and with each byte
-        bands = band_hashes(shingle_hashes(h), first, last - WIDTH + 1).view(np.int64) if len(first) else _EMPTY[3]
-        return point[starts[a]] - 1, point[ends[b - 1] - 1], key.view(np.int64), bands
-
-
-_EMPTY = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros((0, BANDS), dtype=np.int64))
+        bands = band_hashes(shingle_hashes(h), first, last - WIDTH + 1).view(np.int64) if len(first) else np.zeros((0, BANDS), dtype=np.int64)
+        text = np.searchsorted(bounds, a, side="right") - 1
+        before = np.append(0, point)[begin[text]]
+        return text, point[starts[a]] - 1 - before, point[ends[b - 1] - 1] - before, key.view(np.int64), bands
 
 
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -146,15 +156,13 @@ def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units()
         for batch in batches:
-            found = [units.of(x.as_buffer().to_pybytes()) if x.is_valid else _EMPTY for x in batch.column(1).cast(pa.binary())]
-            start, end, key, bands = (np.concatenate([f[k] for f in found]) if found else _EMPTY[k] for k in range(4))
-            sizes, long = [len(f[0]) for f in found], np.zeros(len(start), dtype=bool)
-            for at, f in zip(np.cumsum([0, *sizes]), found, strict=False):
-                long[at : at + len(f[3])] = True
-            uid = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), sizes), pa.int64()))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(long)]) * BANDS, pa.int32())
-            lists = pa.ListArray.from_arrays(offsets, pa.array(bands.ravel(), pa.int64()), mask=pa.array(~long))
-            yield pa.RecordBatch.from_arrays([uid, pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(key), lists], ["uid", "start", "end", "key", "bands"])
+            for low, high in ranges(batch.column(1), TOGETHER):
+                of, start, end, key, bands = units.of(bodies(batch.column(1).slice(low, high - low)))
+                long = np.arange(len(key)) < len(bands)
+                offsets = pa.array(np.minimum(np.arange(len(key) + 1), len(bands)) * BANDS, pa.int32())
+                lists = pa.ListArray.from_arrays(offsets, pa.array(bands.ravel(), pa.int64()), mask=pa.array(~long))
+                uid = batch.column(0).take(pa.array(low + of, pa.int64()))
+                yield pa.RecordBatch.from_arrays([uid, pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(key), lists], ["uid", "start", "end", "key", "bands"])
 
     return with_uid(docs.select(text)).select("uid", text).mapInArrow(lean(run), "uid long, start int, end int, key long, bands array<long>")
 

@@ -147,3 +147,32 @@ def test_near_copies_of_wrapped_paragraphs(docs):
     rows = [(1, "head\n\n" + wrap(words, 11) + "\n\ntail"), (2, "start\n\n" + wrap(other, 13) + "\n\nend of it")]
     found = [r for r in substring_dedup.repeats(docs(rows)).collect() if r.end - r.start > 500]
     assert {r.doc_id for r in found} == {1, 2} and len({r.class_id for r in found}) == 1
+
+
+def test_texts_taken_together_have_the_units_of_each_alone(monkeypatch):
+    import pyarrow as pa
+
+    rnd, calls = random.Random(8), []
+    texts = ["", " ", "\n", prose(rnd, 15), prose(rnd, 16), prose(rnd, 20), "é ü " * 20, "\n".join(["q w e r t"] * 9), prose(rnd, 90), "", prose(rnd, 300) + "\n" + prose(rnd, 30) + "\n\nend", "x " * 40]
+    texts += ["".join(rnd.choice(["ab ", "é ", "\n", " ", "\n\n", prose(rnd, 6) + " "]) for _ in range(rnd.randrange(40))) for _ in range(60)]
+    alone = [tuple(map(tuple, np.column_stack(S.Units().of([t.encode()])[1:4]).tolist())) for t in texts]
+    of, start, end, key, bands = S.Units().of([t.encode() for t in texts])
+    rows = np.column_stack([start, end, key]).tolist()
+    for i, want in enumerate(alone):
+        assert sorted(tuple(r) for r, k in zip(rows, of, strict=True) if k == i) == sorted(want)
+        assert all(texts[i][a:b] == texts[i][a:b].strip() for a, b, _ in want)
+    assert sum(len(S.Units().of([t.encode()])[4]) for t in texts) == len(bands) and sum(map(len, alone)) == len(rows)
+
+    class Caught:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    monkeypatch.setattr(S, "with_uid", lambda docs: docs)
+    monkeypatch.setattr(S.Units, "of", lambda self, x, own=S.Units.of: calls.append(len(x)) or own(self, x))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts) + 1)), pa.array([*texts, None])], ["uid", "text"])
+    got = [r for b in S.paragraphs(Caught())(iter([batch])) for r in b.to_pylist()]
+    assert calls == [len(texts) + 1]  # not once a text
+    assert sorted((r["uid"], r["start"], r["end"], r["key"]) for r in got) == sorted((i, *r) for i, x in enumerate(alone) for r in x)
