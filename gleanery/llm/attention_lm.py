@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -30,8 +30,8 @@ BLEND = 0.3
 HEAD = 1 << 18
 #: Rows of the windows' table whose contexts are counted at once, and by which a partition trains in turn.
 COUNTED, TRAINED = 64, 256
-#: Bytes of texts that are scored together, at some fifty bytes of memory each.
-SCORED = 1 << 20
+#: Bytes of ids that are scored together, at some fifty bytes of memory each.
+SCORED = 3 << 18
 #: Windows attended at once, and classed at once.
 AT_ONCE, CLASSED = 256, 1024
 LN10 = float(np.log(10.0))
@@ -123,7 +123,7 @@ class Scorer:
         self.classes, self.end = classes, len(classes.group) - 1
         # what an id always gives: query, key, value with a one that adds up the weights, and its own part of the hidden layer
         ones = np.ones((len(w.e), 1), dtype=np.float32)
-        self.q, self.k, self.v, self.x = w.e @ (w.q / np.float32(DIM**0.5)), w.e @ w.k, np.concatenate([w.e @ w.v, ones], axis=1), w.e @ w.x + w.b
+        self.kv, self.qx = np.concatenate([w.e @ w.k, w.e @ w.v, ones], axis=1), np.concatenate([w.e @ (w.q / np.float32(DIM**0.5)), w.e @ w.x + w.b], axis=1)
         self.bias = np.where(CAUSAL, w.far[DISTANCE], np.float32(-1e9)).astype(np.float32)
         self.alone = np.zeros_like(self.bias)
         self.alone[:, :SPAN] = -1e9
@@ -131,13 +131,14 @@ class Scorer:
 
     def _hidden(self, inputs: np.ndarray, first: np.ndarray, out: np.ndarray) -> None:
         """Hidden layer of all rows but the first of `inputs`, which is the context of the second."""
-        s = np.matmul(self.q[inputs[1:]], _paired(self.k[inputs]).transpose(0, 2, 1))
+        kv, qx = _paired(self.kv.take(inputs.ravel(), axis=0).reshape(*inputs.shape, -1)), self.qx.take(inputs[1:].ravel(), axis=0)
+        s = np.matmul(qx[:, :DIM].reshape(len(first), SPAN, DIM), kv[..., :DIM].transpose(0, 2, 1))
         s += self.bias
         s[first] += self.alone  # the row before is another text's
         np.exp(s, out=s)
-        c = np.matmul(s, _paired(self.v[inputs])).reshape(-1, DIM + 1)
+        c = np.matmul(s, kv[..., DIM:]).reshape(-1, DIM + 1)
         np.matmul(c[:, :DIM] / c[:, DIM:], self.w.c, out=out)
-        out += self.x[inputs[1:].ravel()]
+        out += qx[:, DIM:]
         np.maximum(out, 0, out=out)
 
     def token_scores(self, inputs: np.ndarray, targets: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -188,13 +189,15 @@ def _clusters(points: np.ndarray, weight: np.ndarray, k: int, rounds: int = 12)
 
 def contexts(rows: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(key, times): how often each id of the sequences (GAP: nothing) stands after or before each mark; key is (id, side, mark)."""
-    place = np.full(GAP + 1, -1, dtype=np.int64)
+    place = np.full(GAP + 1, -1, dtype=np.int32)
     place[marks] = np.arange(len(marks))
     keys = []
     for side, (own, near) in enumerate(((rows[:, 1:], rows[:, :-1]), (rows[:, :-1], rows[:, 1:]))):
-        ok = (own != GAP) & (place[near] >= 0)
-        keys.append((own[ok].astype(np.int64) * 2 + side) * len(marks) + place[near[ok]])
-    return np.unique(np.concatenate(keys), return_counts=True)
+        by = place[near]
+        ok = (own != GAP) & (by >= 0)
+        keys.append((own[ok].astype(np.int32) * 2 + side) * len(marks) + by[ok])  # below 2^25
+    keys, times = np.unique(np.concatenate(keys), return_counts=True)
+    return keys.astype(np.int64), times
 
 
 def make_marks(counts: np.ndarray) -> np.ndarray:
@@ -257,8 +260,22 @@ def first_weights(classes: Classes, counts: np.ndarray, seed: int = 1) -> Weight
     )
 
 
+def _exps(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exp, sums of rows), both divided by the exp of a row's largest number where rows would leave the range of 32 bits."""
+    e, ones = np.exp(logits), np.ones(logits.shape[-1], dtype=np.float32)
+    sums = e @ ones
+    if not (sums.min() > 1e-30 and sums.max() < 1e30):
+        e = np.exp(logits - logits.max(axis=-1, keepdims=True))
+        sums = e @ ones
+    return e, sums
+
+
 def descend(weights: Weights, classes: Classes, rows: np.ndarray, passes: int, rate: float, seed: int = 1) -> tuple[Weights, np.ndarray, np.ndarray]:
-    """(weights, ids, times) after Adam over the sequences, each in every pass: of the embeddings only those of `ids` have changed, which occur `times`."""
+    """(weights, ids, times) after Adam over the sequences, each in every pass: of the embeddings only those of `ids` have changed, which occur `times`.
+
+    Weights that meet the same inputs lie in one matrix, biases as the last row of it, and all but the embeddings in one vector. Attention is kept as plain exps
+    until it has met the values and a column of ones: the divisor then goes to the narrow sides of the products.
+    """
     rng, groups = np.random.default_rng(seed), len(weights.b2)
     often = np.zeros(GAP + 1, dtype=np.int64)
     for a in range(0, len(rows), COUNTED * CHUNK):  # bincount() makes eight bytes of each id
@@ -266,78 +283,131 @@ def descend(weights: Weights, classes: Classes, rows: np.ndarray, passes: int, r
     known = np.flatnonzero(often)
     place = np.zeros(GAP + 1, dtype=np.uint16)
     place[known] = np.arange(len(known))
-    small, times, full = place[rows[:, :-1]], often[known], rows == GAP
-    real_ids = known != GAP
-    start = np.zeros((len(known), DIM), dtype=np.float32)
-    start[real_ids] = weights.e[known[real_ids]]
-    p = {n: np.array(a) for n, a in zip(Weights._fields, weights, strict=True)} | {"e": start}
-    m1, m2, step = {n: np.zeros_like(a) for n, a in p.items()}, {n: np.zeros_like(a) for n, a in p.items()}, 0
-    steps, scale = max(1, passes * -(-len(rows) // STEP)), np.float32(DIM**-0.5)
-    flat = lambda x: x.reshape(-1, x.shape[-1])
-
-    def softmax_less(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Gradient of cross-entropy by logits, a row each."""
-        d = np.exp(logits - logits.max(axis=1, keepdims=True))
-        d /= d.sum(axis=1, keepdims=True)
-        d[np.arange(len(at)), at] -= 1
-        return d
+    small, times, real_ids = place[rows[:, :-1]], often[known], known != GAP
+    table, means = np.zeros((len(known), DIM), dtype=np.float32), np.zeros((len(known), 2, DIM), dtype=np.float32)
+    table[real_ids] = weights.e[known[real_ids]]
+    gap = len(known) - 1 if len(known) and not real_ids[-1] else -1
+    spot, seen = np.zeros(len(known), dtype=np.int64), np.zeros(len(known), dtype=bool)
+    of_group, of_member = np.full(GAP + 1, groups, dtype=np.int16), np.zeros(GAP + 1, dtype=np.int64)
+    of_group[: len(classes.group)], of_member[: len(classes.group)] = classes.group, classes.member
+
+    parts = {
+        "q": weights.q, "kv": np.concatenate([weights.k, weights.v], axis=1), "far": weights.far, "hidden": np.concatenate([weights.x, weights.c, weights.b[None]]),
+        "out": np.concatenate([weights.out, weights.b2[None]]), "sub": np.concatenate([weights.sub, weights.b3[:, None]], axis=1),
+    }
+    flat = np.concatenate([a.ravel() for a in parts.values()]).astype(np.float32)
+    grad, one, two = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat)
+    at = np.cumsum([0] + [a.size for a in parts.values()]).tolist()
+    views = lambda x: {n: x[low:high].reshape(a.shape) for (n, a), low, high in zip(parts.items(), at, at[1:], strict=False)}
+    p, g = views(flat), views(grad)
+    step, steps, scale = 0, max(1, passes * -(-len(rows) // STEP)), np.float32(DIM**-0.5)
+    columns, blocked = np.arange(DIM), np.where(CAUSAL, np.float32(0), np.float32(-1e9))
+
+    def adam(x: np.ndarray, dx: np.ndarray, one: np.ndarray, two: np.ndarray, now: np.float32) -> None:
+        one += np.float32(0.1) * (dx - one)
+        np.multiply(dx, dx, out=dx)
+        dx -= two
+        dx *= np.float32(0.01)
+        two += dx
+        root = np.sqrt(two / np.float32(1 - 0.99**step))
+        root += np.float32(1e-8)
+        x -= (now / np.float32(1 - 0.9**step)) * one / root
 
     for _ in range(passes):
         order = rng.permutation(len(rows))
         for a in range(0, len(order), STEP):
             pick = order[a : a + STEP]
-            z, y, empty = small[pick], rows[pick, SPAN + 1 :].ravel().astype(np.int64), full[pick]
-            valid = CAUSAL[None] & ~empty[:, None, :-1]
-            e = p["e"][z]
-            eq = e[:, SPAN:]
-            q, k, v = eq @ p["q"], e @ p["k"], e @ p["v"]
-            s = np.where(valid, (q @ k.transpose(0, 2, 1)) * scale + p["far"][DISTANCE], np.float32(-1e9))
-            att = np.exp(s - s.max(axis=2, keepdims=True))
-            att /= att.sum(axis=2, keepdims=True)
+            z, n = small[pick].astype(np.int64), len(pick)
+            # forward
+            e = table.take(z.ravel(), axis=0)
+            eq = e.reshape(n, 2 * SPAN, DIM)[:, SPAN:].reshape(-1, DIM)
+            kv = np.empty((n, 2 * SPAN, 2 * DIM + 1), dtype=np.float32)
+            np.matmul(e, p["kv"], out=kv.reshape(-1, 2 * DIM + 1)[:, :-1])
+            kv[..., -1] = 1
+            k, v = kv[..., :DIM], kv[..., DIM:]  # v with a one that adds up the weights
+            q = (eq @ p["q"] * scale).reshape(n, SPAN, DIM)
+            s = q @ k.transpose(0, 2, 1)
+            s += p["far"][DISTANCE] + blocked
+            gaps = z == gap
+            if len(holes := np.flatnonzero(gaps.any(axis=1))):
+                s[holes] -= np.float32(1e9) * gaps[holes, None, :]
+            att = np.exp(s)
             c = att @ v
-            u = flat(eq @ p["x"] + c @ p["c"] + p["b"])
-            r = np.maximum(u, 0)
-            real = y != GAP
-            t, per = np.where(real, y, 0), np.float32(1 / max(1, real.sum()))
-            group, member = np.where(real, classes.group[t], 0), classes.member[t]
-            d = softmax_less(r @ p["out"] + p["b2"], group) * (real * per)[:, None]
-            g = {"out": r.T @ d, "b2": d.sum(axis=0), "sub": np.zeros_like(p["sub"]), "b3": np.zeros_like(p["b3"])}
+            if not (c[..., -1].min() > 1e-30 and c[..., -1].max() < 1e30):
+                att = np.exp(s - s.max(axis=2, keepdims=True))
+                c = att @ v
+            c, share = c[..., :-1].reshape(-1, DIM), 1 / c[..., -1].reshape(-1, 1)
+            c *= share
+            into = np.empty((n * SPAN, 2 * DIM + 1), dtype=np.float32)
+            into[:, :DIM], into[:, DIM:-1], into[:, -1] = eq, c, 1
+            r = np.empty((n * SPAN, HIDDEN + 1), dtype=np.float32)
+            np.maximum(into @ p["hidden"], 0, out=r[:, :-1])
+            r[:, -1] = 1
+            # targets in the order of their groups; those that are none come last and are left out
+            y = rows[pick, SPAN + 1 :].ravel()
+            group = of_group[y]
+            by = np.argsort(group, kind="stable")
+            bounds = np.searchsorted(group[by], np.arange(groups + 1)).tolist()
+            by = by[: bounds[-1]]
+            if not len(by):
+                continue
+            group, member, each, per = group[by], of_member[y[by]], np.arange(len(by)), np.float32(1 / len(by))
+            some = r.take(by, axis=0)
+            d, sums = _exps(some @ p["out"])
+            d *= (per / sums)[:, None]
+            d[each, group] -= per
+            np.matmul(some.T, d, out=g["out"])
             dr = d @ p["out"].T
-            by = np.argsort(np.where(real, group, groups), kind="stable")
-            bounds = np.searchsorted(np.where(real, group, groups)[by], np.arange(groups + 1))
-            for j in np.flatnonzero(np.diff(bounds)):
-                at = by[bounds[j] : bounds[j + 1]]
-                d = softmax_less(r[at] @ p["sub"][j] + p["b3"][j], member[at]) * per
-                g["sub"][j], g["b3"][j] = r[at].T @ d, d.sum(axis=0)
-                dr[at] += d @ p["sub"][j].T
-            du = (dr * (u > 0)).reshape(*z.shape[:1], SPAN, HIDDEN)
-            g |= {"x": flat(eq).T @ flat(du), "c": flat(c).T @ flat(du), "b": flat(du).sum(axis=0)}
-            dc = du @ p["c"].T
-            datt = dc @ v.transpose(0, 2, 1)
-            dv = att.transpose(0, 2, 1) @ dc
-            ds = att * (datt - (datt * att).sum(axis=2, keepdims=True))
-            g["far"] = np.bincount(DISTANCE.ravel(), weights=ds.sum(axis=0).ravel(), minlength=2 * SPAN).astype(np.float32)
-            dq, dk = (ds @ k) * scale, (ds.transpose(0, 2, 1) @ q) * scale
-            g |= {"q": flat(eq).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv)}
-            de = dk @ p["k"].T + dv @ p["v"].T
-            de[:, SPAN:] += dq @ p["q"].T + du @ p["x"].T
+            spans = [(j, low, high) for j, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)) if low < high]
+            logits = np.empty((len(by), MEMBERS), dtype=np.float32)
+            for j, low, high in spans:
+                np.matmul(some[low:high], p["sub"][j], out=logits[low:high])
+            d, sums = _exps(logits)
+            d *= (per / sums)[:, None]
+            d[each, member] -= per
+            g["sub"][:] = 0
+            for j, low, high in spans:
+                np.matmul(some[low:high].T, d[low:high], out=g["sub"][j])
+                dr[low:high] += d[low:high] @ p["sub"][j].T
+            # backward
+            du = np.zeros((n * SPAN, HIDDEN), dtype=np.float32)
+            du[by] = dr[:, :-1]
+            du *= r[:, :-1] > 0
+            np.matmul(into.T, du, out=g["hidden"])
+            back = du @ p["hidden"][:-1].T
+            dc = np.empty((n * SPAN, DIM + 1), dtype=np.float32)
+            dc[:, :-1] = back[:, DIM:]
+            dc[:, -1] = -np.einsum("ij,ij->i", back[:, DIM:], c)
+            dc *= share
+            dc = dc.reshape(n, SPAN, DIM + 1)
+            ds = dc @ v.transpose(0, 2, 1)
+            ds *= att
+            dkv = np.empty((n, 2 * SPAN, 2 * DIM), dtype=np.float32)
+            np.matmul(ds.transpose(0, 2, 1), q, out=dkv[..., :DIM])
+            np.matmul(att.transpose(0, 2, 1), dc[..., :-1], out=dkv[..., DIM:])
+            dq = (ds @ k).reshape(-1, DIM)
+            dq *= scale
+            g["far"][:] = np.bincount(DISTANCE.ravel(), weights=ds.sum(axis=0).ravel(), minlength=2 * SPAN)
+            np.matmul(eq.T, dq, out=g["q"])
+            dkv = dkv.reshape(-1, 2 * DIM)
+            np.matmul(e.T, dkv, out=g["kv"])
+            de = (dkv @ p["kv"].T).reshape(n, 2 * SPAN, DIM)
+            de[:, SPAN:] += (dq @ p["q"].T + back[:, :DIM]).reshape(n, SPAN, DIM)
             # embeddings change in the rows that occur in this step
-            some, back = np.unique(z, return_inverse=True)
-            g["e"] = np.stack([np.bincount(back.ravel(), weights=de[..., i].ravel(), minlength=len(some)) for i in range(DIM)], axis=1).astype(np.float32)
+            seen[z] = True
+            here = np.flatnonzero(seen)
+            seen[here], spot[here] = False, np.arange(len(here))
+            sums = np.bincount((spot[z.ravel()][:, None] * DIM + columns).ravel(), weights=de.ravel(), minlength=len(here) * DIM)
             step += 1
             now = np.float32(rate * (1 - step / (steps + 1)) + 0.05 * rate)
-            for n, grad in g.items():
-                at = some if n == "e" else slice(None)
-                one, two = m1[n][at], m2[n][at]
-                one += np.float32(0.1) * (grad - one)
-                two += np.float32(0.01) * (grad * grad - two)
-                p[n][at] -= now * (one / np.float32(1 - 0.9**step)) / (np.sqrt(two / np.float32(1 - 0.99**step)) + np.float32(1e-8))
-                if n == "e":
-                    m1[n][at], m2[n][at] = one, two
+            adam(flat, grad, one, two, now)
+            some, mean = table.take(here, axis=0), means.take(here, axis=0)
+            adam(some, sums.reshape(-1, DIM).astype(np.float32), mean[:, 0], mean[:, 1], now)
+            table[here], means[here] = some, mean
     ids = known[real_ids]
-    table = weights.e.copy()
-    table[ids] = p["e"][real_ids]
-    return Weights(table, *(p[n] for n in Weights._fields[1:])), ids, times[real_ids]
+    e = weights.e.copy()
+    e[ids] = table[real_ids]
+    return Weights(e, p["q"], *np.split(p["kv"], 2, axis=1), p["far"], p["hidden"][:DIM], p["hidden"][DIM:-1], p["hidden"][-1], p["out"][:-1], p["out"][-1], p["sub"][:, :-1], p["sub"][:, -1]), ids, times[real_ids]
 
 
 def begun(rows: np.ndarray, classes: Classes, counts: np.ndarray) -> Weights:
@@ -387,43 +457,109 @@ def _least_count(counts: DataFrame, most: int) -> int:
     return least
 
 
-def subword_counts(counts: DataFrame, tokenizer: str, size: int) -> np.ndarray:
-    """How often each id occurs in the corpus, from the words' counts: ids are a word's own. One sum per id reaches the driver."""
+class Counts(NamedTuple):
+    """Of the training texts: the most frequent words and how often they occur, all words and ends, distinct ones, and ends alone."""
+
+    frequent: pa.Array
+    many: np.ndarray
+    total: int
+    vocabulary: int
+    ends: int
+
+    @property
+    def floor(self) -> int:
+        return self.total + (self.vocabulary + 1)
+
+
+def corpus_counts(counts: DataFrame, ends: int) -> Counts:
+    distinct, words = counts.agg(F.count("*"), F.sum("c")).first()
+    found = counts.where(F.col("c") >= _least_count(counts, HEAD)).toArrow()
+    return Counts(found.column("word").combine_chunks(), np.append(found.column("c").to_numpy(), 0).astype(np.float64), (words or 0) + ends, distinct + (ends > 0), ends)
+
+
+def tokenized(rows: DataFrame, tokenizer: str, counts: Counts) -> DataFrame:
+    """rows (uid, doc_id, text, held_out) with each text split once, for training and scoring: its ids, how many each word has, each word's place among the
+    frequent ones (-1: none), its other words (tail), and base, the sum over the frequent ones."""
+    shared = rows.sparkSession.sparkContext.broadcast(counts)  # HEAD words: a fixed bound
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subwords, known = loaded(tokenizer), shared.value
+        base_of = np.append(np.log10((known.many[:-1] + 1) / known.floor), 0.0)
+        for batch in batches:
+            texts = batch.column(2)
+            for a, b in ranges(texts):
+                found = words_of(texts.slice(a, b - a), lower=True)
+                ids, ends = subwords.of_words(found)
+                cuts = np.concatenate([[0], ends])
+                at = pc.index_in(found.unique, value_set=known.frequent).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)[found.codes]
+                unknown, sizes = at < 0, np.diff(cuts).astype(np.int32)
+                tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(unknown)])[found.bounds], pa.int32()), found.unique.take(pa.array(found.codes[unknown])))
+                base = np.concatenate([[0.0], np.cumsum(base_of[at])])[found.bounds]
+                columns = [_binaries(ids, cuts[found.bounds]), _binaries(sizes, found.bounds), _binaries(at, found.bounds), tail, pa.array(np.diff(base))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 1, 3)), *columns], ["uid", "doc_id", "held_out", "ids", "sizes", "at", "tail", "base"])
+
+    return rows.select("uid", "doc_id", "text", "held_out").mapInArrow(lean(run), "uid long, doc_id long, held_out boolean, ids binary, sizes binary, at binary, tail array<string>, base double")
+
+
+def _binaries(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Parts of an array as bytes, one value for each part."""
+    flat = np.ascontiguousarray(flat)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * flat.itemsize).astype(np.int32)), pa.py_buffer(flat)])
+
+
+def _flat(column: pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all values in turn, how many each has): what _binaries() made."""
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False) // np.dtype(dtype).itemsize
+    bounds = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[bounds[0] : bounds[-1]].copy().view(dtype), sizes
+
+
+def _ids(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for x in batch.column(column):
+            if len(ids := np.frombuffer(x.as_py(), dtype=np.uint16)):
+                yield ids
+
+
+def id_counts(training: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs in the corpus (ids of each text). One sum per id reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, sums = loaded(tokenizer), np.zeros(size, dtype=np.float64)
+        sums = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for a, b in ranges(batch.column(0), 1 << 20):
-                words, c = batch.column(0).slice(a, b - a).cast(pa.binary()).to_pylist(), batch.column(1).slice(a, b - a).to_pylist()
-                ids, lengths, times = subwords.counted(dict(zip(words, c, strict=True)))
-                sums += np.bincount(ids, weights=np.repeat(times, lengths), minlength=size)
+            for a, b in ranges(batch.column(0)):
+                sums += np.bincount(_flat(batch.column(0).slice(a, b - a), np.uint16)[0], minlength=size)
         ids = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums[ids].astype(np.int64))], ["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums[ids])], ["id", "n"])
 
     out = np.zeros(size, dtype=np.float64)
-    for r in counts.select("word", "c").mapInArrow(lean(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in training.select("ids").mapInArrow(lean(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 
 
 def training_windows(training: DataFrame, tokenizer: str, end: int) -> DataFrame:
-    """(key, rows): all sequences (see sequences()) of all training texts (uid, text), so that every token is a target once; texts without words have none."""
+    """(key, rows): all sequences (see sequences()) of all training texts (uid, and ids or text), so that every token is a target once; texts without words have none."""
+    ready = "ids" in training.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = loaded(tokenizer)
         for batch in batches:
             uids, texts = batch.column(0).to_numpy(), batch.column(1)
             for a, b in ranges(texts):
-                flat, bounds = split(texts.slice(a, b - a), lower=True)
-                if not len(flat):
+                if ready:
+                    ids = list(_ids([batch.slice(a, b - a)], 1))
+                else:
+                    flat, bounds = split(texts.slice(a, b - a), lower=True)
+                    found, id_ends = loaded(tokenizer).of_words(encoded(flat, bounds))
+                    cuts = np.concatenate([[0], id_ends])[bounds].tolist()
+                    ids = [found[low:high] for low, high in zip(cuts[:-1], cuts[1:], strict=True) if high > low]
+                if not ids:
                     continue
-                ids, id_ends = subwords.of_words(encoded(flat, bounds))
-                cuts = np.concatenate([[0], id_ends])[bounds]
-                rows = sequences([ids[low:high] for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if high > low], end)
+                rows = sequences(ids, end)
                 parts = [rows[k : k + CHUNK] for k in range(0, len(rows), CHUNK)]
                 yield pa.RecordBatch.from_arrays([pa.array([int(uids[a]) * 1000 + k for k in range(len(parts))], pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["key", "rows"])
 
-    return training.select("uid", "text").mapInArrow(lean(run), "key long, rows binary")
+    return training.select("uid", "ids" if ready else "text").mapInArrow(lean(run), "key long, rows binary")
 
 
 def _rows(blob: bytes) -> np.ndarray:
@@ -443,15 +579,42 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterat
         yield np.concatenate([_rows(b) for b in some])
 
 
+def _ids_blocks(batches: Iterator[pa.RecordBatch], end: int, size: int) -> Iterator[np.ndarray]:
+    """The sequences of texts' ids, size * CHUNK or fewer at a time; a text of more is cut, and its sequences are the same as if it were not."""
+    some: list[np.ndarray] = []
+    held, most = 0, size * CHUNK
+    for ids in _ids(batches, 0):
+        n = -(-(len(ids) + 1) // SPAN)
+        if some and held + n > most:
+            yield sequences(some, end)
+            some, held = [], 0
+        if n > most:
+            rows = sequences([ids], end)
+            yield from (rows[k : k + most] for k in range(0, n, most))
+        else:
+            some.append(ids)
+            held += n
+    if some:
+        yield sequences(some, end)
+
+
+def _source(table: DataFrame, end: int) -> tuple[DataFrame, Callable[[Iterator[pa.RecordBatch], int], Iterator[np.ndarray]]]:
+    """The column of a table that holds windows (see training_windows()) or texts' ids, and what makes blocks of windows from it."""
+    if "ids" in table.columns:
+        return table.select("ids"), lambda batches, size: _ids_blocks(batches, end, size)
+    return table.select("rows"), lambda batches, size: _blocks(batches, 0, size)
+
+
 def corpus_contexts(table: DataFrame, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """contexts() of all training windows: sums per block of windows, then per key, of which there are 2 * marks for each id at most."""
+    column, blocks = _source(table, int(marks[0]))  # the end is the first mark
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _blocks(batches, 0, COUNTED):
+        for rows in blocks(batches, COUNTED):
             keys, times = contexts(rows, marks)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times)], ["key", "n"])
 
-    found = table.select("rows").mapInArrow(lean(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    found = column.mapInArrow(lean(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     keys = found.column("key").to_numpy()
     order = np.argsort(keys)
     return keys[order], found.column("n").to_numpy()[order]
@@ -483,17 +646,18 @@ class Gathered:
 
 def averaged(table: DataFrame, weights: Weights, classes: Classes, round_: int) -> Weights:
     """The mean of the weights that all partitions of the windows reach from `weights`, each by a pass over its own windows,
-    TRAINED rows of the table after another.
+    blocks of TRAINED * CHUNK windows after another.
 
     The changes are added up in tasks, FAN of them in each, until FAN are left for the driver.
     """
     spark, size = table.sparkSession, len(classes.group)
+    column, blocks = _source(table, size - 1)
     shared = spark.sparkContext.broadcast((weights, classes))  # DIM floats and two numbers per id: a fixed bound
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, classes = shared.value
         after, n, times = own, 0, np.zeros(size)
-        for rows in _blocks(batches, 0, TRAINED):
+        for rows in blocks(batches, TRAINED):
             after, ids, some = descend(after, classes, rows, 1, 0.004, seed=round_)
             times[ids] += some
             n += len(rows)
@@ -510,7 +674,7 @@ def averaged(table: DataFrame, weights: Weights, classes: Classes, round_: int)
         if sums.n:
             yield pa.RecordBatch.from_arrays([pa.array([sums.blob()], pa.binary())], ["change"])
 
-    changes, path = kept(table.select("rows").mapInArrow(lean(run), "change binary"), "lm-changes")
+    changes, path = kept(column.mapInArrow(lean(run), "change binary"), "lm-changes")
     while (many := changes.count()) > FAN:
         last = path
         changes, path = kept(changes.repartition(-(-many // FAN)).mapInArrow(lean(add), "change binary"), "lm-changes")
@@ -524,18 +688,18 @@ def averaged(table: DataFrame, weights: Weights, classes: Classes, round_: int)
 
 
 def fit(training: DataFrame, counts: np.ndarray, tokenizer: str) -> tuple[Classes, Weights] | None:
-    """Classes and weights from all training texts (uid, text); counts: of ids in the whole corpus. None without words."""
-    table = stash(training_windows(training, tokenizer, len(counts) - 1), "lm-windows")
+    """Classes and weights from all training texts (uid, ids); counts: of ids in the whole corpus. None without words."""
+    table = training_windows(training, tokenizer, len(counts) - 1)
     order = [F.xxhash64("key"), F.col("key")]
     chosen = [r["key"] for r in table.select("key").orderBy(*order).limit(-(-FIT_WINDOWS // CHUNK)).collect()]  # keys alone, since each task sends as many
     if not chosen:
         return None
     first = table.where(F.col("key").isin(chosen)).orderBy(*order).collect()
     marks = make_marks(counts)
-    classes = classes_of(counts, *corpus_contexts(table, marks), len(marks))
+    classes = classes_of(counts, *corpus_contexts(training, marks), len(marks))
     weights = begun(np.concatenate([_rows(bytes(r["rows"])) for r in first])[:FIT_WINDOWS], classes, counts)
     for k in range(ROUNDS):
-        weights = averaged(table, weights, classes, k)
+        weights = averaged(training, weights, classes, k)
     return classes, weights
 
 
@@ -556,56 +720,47 @@ def score(docs: DataFrame, text: str = "text", folds: int = 7, held: int = 2, to
     rows = with_uid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), (crc_mod("doc_id", folds) == held).alias("held_out"))).select("uid", "doc_id", "text", "held_out")
     training = rows.where("not held_out")
     counts = stash(word_counts(training.select("text")), "lm-counts")
-    distinct, words = counts.agg(F.count("*"), F.sum("c")).first()
-    ends = training.count()
-    total, vocabulary = (words or 0) + ends, distinct + (ends > 0)
-    size = loaded(tokenizer).tokenizer.get_vocab_size() + 1
-    by_id = subword_counts(counts, tokenizer, size)
+    known = corpus_counts(counts, training.count())
+    table = stash(tokenized(rows, tokenizer, known), "lm-ids")
+    learned, size = table.where("not held_out").select("uid", "ids"), loaded(tokenizer).tokenizer.get_vocab_size() + 1
+    by_id = id_counts(learned, size)
+    total, ends, floor = known.total, known.ends, known.floor
     by_id[size - 1] = ends
-    model = fit(training, by_id, tokenizer)
-    found = counts.where(F.col("c") >= _least_count(counts, HEAD)).toArrow()
-    shared = Shared(uuid.uuid4().hex, spark.sparkContext.broadcast((found.column("word").combine_chunks(), found.column("c").to_numpy(), model)))  # HEAD words, and DIM floats per id: a fixed bound
-    floor = total + (vocabulary + 1)
+    model = fit(learned, by_id, tokenizer)
+    shared = Shared(uuid.uuid4().hex, spark.sparkContext.broadcast((known.many, model)))  # HEAD numbers, and DIM floats per id: a fixed bound
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if shared.id not in _ready:  # once a worker
-            own, c, model = shared.value
+            many, model = shared.value
             _ready.clear()
-            _ready[shared.id] = own, np.append(c, 0).astype(np.float64), Scorer(model[1], model[0]) if model else None
-        (frequent, many, scorer), subwords = _ready[shared.id], loaded(tokenizer)
+            _ready[shared.id] = many, Scorer(model[1], model[0]) if model else None
+        many, scorer = _ready[shared.id]
 
         for batch in batches:
-            texts = batch.column(2)
-            for a, b in ranges(texts, SCORED):
-                found = words_of(texts.slice(a, b - a), lower=True)
-                ids, ends_at = subwords.of_words(found)
-                cuts = np.concatenate([[0], ends_at])
-                at = pc.index_in(found.unique, value_set=frequent).fill_null(-1).to_numpy(zero_copy_only=False)
-                each = at[found.codes]
-                unknown, c = each < 0, many[each]
+            for a, b in ranges(batch.column(3), SCORED):
+                part = batch.slice(a, b - a)
+                (ids, n_ids), (sizes, n), (at, _) = (_flat(part.column(i), t) for i, t in ((3, np.uint16), (4, np.int32), (5, np.int32)))
+                cuts, bounds = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(n)])
+                unknown, c = at < 0, many[at]
                 if scorer:
-                    limits = cuts[found.bounds]
+                    limits = np.concatenate([[0], np.cumsum(n_ids)])
                     ln = scorer.token_scores(*windows([ids[x:y] for x, y in zip(limits, limits[1:], strict=False)], scorer.end))
                     along = np.concatenate([[0.0], np.cumsum(ln)])
-                    of = np.repeat(np.arange(b - a), np.diff(found.bounds))  # ends stand between the texts
+                    of = np.repeat(np.arange(b - a), n)  # ends stand between the texts
                     own = along[cuts[1:] + of] - along[cuts[:-1] + of]
                     last = along[limits[1:] + np.arange(b - a) + 1] - along[limits[1:] + np.arange(b - a)]
                 else:
-                    own, last = np.full(len(each), -np.log(floor + 1)), np.full(b - a, -np.log(floor + 1))
+                    own, last = np.full(len(at), -np.log(floor + 1)), np.full(b - a, -np.log(floor + 1))
                 with np.errstate(divide="ignore"):  # the logarithm of no count
-                    blended, score = (np.logaddexp(np.log(1 - BLEND) + x, np.log(BLEND * n / max(1, total))) / LN10 for x, n in ((own, c), (last, np.full(b - a, float(ends)))))
-                base = np.log10((c + 1) / floor)
-                sums = [np.concatenate([[0.0], np.cumsum(np.where(unknown, 0.0, x))]) for x in (base, blended)]
-                base, blended = (x[found.bounds[1:]] - x[found.bounds[:-1]] for x in sums)
-                score += blended
-                rare = np.concatenate([[0], np.cumsum(unknown)])[found.bounds]
-                tail = pa.ListArray.from_arrays(pa.array(rare, pa.int32()), found.unique.take(pa.array(found.codes[unknown])))
+                    blended, score = (np.logaddexp(np.log(1 - BLEND) + x, np.log(BLEND * times / max(1, total))) / LN10 for x, times in ((own, c), (last, np.full(b - a, float(ends)))))
+                score += np.diff(np.concatenate([[0.0], np.cumsum(np.where(unknown, 0.0, blended))])[bounds])
+                rare = np.concatenate([[0], np.cumsum(unknown)])[bounds]
                 tail_ln = pa.ListArray.from_arrays(pa.array(rare, pa.int32()), pa.array(own[unknown].astype(np.float32)))
-                n = np.diff(found.bounds)
-                columns = [*(batch.column(i).slice(a, b - a) for i in (0, 1, 3)), pa.array(n + 1), pa.array(n - np.diff(rare) + (ends > 0)), pa.array(base + np.log10((ends + 1) / floor)), tail, tail_ln, pa.array(score)]
+                base = part.column(7).to_numpy() + np.log10((ends + 1) / floor)
+                columns = [*(part.column(i) for i in range(3)), pa.array(n.astype(np.int64) + 1), pa.array(n - np.diff(rare) + (ends > 0)), pa.array(base), part.column(6), tail_ln, pa.array(score)]
                 yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "tail", "tail_ln", "score"])
 
-    done = stash(rows.mapInArrow(lean(run), "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, tail array<string>, tail_ln array<float>, score double"), "lm-scored")
+    done = stash(table.mapInArrow(lean(run), "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, tail array<string>, tail_ln array<float>, score double"), "lm-scored")
     tail = done.where(F.size("tail") > 0).select("uid", F.explode(F.arrays_zip("tail", "tail_ln")).alias("t")).select("uid", F.col("t.tail").alias("word"), F.col("t.tail_ln").cast("double").alias("ln"))
     c, model_ln = F.coalesce("c", F.lit(0)), F.col("ln") + float(np.log(1 - BLEND))
     apart = F.log(BLEND * c / F.lit(float(max(1, total)))) - model_ln
