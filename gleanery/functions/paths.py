@@ -46,12 +46,29 @@ def matches_glob(path: str | Column, glob: str) -> Column:
     return col(path).rlike(glob_regex(glob))
 
 
+def _plain(path: Column, glob: str) -> Column | None:
+    """Whether a glob matches all of path, if it has stars at its ends alone: by comparing, not by a regular expression that goes back over a path for each star."""
+    core = glob.strip("*")
+    if any(c in core for c in "*?["):
+        return None
+    before, after = glob.startswith("*"), glob.endswith("*")
+    if not core:
+        return F.length(path) >= 0 if before else path == ""
+    if before and after:
+        return path.contains(F.lit(core))
+    return path.endswith(F.lit(core)) if before else path.startswith(F.lit(core)) if after else path == core
+
+
 def excluded(path: str | Column, globs: tuple[str, ...]) -> Column:
     """Whether some pattern matches the path, or the path after a slash."""
-    if not globs:
-        return F.lit(False)
-    either = "|".join(glob_regex(g).removeprefix("(?s)^").removesuffix("\\z") for g in globs)
-    return col(path).rlike(f"(?s)^(?:{either})\\z") | F.concat(F.lit("/"), col(path)).rlike(f"(?s)^(?:{either})\\z")
+    found = F.lit(False)
+    for one in (col(path), F.concat(F.lit("/"), col(path))):
+        tests = [(g, _plain(one, g)) for g in globs]
+        for _, test in tests:
+            found = found if test is None else found | test
+        if rest := [glob_regex(re.sub(r"\*+", "*", g)).removeprefix("(?s)^").removesuffix("\\z") for g, test in tests if test is None]:
+            found = found | one.rlike(f"(?s)^(?:{'|'.join(rest)})\\z")
+    return found
 
 
 def whole_directories(globs: tuple[str, ...]) -> tuple[str, ...]:

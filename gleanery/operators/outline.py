@@ -41,7 +41,7 @@ def _rows(path: str, lang: str, text: str, masked: str) -> Iterator[tuple]:
 
 
 def outline(corpus: DataFrame, python_enabled: bool = True) -> DataFrame:
-    """Symbols of a corpus (path, text). Masking is done in the JVM; files are parsed one by one, and one that can't be parsed has no symbols. A file's symbols
+    """Symbols of a corpus (path, text; and masked, if that is stored). Masking is done in the JVM; files are parsed one by one, and one that can't be parsed has no symbols. A file's symbols
     stand together, by lines, name and kind."""
     names = [c.split()[0] for c in SYMBOLS.split(", ")]
 
@@ -56,10 +56,11 @@ def outline(corpus: DataFrame, python_enabled: bool = True) -> DataFrame:
             made = pd.DataFrame(out, columns=names)
             yield made.astype({"start_line": "int32", "end_line": "int32", "is_conditional": "object"})
 
-    rows = corpus.where("text is not null").select("path", language("path", python_enabled).alias("language"), "text")
+    hidden = F.col("masked") if "masked" in corpus.columns else T.masked("text")
+    rows = corpus.where("text is not null").select("path", language("path", python_enabled).alias("language"), "text", hidden.alias("masked"))
     wanted = rows.where(F.col("language") != FALLBACK)
     python = F.col("language") == "python"
-    blank = F.regexp_replace(T.masked("text"), r"(?dm)^ ++(?=\n)", "")  # lines of comments alone
+    blank = F.regexp_replace("masked", r"(?dm)^ ++(?=\n)", "")  # lines of comments alone
     return wanted.select("path", "language", F.when(python, F.col("text")).otherwise("").alias("text"), F.when(python, F.lit("")).otherwise(blank).alias("masked")).mapInPandas(run, SYMBOLS)
 
 
