@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import crc_mod, delete, kept, lean, stash, stored_rows, with_uid
-from gleanery.llm.subwords import default_tokenizer, loaded
+from gleanery.llm.subwords import default_tokenizer, forget, loaded
 from gleanery.llm.words import encoded, ranges, split, words_of
 
 #: Tokens scored per window (a window also sees as many before them), widths, groups of ids, and classes in a group, the first of which hold one frequent id each.
@@ -31,7 +31,7 @@ HEAD = 1 << 18
 #: Rows of the windows' table whose contexts are counted at once, and by which a partition trains in turn.
 COUNTED, TRAINED = 64, 256
 #: Bytes of ids that are scored together, at some fifty bytes of memory each.
-SCORED = 3 << 18
+SCORED = 1 << 18
 #: Windows attended at once, and classed at once.
 AT_ONCE, CLASSED = 256, 1024
 LN10 = float(np.log(10.0))
@@ -478,8 +478,8 @@ def corpus_counts(counts: DataFrame, ends: int) -> Counts:
 
 
 def tokenized(rows: DataFrame, tokenizer: str, counts: Counts) -> DataFrame:
-    """rows (uid, doc_id, text, held_out) with each text split once, for training and scoring: its ids, how many each word has, each word's place among the
-    frequent ones (-1: none), its other words (tail), and base, the sum over the frequent ones."""
+    """rows (uid, doc_id, text, held_out) with each text split once, for training and scoring: its ids, how many each word has (_packed()), each word's place among
+    the frequent ones (-1: none), its other words (tail), and base, the sum over the frequent ones."""
     shared = rows.sparkSession.sparkContext.broadcast(counts)  # HEAD words: a fixed bound
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -492,15 +492,29 @@ def tokenized(rows: DataFrame, tokenizer: str, counts: Counts) -> DataFrame:
                 ids, ends = subwords.of_words(found)
                 cuts = np.concatenate([[0], ends])
                 at = pc.index_in(found.unique, value_set=known.frequent).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)[found.codes]
-                unknown, sizes = at < 0, np.diff(cuts).astype(np.int32)
+                unknown = at < 0
+                sizes, size_ends = _packed(np.diff(cuts))
                 tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(unknown)])[found.bounds], pa.int32()), found.unique.take(pa.array(found.codes[unknown])))
                 base = np.concatenate([[0.0], np.cumsum(base_of[at])])[found.bounds]
-                columns = [_binaries(ids, cuts[found.bounds]), _binaries(sizes, found.bounds), _binaries(at, found.bounds), tail, pa.array(np.diff(base))]
+                columns = [_binaries(ids, cuts[found.bounds]), _binaries(sizes, size_ends[found.bounds]), _binaries(at, found.bounds), tail, pa.array(np.diff(base))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 1, 3)), *columns], ["uid", "doc_id", "held_out", "ids", "sizes", "at", "tail", "base"])
 
     return rows.select("uid", "doc_id", "text", "held_out").mapInArrow(lean(run), "uid long, doc_id long, held_out boolean, ids binary, sizes binary, at binary, tail array<string>, base double")
 
 
+def _packed(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bounds): each size as so many bytes 255 and one that is less, whose sum it is; where each begins, and the end."""
+    ends = np.cumsum(sizes // 255 + 1)
+    out = np.full(ends[-1] if len(ends) else 0, 255, dtype=np.uint8)
+    out[ends - 1] = sizes % 255
+    return out, np.concatenate([[0], ends])
+
+
+def _unpacked(sizes: np.ndarray) -> np.ndarray:
+    """Where the parts of these sizes begin, and the end."""
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)[sizes < 255]])
+
+
 def _binaries(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """Parts of an array as bytes, one value for each part."""
     flat = np.ascontiguousarray(flat)
@@ -655,6 +669,7 @@ def averaged(table: DataFrame, weights: Weights, classes: Classes, round_: int)
     shared = spark.sparkContext.broadcast((weights, classes))  # DIM floats and two numbers per id: a fixed bound
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         own, classes = shared.value
         after, n, times = own, 0, np.zeros(size)
         for rows in blocks(batches, TRAINED):
@@ -731,6 +746,7 @@ def score(docs: DataFrame, text: str = "text", folds: int = 7, held: int = 2, to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if shared.id not in _ready:  # once a worker
+            forget()
             many, model = shared.value
             _ready.clear()
             _ready[shared.id] = many, Scorer(model[1], model[0]) if model else None
@@ -739,8 +755,8 @@ def score(docs: DataFrame, text: str = "text", folds: int = 7, held: int = 2, to
         for batch in batches:
             for a, b in ranges(batch.column(3), SCORED):
                 part = batch.slice(a, b - a)
-                (ids, n_ids), (sizes, n), (at, _) = (_flat(part.column(i), t) for i, t in ((3, np.uint16), (4, np.int32), (5, np.int32)))
-                cuts, bounds = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(n)])
+                (ids, n_ids), (sizes, _), (at, n) = (_flat(part.column(i), t) for i, t in ((3, np.uint16), (4, np.uint8), (5, np.int32)))
+                cuts, bounds = _unpacked(sizes), np.concatenate([[0], np.cumsum(n)])
                 unknown, c = at < 0, many[at]
                 if scorer:
                     limits = np.concatenate([[0], np.cumsum(n_ids)])
@@ -759,6 +775,7 @@ def score(docs: DataFrame, text: str = "text", folds: int = 7, held: int = 2, to
                 base = part.column(7).to_numpy() + np.log10((ends + 1) / floor)
                 columns = [*(part.column(i) for i in range(3)), pa.array(n.astype(np.int64) + 1), pa.array(n - np.diff(rare) + (ends > 0)), pa.array(base), part.column(6), tail_ln, pa.array(score)]
                 yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "tail", "tail_ln", "score"])
+            pa.default_memory_pool().release_unused()
 
     done = stash(table.mapInArrow(lean(run), "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, tail array<string>, tail_ln array<float>, score double"), "lm-scored")
     tail = done.where(F.size("tail") > 0).select("uid", F.explode(F.arrays_zip("tail", "tail_ln")).alias("t")).select("uid", F.col("t.tail").alias("word"), F.col("t.tail_ln").cast("double").alias("ln"))

@@ -36,6 +36,11 @@ def loaded(path: str) -> "Subwords":
     return _loaded[path]
 
 
+def forget() -> None:
+    """Frees the worker's instances, for steps that need none."""
+    _loaded.clear()
+
+
 def bodies(column: pa.Array) -> list[bytes]:
     """Texts as bytes; null is empty."""
     return [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in column.cast(pa.binary())]

@@ -16,8 +16,8 @@ def test_texts_are_split_once_and_train_from_their_ids(spark):
     for r, t, ids in zip(sorted(table.collect(), key=lambda r: r.uid), texts, want, strict=True):
         words = (t or "").lower().split()
         assert np.frombuffer(r.ids, dtype=np.uint16).tolist() == ids.tolist()
-        sizes = np.frombuffer(r.sizes, dtype=np.int32)
-        assert len(sizes) == len(words) and sizes.sum() == len(ids)
+        cuts = A._unpacked(np.frombuffer(r.sizes, dtype=np.uint8))
+        assert len(cuts) == len(words) + 1 and cuts[-1] == len(ids)
         assert np.frombuffer(r.at, dtype=np.int32).tolist() == [place.get(w, -1) for w in words] and r.tail == [w for w in words if w not in place]
     assert (A.id_counts(table, size) == np.bincount(np.concatenate(want), minlength=size)).all()
     every = np.concatenate([np.frombuffer(r.rows, dtype=np.uint16).reshape(-1, 2 * A.SPAN + 1) for r in A.training_windows(rows.select("uid", "text"), default_tokenizer(), size - 1).collect()])
@@ -28,6 +28,13 @@ def test_texts_are_split_once_and_train_from_their_ids(spark):
     assert all((x == y).all() for x, y in zip(A.corpus_contexts(table, marks), A.contexts(every, marks), strict=True))
 
 
+def test_sizes_of_any_length_are_kept():
+    sizes = np.array([0, 1, 254, 255, 256, 510, 70_000, 3])
+    packed, bounds = A._packed(sizes)
+    assert np.diff(A._unpacked(packed)).tolist() == sizes.tolist() and (A._packed(sizes[:0])[0].tolist(), A._unpacked(packed[:0]).tolist()) == ([], [0])
+    assert [packed[a:b].sum(dtype=int) for a, b in zip(bounds, bounds[1:], strict=False)] == sizes.tolist()
+
+
 def test_a_step_goes_down_every_slope():
     """Adam's first step moves each weight by the same amount against its slope: held against differences of the score."""
     rng = np.random.default_rng(3)
@@ -55,3 +62,12 @@ def test_a_step_goes_down_every_slope():
                 held += 1
                 assert np.sign(now[tuple(spot)] - before[tuple(spot)]) == np.sign(slope), (name, spot)
     assert held > 60
+
+
+def test_workers_free_the_vocabulary_before_they_train():
+    from gleanery.llm import subwords
+
+    first = loaded(default_tokenizer())
+    assert loaded(default_tokenizer()) is first
+    subwords.forget()
+    assert not subwords._loaded and loaded(default_tokenizer()) is not first
