@@ -171,7 +171,7 @@ class Engine:
         allowed = paths.block_reason("path", "size", self.limits.max_file_bytes).isNull()
         rows = content.where(~discovery.is_binary("content")).select("path", "size", "mtime_ns", F.sha2("content", 256).alias("content_hash"), tongue.alias("language"), allowed.alias("allowed"), text.alias("text"))
         texts = put("texts", rows.withColumn("masked", F.when(F.col("allowed") & ~F.col("language").isin("python", FALLBACK), T.masked("text"))))
-        chunks = chunking.chunks(texts.select("path", "text")).withColumns({"dl": F.size(T.tokens("text")), "snippet": T.snippet(T.lines("text"))})
+        chunks = chunking.chunks(texts.select("path", "text")).withColumns({"dl": F.regexp_count("text", F.lit(T.TOKEN)), "snippet": T.snippet(T.lines(F.substring("text", 1, search.HEAD)))})
         code = texts.where("allowed")
         uses = references.python_candidates(code.where("language = 'python'")).withColumn("short", outline.short("candidate"))
         makers = [

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from gleanery.engine import Engine
 from gleanery.errors import InvalidArgument
 from gleanery.functions import text as T
 from gleanery.operators import blocks, chunking, discovery, fusion, search, semantic
@@ -223,3 +224,32 @@ def test_a_paragraph_is_named_by_its_first_token_alone(spark):
     found = _paragraphs(spark.createDataFrame([("p", "- ÄB c\nd\n\n\n...\n\n\n\nE_1 f"), ("q", None)], "path string, text string"))
     assert sorted((r.path, r.name, r.start_line, r.end_line) for r in found.collect()) == [("p", "b", 1, 4), ("p", "e_1", 9, 9)]
     assert "regexp_extract_all" not in found._jdf.queryExecution().toString()
+
+
+def test_searches_shuffle_a_posting_once_and_not_for_each_query(spark, tmp_path):
+    """What a search of the index shuffles doesn't grow with its queries times the documents that they meet."""
+    engine = Engine(spark, str(tmp_path / "d"), files=spark.createDataFrame([(f"d/{i:04d}.md", f"alpha beta gamma delta w{i % 7}") for i in range(3000)], "path string, text string"))
+    engine.refresh()
+
+    def shuffled(n: int) -> int:
+        spark.sparkContext.setJobGroup(f"search {n}", "")
+        asked = spark.createDataFrame([(i, f"alpha beta gamma delta w{i % 7}") for i in range(n)], "query_id long, query string")
+        assert engine.search(asked, top_k=5).count() == 5 * n
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+        stages = {s for j in tracker.getJobIdsForGroup(f"search {n}") for s in tracker.getJobInfo(j).stageIds}
+        return sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+    try:
+        assert shuffled(40) < 15_000  # 40 * 3000 scores, five times as many weights
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+
+
+def test_a_range_in_two_tasks_is_searched_as_one(spark):
+    rows = [(i, 0, 2 + i % 3, f"c{i}", f"p{i:02d}", 1, 1, "", "x y" + " x" * (i % 3)) for i in range(40)]
+    chunks = spark.createDataFrame(rows, "doc long, range long, dl int, chunk_id string, path string, start_line int, end_line int, snippet string, text string").withColumn("seg", F.lit(1).cast("long"))
+    queries = spark.createDataFrame([(7, "x y"), (8, "z")], "query_id long, query string")
+    found = [blocks.Search(blocks.build(c).withColumn("seg", F.lit(1).cast("long")), chunks, queries, 9, seg="seg").hits() for c in (chunks.coalesce(1), chunks.repartition(3, "doc").sortWithinPartitions("doc"))]
+    whole, parts = (sorted((r["rank"], r.path, r.score, tuple(r.matched_terms)) for r in f.collect()) for f in found)
+    assert whole == parts and len(whole) == 9 and whole[0][3] == ("x", "y")
