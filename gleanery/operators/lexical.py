@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gleanery.functions import text as T
 
+IDENTIFIER = re.compile(T.IDENTIFIER)
+#: Identifiers in a batch, or as many as a line has.
+PIECE = 1 << 16
 
-def _lines(corpus: DataFrame, kept: Callable[[Column], Column]) -> DataFrame:
+
+def _lines(corpus: DataFrame, kept: Callable[[Column], Column], lines: Callable[[str | Column], Column] = T.lines, keys: Sequence[str] = ("path",)) -> DataFrame:
     """Texts are masked once: the generator takes an expression of `both`, since Spark would filter by a bare column's size, and compute it for that."""
-    split = F.struct(T.lines(T.masked("text")).alias("masked"), T.lines("text").alias("original"))
+    split = F.struct(lines(T.masked("text")).alias("masked"), lines("text").alias("original"))
     both = T.once(split, lambda x: F.when(F.size(x["masked"]) == F.size(x["original"]), F.arrays_zip(x["masked"].alias("masked"), x["original"].alias("original"))))
     numbered = F.transform("both", lambda x, i: F.struct((i + 1).alias("line"), x["masked"].alias("masked"), x["original"].alias("original")))
-    return corpus.select("path", both.alias("both")).select("path", F.inline(kept(numbered)))
+    return corpus.select(*keys, both.alias("both")).select(*keys, F.inline(kept(numbered)))
 
 
 def source_lines(corpus: DataFrame) -> DataFrame:
@@ -23,9 +31,9 @@ def source_lines(corpus: DataFrame) -> DataFrame:
     return _lines(corpus, lambda rows: rows)
 
 
-def code_lines(corpus: DataFrame) -> DataFrame:
+def code_lines(corpus: DataFrame, lines: Callable[[str | Column], Column] = T.lines, keys: Sequence[str] = ("path",)) -> DataFrame:
     """source_lines() with an identifier outside comments and strings: others don't become rows."""
-    return _lines(corpus, lambda rows: F.filter(rows, lambda x: x["masked"].rlike("[A-Za-z_$]")))
+    return _lines(corpus, lambda rows: F.filter(rows, lambda x: x["masked"].rlike("[A-Za-z_$]")), lines, keys)
 
 
 def identifier_tokens(corpus: DataFrame) -> DataFrame:
@@ -34,19 +42,37 @@ def identifier_tokens(corpus: DataFrame) -> DataFrame:
     return found.groupBy("path", "line", "token").agg(F.count("*").alias("n"))
 
 
-def identifier_places(corpus: DataFrame) -> DataFrame:
-    """(path, line, token, start_col, end_col): every identifier outside comments and strings, with its first and last column, from 1."""
-    rows = code_lines(corpus).select("path", "line", T.identifiers("masked").alias("tokens"), F.split("masked", T.IDENTIFIER, -1).alias("between"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<token:string,start_col:int,end_col:int>>").alias("found"))
+def identifier_places(corpus: DataFrame, lines: Callable[[str | Column], Column] = T.lines, keys: Sequence[str] = ("path", "line")) -> DataFrame:
+    """(keys, token, start_col, end_col): every identifier outside comments and strings, with its first and last column, from 1.
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"]) + 1
-        end = start + F.length(pair["token"]) - 1
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(pair["token"].alias("token"), start.alias("start_col"), end.alias("end_col")))).alias("found"))
+    keys: columns of corpus, and line. Columns are sums of lengths, taken for many lines at once, so that a long line costs no
+    more than many short ones; some PIECE identifiers are held at a time.
+    """
 
-    pairs = F.zip_with("tokens", F.slice("between", F.lit(1), F.size("tokens")), lambda t, g: F.struct(t.alias("token"), g.alias("gap")))
-    found = rows.where(F.size("tokens") > 0).select("path", "line", F.explode(F.aggregate(pairs, empty, step)["found"]).alias("x"))
-    return found.select("path", "line", "x.token", "x.start_col", "x.end_col")
+    def placed(columns: list[pa.Array], row: list[int], counts: list[int], gaps: list[str], tokens: list[str]) -> pa.RecordBatch:
+        length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        ends = np.cumsum(np.fromiter(map(len, gaps), np.int64, len(gaps)) + length)
+        before = np.concatenate([[0], ends])[np.cumsum(counts) - counts]
+        ends -= np.repeat(before, counts)
+        of = pa.array(np.repeat(row, counts))
+        return pa.RecordBatch.from_arrays([*(c.take(of) for c in columns), pa.array(tokens, pa.string()), pa.array((ends - length + 1).astype(np.int32)), pa.array(ends.astype(np.int32))], [*keys, "token", "start_col", "end_col"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, parts = batch.columns[:-1], ([], [], [], [])
+            for i, line in enumerate(batch.columns[-1]):
+                text = line.as_py()
+                tokens, gaps = IDENTIFIER.findall(text), IDENTIFIER.split(text)[:-1]
+                for part, values in zip(parts, ([i], [len(tokens)], gaps, tokens), strict=True):
+                    part.extend(values)
+                if len(parts[-1]) >= PIECE:
+                    yield placed(columns, *parts)
+                    parts = ([], [], [], [])
+            if parts[-1]:
+                yield placed(columns, *parts)
+
+    rows = code_lines(corpus, lines, [k for k in keys if k != "line"]).select(*keys, "masked")
+    return rows.mapInArrow(run, StructType([*(rows.schema[k] for k in keys), *StructType.fromDDL("token string, start_col int, end_col int")]))
 
 
 def brace_depth(corpus: DataFrame, lines: Callable[[Column], Column] = T.lines, ties: Sequence[str] = ()) -> DataFrame:

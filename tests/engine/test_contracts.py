@@ -1,6 +1,7 @@
 import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -146,3 +147,14 @@ def test_vectors_are_stored_and_reused(spark, tmp_path):
     assert set(log.read_text().split("\n")) == {"gamma", "beta beta", "alpha new", ""}, "only chunks without a vector are embedded"
     assert {r.action for r in engine.vector_plan().collect()} == {"reuse", "embed"}
     assert engine.store.read("vectors").count() == 3
+
+
+def test_a_long_line_costs_no_more_than_short_ones(spark, monkeypatch):
+    """Identifiers of one line, each by a sum over those before it and not by a copy of them."""
+    monkeypatch.setattr(lexical, "PIECE", 1 << 15)
+    rows = spark.createDataFrame([("long", "é " + " ".join(f"v{i % 10}" for i in range(250_000))), ("short", "a\n  b c\n")], "path string, text string")
+    began = time.monotonic()
+    found = lexical.identifier_places(rows)
+    n, first, last, width = found.where("path = 'long'").agg(F.count("*"), F.min("start_col"), F.max("end_col"), F.max(F.col("end_col") - F.col("start_col"))).first()
+    assert (n, first, last, width) == (250_000, 3, 2 + 3 * 250_000 - 1, 1) and time.monotonic() - began < 40
+    assert sorted(map(tuple, lexical.identifier_places(rows.where("path = 'short'"), keys=["line"]).collect())) == [(1, "a", 1, 1), (2, "b", 3, 3), (2, "c", 5, 5)]
