@@ -24,6 +24,8 @@ from gleanery.sources import corpus as sources
 from gleanery.sources.work import written
 
 MODES = ("bm25", "semantic", "hybrid")
+#: Hashes of paths, of 8 bytes each, that are sent to all.
+SMALL_HASHES = 1_000_000
 
 
 def _whole(name: str, value, least: int = 1) -> int:
@@ -143,12 +145,12 @@ class Engine:
         anew = force or old is None or manifest["python_enabled"] != self.settings.python_enabled
         chosen = discovery.selected(self.candidates(pruned=True), self.settings.include_extensions, self.settings.exclude_globs)
         segment = self.store.begin()
-        put, made = (lambda name, rows: self.store.put(segment, name, rows)), (lambda name: self.store.made(segment, name))
+        put, made = (lambda name, rows, of=None: self.store.put(segment, name, rows, of)), (lambda name: self.store.made(segment, name))
         differing = put("differing", self._differing(chosen, old, anew))
         opened, had = differing.where("opened and not gone"), differing.where("had").select("path")
         fresh = anew or not opened.isEmpty()
         if fresh:
-            self._put_content(put, opened, chosen)
+            self._put_content(put, opened, chosen, anew)
         files, chunks = (made(n) if fresh else None for n in ("files", "chunks"))
         was_there = had.withColumn("was", F.lit(1))
         now_there = (files.select("path") if fresh else had.limit(0)).withColumn("now", F.lit(1))
@@ -164,9 +166,18 @@ class Engine:
         done = self.store.commit(segment if changed else None, file_count + added + (updated if anew else -removed), chunk_count - gone_chunks + (chunks.count() if fresh else 0), self.settings.python_enabled, replace=anew)
         return {"added": added, "updated": updated, "removed": removed, "timestamp": done["last_refresh_timestamp"]}
 
-    def _put_content(self, put: Callable, opened: DataFrame, chosen: DataFrame) -> None:
+    def _opened_rows(self, chosen: DataFrame, opened: DataFrame, anew: bool) -> DataFrame:
+        """The rows of a table (chosen) that are opened. No text is shuffled if all are; else only texts whose path has the hash of an opened one, as long as these hashes are few."""
+        if anew:
+            return chosen
+        if opened.count() <= SMALL_HASHES:
+            hashes = F.broadcast(opened.select(F.xxhash64("path").alias("_hash")))
+            chosen = chosen.withColumn("_hash", F.xxhash64("path")).join(hashes, "_hash", "left_semi").drop("_hash")
+        return chosen.join(opened.select("path"), "path", "left_semi")
+
+    def _put_content(self, put: Callable, opened: DataFrame, chosen: DataFrame, anew: bool) -> None:
         """A segment's tables of the opened files; each is read once, and what follows is made from what was written."""
-        content = self._with_content(opened.select("path", "size", "mtime_ns") if self.root else chosen.join(opened.select("path"), "path", "left_semi"))
+        content = self._with_content(opened.select("path", "size", "mtime_ns") if self.root else self._opened_rows(chosen, opened, anew))
         text, tongue = sources.decoded(), outline.language("path", self.settings.python_enabled)
         allowed = paths.block_reason("path", "size", self.limits.max_file_bytes).isNull()
         rows = content.where(~discovery.is_binary("content")).select("path", "size", "mtime_ns", F.sha2("content", 256).alias("content_hash"), tongue.alias("language"), allowed.alias("allowed"), text.alias("text"))
@@ -175,7 +186,7 @@ class Engine:
         code = texts.where("allowed")
         uses = references.python_candidates(code.where("language = 'python'")).withColumn("short", outline.short("candidate"))
         makers = [
-            lambda: put("blocks", blocks.build(put("chunks", chunks))),
+            lambda: put("blocks", blocks.build(put("chunks", chunks)), "chunks"),
             lambda: put("symbols", self._outline(code).withColumn("short", outline.short("name"))),
             lambda: put("uses", uses),
             lambda: put("names", names.build(code)),

@@ -187,20 +187,24 @@ class Store:
         reader = self.spark.read if schema is None else self.spark.read.schema(schema)
         return reader.parquet(f"{self.root}/segments/{segment}/{name}")
 
-    def put(self, segment: str, name: str, rows: DataFrame) -> DataFrame:
-        """Write a table of a segment, and read it. It is computed once: its tasks write it as it comes, sorted; a large one is then dealt by ranges of its keys."""
+    def put(self, segment: str, name: str, rows: DataFrame, of: str | None = None) -> DataFrame:
+        """Write a table of a segment, and read it. It is computed once: its tasks write it as it comes, sorted; a large one is then dealt by ranges of its keys.
+
+        of: the segment's table that rows are made from; if that is large, they are expected to be, and are first sorted when they are dealt.
+        """
         keys, finish = LAYOUT.get(name), numbered if name == "chunks" else (lambda df: df)
         path = f"{self.root}/segments/{segment}/{name}"
-        first = rows if keys is None else finish(rows.sortWithinPartitions(*keys))
+        unsorted = of is not None and self._bytes(f"{self.root}/segments/{segment}/{of}") > SMALL_BYTES
+        first = rows if keys is None else finish(rows if unsorted else rows.sortWithinPartitions(*keys))
         first.write.option("compression", CODEC).parquet(path)
         if keys is None:
             return self.made(segment, name, first.schema)
-        if self._bytes(path) > SMALL_BYTES:
+        if (large := self._bytes(path) > SMALL_BYTES) or unsorted:
             at, fs = self._fs(path)
             stage, _ = self._fs(f"{self.root}/segments/{segment}/_stage-{name}")
             fs.rename(at, stage)
             staged = self.spark.read.parquet(f"{self.root}/segments/{segment}/_stage-{name}").select(*rows.columns)
-            dealt = _together(_apart(staged).repartitionByRange(*keys).sortWithinPartitions(*keys), staged.schema)
+            dealt = _together((_apart(staged).repartitionByRange(*keys) if large else _apart(staged)).sortWithinPartitions(*keys), staged.schema)
             finish(dealt).write.option("compression", CODEC).parquet(path)
             fs.delete(stage, True)
             if keys[0] == "path":
@@ -272,7 +276,7 @@ class Store:
                 self.put(name, table, rows.drop(SEG, *(["doc", "range"] if table == "chunks" else [])))
         for table, make in self.derived.items():
             if any(table in s["tables"] for s in some):
-                self.put(name, table, make(self.made(name, "chunks")))
+                self.put(name, table, make(self.made(name, "chunks")), "chunks")
         if low and (marking := [s for s in some if s["marks"]]):
             reduce(DataFrame.unionAll, [self.spark.read.parquet(f"{self._folder(s)}/marks") for s in marking]).distinct().write.parquet(f"{self.root}/segments/{name}/marks")
         return self._segment(name, some[-1]["seq"])

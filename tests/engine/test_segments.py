@@ -244,3 +244,40 @@ def test_a_reader_that_stumbles_affects_its_file_only(spark, monkeypatch):
 
     found = outline.outline(table(spark, {"a.go": "package p\n\nfunc f() {\n}\n", "b.py": "def g(" + "(" * 5000, "c.py": "def h():\n    pass\n"}))
     assert {r.path for r in found.collect()} == {"a.go", "c.py"}
+
+
+def test_a_refresh_shuffles_no_text_that_stays(spark, tmp_path):
+    """Of a table, only texts that are opened are shuffled, and none if all are."""
+    rng = random.Random(1)
+    files = {f"d/{k:03d}.md": "\n".join(f"{rng.getrandbits(256):x}" for _ in range(300)) for k in range(200)}
+    engine = Engine(spark, str(tmp_path / "d"), files=table(spark, files))
+    sc, before = spark.sparkContext, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def shuffled(name: str) -> int:
+        sc.setJobGroup(name, "")
+        engine.refresh()
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        store = sc._jsc.sc().statusStore()
+        return sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in {s for j in sc.statusTracker().getJobIdsForGroup(name) for s in sc.statusTracker().getJobInfo(j).stageIds})
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        first = shuffled("first refresh")
+        files["d/007.md"] = "alpha beta\n"
+        engine.table = table(spark, files)
+        again = shuffled("second refresh")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        sc._jsc.sc().clearJobGroup()
+    size = sum(map(len, files.values()))
+    assert first < size / 4 and again < size / 8
+    assert [r.path for r in engine.search("alpha").collect()] == ["d/007.md"]
+
+
+def test_texts_are_split_once_for_chunks(spark):
+    from gleanery.operators import chunking
+
+    rows = spark.createDataFrame([("p", "a\nb\nc\nd\ne"), ("q", ""), ("r", None)], "path string, text string")
+    found = chunking.chunks(rows, 3, 1)
+    assert sorted((r.path, r.start_line, r.end_line, r.text) for r in found.collect()) == [("p", 1, 3, "a\nb\nc"), ("p", 3, 5, "c\nd\ne")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(text") == 1
